@@ -1,15 +1,750 @@
-"""The registered queries of the engine and the SQL that they are held against."""
+"""The registered queries of the engine and the SQL that they are held against.
+
+Inputs are built from the star-schema tables: features of an order from its
+line items (sums of whole numbers, so no result hangs on the order of
+additions), ranking groups and survival times from events, interactions from
+customers and parts. Doubles that add up in any order are rounded.
+"""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metrics, objectives, transforms
+from .operators import explain, quantize, recsys, scoring
+from .plans import boosting, splits
+from .plans.model import Linear, three_class_forest, tiny_forest
+
+FEATURES = ["lines", "quantity", "discount", "tax"]
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# --- inputs --------------------------------------------------------------------
+
+
+def order_features(spark: SparkSession, d: str) -> DataFrame:
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax")
+    per = li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).cast("double").alias("lines"),
+        F.sum(F.round("l_quantity").cast("long")).cast("double").alias("quantity"),
+        F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double").alias("discount"),
+        F.sum(F.round(F.col("l_tax") * 100).cast("long")).cast("double").alias("tax"),
+    )
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    at = o.join(per, o.o_orderkey == per.l_orderkey)
+    return at.select(
+        F.col("o_orderkey").alias("row_id"),
+        F.col("o_custkey").alias("qid"),
+        F.when(F.col("o_orderkey") % 11 == 0, float("nan")).otherwise(F.col("lines")).alias("lines"),
+        F.when(F.col("o_orderkey") % 13 == 0, None).otherwise(F.col("quantity")).alias("quantity"),
+        F.when(F.col("o_orderkey") % 7 == 0, 0.0).otherwise(F.col("discount")).alias("discount"),
+        "tax",
+        F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"),
+        F.round(F.col("o_totalprice") / 1000).cast("double").alias("price"),
+    )
+
+
+OF = """of_ AS (
+  SELECT o_orderkey AS row_id, o_custkey AS qid,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'NaN'::DOUBLE ELSE lines END AS lines,
+         CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE quantity END AS quantity,
+         CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE discount END AS discount, tax,
+         CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, round(o_totalprice / 1000)::DOUBLE AS price
+  FROM orders JOIN (
+    SELECT l_orderkey, count(*)::DOUBLE AS lines, sum(round(l_quantity)::BIGINT)::DOUBLE AS quantity,
+           sum(round(l_discount * 100)::BIGINT)::DOUBLE AS discount, sum(round(l_tax * 100)::BIGINT)::DOUBLE AS tax
+    FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""
+
+
+def scored_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with a prediction that depends on the key alone; ties are common."""
+    at = order_features(spark, d)
+    return at.withColumns({"p": (F.col("row_id") % 97) / 100.0 + 0.01, "score": (F.col("row_id") % 41).cast("double")})
+
+
+SO = OF + ",\nso AS (SELECT *, (row_id % 97) / 100.0::DOUBLE + 0.01 AS p, (row_id % 41)::DOUBLE AS score FROM of_)"
+
+
+def event_groups(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return e.select(
+        F.col("event_id").alias("row_id"),
+        F.col("user_id").alias("qid"),
+        F.least(F.floor(F.col("value") / 60), F.lit(4)).cast("double").alias("label"),
+        (F.col("event_id") * 7919 % 211 / 100.0).cast("double").alias("margin"),
+        F.when(F.col("event_type") == "purchase", F.col("event_id") % 500 + 1).otherwise(-(F.col("event_id") % 500 + 1)).cast("double").alias("time"),
+        (F.col("event_id") * 31 % 200 / 100.0 - 1).cast("double").alias("risk"),
+    )
+
+
+EG = """eg AS (
+  SELECT event_id AS row_id, user_id AS qid, least(floor(value / 60), 4)::DOUBLE AS label,
+         (event_id * 7919 % 211) / 100.0::DOUBLE AS margin,
+         (CASE WHEN event_type = 'purchase' THEN event_id % 500 + 1 ELSE -(event_id % 500 + 1) END)::DOUBLE AS time,
+         (event_id * 31 % 200) / 100.0::DOUBLE - 1 AS risk
+  FROM events)"""
+
+
+def class_margins(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    return e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("label"), F.transform(F.slice("embedding", 1, 10), lambda x: F.round(x.cast("double") * 10, 3)).alias("margin"))
+
+
+CM = """cm AS (SELECT vec_id AS row_id, label::DOUBLE AS label, [round(x::DOUBLE * 10, 3) for x in embedding[1:10]] AS margin FROM embeddings),
+e_ AS (SELECT *, [exp(x - list_max(margin)) for x in margin] AS ex FROM cm),
+sm AS (SELECT row_id, label, margin, [x / list_sum(ex) for x in ex] AS probs FROM e_)"""
+
+
+def interactions(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    p = _t(spark, d, "part").select("p_partkey", "p_brand")
+    return li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey).select(F.col("o_custkey").alias("User"), F.col("l_partkey").alias("Item"), F.col("l_quantity").alias("Score"), F.col("p_brand").alias("Tag"))
+
+
+def catalog(spark: SparkSession, d: str) -> DataFrame:
+    items = _t(spark, d, "part").select(F.col("p_partkey").alias("Item"), F.col("p_brand").alias("Tag"))
+    return recsys.catalog_features(interactions(spark, d), items).withColumns({"feat_pop": _r("feat_pop", 9), "feat_quality": _r("feat_quality", 9)})
+
+
+IN = """ia AS (
+  SELECT o_custkey AS "User", l_partkey AS "Item", l_quantity AS "Score", p_brand AS "Tag"
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+dd AS (SELECT "User", "Item", max("Score") AS "Score", min("Tag") AS "Tag" FROM ia GROUP BY "User", "Item"),
+ca AS (
+  SELECT p_partkey AS "Item", p_brand AS "Tag", round(ln(1 + coalesce(n, 0)), 9) AS feat_pop, round(coalesce(m, 0), 9) AS feat_quality
+  FROM part LEFT JOIN (SELECT "Item", count(*) AS n, avg("Score") AS m FROM ia GROUP BY 1) ON p_partkey = "Item")"""
+
+Q: dict = {}
+S: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            S[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- scoring ---------------------------------------------------------------------
+
+_cols = FEATURES
+_tiny = tiny_forest()
+_duck = lambda m, k=0, **kw: scoring.for_duckdb(scoring.margin_sql(m, _cols, k, **kw))
+
+
+@query(f"WITH {OF} SELECT row_id, round({_duck(_tiny)}, 6) AS margin FROM of_")
+def score_margin(spark, d):
+    return scoring.predict(order_features(spark, d), _tiny, FEATURES, "margin", "m").select("row_id", _r("m").alias("margin"))
+
+
+@query(f"WITH {OF} SELECT row_id, round({_duck(_tiny)}, 6) AS margin FROM of_")
+def score_margin_walk(spark, d):
+    return scoring.predict(order_features(spark, d), _tiny, FEATURES, "margin", "m", strategy="walk").select("row_id", _r("m").alias("margin"))
+
+
+@query(f"WITH {OF} SELECT row_id, round(1 / (1 + exp(-({_duck(_tiny)}))), 6) AS value FROM of_")
+def score_value(spark, d):
+    return scoring.predict(order_features(spark, d), _tiny, FEATURES, to="v").select("row_id", _r("v").alias("value"))
+
+
+@query(f"WITH {OF} SELECT row_id, round({_duck(_tiny, begin=1, end=3)}, 6) AS margin FROM of_")
+def score_iterations(spark, d):
+    return scoring.predict(order_features(spark, d), _tiny, FEATURES, "margin", "m", begin=1, end=3).select("row_id", _r("m").alias("margin"))
+
+
+@query("WITH " + OF + " SELECT row_id, " + ", ".join(f"{scoring.for_duckdb(scoring.tree_sql(t, _cols, str))} AS leaf{i}" for i, t in enumerate(_tiny.trees)) + " FROM of_")
+def score_leaves(spark, d):
+    at = scoring.predict(order_features(spark, d), _tiny, FEATURES, "leaf", "l", strategy="walk")
+    return at.select("row_id", *[F.get("l", F.lit(i)).alias(f"leaf{i}") for i in range(3)])
+
+
+_three = three_class_forest()
+_m3 = [_duck(_three, k) for k in range(3)]
+
+
+@query(f"WITH {OF}, m AS (SELECT row_id, {_m3[0]} AS a, {_m3[1]} AS b, {_m3[2]} AS c FROM of_) SELECT row_id, round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) AS p0, round(exp(b) / (exp(a) + exp(b) + exp(c)), 6) AS p1, round(exp(c) / (exp(a) + exp(b) + exp(c)), 6) AS p2 FROM m")
+def score_multiclass(spark, d):
+    at = scoring.predict(order_features(spark, d), _three, FEATURES, to="p")
+    return at.select("row_id", *[_r(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(3)])
+
+
+@query(f"WITH {OF}, m AS (SELECT row_id, {_m3[0]} AS a, {_m3[1]} AS b, {_m3[2]} AS c FROM of_) SELECT row_id, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS class FROM m")
+def score_argmax(spark, d):
+    return scoring.predict(order_features(spark, d), _three, FEATURES, to="class", transform="argmax").select("row_id", "class")
+
+
+_linear = Linear([[0.03], [-0.002], [0.01], [0.005]], [0.2], [0.1])
+_x = lambda c: f"(CASE WHEN {c} IS NULL OR isnan({c}) THEN 0 ELSE {c} END)"
+
+
+@query(f"WITH {OF} SELECT row_id, round(0.3 + {' + '.join(f'{w[0]} * {_x(c)}' for c, w in zip(_cols, _linear.weights))}, 6) AS margin FROM of_")
+def score_linear(spark, d):
+    return scoring.predict(order_features(spark, d), _linear, FEATURES, "margin", "m").select("row_id", _r("m").alias("margin"))
+
+
+def _shares_sql() -> str:
+    out = []
+    for f in range(4):
+        terms = []
+        for i, t in enumerate(_tiny.trees):
+            paths: dict[int, list[int]] = {}
+            todo = [(0, [])]
+            while todo:
+                n, path = todo.pop()
+                path = [*path, t.feature[n]]
+                for c in (t.left[n], t.right[n]):
+                    todo += [(c, path)] if c >= 0 else []
+                    if c < 0:
+                        paths[~c] = path
+            w = _tiny.weight_of(i)
+            terms.append(scoring.for_duckdb(scoring.tree_sql(t, _cols, lambda k, t=t, w=w, paths=paths, f=f: scoring.number(w * t.leaf_value[k][0] * paths[k].count(f) / len(paths[k])))))
+        out.append(f"round({' + '.join(terms)}, 6) AS c{f}")
+    return f"WITH {OF} SELECT row_id, {', '.join(out)} FROM of_"
+
+
+@query(_shares_sql())
+def explain_path_shares(spark, d):
+    at = scoring.predict(order_features(spark, d), _tiny, FEATURES, "approx_contrib", "c")
+    return at.select("row_id", *[_r(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(4)])
+
+
+@query(f"WITH {OF} SELECT row_id, round({_duck(_tiny)}, 6) AS total FROM of_")
+def explain_shapley_sum(spark, d):
+    """Shapley values and bias add up to the margin."""
+    at = scoring.predict(order_features(spark, d), _tiny, FEATURES, "contrib", "c")
+    return at.select("row_id", _r(F.aggregate("c", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query()
+def explain_shapley(spark, d):
+    at = scoring.predict(order_features(spark, d), _tiny, FEATURES, "contrib", "c")
+    return at.select("row_id", *[_r(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(5)])
+
+
+@query()
+def explain_interactions(spark, d):
+    return scoring.predict(order_features(spark, d), _tiny, FEATURES, "interaction", "c").select("row_id", "c")
+
+
+def _nodes_sql(m) -> str:
+    rows = ", ".join(f"({r[0]}, {r[3]}, {str(r[4]).upper()}, {'NULL' if r[5] is None else r[5]}, {'NULL' if r[6] is None else repr(r[6])}::DOUBLE, {str(r[10] is not None).upper()}, {'NULL' if r[14] is None else repr(r[14])}::DOUBLE, {repr(r[15])}::DOUBLE, {r[2]})" for r in m.node_rows())
+    return f"nodes AS (SELECT * FROM (VALUES {rows}) t(tree_id, node_id, is_leaf, feature, threshold, cat, split_gain, sum_hess, iteration))"
+
+
+@query(f"""WITH {_nodes_sql(_tiny)}, s AS (SELECT feature, count(*)::DOUBLE AS weight, sum(split_gain) AS gain, sum(sum_hess) AS cover FROM nodes WHERE NOT is_leaf GROUP BY 1)
+SELECT feature, round(weight, 6) AS weight, round(gain, 6) AS gain, round(gain / sum(gain) OVER (), 6) AS total_gain, round(cover, 6) AS cover, round(cover / sum(cover) OVER (), 6) AS total_cover FROM s""")
+def importance_all(spark, d):
+    nodes = _tiny.node_table(spark)
+    out = None
+    for kind in explain.IMPORTANCE:
+        one = explain.importance(nodes, kind).select("feature", _r("score").alias(kind))
+        out = one if out is None else out.join(one, "feature")
+    return out
+
+
+@query(f"WITH {_nodes_sql(_tiny)} SELECT count(DISTINCT tree_id) AS n_trees, count(DISTINCT iteration) AS n_iterations, count(*) FILTER (NOT is_leaf) AS n_nodes, count(*) FILTER (is_leaf) AS n_leaves, max(feature) + 1 AS n_features FROM nodes")
+def model_metadata(spark, d):
+    return explain.metadata(_tiny.node_table(spark))
+
+
+@query(f"""WITH {_nodes_sql(_three)}, w AS (SELECT tree_id, node_id, feature, threshold, min(threshold) OVER (PARTITION BY feature) AS lo, max(threshold) OVER (PARTITION BY feature) AS hi FROM nodes WHERE NOT is_leaf AND NOT cat),
+q AS (SELECT *, CASE WHEN hi > lo THEN floor((threshold - lo) / (hi - lo) * 127 + 0.5) ELSE 0 END::INT AS q FROM w)
+SELECT tree_id, node_id, feature, threshold, q, round(lo + q / 127.0::DOUBLE * (hi - lo), 6) AS decoded FROM q""")
+def quantize_thresholds(spark, d):
+    return quantize.quantize_nodes(_three.node_table(spark)).withColumn("decoded", _r("decoded"))
+
+
+def _rough():
+    import copy
+
+    m = copy.deepcopy(_tiny)
+    for t in m.trees:
+        t.threshold = [float(round(x / 4) * 4) for x in t.threshold]
+    return m
+
+
+@query(f"WITH {OF}, x AS (SELECT abs({_duck(_tiny)} - {_duck(_rough())}) AS diff FROM of_) SELECT count(*) AS n_rows, round(max(diff), 6) AS max_diff, round(avg(diff), 6) AS mean_diff, round(avg((diff > 0.15)::INT), 6) AS fail_rate, max(diff) <= 0.15 AS passes FROM x")
+def quantize_parity(spark, d):
+    at = quantize.parity(order_features(spark, d), _tiny, _rough(), FEATURES)
+    return at.select("n_rows", _r("max_diff").alias("max_diff"), _r("mean_diff").alias("mean_diff"), _r("fail_rate").alias("fail_rate"), "passes")
+
+
+def _depth_sql(i: int) -> str:
+    t = _tiny.trees[i]
+    depth: dict[int, int] = {}
+    todo = [(0, 0)]
+    while todo:
+        c, n = todo.pop()
+        if c < 0:
+            depth[~c] = n
+        else:
+            todo += [(t.left[c], n + 1), (t.right[c], n + 1)]
+    return scoring.for_duckdb(scoring.tree_sql(t, _cols, lambda k: str(depth[k])))
+
+
+@query(f"WITH {OF}, x AS ({' UNION ALL '.join(f'SELECT {i} AS tree_id, {_depth_sql(i)} AS steps FROM of_' for i in range(3))}) SELECT tree_id, count(*) AS n_rows, sum(steps)::BIGINT AS total_steps, max(steps) AS max_steps FROM x GROUP BY 1")
+def walk_profile(spark, d):
+    return scoring.walk_profile(order_features(spark, d), _tiny, FEATURES)
+
+
+# --- transforms ----------------------------------------------------------------------
+
+
+@query(f"WITH {CM} SELECT row_id, round(probs[1], 6) AS p0, round(probs[10], 6) AS p9, (list_position(margin, list_max(margin)) - 1)::INT AS best, round(1 / (1 + exp(-margin[1])), 6) AS sig, round(exp(margin[1]), 6) AS ex FROM sm")
+def transforms_all(spark, d):
+    m = class_margins(spark, d)
+    return m.select("row_id", _r(F.get(transforms.softmax(F.col("margin")), F.lit(0))).alias("p0"), _r(F.get(transforms.softmax(F.col("margin")), F.lit(9))).alias("p9"), transforms.argmax(F.col("margin")).alias("best"), _r(transforms.sigmoid(F.get("margin", F.lit(0)))).alias("sig"), _r(F.exp(F.get("margin", F.lit(0)))).alias("ex"))
+
+
+# --- metrics -----------------------------------------------------------------------------
+
+_POINT = {
+    "rmse": ("price", "score", "sqrt(avg((price - score) * (price - score)))"),
+    "mae": ("price", "score", "avg(abs(price - score))"),
+    "logloss": ("label", "p", "avg(-(label * ln(p) + (1 - label) * ln(1 - p)))"),
+    "error": ("label", "p", "avg(((p > 0.5) <> (label > 0.5))::INT)"),
+    "mape": ("price", "score", "avg(CASE WHEN price <> 0 THEN abs((price - score) / price) END)"),
+    "rmsle": ("price", "score", "sqrt(avg((ln(1 + price) - ln(1 + score)) * (ln(1 + price) - ln(1 + score))))"),
+}
+
+
+def _point(name, label, pred):
+    def one(spark, d):
+        return metrics.evaluate(scored_orders(spark, d), name, label, pred).select(_r("value").alias("value"))
+
+    def grouped(spark, d):
+        return metrics.evaluate(scored_orders(spark, d), name, label, pred, "qid").select(_r("value").alias("value"))
+
+    return one, grouped
+
+
+for _n, (_l, _p, _sql) in _POINT.items():
+    Q[f"metric_{_n}"], _grouped = _point(_n, _l, _p)
+    S[f"metric_{_n}"] = f"WITH {SO} SELECT round({_sql}, 6) AS value FROM so"
+    if _n not in ("mape",):
+        Q[f"metric_{_n}_by_group"] = _grouped
+        S[f"metric_{_n}_by_group"] = f"WITH {SO}, g AS (SELECT {_sql} AS v FROM so GROUP BY qid) SELECT round(avg(v), 6) AS value FROM g"
+
+_AUC = f"""WITH {SO}, r AS (SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM so),
+t AS (SELECT sum(CASE WHEN label > 0.5 THEN rk ELSE 0 END) AS s, sum(label) AS p, sum(1 - label) AS n FROM r) SELECT round((s - p * (p + 1) / 2) / (p * n), 6) AS value FROM t"""
+
+
+@query(_AUC)
+def metric_auc(spark, d):
+    return metrics.evaluate(scored_orders(spark, d), "auc", "label", "p").select(_r("value").alias("value"))
+
+
+@query(_AUC)
+def metric_aucpr(spark, d):
+    return metrics.evaluate(scored_orders(spark, d), "aucpr", "label", "p").select(_r("value").alias("value"))
+
+
+@query(f"WITH {CM} SELECT round(avg(-ln(greatest(probs[label::INT + 1], 1e-15))), 6) AS value FROM sm")
+def metric_mlogloss(spark, d):
+    at = class_margins(spark, d).withColumn("q", transforms.softmax(F.col("margin")))
+    return metrics.evaluate(at, "mlogloss", "label", "q").select(_r("value").alias("value"))
+
+
+@query(f"WITH {CM} SELECT round(avg((list_position(margin, list_max(margin)) - 1 <> label)::INT), 6) AS value FROM sm")
+def metric_merror(spark, d):
+    return metrics.evaluate(class_margins(spark, d), "merror", "label", "margin").select(_r("value").alias("value"))
+
+
+_RANKED = EG + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY margin DESC, row_id) AS r, row_number() OVER (PARTITION BY qid ORDER BY label DESC, row_id) AS i, 2 ** label - 1 AS g FROM eg)"""
+
+
+def _ndcg_sql(k: int) -> str:
+    return f"""WITH {_RANKED}, q AS (SELECT qid, sum(CASE WHEN r <= {k} THEN g / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= {k} THEN g / log2(i + 1) ELSE 0 END) AS best FROM rk GROUP BY 1)
+SELECT round(avg(CASE WHEN best > 0 THEN dcg / best ELSE 0 END), 6) AS value FROM q"""
+
+
+@query(_ndcg_sql(10**9))
+def metric_ndcg(spark, d):
+    return metrics.evaluate(event_groups(spark, d), "ndcg", "label", "margin", "qid", "row_id").select(_r("value").alias("value"))
+
+
+@query(_ndcg_sql(5))
+def metric_ndcg_at_5(spark, d):
+    return metrics.evaluate(event_groups(spark, d), "ndcg@5", "label", "margin", "qid", "row_id").select(_r("value").alias("value"))
+
+
+@query(f"""WITH {_RANKED}, h AS (SELECT qid, r, label > 0.5 AS rel, sum((label > 0.5)::INT) OVER (PARTITION BY qid ORDER BY r) AS hits FROM rk),
+q AS (SELECT qid, sum(CASE WHEN rel THEN hits / r ELSE 0 END) / greatest(sum(rel::INT), 1) AS v FROM h GROUP BY 1) SELECT round(avg(v), 6) AS value FROM q""")
+def metric_map(spark, d):
+    return metrics.evaluate(event_groups(spark, d), "map", "label", "margin", "qid", "row_id").select(_r("value").alias("value"))
+
+
+# --- objectives ------------------------------------------------------------------------------
+
+
+def _gradient(objective, label, margin, g, h):
+    name = "objective_" + objective.split(":")[1]
+
+    def f(spark, d):
+        at = scored_orders(spark, d)
+        grad, hess = objectives.POINTWISE[objective](F.col(label), F.col(margin), F.lit(1.0))
+        return at.select("row_id", _r(grad).alias("grad"), _r(hess).alias("hess"))
+
+    Q[name], S[name] = f, f"WITH {SO} SELECT row_id, round({g}, 6) AS grad, round({h}, 6) AS hess FROM so"
+
+
+_sig = "(1 / (1 + exp(-p)))"
+_gradient("reg:squarederror", "price", "score", "score - price", "1.0")
+_gradient("binary:logistic", "label", "p", f"{_sig} - label", f"greatest({_sig} * (1 - {_sig}), 1e-16)")
+_gradient("reg:gamma", "price", "p", "1 - CASE WHEN price > 0 THEN price ELSE 1e-16 END / exp(p)", "greatest(CASE WHEN price > 0 THEN price ELSE 1e-16 END / exp(p), 1e-16)")
+_gradient("count:poisson", "price", "p", "exp(p) - price", "greatest(exp(p), 1e-16)")
+_gradient("reg:tweedie", "price", "p", "exp(0.5 * p) - price * exp(-0.5 * p)", "greatest(0.5 * exp(0.5 * p) + 0.5 * price * exp(-0.5 * p), 1e-16)")
+
+
+@query(f"WITH {CM} SELECT row_id, round(probs[1] - (label = 0)::INT, 6) AS g0, round(greatest(2 * probs[1] * (1 - probs[1]), 1e-16), 6) AS h0, round(probs[10] - (label = 9)::INT, 6) AS g9, round(greatest(2 * probs[10] * (1 - probs[10]), 1e-16), 6) AS h9 FROM sm")
+def objective_softprob(spark, d):
+    g, h = objectives.softprob(F.col("label"), F.col("margin"), F.lit(1.0), 10)
+    return class_margins(spark, d).select("row_id", *[_r(F.get(c, F.lit(k))).alias(f"{n}{k}") for k in (0, 9) for n, c in (("g", g), ("h", h))])
+
+
+_BOUNDS = "lo AS (SELECT row_id, risk, CASE WHEN row_id % 4 = 2 THEN 0.0 ELSE abs(time) / 100 END::DOUBLE AS l, CASE row_id % 4 WHEN 0 THEN abs(time) / 100 WHEN 1 THEN 'Infinity'::DOUBLE ELSE abs(time) / 100 + 1 END::DOUBLE AS u FROM eg), sc AS (SELECT *, l / exp(risk) AS a, u / exp(risk) AS b FROM lo), gg AS (SELECT *, CASE WHEN u = 'Infinity' OR l = u THEN 0 WHEN l = 0 THEN b * exp(-b) / greatest(1 - exp(-b), 1e-16) ELSE (exp(-a) * a - exp(-b) * b) / greatest(exp(-a) - exp(-b), 1e-16) END AS s FROM sc)"
+
+
+@query(f"WITH {EG}, {_BOUNDS} SELECT row_id, round(CASE WHEN u = 'Infinity' THEN -a WHEN l = u THEN 1 - a ELSE -s END, 6) AS grad, round(greatest(CASE WHEN u = 'Infinity' OR l = u THEN a ELSE abs(s) END, 1e-16), 6) AS hess FROM gg")
+def objective_aft(spark, d):
+    t = F.abs("time") / 100
+    lower = F.when(F.col("row_id") % 4 == 2, 0.0).otherwise(t)
+    upper = F.when(F.col("row_id") % 4 == 0, t).when(F.col("row_id") % 4 == 1, float("inf")).otherwise(t + 1)
+    g, h = objectives.aft(lower, upper, F.col("risk"), F.lit(1.0))
+    return event_groups(spark, d).select("row_id", _r(g).alias("grad"), _r(h).alias("hess"))
+
+
+@query(f"""WITH {EG}, r AS (SELECT *, abs(time) AS t, exp(risk) AS e, sum(exp(risk)) OVER (ORDER BY abs(time) RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rs FROM eg),
+s AS (SELECT *, sum(CASE WHEN time > 0 THEN 1 / rs ELSE 0 END) OVER (ORDER BY t, row_id ROWS UNBOUNDED PRECEDING) AS rk, sum(CASE WHEN time > 0 THEN 1 / (rs * rs) ELSE 0 END) OVER (ORDER BY t, row_id ROWS UNBOUNDED PRECEDING) AS sk FROM r)
+SELECT row_id, round(e * rk - (time > 0)::INT, 5) AS grad, round(greatest(e * rk - e * e * sk, 1e-16), 5) AS hess FROM s""")
+def objective_cox(spark, d):
+    return objectives.cox(event_groups(spark, d), "time", "risk", "row_id").select("row_id", _r("grad", 5).alias("grad"), _r("hess", 5).alias("hess"))
+
+
+@query(f"""WITH {EG}, x AS (SELECT *, exp(margin - max(margin) OVER q) AS a, exp(label - max(label) OVER q) AS b, count(*) OVER q AS n FROM eg WINDOW q AS (PARTITION BY qid)),
+y AS (SELECT row_id, n, a / sum(a) OVER (PARTITION BY qid) AS p, b / sum(b) OVER (PARTITION BY qid) AS t FROM x)
+SELECT row_id, round(CASE WHEN n < 2 THEN 0 ELSE p - t END, 6) AS grad, round(CASE WHEN n < 2 THEN 0 ELSE greatest(p * (1 - p), 1e-16) END, 6) AS hess FROM y""")
+def objective_listwise(spark, d):
+    return objectives.listwise(event_groups(spark, d)).select("row_id", _r("grad").alias("grad"), _r("hess").alias("hess"))
+
+
+def _pairs_sql(ndcg: bool, k: int | None) -> str:
+    delta = "CASE WHEN b0.best > 0 THEN abs((a.g - b.g) * (1 / log2(a.r + 1) - 1 / log2(b.r + 1))) / b0.best ELSE 0 END" if ndcg else "1.0"
+    near = f"AND (a.r <= {k} OR b.r <= {k})" if k else ""
+    hess = "2 * greatest(rho * (1 - rho), 1e-16)" if k else "rho * (1 - rho)"
+    scale = "CASE WHEN total > 0 THEN log2(1 + total) / total ELSE 1 END" if k else "1"
+    return f"""WITH {_RANKED}, best AS (SELECT qid, sum(g / log2(i + 1)) AS best FROM rk GROUP BY 1),
+pr AS (SELECT a.qid, a.row_id AS hi, b.row_id AS lo, 1 / (1 + exp(a.margin - b.margin)) AS rho, {delta} AS delta FROM rk a JOIN rk b ON a.qid = b.qid AND a.label > b.label {near} JOIN best b0 ON a.qid = b0.qid),
+ea AS (SELECT qid, hi AS row_id, -rho * delta AS g, {hess} * delta AS h FROM pr UNION ALL SELECT qid, lo, rho * delta, {hess} * delta FROM pr),
+tt AS (SELECT qid, 2 * sum(rho * delta) AS total FROM pr GROUP BY 1), su AS (SELECT qid, row_id, sum(g) AS g, sum(h) AS h FROM ea GROUP BY 1, 2)
+SELECT eg.row_id, round(coalesce(g * {scale}, 0), 6) AS grad, round(greatest(coalesce(h * {scale}, 0), 1e-16), 6) AS hess FROM eg LEFT JOIN su USING (row_id) LEFT JOIN tt ON eg.qid = tt.qid"""
+
+
+@query(_pairs_sql(False, None))
+def objective_pairwise_full(spark, d):
+    at = objectives.pair_gradients(event_groups(spark, d), "pairwise", objectives.RankConfig("full"))
+    return at.select("row_id", _r("grad").alias("grad"), _r("hess").alias("hess"))
+
+
+@query(_pairs_sql(True, 8))
+def objective_rank_ndcg(spark, d):
+    at = objectives.pair_gradients(event_groups(spark, d), "ndcg", objectives.RankConfig("topk", 8))
+    return at.select("row_id", _r("grad").alias("grad"), _r("hess").alias("hess"))
+
+
+@query()
+def objective_pairwise_mean(spark, d):
+    at = objectives.pair_gradients(event_groups(spark, d), "pairwise", objectives.RankConfig("mean", 4))
+    return at.select("row_id", _r("grad").alias("grad"), _r("hess").alias("hess"))
+
+
+@query(f"WITH {SO} SELECT round(avg(price), 6) AS mean, round(ln(sum(label) / sum(1 - label)), 6) AS log_odds, round(ln(avg(CASE WHEN price > 0 THEN price END)), 6) AS log_mean FROM so")
+def objective_starts(spark, d):
+    y, b, w = F.col("price"), F.col("label"), F.lit(1.0)
+    return scored_orders(spark, d).agg(_r(objectives.weighted_mean(y, w)).alias("mean"), _r(objectives.log_odds(b, w)).alias("log_odds"), _r(objectives.log_mean(y, w, True)).alias("log_mean"))
+
+
+# --- splits and training -------------------------------------------------------------------------
+
+_TRAIN = OF + ", tr AS (SELECT row_id, tax, coalesce(quantity, 'NaN'::DOUBLE) AS quantity, lines, price, label, 0 AS node, 0.5 - label AS grad, 0.25::DOUBLE AS hess FROM of_)"
+
+
+def training_rows(spark, d):
+    at = order_features(spark, d)
+    return at.withColumns({"node": F.lit(0), "grad": 0.5 - F.col("label"), "hess": F.lit(0.25), "quantity": F.coalesce("quantity", F.lit(float("nan")))})
+
+
+_CUTS = {"tax": [5.5, 11.5, 17.5, 23.5], "quantity": [30.0, 60.0, 90.0, 120.0, 150.0]}
+_BINS = {f: splits.bin_sql(f, c) for f, c in _CUTS.items()}
+_HIST = f"{_TRAIN}, hi AS (" + " UNION ALL ".join(f"SELECT node, {i} AS feature, CASE WHEN isnan({f}) THEN {len(_CUTS[f])} ELSE {b} END AS pos, sum(grad) AS g, sum(hess) AS h, count(*) AS n FROM tr GROUP BY ALL" for i, (f, b) in enumerate(_BINS.items())) + ")"
+
+
+@query(f"WITH {_HIST} SELECT node, feature, pos, round(g, 6) AS g, round(h, 6) AS h, n FROM hi")
+def histogram(spark, d):
+    at = splits.histogram(training_rows(spark, d), "node", {f: splits.bin_of(F.col(f), c) for f, c in _CUTS.items()})
+    return at.select("node", "feature", "pos", _r("g").alias("g"), _r("h").alias("h"), "n")
+
+
+def _best(hist: str, lam: float) -> str:
+    return f"""cu AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY node, feature) AS gt, sum(h) OVER (PARTITION BY node, feature) AS ht FROM {hist} WINDOW w AS (PARTITION BY node, feature ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ga AS (SELECT *, 0.5 * (gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / (ht - hl + {lam}) - gt * gt / (ht + {lam})) AS gain FROM cu WHERE threshold IS NOT NULL AND hl > 0 AND ht - hl > 0),
+be AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, threshold) AS k FROM ga)
+SELECT node, feature, round(threshold, 6) AS threshold, round(gain, 5) AS gain FROM be WHERE k = 1 AND gain > 0"""
+
+
+_ENDS = " ".join(f"WHEN feature = {i} THEN [{', '.join(map(str, c))}][pos + 1]" for i, c in enumerate(_CUTS.values()))
+
+
+@query(f"WITH {_HIST}, hc AS (SELECT *, CASE {_ENDS} END AS threshold FROM hi), {_best('hc', 1.0)}")
+def split_histogram(spark, d):
+    hist = splits.histogram(training_rows(spark, d), "node", {f: splits.bin_of(F.col(f), c) for f, c in _CUTS.items()})
+    ends = F.array(*[F.array(*[F.lit(x) for x in c]) for c in _CUTS.values()])
+    found = splits.best_splits(splits.candidates(hist, F.get(F.get(ends, F.col("feature")), F.col("pos")), 1.0))
+    return found.select("node", "feature", _r("threshold").alias("threshold"), _r("gain", 5).alias("gain"))
+
+
+_EXACT = f"{_TRAIN}, hx AS (" + " UNION ALL ".join(f"SELECT node, {i} AS feature, {f} AS pos, sum(grad) AS g, sum(hess) AS h FROM tr GROUP BY ALL" for i, f in enumerate(("tax", "quantity", "lines"))) + "), hn AS (SELECT *, lead(pos) OVER (PARTITION BY node, feature ORDER BY pos) AS nx FROM hx), he AS (SELECT *, CASE WHEN nx IS NOT NULL AND NOT isnan(nx) AND NOT isnan(pos) THEN (pos + nx) / 2 END AS threshold FROM hn)"
+
+
+@query(f"WITH {_EXACT}, {_best('he', 1.0)}")
+def split_exact(spark, d):
+    hist = splits.histogram(training_rows(spark, d), "node", {f: F.col(f) for f in ("tax", "quantity", "lines")})
+    found = splits.best_splits(splits.candidates(hist, splits.next_midpoint(), 1.0, F.isnan("pos")))
+    return found.select("node", "feature", _r("threshold").alias("threshold"), _r("gain", 5).alias("gain"))
+
+
+@query(f"""WITH {_TRAIN}, hx AS (SELECT node, 0 AS feature, lines AS pos, sum(grad) AS g, sum(hess) AS h FROM tr GROUP BY ALL), t AS (SELECT *, sum(g) OVER () AS gt, sum(h) OVER () AS ht FROM hx),
+ga AS (SELECT *, 0.5 * (g * g / (h + 1) + (gt - g) * (gt - g) / (ht - h + 1) - gt * gt / (ht + 1)) AS gain FROM t WHERE NOT isnan(pos) AND pos >= 0 AND pos < 32 AND ht - h > 0)
+SELECT node, feature, pos AS threshold, round(gain, 5) AS gain FROM ga WHERE gain > 0 ORDER BY gain DESC, pos LIMIT 1""")
+def split_categorical(spark, d):
+    hist = splits.histogram(training_rows(spark, d), "node", {"lines": F.col("lines")})
+    return splits.best_splits(splits.one_against_rest(hist, 1.0)).select("node", "feature", "threshold", _r("gain", 5).alias("gain"))
+
+
+@query(f"""WITH {_EXACT}, cu AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht FROM he WINDOW w AS (PARTITION BY feature ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ga AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM cu WHERE threshold IS NOT NULL AND hl > 0 AND ht - hl > 0
+ AND (feature <> 0 OR -gl / (hl + 1) <= -(gt - gl) / (ht - hl + 1)) AND (feature <> 1 OR -gl / (hl + 1) >= -(gt - gl) / (ht - hl + 1)))
+SELECT node, feature, round(threshold, 6) AS threshold, round(gain, 5) AS gain FROM ga WHERE gain > 0 ORDER BY gain DESC, feature, threshold LIMIT 1""")
+def split_monotone(spark, d):
+    hist = splits.histogram(training_rows(spark, d), "node", {f: F.col(f) for f in ("tax", "quantity", "lines")})
+    found = splits.candidates(hist, splits.next_midpoint(), 1.0, F.isnan("pos"))
+    return splits.best_splits(found, monotone={0: 1, 1: -1}, lam=1.0).select("node", "feature", _r("threshold").alias("threshold"), _r("gain", 5).alias("gain"))
+
+
+@query(f"""WITH {_EXACT}, cu AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht FROM he WINDOW w AS (PARTITION BY feature ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ga AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM cu WHERE threshold IS NOT NULL AND feature < 2 AND hl > 0 AND ht - hl > 0),
+be AS (SELECT * FROM ga ORDER BY gain DESC, feature, threshold LIMIT 1)
+SELECT row_id, round(CASE WHEN CASE be.feature WHEN 0 THEN tax ELSE quantity END <= threshold THEN -gl / (hl + 1) ELSE -(gt - gl) / (ht - hl + 1) END * 0.3, 6) AS margin FROM tr, be""")
+def train_stump(spark, d):
+    """One round of depth one from a start of zero, scored on its training rows."""
+    rows = training_rows(spark, d).withColumn("margin", F.array(F.lit(0.0)))
+    p = boosting.Params("binary:logistic", max_depth=1, lam=1.0, method="exact")
+    c = boosting.Columns(["tax", "quantity"])
+    tree = boosting.grow(boosting.gradients(rows, p, c), p, c, "exact", {}, [0, 1], 0.3)
+    from .plans.model import Forest
+
+    model = Forest([tree], 2)
+    return scoring.predict(rows, model, ["tax", "quantity"], "margin", "m").select("row_id", _r("m").alias("margin"))
+
+
+@query()
+def train_boosted(spark, d):
+    rows = order_features(spark, d)
+    p = boosting.Params("binary:logistic", rounds=3, max_depth=3, lam=1.0, method="hist", max_bin=32)
+    c = boosting.Columns(FEATURES)
+    model, history = boosting.train(rows, p, c)
+    return spark.createDataFrame([(r, float(v)) for r, v in enumerate(history.train)], "round int, auc double")
+
+
+@query()
+def train_ranking(spark, d):
+    rows = event_groups(spark, d).withColumns({"f0": F.col("row_id") % 17 + F.col("label"), "f1": (F.col("row_id") % 5).cast("double")})
+    p = boosting.Params("rank:ndcg", rounds=2, max_depth=2, lam=1.0, method="exact", rank=objectives.RankConfig("topk", 8))
+    model, history = boosting.train(rows, p, boosting.Columns(["f0", "f1"], group="qid"))
+    return spark.createDataFrame([(r, float(v)) for r, v in enumerate(history.train)], "round int, ndcg double")
+
+
+@query(f"WITH {OF}, x AS (SELECT tax, 0.5 - label AS grad, 0.25::DOUBLE AS hess FROM of_) SELECT round(-0.5 * sum(grad * tax) / (sum(hess * tax * tax) + 1), 6) AS w_tax, round(-0.5 * sum(grad) / sum(hess), 6) AS bias FROM x")
+def linear_round(spark, d):
+    """One round of the coordinate step of the linear booster, from a margin of zero."""
+    rows = order_features(spark, d).withColumn("margin", F.array(F.lit(0.0)))
+    p = boosting.Params("binary:logistic")
+    s = boosting.linear_sums(rows, p, boosting.Columns(["tax"]), 0)
+    return s.select(_r(-0.5 * F.col("g0") / (F.col("h0") + 1)).alias("w_tax"), _r(-0.5 * F.col("g") / F.col("h")).alias("bias"))
+
+
+@query(f"WITH {OF}, v AS (SELECT DISTINCT tax FROM of_), s AS (SELECT min(tax) AS lo, max(tax) AS hi FROM of_) SELECT k::INT AS k, round(lo + (hi - lo) * k / 8.0, 6) AS cut FROM s, range(1, 8) t(k)")
+def cut_points_equal_width(spark, d):
+    cuts = splits.cut_points(order_features(spark, d), ["tax"], 8)["tax"]
+    return spark.createDataFrame([(k + 1, round(x, 6)) for k, x in enumerate(cuts)], "k int, cut double")
+
+
+@query(f"WITH {OF}, v AS (SELECT DISTINCT lines FROM of_ WHERE NOT isnan(lines)), n AS (SELECT lines, lead(lines) OVER (ORDER BY lines) AS nx, row_number() OVER (ORDER BY lines) AS k FROM v) SELECT k::INT AS k, (lines + nx) / 2 AS cut FROM n WHERE nx IS NOT NULL")
+def cut_points_midpoints(spark, d):
+    cuts = splits.cut_points(order_features(spark, d), ["lines"], 256)["lines"]
+    return spark.createDataFrame([(k + 1, float(x)) for k, x in enumerate(cuts)], "k int, cut double")
+
+
+@query("SELECT fold, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM (SELECT o_orderkey, least((row_number() OVER (ORDER BY md5('5:' || o_orderkey::VARCHAR)) - 1) // (SELECT count(*) // 5 FROM orders), 4)::INT AS fold FROM orders) GROUP BY fold")
+def kfold_assignment(spark, d):
+    """Folds by rank of a hash; the last takes the rest. Ranks come from block counts, not one sorted task."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("User"), recsys.hash_order(F.col("o_orderkey"), 5).alias("_h"))
+    n = o.count()
+    from .functions.windows import running_sum
+
+    ranked = running_sum(o.withColumn("one", F.lit(1)), "_h", "one", "rank")
+    fold = F.least(F.floor((F.col("rank") - 1) / (n // 5)), F.lit(4)).cast("int")
+    return ranked.groupBy(fold.alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("User").alias("keys"))
+
+
+@query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY md5('9:' || o_orderkey::VARCHAR)) <= (SELECT floor(count(*) * 0.1) FROM orders)")
+def row_sample(spark, d):
+    """An exact tenth of the rows, by rank of a hash."""
+    o = _t(spark, d, "orders").select("o_orderkey", recsys.hash_order(F.col("o_orderkey"), 9).alias("_h"))
+    return o.orderBy("_h").limit(math.floor(o.count() * 0.1)).select("o_orderkey")
+
+
+# --- recommendation ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {IN} SELECT * FROM dd")
+def prep_dedupe(spark, d):
+    return recsys.dedupe_interactions(interactions(spark, d)).select("User", "Item", "Score", "Tag")
+
+
+def _split(spark, d):
+    x = recsys.dedupe_interactions(interactions(spark, d))
+    users = x.select("User").distinct()
+    return x, *recsys.split_users(x, users.where("User % 4 <> 0"), users.where("User % 4 = 0"))
+
+
+@query(f"""WITH {IN}, u AS (SELECT DISTINCT "User", CASE WHEN "User" % 4 <> 0 THEN 'train' ELSE 'test' END AS split FROM dd)
+SELECT "User", (row_number() OVER (ORDER BY split DESC, "User"::VARCHAR) - 1)::INT AS qid, split FROM u""")
+def prep_qids(spark, d):
+    _, train, test = _split(spark, d)
+    return recsys.assign_qids(train, test)
+
+
+@query(f"""WITH {IN}, a AS (SELECT * FROM dd WHERE "User" % 4 <> 0), b AS (SELECT * FROM dd WHERE "User" % 4 = 0)
+SELECT (SELECT count(DISTINCT "User") FROM a) AS train_users, (SELECT count(*) FROM a) AS train_rows, (SELECT count(DISTINCT "User") FROM b) AS test_users, (SELECT count(*) FROM b) AS test_rows,
+(SELECT count(*) FROM ca) AS catalog_size, (SELECT count(DISTINCT "Tag") FROM ca) AS tags, (SELECT count(*) FROM ia) - (SELECT count(*) FROM dd) AS dropped""")
+def prep_report(spark, d):
+    _, train, test = _split(spark, d)
+    at = recsys.prep_report(interactions(spark, d), train, test, catalog(spark, d))
+    return at.select("train_users", "train_rows", "test_users", "test_rows", "catalog_size", F.size("tag_vocab").cast("long").alias("tags"), "dropped")
+
+
+@query(f'WITH {IN} SELECT DISTINCT "Item" FROM dd WHERE "Item" NOT IN (SELECT "Item" FROM ca WHERE feat_pop >= 3.2)')
+def prep_coverage(spark, d):
+    return recsys.not_in_catalog(recsys.dedupe_interactions(interactions(spark, d)), catalog(spark, d).where("feat_pop >= 3.2"))
+
+
+_N = 40
+_RECALL = IN + f""", us AS (SELECT * FROM dd WHERE "User" % 4 <> 0), tp AS (SELECT "User", "Tag", sum("Score") AS pref FROM us GROUP BY 1, 2),
+tr AS (SELECT *, row_number() OVER (PARTITION BY "User" ORDER BY pref DESC, "Tag") AS tk FROM tp),
+al AS (SELECT "User", ca."Item", ca."Tag", feat_pop, feat_quality, 0.5 * pref + 0.3 * feat_pop + 0.2 * feat_quality AS rs, 0 AS src, tk FROM tr JOIN ca USING ("Tag")
+  UNION ALL SELECT u."User", ca."Item", ca."Tag", feat_pop, feat_quality, 0.3 * feat_pop + 0.2 * feat_quality, 1, 0 FROM (SELECT DISTINCT "User" FROM us) u, ca),
+un AS (SELECT *, row_number() OVER (PARTITION BY "User", "Item" ORDER BY src, tk) AS k FROM al),
+rc AS (SELECT *, row_number() OVER (PARTITION BY "User" ORDER BY src, tk, feat_pop DESC, "Item") AS position FROM un WHERE k = 1),
+re AS (SELECT "User", "Item", "Tag", round(rs, 6) AS recall_score, position FROM rc WHERE position <= {_N})"""
+
+
+def _recalled(spark, d):
+    _, train, _ = _split(spark, d)
+    return train, recsys.recall(train, catalog(spark, d), _N)
+
+
+@query(f"WITH {_RECALL} SELECT * FROM re")
+def recall_items(spark, d):
+    return _recalled(spark, d)[1].select("User", "Item", "Tag", _r("recall_score").alias("recall_score"), "position")
+
+
+@query('SELECT 0 AS "User", 0::BIGINT AS "rows", 0::BIGINT AS items WHERE false')
+def recall_validate(spark, d):
+    return recsys.validate_recall(_recalled(spark, d)[1], _N).withColumn("User", F.col("User").cast("int"))
+
+
+_RANK = _RECALL + """, qi AS (SELECT "User", (row_number() OVER (ORDER BY "User"::VARCHAR) - 1)::INT AS qid FROM (SELECT DISTINCT "User" FROM us)),
+ra AS (SELECT qid, "User", "Item", "Tag", recall_score, position, coalesce(s."Score", 0.0) AS label FROM re JOIN qi USING ("User") LEFT JOIN (SELECT "User", "Item", max("Score") AS "Score" FROM us GROUP BY 1, 2) s USING ("User", "Item"))"""
+
+
+def _ranking(spark, d):
+    x, train, test = _split(spark, d)
+    return train, recsys.to_ranking(recsys.recall(train, catalog(spark, d), _N), train, recsys.assign_qids(train, test))
+
+
+@query(f'WITH {_RANK} SELECT qid, "User", "Item", recall_score, label FROM ra')
+def ranking_rows(spark, d):
+    return _ranking(spark, d)[1].select("qid", "User", "Item", _r("recall_score").alias("recall_score"), "label")
+
+
+_DEAL = _RANK + """, sc AS (SELECT "User", "Item", "Tag", round((("Item" * 7919 + "User" * 31) % 1009) / 100.0, 4)::DOUBLE AS "Score" FROM ra),
+rx AS (SELECT DISTINCT "User", "Item" FROM us WHERE "Item" % 3 = 0),
+fr AS (SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM rx WHERE rx."User" = sc."User" AND rx."Item" = sc."Item")),
+a1 AS (SELECT *, row_number() OVER (PARTITION BY "User" ORDER BY "Score" DESC, "Item") AS r, row_number() OVER (PARTITION BY "User", "Tag" ORDER BY "Score" DESC, "Item") <= 2 AS ok FROM fr),
+a2 AS (SELECT *, sum(ok::INT) OVER (PARTITION BY "User" ORDER BY r) AS upto, sum(ok::INT) OVER (PARTITION BY "User") AS acc, min(CASE WHEN NOT ok THEN r END) OVER (PARTITION BY "User") AS spare FROM a1),
+dk AS (SELECT "User", "Item", "Tag", "Score", (CASE WHEN ok THEN upto ELSE acc + 1 END)::INT AS rank FROM a2 WHERE (ok AND upto <= 10) OR (acc < 10 AND NOT ok AND r = spare))"""
+
+
+def _dealt(spark, d):
+    train, rows = _ranking(spark, d)
+    scored = rows.select("User", "Item", "Tag", F.round((F.col("Item") * 7919 + F.col("User") * 31) % 1009 / 100.0, 4).alias("Score"))
+    recent = train.where("Item % 3 = 0")
+    return recent, recsys.deal(scored, recent, 10, 2)
+
+
+@query(f"WITH {_DEAL} SELECT * FROM dk")
+def deal_decks(spark, d):
+    return _dealt(spark, d)[1][0]
+
+
+@query(f"""WITH {_DEAL}, c AS (SELECT "User", count(*) AS input_candidates FROM sc GROUP BY 1), g AS (SELECT "User", count(*) AS after_dedup, sum((NOT ok AND upto < 10)::INT)::BIGINT AS dropped_tag FROM a2 GROUP BY 1), k AS (SELECT "User", count(*) AS n, max((rank > acc)::INT) AS ov FROM dk JOIN (SELECT DISTINCT "User", acc FROM a2) USING ("User") GROUP BY 1)
+SELECT c."User", input_candidates, coalesce(after_dedup, 0) AS after_dedup, coalesce(n, 0) AS after_tag_filter, input_candidates - coalesce(after_dedup, 0) AS dropped_recent, coalesce(dropped_tag, 0) AS dropped_tag, coalesce(ov, 0) = 1 AS overflow FROM c LEFT JOIN g USING ("User") LEFT JOIN k USING ("User")""")
+def deal_log(spark, d):
+    return _dealt(spark, d)[1][1]
+
+
+@query("SELECT 0 AS \"User\", '' AS problem WHERE false")
+def deal_validate(spark, d):
+    recent, (decks, _) = _dealt(spark, d)
+    return recsys.validate_deal(decks, recent, 10, 2).withColumn("User", F.col("User").cast("int"))
+
+
+@query(f'WITH {_RANK} SELECT "User", "Item", recall_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY "User" ORDER BY recall_score DESC, "Item")::INT AS rank FROM re) WHERE rank <= 5')
+def recommend_top_k(spark, d):
+    rows = _recalled(spark, d)[1].withColumn("recall_score", _r("recall_score"))
+    return recsys.top_k(rows, "User", "recall_score", "Item", 5).select("User", "Item", "recall_score", "rank")
+
+
+@query(f"""WITH {IN}, act AS (SELECT "User" FROM ia GROUP BY 1 HAVING count(*) >= 12) SELECT "User", "Item", feat_pop, feat_quality, max("Score") AS label FROM ia JOIN act USING ("User") JOIN ca USING ("Item") GROUP BY ALL""")
+def item_features(spark, d):
+    x = interactions(spark, d)
+    at = x.join(recsys.active_users(x), "User").join(catalog(spark, d).drop("Tag"), "Item")
+    return at.groupBy("User", "Item", "feat_pop", "feat_quality").agg(F.max("Score").alias("label"))
+
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_value(spark, sf_dir)
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return dict(Q)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(S)
