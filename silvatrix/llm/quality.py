@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, m
         return None
     chosen = known.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < max(1, min(1 << 20, (max_rows << 20) // n)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    got = texts.join(chosen, "doc_id").select("text", "quality").mapInArrow(_bag_batches, "features array<float>, quality int").toArrow()
+    # The sample is bounded by the parameters, so its ids are too: no text is shuffled for it.
+    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(_bag_batches, "features array<float>, quality int").toArrow()
     rows = sorted(zip(got.column("quality").to_pylist(), got.column("features").to_pylist()))  # whatever order rows came in
     y = np.array([r[0] for r in rows], float)
     if not 0 < y.sum() < len(y):
