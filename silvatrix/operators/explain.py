@@ -37,19 +37,39 @@ def expected_value(m: Forest) -> list[float]:
     return forest_margins(m, np.zeros((1, m.n_features)))[0].tolist()
 
 
+def _shares(t: Tree, cover: str) -> list[tuple[float, float]]:
+    """For each node the share of its weight that goes left and right.
+
+    ``sums``: by the children's hessian sums. ``unit``: an inner node weighs its
+    own hessian sum and a leaf weighs one, as models without statistics of
+    their leaves have it; shares then need not add up to one.
+    """
+    if cover == "sums":
+        both = [(t.child_cover(a), t.child_cover(b)) for a, b in zip(t.left, t.right)]
+        return [(a / (a + b), b / (a + b)) if a + b else (0.5, 0.5) for a, b in both]
+
+    def weight(c: int) -> float:
+        if c < 0:
+            return 1.0
+        return t.cover[c] if t.cover[c] > 0 else weight(t.left[c]) + weight(t.right[c])
+
+    return [(weight(a) / weight(j), weight(b) / weight(j)) for j, (a, b) in enumerate(zip(t.left, t.right))]
+
+
 class _Leaves:
     """A tree's leaves as (value, [(feature, share, [(node, goes left)])])."""
 
-    def __init__(self, t: Tree):
+    def __init__(self, t: Tree, cover: str = "sums"):
+        shares = _shares(t, cover)
         self.walk = _Compiled(t)
         self.root = t.feature[0] if t.nodes else -1
         self.paths = []
         todo = [(0, [])] if t.nodes else []
         while todo:
             node, path = todo.pop()
-            left, right = t.child_cover(t.left[node]), t.child_cover(t.right[node])
-            for child, cover, is_left in ((t.left[node], left, True), (t.right[node], right, False)):
-                step = [*path, (t.feature[node], cover / (left + right) if left + right else 0.5, node, is_left)]
+            left, right = shares[node]
+            for child, share, is_left in ((t.left[node], left, True), (t.right[node], right, False)):
+                step = [*path, (t.feature[node], share, node, is_left)]
                 if child >= 0:
                     todo.append((child, step))
                     continue
@@ -105,9 +125,9 @@ def _tree_shapley(leaves: _Leaves, x: np.ndarray, phi: np.ndarray, inter: np.nda
                 inter[:, :, g, f] += add
 
 
-def shapley(m: Forest, x: np.ndarray, interactions: bool = False, compiled: list[_Leaves] | None = None):
+def shapley(m: Forest, x: np.ndarray, interactions: bool = False, compiled: list[_Leaves] | None = None, cover: str = "sums"):
     """(rows, outputs, features) values, or with ``interactions`` (rows, outputs, features, features)."""
-    compiled = compiled or [_Leaves(t) for t in m.trees]
+    compiled = compiled or [_Leaves(t, cover) for t in m.trees]
     phi = np.zeros((len(x), m.n_outputs, m.n_features))
     pairs = np.zeros((len(x), m.n_outputs, m.n_features, m.n_features)) if interactions else None
     zero = np.zeros((1, m.n_features))
@@ -163,7 +183,7 @@ def path_shares(m: Forest, x: np.ndarray) -> np.ndarray:
     return phi
 
 
-def explain_column(m: Forest | Linear, features: list[str], output: str) -> Column:
+def explain_column(m: Forest | Linear, features: list[str], output: str, cover: str = "sums") -> Column:
     """contrib and approx_contrib: [feature..., bias]; interaction: [feature][feature].
 
     A model of several outputs gives an array of these, one for each.
@@ -181,7 +201,7 @@ def explain_column(m: Forest | Linear, features: list[str], output: str) -> Colu
         kind = f"array<{kind}>"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        compiled = [_Leaves(t) for t in m.trees] if output != "approx_contrib" else None
+        compiled = [_Leaves(t, cover) for t in m.trees] if output != "approx_contrib" else None
         for part in parts:
             x = matrix([part[c] for c in part])
             if output == "interaction":
