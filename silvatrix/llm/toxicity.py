@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, m
     near = lambda rows, most: F.pmod(F.xxhash64(F.lit(99), "doc_id"), F.lit(1 << 20)) < max(1, min(1 << 20, (most << 20) // max(1, rows)))
     chosen = known.where(F.when(F.col("toxic") == 1, near(toxic, max_positives)).otherwise(near(n - toxic, max_unlabelled)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    got = texts.join(chosen, "doc_id").select("text", "toxic").mapInArrow(_index_batches, "features array<int>, toxic int").toArrow()
+    # The sample is bounded by the parameters, so its ids are too: no text is shuffled for it.
+    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(_index_batches, "features array<int>, toxic int").toArrow()
     flat = got.column("features").combine_chunks()
     ends, values = np.asarray(flat.offsets), np.asarray(flat.values) if len(flat) else np.empty(0, np.int32)
     rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
