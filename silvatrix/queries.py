@@ -404,7 +404,7 @@ def _gradient(objective, label, margin, g, h):
 
 
 _sig = "(1 / (1 + exp(-p)))"
-_gradient("reg:squarederror", "price", "score", "score - price", "1.0")
+_gradient("reg:squarederror", "price", "score", "score - price", "1.0::DOUBLE")
 _gradient("binary:logistic", "label", "p", f"{_sig} - label", f"greatest({_sig} * (1 - {_sig}), 1e-16)")
 _gradient("reg:gamma", "price", "p", "1 - CASE WHEN price > 0 THEN price ELSE 1e-16 END / exp(p)", "greatest(CASE WHEN price > 0 THEN price ELSE 1e-16 END / exp(p), 1e-16)")
 _gradient("count:poisson", "price", "p", "exp(p) - price", "greatest(exp(p), 1e-16)")
@@ -491,7 +491,7 @@ def training_rows(spark, d):
 
 _CUTS = {"tax": [5.5, 11.5, 17.5, 23.5], "quantity": [30.0, 60.0, 90.0, 120.0, 150.0]}
 _BINS = {f: splits.bin_sql(f, c) for f, c in _CUTS.items()}
-_HIST = f"{_TRAIN}, hi AS (" + " UNION ALL ".join(f"SELECT node, {i} AS feature, CASE WHEN isnan({f}) THEN {len(_CUTS[f])} ELSE {b} END AS pos, sum(grad) AS g, sum(hess) AS h, count(*) AS n FROM tr GROUP BY ALL" for i, (f, b) in enumerate(_BINS.items())) + ")"
+_HIST = f"{_TRAIN}, hi AS (" + " UNION ALL ".join(f"SELECT node, {i} AS feature, CASE WHEN isnan({f}) THEN {len(_CUTS[f])} ELSE {b} END::INT AS pos, sum(grad) AS g, sum(hess) AS h, count(*) AS n FROM tr GROUP BY ALL" for i, (f, b) in enumerate(_BINS.items())) + ")"
 
 
 @query(f"WITH {_HIST} SELECT node, feature, pos, round(g, 6) AS g, round(h, 6) AS h, n FROM hi")
@@ -507,7 +507,7 @@ be AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, featur
 SELECT node, feature, round(threshold, 6) AS threshold, round(gain, 5) AS gain FROM be WHERE k = 1 AND gain > 0"""
 
 
-_ENDS = " ".join(f"WHEN feature = {i} THEN [{', '.join(map(str, c))}][pos + 1]" for i, c in enumerate(_CUTS.values()))
+_ENDS = " ".join(f"WHEN feature = {i} THEN ([{', '.join(map(str, c))}]::DOUBLE[])[pos + 1]" for i, c in enumerate(_CUTS.values()))
 
 
 @query(f"WITH {_HIST}, hc AS (SELECT *, CASE {_ENDS} END AS threshold FROM hi), {_best('hc', 1.0)}")
@@ -661,7 +661,7 @@ al AS (SELECT "User", ca."Item", ca."Tag", feat_pop, feat_quality, 0.5 * pref +
   UNION ALL SELECT u."User", ca."Item", ca."Tag", feat_pop, feat_quality, 0.3 * feat_pop + 0.2 * feat_quality, 1, 0 FROM (SELECT DISTINCT "User" FROM us) u, ca),
 un AS (SELECT *, row_number() OVER (PARTITION BY "User", "Item" ORDER BY src, tk) AS k FROM al),
 rc AS (SELECT *, row_number() OVER (PARTITION BY "User" ORDER BY src, tk, feat_pop DESC, "Item") AS position FROM un WHERE k = 1),
-re AS (SELECT "User", "Item", "Tag", round(rs, 6) AS recall_score, position FROM rc WHERE position <= {_N})"""
+re AS (SELECT "User", "Item", "Tag", round(rs, 6) AS recall_score, position::INT AS position FROM rc WHERE position <= {_N})"""
 
 
 def _recalled(spark, d):
