@@ -37,11 +37,12 @@ def assign_qids(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def prep_report(raw: DataFrame, train: DataFrame, test: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row of counts; ``dropped`` is how many rows deduplication removed of those split."""
-    counts = lambda df, n: df.agg(F.countDistinct("User").alias(f"{n}_users"), F.count(F.lit(1)).alias(f"{n}_rows"))
-    of_catalog = catalog.agg(F.count(F.lit(1)).alias("catalog_size"), F.sort_array(F.collect_set("Tag")).alias("tag_vocab"))
-    of_raw = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
-    one = counts(train, "train").join(counts(test, "test")).join(of_catalog).join(of_raw)  # each is a single row
-    return one.withColumn("dropped", F.col("raw_rows") - F.col("train_rows") - F.col("test_rows")).drop("raw_rows")
+    part = lambda df, name, user=True: df.select(F.lit(name).alias("p"), (F.col("User") if user else F.lit(None)).cast("string").alias("u"), (F.lit(None) if user else F.col("Tag")).cast("string").alias("t"))
+    rows = part(raw, "raw").unionByName(part(train, "train")).unionByName(part(test, "test")).unionByName(part(catalog, "catalog", False))
+    of = lambda name, x: F.when(F.col("p") == name, x)
+    counts = [x for n in ("train", "test") for x in (F.countDistinct(of(n, F.col("u"))).alias(f"{n}_users"), F.count(of(n, F.lit(1))).alias(f"{n}_rows"))]
+    out = rows.agg(*counts, F.count(of("catalog", F.lit(1))).alias("catalog_size"), F.sort_array(F.collect_set("t")).alias("tag_vocab"), F.count(of("raw", F.lit(1))).alias("raw_rows"))
+    return out.withColumn("dropped", F.col("raw_rows") - F.col("train_rows") - F.col("test_rows")).drop("raw_rows")
 
 
 def not_in_catalog(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
