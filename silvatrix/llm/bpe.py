@@ -32,26 +32,29 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Chunks that a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 _TIGHT = re.compile(r"[^\S \n]|\s\s|^\s|\s\Z")
 
 
 class MergeTable:
     """Ranks of tokens, and for each pair of tokens that merges the rank of the result.
 
-    A pair is keyed by ``left << 20 | right``.
+    ``pairs[left]`` gives the rank by the right token.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
+        none: dict[int, int] = {}
+        self.pairs = [none] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left = ranks.get(token[:cut])
                 if left is not None and (right := ranks.get(token[cut:])) is not None:
-                    self.pairs[left << 20 | right] = rank
+                    if self.pairs[left] is none:
+                        self.pairs[left] = {}
+                    self.pairs[left][right] = rank
 
     @classmethod
     def load(cls, path: str) -> MergeTable:
@@ -63,7 +66,7 @@ def merge_one(table: MergeTable, word: bytes) -> list[int]:
     """The ids of one word, merging the lowest rank first; what the replay amounts to."""
     ids = [table.of_byte[b] for b in word]
     while len(ids) > 1:
-        best = min(((r, i) for i in range(len(ids) - 1) if (r := table.pairs.get(ids[i] << 20 | ids[i + 1])) is not None), default=None)
+        best = min(((r, i) for i in range(len(ids) - 1) if (r := table.pairs[ids[i]].get(ids[i + 1])) is not None), default=None)
         if best is None:
             break
         ids[best[1] : best[1] + 2] = [best[0]]
@@ -76,7 +79,7 @@ def replay_merges(table: MergeTable, words: list[bytes]) -> list[list[int]]:
     Words lie one after another with a fence (-1) behind each, which no merge
     crosses; a position that was merged away holds -2.
     """
-    get, of_byte = table.pairs.get, table.of_byte
+    pairs, of_byte = table.pairs, table.of_byte
     ids: list[int] = [-1]
     begins: list[int] = []
     for w in words:
@@ -86,7 +89,7 @@ def replay_merges(table: MergeTable, words: list[bytes]) -> list[list[int]]:
     after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
     index: dict[int, list[int]] = {}
     for i, (a, b) in enumerate(zip(ids, ids[1:])):
-        if a >= 0 and (r := get(a << 20 | b)) is not None:
+        if a >= 0 and (r := pairs[a].get(b)) is not None:
             if r in index:
                 index[r].append(i)
             else:
@@ -98,13 +101,13 @@ def replay_merges(table: MergeTable, words: list[bytes]) -> list[list[int]]:
         rank = heapq.heappop(heap)
         for i in sorted(index.pop(rank)):
             j = after[i]
-            if ids[i] < 0 or get(ids[i] << 20 | ids[j]) != rank:
+            if ids[i] < 0 or pairs[ids[i]].get(ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -2
             k = after[i] = after[j]
             before[k] = i
             right = ids[k]
-            if right >= 0 and (r := get(rank << 20 | right)) is not None:
+            if right >= 0 and (r := pairs[rank].get(right)) is not None:
                 if r in index:
                     index[r].append(i)
                 else:
@@ -114,7 +117,7 @@ def replay_merges(table: MergeTable, words: list[bytes]) -> list[list[int]]:
                     odd.append(i)
             p = before[i]
             left = ids[p]
-            if left >= 0 and (r := get(left << 20 | rank)) is not None:
+            if left >= 0 and (r := pairs[left].get(rank)) is not None:
                 if r in index:
                     index[r].append(p)
                 else:
@@ -139,19 +142,23 @@ class ByteTokenizer:
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.bytes_of = self.table.bytes_of
+        self.digits = {r: str(r) for r in self.bytes_of}
 
     def _chunks(self, text: str) -> list[str]:
         """Chunks that the pattern cuts as it would cut them in the text.
 
         With single spaces and line ends between words only, each chunk is a
         word with the space or line end before it; else the text is one chunk.
+        The space is left off; a chunk without one before it, but not a line
+        end, is marked by ``\\r``, which no such text contains.
         """
         if not text:
             return []
         if _TIGHT.search(text):
-            return [text]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[w if w[0] == "\n" else " " + w for w in rest]]
+            return ["\r" + text]
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = "\r" + words[0]
+        return words
 
     def _learn(self, chunks) -> dict[str, bytes]:
         """Ids of chunks that aren't remembered."""
@@ -160,7 +167,7 @@ class ByteTokenizer:
             if (v := self.old.get(c)) is not None:
                 known[c] = v
             else:
-                new.append((c, self.find(c)))
+                new.append((c, self.find(c[1:] if c[0] == "\r" else c if c[0] == "\n" else " " + c)))
         words = self.words
         if len(words) > REMEMBERED:
             words = self.words = {}
@@ -201,7 +208,7 @@ def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
-def _portions(texts: list[str], size: int = 1 << 20):
+def _portions(texts: list[str], size: int = 2 << 20):
     begin, total = 0, 0
     for i, t in enumerate(texts):
         total += len(t)
@@ -235,7 +242,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
                 rows = []
                 for ids in tok.encode_batch(texts):
                     ids = ids.tolist()
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids)).hexdigest()))
+                    rows.append((len(ids), hashlib.sha256(" ".join(map(tok.digits.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids)).hexdigest()))
                 n, a, b = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
