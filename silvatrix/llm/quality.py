@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_or_empty
+from .common import row_key, text_or_empty
 from .features import sigmoid, spread
 from .toxicity import fold
 
@@ -148,6 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, m
     return AttentionModel(len(FEATURES)).fit([np.array(r[1]).reshape(-1, len(FEATURES)) for r in rows], y)
 
 
+def _scores(model: AttentionModel, texts: list) -> np.ndarray:
+    bags = [bag(t or "") for t in texts]
+    begins = np.cumsum([0, *(len(b) for b in bags[:-1])])
+    return model.score(np.array([p for b in bags for p in b], np.float32).astype(float), begins)
+
+
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, row_key, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))  # a few hundred numbers
@@ -157,9 +163,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                bags = [bag(t) for t in part.column("text").to_pylist()]
-                begins = np.cumsum([0, *(len(b) for b in bags[:-1])])
-                scores = np.ones(len(bags)) if model is None else model.score(np.array([p for b in bags for p in b], np.float32).astype(float), begins)
+                texts = part.column("text").to_pylist()
+                scores = np.ones(len(texts)) if model is None else _scores(model, texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), part.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "row_key", "held_out", "score"])
 
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), (fold("doc_id", folds) == held_out).alias("held_out"), text_or_empty().alias("text"))
@@ -167,7 +172,18 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; columns unchanged."""
-    rejected = score(docs, labels).where("predicted = 0").select(F.col("row_key").alias("_sv_key")).distinct()
-    return docs.withColumn("_sv_key", row_key()).join(materialize(rejected, "rejected"), "_sv_key", "left_anti").drop("_sv_key")
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; columns unchanged.
+
+    Rows are scored and filtered where they are read, so no text is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield part if model is None else part.filter(pa.array(_scores(model, part.column("text").to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
