@@ -42,9 +42,9 @@ def _filter_blocks(rows: int, max_filter_bytes: int) -> int:
     return blocks
 
 
-def _slots(blocks: int) -> dict[str, Column]:
+def _slots(blocks: int, hash_col: str = "h") -> dict[str, Column]:
     """Block and two positions in it, from separate bits of the row's hash."""
-    h = F.col("h")
+    h = F.col(hash_col)
     return {
         "block": F.pmod(h, F.lit(blocks)).cast("long"),
         "bit1": F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(BLOCK_BITS - 1)),
@@ -66,9 +66,15 @@ def repeated_slots(rows: DataFrame, blocks: int) -> DataFrame:
     return twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 8 << 20) -> DataFrame:
-    """Per row: doc_id, row_key, keep_id, group_size, kept, text_sha256 (binary)."""
-    rows = materialize(
+def _maybe(rows: DataFrame, blocks: int, bitmaps: DataFrame, hash_col: str = "h") -> DataFrame:
+    """``rows`` with _sv_maybe: whether the filter says that their hash may be repeated."""
+    probed = rows.withColumns({f"_sv_{k}": c for k, c in _slots(blocks, hash_col).items()}).join(F.broadcast(bitmaps.select(F.col("block").alias("_sv_block"), F.col("bitmap").alias("_sv_bitmap"))), "_sv_block", "left")
+    both = _is_set(F.col("_sv_bitmap"), F.col("_sv_bit1")) & _is_set(F.col("_sv_bitmap"), F.col("_sv_bit2"))
+    return probed.withColumn("_sv_maybe", F.coalesce(both, F.lit(False))).drop("_sv_block", "_sv_bit1", "_sv_bit2", "_sv_bitmap")
+
+
+def _hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return materialize(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             row_key(id_col, text_col).alias("row_key"),
@@ -76,23 +82,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ).select("*", F.monotonically_increasing_id().alias("rid"), F.xxhash64("sha").alias("h")),
         "exact-hashes",
     )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 8 << 20) -> DataFrame:
+    """Per row: doc_id, row_key, keep_id, group_size, kept, text_sha256 (binary)."""
+    rows = _hashes(docs, id_col, text_col)
     blocks = _filter_blocks(rows.count(), max_filter_bytes)
+    return _verdicts(rows, blocks, repeated_slots(rows, blocks) if blocks else None)
+
+
+def _verdicts(rows: DataFrame, blocks: int, bitmaps: DataFrame | None) -> DataFrame:
     alone = lambda df: df.select(
         "doc_id", "row_key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
-    if not blocks:
+    if bitmaps is None:
         candidates, passed = rows, None
     else:
-        probed = rows.withColumns(_slots(blocks)).join(F.broadcast(repeated_slots(rows, blocks)), "block", "left")
-        probed = probed.withColumn("maybe", F.coalesce(_is_set(F.col("bitmap"), F.col("bit1")) & _is_set(F.col("bitmap"), F.col("bit2")), F.lit(False)))
+        probed = _maybe(rows, blocks, bitmaps)
         keep = ["doc_id", "row_key", "sha", "rid"]
-        candidates, passed = probed.where("maybe").select(keep), alone(probed.where("not maybe"))
+        candidates, passed = probed.where("_sv_maybe").select(keep), alone(probed.where("not _sv_maybe"))
     # The group table is combined before its shuffle: a group of any size costs one row a task.
     groups = candidates.groupBy("sha").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"),
     )
-    judged = candidates.join(groups, "sha").select(
+    # As a table of its own, the group side lets the join split a hot group.
+    judged = candidates.join(materialize(groups, "exact-groups"), "sha").select(
         "doc_id",
         "row_key",
         F.col("first.doc_id").alias("keep_id"),
@@ -103,14 +118,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return judged if passed is None else passed.unionByName(judged)
 
 
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat an earlier text; columns unchanged."""
-    verdicts = materialize(exact_dedup(docs, id_col, text_col).where("group_size > 1").select("row_key", "kept"), "exact-verdicts")
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` without the rows that repeat an earlier text; columns unchanged.
+
+    The filter holds for the rows themselves too: those that can't be repeated
+    pass straight through, and only the rest meet the verdicts in a join.
+    """
+    rows = _hashes(docs, id_col, text_col)
+    blocks = _filter_blocks(rows.count(), max_filter_bytes)
+    bitmaps = materialize(repeated_slots(rows, blocks), "exact-filter") if blocks else None
+    verdicts = materialize(_verdicts(rows, blocks, bitmaps).where("group_size > 1").select("row_key", "kept"), "exact-verdicts")
     by_key = verdicts.groupBy("row_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     losers = by_key.where("not kept").select(F.col("row_key").alias("_sv_key"))
     repeated = by_key.where("kept and n > 1").select(F.col("row_key").alias("_sv_key"))
-    keyed = docs.withColumn("_sv_key", row_key(id_col, text_col))
+    keyed, passed = docs, None
+    if bitmaps is not None:
+        hashed = _maybe(docs.withColumn("_sv_h", F.xxhash64(F.unhex(F.sha2(normalised(text_col), 256)))), blocks, bitmaps, "_sv_h").drop("_sv_h")
+        passed, keyed = hashed.where("not _sv_maybe").select(docs.columns), hashed.where("_sv_maybe").select(docs.columns)
+    keyed = keyed.withColumn("_sv_key", row_key(id_col, text_col))
     kept = keyed.join(losers, "_sv_key", "left_anti")
     if repeated.take(1):  # the row that stays is there several times, identical in id and text
         kept = kept.join(repeated, "_sv_key", "left_anti").unionByName(kept.join(repeated, "_sv_key", "left_semi").dropDuplicates(["_sv_key"]))
-    return kept.drop("_sv_key")
+    kept = kept.drop("_sv_key")
+    return kept if passed is None else passed.unionByName(kept)
