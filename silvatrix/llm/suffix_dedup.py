@@ -43,9 +43,11 @@ from .common import materialize, row_key, text_or_empty
 from .suffix_sort import deep_shallow_sort
 
 #: Starts of windows that are hashed at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Different contexts that a bucket may have to be sorted by one task.
 LARGE = 8192
+#: Rows that are Python objects at a time.
+SLICE = 256
 _REACH = 12  # bits of a context's reach before and after its anchor
 
 
@@ -122,9 +124,15 @@ def _segments(texts: list[bytes], length: int):
         yield portion
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _anchor_batches(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             keys = batch.column("row_key")
             for portion in _segments(texts, length):
@@ -137,9 +145,14 @@ def _anchor_batches(length: int):
                 begin = np.array([x[1] for x in portion], np.int64) - offsets
                 place = ((at + begin[doc]) << (2 * _REACH)) | ((at - lo) << _REACH) | (hi + length - at)
                 source = np.array([x[0] for x in portion], np.int64)[doc]
+                ctx = np.array(ctx, np.uint64)
+                # Periodic text repeats a context at every period; such a run is one row.
+                same = (ctx[1:] == ctx[:-1]) & (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (lo[1:] <= hi[:-1] + length)
+                first = np.flatnonzero(np.r_[True, ~same]) if len(ctx) else np.empty(0, np.int64)
+                last = np.r_[first[1:], len(ctx)] - 1 if len(ctx) else first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.array(ctx, np.uint64).view(np.int64)), keys.take(pa.array(source)), pa.array(place)],
-                    ["h", "ctx", "row_key", "place"],
+                    [pa.array(h[first].view(np.int64)), pa.array(ctx[first].view(np.int64)), keys.take(pa.array(source[first])), pa.array(place[first]), pa.array(at[last] - at[first]), pa.array(last - first + 1)],
+                    ["h", "ctx", "row_key", "place", "extra", "n"],
                 )
 
     return run
@@ -149,7 +162,7 @@ def _context_batches(length: int):
     """Texts with the places wanted of them, to contexts; large buckets give window hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = {"h": [], "ctx": [], "before": [], "after": [], "window": [], "r": [], "n": []}
             size = 0
             for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
@@ -279,16 +292,22 @@ def _sort_batches(length: int):
     return run
 
 
+def _merged(found: list[dict] | None) -> list[dict]:
+    """Spans joined where they touch, in order."""
+    runs: list[dict] = []
+    for x in sorted(found or (), key=lambda x: x["b"]):
+        if runs and x["b"] <= runs[-1]["e"]:
+            runs[-1]["e"] = max(runs[-1]["e"], x["e"])
+        else:
+            runs.append({"b": x["b"], "e": x["e"]})
+    return runs
+
+
 def _removal_batches(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         kept, spans = [], []
         for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist()):
-            text, runs = text or b"", []
-            for x in sorted(found or (), key=lambda x: x["b"]):
-                if runs and x["b"] <= runs[-1]["e"]:
-                    runs[-1]["e"] = max(runs[-1]["e"], x["e"])
-                else:
-                    runs.append({"b": x["b"], "e": x["e"]})
+            text, runs = text or b"", _merged(found)
             edges = [0, *(v for x in runs for v in (x["b"], x["e"])), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
             spans.append(runs)
@@ -298,14 +317,20 @@ def _removal_batches(batches):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, large: int = LARGE) -> DataFrame:
     """Per row: doc_id, row_key, spans (array of b, e: byte offsets removed), kept (binary)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text_or_empty(text_col).alias("text"))
+    found = found_spans(texts.select("row_key", "text"), length, large)
+    return texts.join(found, "row_key", "left").select("doc_id", "row_key", "text", "found").mapInArrow(_removal_batches, "doc_id long, row_key binary, spans array<struct<b:long,e:long>>, kept binary")
+
+
+def found_spans(keyed: DataFrame, length: int = 400, large: int = LARGE) -> DataFrame:
+    """(row_key, found): spans of texts (row_key, text) to remove, not merged yet; rows without any are left out."""
     if not 2 <= length < 1 << (_REACH - 1):
         raise ValueError("length has to be from 2 to 2047")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text_or_empty(text_col).alias("text"))
-    keyed = texts.select("row_key", "text")
-    met = materialize(keyed.where(F.octet_length("text") >= length).mapInArrow(_anchor_batches(length), "h long, ctx long, row_key binary, place long"), "anchors")
-    buckets = met.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
-    met = materialize(met.join(buckets, "h"), "anchors-met")
-    kinds = materialize(met.groupBy("h", "ctx", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "place")).alias("rep")), "contexts")
+    met = materialize(keyed.where(F.octet_length("text") >= length).mapInArrow(_anchor_batches(length), "h long, ctx long, row_key binary, place long, extra long, n long"), "anchors")
+    # A table of its own, not an aggregate below the join: then a gram that fills a partition can be split there.
+    buckets = met.groupBy("h").agg(F.sum("n").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    met = materialize(met.join(materialize(buckets, "buckets"), "h"), "anchors-met")
+    kinds = materialize(met.groupBy("h", "ctx", "mixed").agg(F.sum("n").alias("n"), F.min(F.struct("row_key", "place")).alias("rep")), "contexts")
 
     mixed = kinds.where("mixed")
     sizes = mixed.groupBy("h").agg((F.count(F.lit(1)) > large).alias("large"))
@@ -323,18 +348,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = F.shiftright("place", 2 * _REACH)
     copies = kinds.where("n > 1").select("h", "ctx", F.lit(reach_mask).alias("reach_l"), F.lit(reach_mask).alias("reach_r"))
     covered = materialize(sorted_ones.unionByName(counted).unionByName(copies).groupBy("h", "ctx").agg(F.max("reach_l").alias("reach_l"), F.max("reach_r").alias("reach_r")), "covered")
-    found = met.join(covered, ["h", "ctx"]).select("row_key", (at - F.least(before, F.col("reach_l"))).alias("b"), (at + F.least(after, F.col("reach_r"))).alias("e"))
-    by_row = found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("b", "e")).alias("found"))
-    return texts.join(by_row, "row_key", "left").select("doc_id", "row_key", "text", "found").mapInArrow(_removal_batches, "doc_id long, row_key binary, spans array<struct<b:long,e:long>>, kept binary")
+    found = met.join(covered, ["h", "ctx"]).select("row_key", (at - F.least(before, F.col("reach_l"))).alias("b"), (at + F.least(after, F.col("reach_r")) + F.col("extra")).alias("e"))
+    return found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("b", "e")).alias("found"))
 
 
 def _whole_characters(batches):
     """Spans shrunk to whole characters, so what stays is text again."""
-    for batch in batches:
+    for batch in _slices(batches):
         texts, out = batch.column("text").cast(pa.binary()).to_pylist(), []
         for text, spans in zip(texts, batch.column("_sv_spans").to_pylist()):
             parts, at = [], 0
-            for x in spans or ():
+            for x in _merged(spans):
                 b, e = x["b"], x["e"]
                 while b < e and text[b] & 0xC0 == 0x80:
                     b += 1
@@ -352,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     A cut is shrunk to whole characters. Rows whose text is cut empty stay.
     """
-    spans = repeated_spans(docs, length=length).where(F.size("spans") > 0).select(F.col("row_key").alias("_sv_key"), F.col("spans").alias("_sv_spans")).dropDuplicates(["_sv_key"])
-    spans = materialize(spans, "cut-spans")
-    keyed = docs.withColumn("_sv_key", row_key()).join(spans, "_sv_key", "left")
-    return keyed.select(*docs.columns, "_sv_spans").mapInArrow(_whole_characters, docs.schema)
+    keyed = docs.withColumn("_sv_key", row_key())
+    found = found_spans(keyed.select(F.col("_sv_key").alias("row_key"), text_or_empty().alias("text")), length)
+    found = found.select(F.col("row_key").alias("_sv_key"), F.col("found").alias("_sv_spans"))
+    return keyed.join(found, "_sv_key", "left").select(*docs.columns, "_sv_spans").mapInArrow(_whole_characters, docs.schema)
