@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives. The unlabelled set is a draw of all
-training texts, the confirmed ones included, whatever a label says of them;
-nothing is taken to be clean because nobody called it toxic. With the class
+Confirmed toxic texts are the positives. The unlabelled set is a draw, at one
+rate, of all labelled training texts, the confirmed ones included, whatever the
+label says of them; nothing is taken to be clean because nobody called it
+toxic. With the class
 prior ``pi`` the risk of calling unlabelled
 text toxic is estimated as
 
@@ -15,8 +16,9 @@ stops there and takes a step against it instead (Kiryo et al., 2017).
 The classifier is linear over the presence of hashed words and word beginnings,
 each weighed by how much likelier it is in positives than elsewhere, trained
 with numpy on the driver. It learns from a bounded sample
-(``max_positives``, ``max_unlabelled`` rows, chosen by hash), of which only the
-feature indices reach the driver. All texts are scored whole, on the executors.
+(about ``max_positives`` and ``max_unlabelled`` rows, chosen by hash, each set at
+a rate of its own), of which only the feature indices reach the driver. A
+positive beyond the unlabelled draw is used as a positive alone. All texts are scored whole, on the executors.
 
 The class prior is the share of confirmed toxic texts among the labelled
 training rows, counted over all of them.
@@ -57,11 +59,11 @@ def _index_batches(batches):
     words = HashedWords(BITS, _parts)
     for batch in batches:
         rows = [np.fromiter(words(WORD.findall(t.lower())), np.int32) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([np.sort(r) for r in rows], pa.list_(pa.int32())), batch.column("toxic")], ["features", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.sort(r) for r in rows], pa.list_(pa.int32())), batch.column("positive"), batch.column("drawn")], ["features", "positive", "drawn"])
 
 
-def evidence(rows: list[np.ndarray], positive: np.ndarray, bits: int = BITS, prior_count: float = 10.0) -> np.ndarray:
-    """How much more often each feature is in positives than in all rows, as a log ratio.
+def evidence(rows: list[np.ndarray], positive: np.ndarray, bits: int = BITS, prior_count: float = 10.0, drawn: np.ndarray | None = None) -> np.ndarray:
+    """How much more often each feature is in positives than in the unlabelled draw, as a log ratio.
 
     Counts of ``prior_count`` are added, so rare features say little. Only
     features that speak for toxicity count; small ratios are cut to nothing,
@@ -69,24 +71,26 @@ def evidence(rows: list[np.ndarray], positive: np.ndarray, bits: int = BITS, pri
     """
     size = 1 << bits
     count = lambda which: np.bincount(np.concatenate([np.empty(0, np.int32), *[rows[i] for i in np.flatnonzero(which)]]), minlength=size)
-    in_pos, in_all = count(positive), count(np.ones(len(rows), bool))
-    ratio = np.log((in_pos + prior_count) / (in_all * (positive.sum() / max(1, len(rows))) + prior_count))
+    drawn = np.ones(len(rows), bool) if drawn is None else drawn
+    in_pos, in_all = count(positive), count(drawn)
+    ratio = np.log((in_pos + prior_count) / (in_all * (positive.sum() / max(1, drawn.sum())) + prior_count))
     return np.where(ratio < 0.4, 0.0, ratio)
 
 
-def nnpu_fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, bits: int = BITS, epochs: int = 40, rate: float = 0.05, decay: float = 1e-5, back: float = 1.0, batch: int = 1024, seed: int = 5):
+def nnpu_fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, bits: int = BITS, epochs: int = 40, rate: float = 0.05, decay: float = 1e-5, back: float = 1.0, batch: int = 1024, seed: int = 5, drawn: np.ndarray | None = None):
     """Weights and bias of a linear classifier under the non-negative PU risk, by Adam.
 
-    All rows are the unlabelled draw, the positives among them too. A feature's
-    value is its :func:`evidence`; the weights start at one. The
-    loss is logistic: l(z) = log(1 + exp(-z)).
+    The ``drawn`` rows (all, if not given) are the unlabelled draw, which holds
+    positives at the share ``prior``. A feature's value is its
+    :func:`evidence`; the weights start at one. The loss is logistic:
+    l(z) = log(1 + exp(-z)).
     """
     size = 1 << bits
-    pos, unl = np.flatnonzero(positive), np.arange(len(rows))
+    pos, unl = np.flatnonzero(positive), np.arange(len(rows)) if drawn is None else np.flatnonzero(drawn)
     if not len(pos):
         return np.zeros(size), -60.0
     rng = np.random.default_rng(seed)
-    value = evidence(rows, positive, bits)
+    value = evidence(rows, positive, bits, drawn=drawn)
     rows = [r[value[r] != 0] for r in rows]
     w = np.append(np.ones(size), -3.0)  # the last is the bias
     m, v, step = np.zeros(size + 1), np.zeros(size + 1), 0
@@ -130,16 +134,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, m
     if not n or not toxic:
         return np.zeros(1 << BITS), -60.0
     near = lambda rows, most: F.pmod(F.xxhash64(F.lit(99), "doc_id"), F.lit(1 << 20)) < max(1, min(1 << 20, (most << 20) // max(1, rows)))
-    chosen = known.where(F.when(F.col("toxic") == 1, near(toxic, max_positives)).otherwise(near(n - toxic, max_unlabelled)))
+    chosen = known.select("doc_id", ((F.col("toxic") == 1) & near(toxic, max_positives)).alias("positive"), near(n, max_unlabelled).alias("drawn")).where("positive or drawn")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # The sample is bounded by the parameters, so its ids are too: no text is shuffled for it.
-    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(_index_batches, "features array<int>, toxic int").toArrow()
+    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "positive", "drawn").mapInArrow(_index_batches, "features array<int>, positive boolean, drawn boolean").toArrow()
     flat = got.column("features").combine_chunks()
     ends, values = np.asarray(flat.offsets), np.asarray(flat.values) if len(flat) else np.empty(0, np.int32)
     rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    marks = got.column("toxic").to_numpy()
-    order = sorted(range(len(rows)), key=lambda i: (marks[i], len(rows[i]), rows[i].tobytes()))  # whatever order rows came in
-    return nnpu_fit([rows[i] for i in order], marks[order] == 1, toxic / n)
+    positive, drawn = (np.asarray(got.column(c).to_pylist(), bool) for c in ("positive", "drawn"))
+    order = sorted(range(len(rows)), key=lambda i: (positive[i], drawn[i], len(rows[i]), rows[i].tobytes()))  # whatever order rows came in
+    return nnpu_fit([rows[i] for i in order], positive[order], toxic / n, drawn=drawn[order])
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD) -> DataFrame:

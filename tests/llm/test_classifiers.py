@@ -94,3 +94,20 @@ def test_unlabelled_draw_holds_the_positives():
     w, b = toxicity.nnpu_fit(rows, positive, positive.mean())
     score = np.array([w[r].sum() + b for r in rows])
     assert score[positive].min() > score[~positive].max() - 1e-9
+
+
+def test_unlabelled_draw_keeps_the_prior_beyond_its_cap(spark, monkeypatch):
+    """Rows far beyond the caps: toxic texts keep their share of the draw, and their scores."""
+    docs, labels = corpus(3000, seed=3)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    given = {}
+    fit = toxicity.nnpu_fit
+    monkeypatch.setattr(toxicity, "nnpu_fit", lambda rows, positive, prior, **k: given.update(positive=positive, prior=prior, **k) or fit(rows, positive, prior, **k))
+    w, b = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_positives=300, max_unlabelled=800)
+    words = toxicity.HashedWords(toxicity.BITS, toxicity._parts)
+    truth = {i: t for i, _, t in labels}
+    score = {i: toxicity.sigmoid(w[list(words(toxicity.WORD.findall(t)))].sum() + b) for i, t in docs if i in truth}
+    assert np.mean([score[i] >= toxicity.THRESHOLD for i in score if truth[i]]) > 0.85
+    assert np.mean([score[i] >= toxicity.THRESHOLD for i in score if not truth[i]]) < 0.05
+    assert 600 < given["drawn"].sum() < 1000
+    assert (given["positive"] & given["drawn"]).sum() / given["drawn"].sum() == pytest.approx(given["prior"], abs=0.06)
