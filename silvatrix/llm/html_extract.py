@@ -1,19 +1,21 @@
 """Main text of web pages: structure first, then site template removal.
 
-Every element's subtree is hashed. Spark counts on how many pages of a host
-each subtree stands; those on a good part of them are the site's template and
-are deleted, wherever they stand in the page. What HTML itself marks as no part
+Every element's subtree is hashed. Spark counts on how many distinct pages of a
+host each subtree stands; those on a good part of them are the site's template
+and are deleted, wherever they stand in the page. Pages of a host with the same
+main text are one page, so copies of a page make no template of its article. What HTML itself marks as no part
 of the article (navigation, footers, forms, scripts, adverts, comments) goes
 page by page, since such parts often differ from page to page.
 
 A page is parsed once, into its blocks of text with the hashes of the elements
 around each. Counts combine before their shuffle. A host has few recurring
-subtrees: each stands on at least ``share`` of the pages, so there are at most
-1/share times as many as a page has elements on average.
+subtrees: each stands on at least ``share`` of the distinct pages, so there are
+at most 1/share times as many as a page has elements on average.
 
 Defined results: a null or empty page gives an empty text; a null URL belongs
-to the host ``''``; repeated pages count each; an empty table gives an empty
-result.
+to the host ``''``; repeated pages each have their row, but count once for the
+template, by the one with the least list of subtrees; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import materialize
 from .html_tree import BLOCK, SPACE, Element, parse
 from .url_filter import host_and_path
 
-#: A subtree is template on this share of a host's pages, from this many pages on.
+#: A subtree is template on this share of a host's distinct pages, from this many distinct pages on.
 SHARE = 0.5
 LEAST_PAGES = 10
 
@@ -148,7 +150,11 @@ def read_page(source: str | None) -> tuple[list[tuple[str, list[int]]], list[int
     return blocks, sorted(seen)
 
 
-_PARSED = "page_id long, url string, blocks array<struct<text:string,around:array<bigint>>>, subtrees array<bigint>"
+def _text_digest(blocks: list[tuple[str, list[int]]]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest("\x00".join(t for t, _ in blocks).encode("utf-8", "surrogatepass")))
+
+
+_PARSED = "page_id long, url string, blocks array<struct<text:string,around:array<bigint>>>, subtrees array<bigint>, main long"
 
 
 def _parse_batches(batches):
@@ -158,7 +164,9 @@ def _parse_batches(batches):
             part = batch.slice(at, 256)
             pages = [read_page(h) for h in part.column("html").to_pylist()]
             blocks = pa.array([[{"text": t, "around": a} for t, a in b] for b, _ in pages], kind)
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), blocks, pa.array([s for _, s in pages], pa.list_(pa.int64()))], ["page_id", "url", "blocks", "subtrees"])
+            subtrees = pa.array([s for _, s in pages], pa.list_(pa.int64()))
+            main = pa.array([_text_digest(b) for b, _ in pages], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), blocks, subtrees, main], ["page_id", "url", "blocks", "subtrees", "main"])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -166,8 +174,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     need = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host, _ = host_and_path(F.col("url"))
     parsed = materialize(need.mapInArrow(_parse_batches, _PARSED).withColumn("host", host), "parsed-pages")
-    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
-    counts = parsed.select("host", F.explode("subtrees").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    sizes = parsed.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
+    distinct = parsed.groupBy("host", "main").agg(F.min("subtrees").alias("subtrees"))
+    counts = distinct.select("host", F.explode("subtrees").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     recurring = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.collect_list("h").alias("template"))
     recurring = materialize(recurring, "site-templates")
     kept = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.arrays_overlap(b["around"], F.col("template")))

@@ -166,3 +166,13 @@ def test_site_template_goes(spark):
 def test_template_needs_many_pages(spark):
     pages = spark.createDataFrame([(i, "http://h.net/", f"<article><p>same</p><p>own {i}</p></article>") for i in range(9)], "page_id long, url string, html string")
     assert all(r["text"].startswith("same own") for r in html_extract.extract_main_text(pages).collect())
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """30 copies of one page on a host of 40, with another menu each; what all distinct pages bear still goes."""
+    box = "<div class=box><p>Our site</p></div>"
+    rows = [(i, f"http://h.net/{i}", f"<nav>{i}</nav><article><h1>hot</h1>{box}<p>first of the copies</p><p>second</p></article>") for i in range(30)]
+    rows += [(100 + i, f"http://h.net/own/{i}", f"<article><h1>t {i}</h1>{box}<p>own {i}</p></article>") for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "hot first of the copies second" for i in range(30))
+    assert all(got[100 + i] == f"t {i} own {i}" for i in range(10))
