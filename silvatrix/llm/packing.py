@@ -6,8 +6,9 @@ whole ones are full as they are, and only rests are packed. Each group packs
 its rests, longest first, into the first sequence with room for it, which a
 tournament tree over the sequences' free room finds in logarithmic time.
 
-A document's group is a hash of its row and a seed, so groups are of even size
+A rest's group is a hash of its row and a seed, so groups are of even size
 whatever the keys, and each is packed by itself: no step sees all documents.
+Whole sequences take no part in it, so long documents make no group larger.
 
 Defined results: null text = empty text, which is the end id alone; repeated
 rows are packed each; ties of length go by row; an empty table gives an empty
@@ -31,8 +32,10 @@ from .common import materialize, row_key, text_or_empty
 
 SEQUENCE = 2048
 END_ID = 1
-#: Rows of a group, about.
+#: Rests of a group, about.
 GROUP_ROWS = 4096
+#: Whole sequences are numbered from here, above any group's.
+FULL_FROM = 1 << 62
 #: Chunks that a worker remembers the ids of, in each of two generations.
 REMEMBERED = 250_000
 
@@ -208,8 +211,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     need = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text_or_empty(text_col).alias("text"))
     kind = "doc_id long, row_key binary, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     pieces = materialize(need.mapInArrow(_piece_batches(vocabulary, keep_ids), kind), "pieces")
-    documents = pieces.where("start = 0").count()
-    groups = max(1, -(-documents // GROUP_ROWS))
-    grouped = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row_key", "start"), F.lit(groups)))
+    rests = pieces.where(F.col("length") < SEQUENCE)
+    groups = max(1, -(-rests.count() // GROUP_ROWS))
+    grouped = rests.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row_key", "start"), F.lit(groups)))
     out = kind.replace("row_key binary, ", "") + ", sequence_id long, offset long"
-    return grouped.groupBy("group").applyInPandas(_pack_group, out)
+    packed = grouped.groupBy("group").applyInPandas(_pack_group, out)
+    full = pieces.where(F.col("length") == SEQUENCE).drop("row_key")
+    return packed.unionByName(full.withColumns({"sequence_id": F.lit(FULL_FROM) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}))

@@ -176,3 +176,14 @@ def test_copies_of_a_page_are_no_template(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == "hot first of the copies second" for i in range(30))
     assert all(got[100 + i] == f"t {i} own {i}" for i in range(10))
+
+
+def test_full_sequences_are_in_no_group(make_docs):
+    """A few long documents: a whole sequence stands alone, and groups hold rests only."""
+    docs = make_docs([(i, "word " * (20 * packing.SEQUENCE + 5)) for i in range(4)] + [(9, "short")])
+    rows = packing.pack(docs).collect()
+    full = [r for r in rows if r["length"] == packing.SEQUENCE]
+    rests = [r for r in rows if r["length"] < packing.SEQUENCE]
+    assert len(full) == 80 and len(rests) == 5 and {r["offset"] for r in full} == {0}
+    assert len({r["sequence_id"] for r in full}) == 80
+    assert not {r["sequence_id"] >> 32 for r in full} & {r["sequence_id"] >> 32 for r in rests}
