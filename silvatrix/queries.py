@@ -614,9 +614,13 @@ def kfold_assignment(spark, d):
 
 @query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY md5('9:' || o_orderkey::VARCHAR)) <= (SELECT floor(count(*) * 0.1) FROM orders)")
 def row_sample(spark, d):
-    """An exact tenth of the rows, by rank of a hash."""
+    """An exact tenth of the rows, by rank of a hash; ranks come from block counts."""
     o = _t(spark, d, "orders").select("o_orderkey", recsys.hash_order(F.col("o_orderkey"), 9).alias("_h"))
-    return o.orderBy("_h").limit(math.floor(o.count() * 0.1)).select("o_orderkey")
+    most = math.floor(o.count() * 0.1)
+    from .functions.windows import running_sum
+
+    ranked = running_sum(o.withColumn("one", F.lit(1)), "_h", "one", "rank")
+    return ranked.where(F.col("rank") <= most).select("o_orderkey")
 
 
 # --- recommendation ---------------------------------------------------------------------------------

@@ -52,3 +52,8 @@ def test_results_do_not_depend_on_partitioning(spark, parts):
     df = queries.scored_orders(spark, D).repartition(parts)
     assert metrics.evaluate(df, "auc", "label", "p").first()[0] == pytest.approx(metrics.evaluate(queries.scored_orders(spark, D), "auc", "label", "p").first()[0])
     assert df.agg(F.count("*")).first()[0] == queries.scored_orders(spark, D).count()
+
+
+def test_row_sample_has_no_global_limit(spark):
+    plan = queries.row_sample(spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan
