@@ -48,12 +48,14 @@ _OTHER = re.compile("[^\x00-ɏ -⁯]|İ")
 class WordTokenizer:
     """Ids of texts, by chunks between white space, which no token crosses."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        special = {} if special_as_text else {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.find = regex.compile(_PIECES).findall
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -85,8 +87,17 @@ class WordTokenizer:
         # str.split also parts at the separators 1C to 1F, which are not white space to the library.
         return re.split(r"[ \t-\r\x85\xa0  -     　]+", text) if re.search(r"[\x1c-\x1f]", text) else text.split()
 
+    def _parts(self, text: str) -> list[str]:
+        """Chunks of a text; a special token in it is a chunk of its own, marked by white space before it."""
+        if self.cut is None or not self.cut.search(text):
+            return self.chunks(text)
+        out: list[str] = []
+        for k, part in enumerate(self.cut.split(text)):
+            out += [" " + part] if k % 2 else self.chunks(part)
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.chunks(t) for t in texts]
+        split = [self._parts(t) for t in texts]
         for chunk in set().union(*split) - self.now.keys():
             if len(self.now) >= REMEMBERED and len(split) < REMEMBERED:
                 break
@@ -103,7 +114,7 @@ class WordTokenizer:
     def _learn(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            found = b"".join([self._piece(p) for p in self.find(chunk)])
+            found = self.special[chunk[1:]] if chunk[0] == " " else b"".join([self._piece(p) for p in self.find(chunk)])
         if len(self.now) >= REMEMBERED:
             self.old, self.now = self.now, {}
         self.now[chunk] = found
@@ -111,8 +122,8 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def _tokenizer(path: str, special_as_text: bool) -> WordTokenizer:
+    return WordTokenizer(path, special_as_text)
 
 
 def default_vocabulary() -> str:
@@ -131,9 +142,9 @@ def _portions(texts: list[str], size: int = 2 << 20):
             begin, total = i + 1, 0
 
 
-def _piece_batches(path: str, keep_ids: bool):
+def _piece_batches(path: str, keep_ids: bool, special_as_text: bool):
     def run(batches):
-        tok = _tokenizer(path)
+        tok = _tokenizer(path, special_as_text)
         for batch in batches:
             at = 0
             for texts in _portions(batch.column("text").to_pylist()):
@@ -161,22 +172,22 @@ class FreeRoom:
     """Tournament tree over bins' free room: the winner of a match is the larger."""
 
     def __init__(self, bins: int, capacity: int):
-        self.leaves = 1
-        while self.leaves < bins:
-            self.leaves *= 2
-        self.room = [capacity] * (2 * self.leaves)
+        self.tips = 1
+        while self.tips < bins:
+            self.tips *= 2
+        self.room = [capacity] * (2 * self.tips)
 
     def first_with(self, size: int) -> int:
         node = 1
-        while node < self.leaves:
+        while node < self.tips:
             node *= 2
             if self.room[node] < size:
                 node += 1
-        return node - self.leaves
+        return node - self.tips
 
     def take(self, bin_: int, size: int) -> int:
         """Put ``size`` into the bin; the room that was free before."""
-        node = bin_ + self.leaves
+        node = bin_ + self.tips
         before = self.room[node]
         self.room[node] = before - size
         while node > 1:
@@ -205,12 +216,16 @@ def _pack_group(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.drop(columns=["group", "row_key"])
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, seed: int = 17) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and its ids if asked for."""
+def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, seed: int = 17, special_as_text: bool = False) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and its ids if asked for.
+
+    The strings of special tokens are these tokens, as the library has it by
+    default, or ordinary text with ``special_as_text``.
+    """
     vocabulary = vocabulary or default_vocabulary()
     need = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text_or_empty(text_col).alias("text"))
     kind = "doc_id long, row_key binary, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    pieces = materialize(need.mapInArrow(_piece_batches(vocabulary, keep_ids), kind), "pieces")
+    pieces = materialize(need.mapInArrow(_piece_batches(vocabulary, keep_ids, special_as_text), kind), "pieces")
     rests = pieces.where(F.col("length") < SEQUENCE)
     groups = max(1, -(-rests.count() // GROUP_ROWS))
     grouped = rests.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row_key", "start"), F.lit(groups)))
