@@ -2,20 +2,26 @@
 
 Every element's subtree is hashed. Spark counts on how many distinct pages of a
 host each subtree stands; those on a good part of them are the site's template
-and are deleted, wherever they stand in the page. Pages of a host with the same
-main text are one page, so copies of a page make no template of its article. What HTML itself marks as no part
-of the article (navigation, footers, forms, scripts, adverts, comments) goes
-page by page, since such parts often differ from page to page.
-
-A page is parsed once, into its blocks of text with the hashes of the elements
-around each. Counts combine before their shuffle. A host has few recurring
-subtrees: each stands on at least ``share`` of the distinct pages, so there are
-at most 1/share times as many as a page has elements on average.
+and are deleted, wherever they stand in the page, within a paragraph too. Pages
+of a host with the same main text are one page, so copies of a page make no
+template of its article. What HTML itself marks as no part of the article
+(navigation, footers, forms, scripts, adverts, comments) goes page by page,
+since such parts often differ from page to page.
+
+A page is parsed once, into a flat run of marks: where elements begin and end,
+their hashes, and the texts between. Counts combine before their shuffle. A
+host has few recurring subtrees: each stands on at least ``share`` of the
+distinct pages, so there are at most 1/share times as many as a page has
+elements on average. Where a page bears some, its text is put together without
+them from the marks.
 
 Defined results: a null or empty page gives an empty text; a null URL belongs
 to the host ``''``; repeated pages each have their row, but count once for the
-template, by the one with the least list of subtrees; an empty table gives an
-empty result.
+template, by the one with the least list of subtrees; a subtree on just
+``share`` of the pages is template; pages of any length and depth are read, in
+time that grows with their length; unclosed quotes end with the tag, and a tag,
+comment or script that never ends takes the rest of the page; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,11 +45,15 @@ _DROP_TAGS = frozenset("head nav footer aside form script style noscript templat
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words of class names and ids that mark what is no part of an article.
 _DROP_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert "
-    "newsletter subscribe subscription signup signin login register sidebar sidenav rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
-    "comment comments commentlist discussion replies reply respond disqus share sharing social related recommended recommendations popular trending popup modal overlay "
-    "pagination pager toolbar widget widgets copyright skip".split()
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored sponsors promo banner cookie cookies consent gdpr notice notices "
+    "newsletter subscribe signup signin login sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
+    "comment comments commentlist disqus popup modal pagination pager toolbar copyright".split()
+)
+#: These say so of boxes only; on a paragraph, heading or phrase they may speak of its content.
+_BOX_WORDS = frozenset(
+    "promotion promoted notification alert subscription register rail discussion replies reply respond share sharing social related recommended recommendations popular trending overlay widget widgets skip".split()
 )
+_BOXES = frozenset("div section ul ol dl table figure details".split())
 _HEADER_WORDS = frozenset(["header", "pageheader", "siteheader"])
 _WORDS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -61,7 +71,7 @@ def _dropped(e: Element, in_article: bool) -> bool:
         return True
     named = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()
     words = set(_WORDS.findall(named))
-    return bool(words & _DROP_WORDS) or (not in_article and bool(words & _HEADER_WORDS))
+    return bool(words & _DROP_WORDS) or (e.tag in _BOXES and bool(words & _BOX_WORDS)) or (not in_article and bool(words & _HEADER_WORDS))
 
 
 def _digest(e: Element) -> int:
@@ -101,72 +111,111 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def read_page(source: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks of the main text with the hashes around each, and the page's distinct subtree hashes."""
+#: Elements that hold the article, so are no template themselves.
+_FRAMES = frozenset(["html", "body", "article", "main"])
+
+
+def read_page(source: str | None) -> tuple[str, list[int], list[str]]:
+    """A page's main part: marks, hashes and texts.
+
+    Marks: ``[`` and ``]`` around a block, ``(`` and ``)`` around an element
+    within a line, ``t`` for a text, ``|`` where a block was dropped. Elements
+    have a hash each, in order, texts likewise; the hash of a frame is 0.
+    """
     if not source:
-        return [], []
+        return "", [], []
     root = parse(source)
-    seen = set()
     for e in _walk(root):
         e.digest = _digest(e)
-        if e.parent is not None and e.tag not in ("html", "body", "article", "main"):
-            seen.add(_signed(e.digest))
-    blocks: list[tuple[str, list[int]]] = []
-    run: list[str] = []
-    around: list[int] = []
-
-    def flush():
-        if text := SPACE.sub(" ", "".join(run)).strip():
-            blocks.append((text, list(around)))
-        run.clear()
-
+    marks: list[str] = []
+    hashes: list[int] = []
+    texts: list[str] = []
     for top in _articles(root):
         inside = top.tag in ("article", "main")
         todo: list = [("in", top)]
         while todo:
             kind, x = todo.pop()
             if kind == "text":
-                run.append(x)
-            elif kind == "out":
-                flush()
-                if x is not top:
-                    around.pop()
-            elif kind == "after":
-                around.pop()
+                marks.append("t")
+                texts.append(x)
+            elif kind == "mark":
+                marks.append(x)
             elif x is not top and _dropped(x, inside):
                 if x.tag in BLOCK:
-                    flush()
+                    marks.append("|")
             elif x.tag == "br":
-                run.append(" ")
+                marks.append("t")
+                texts.append(" ")
             else:
                 block = x.tag in BLOCK or x is top
-                if block:
-                    flush()
-                if x is not top:
-                    around.append(_signed(x.digest))
-                todo.append(("out" if block else "after", x))
+                marks.append("[" if block else "(")
+                hashes.append(0 if x is top or x.tag in _FRAMES else _signed(x.digest))
+                todo.append(("mark", "]" if block else ")"))
                 todo += [("text", y) if isinstance(y, str) else ("in", y) for y in reversed(x.items)]
-        flush()
-    return blocks, sorted(seen)
-
+    return "".join(marks), hashes, texts
 
-def _text_digest(blocks: list[tuple[str, list[int]]]) -> int:
-    return _signed(xxhash.xxh3_64_intdigest("\x00".join(t for t, _ in blocks).encode("utf-8", "surrogatepass")))
 
-
-_PARSED = "page_id long, url string, blocks array<struct<text:string,around:array<bigint>>>, subtrees array<bigint>, main long"
+def join_text(marks: str, hashes: list[int], texts: list[str], gone=frozenset()) -> str:
+    """The text of a page's marks without the subtrees whose hash is ``gone``."""
+    blocks: list[str] = []
+    run: list[str] = []
+    hash_of, text_of = iter(hashes), iter(texts)
+    deep = 0  # elements open within a subtree that goes
+    for m in marks:
+        if m == "t":
+            text = next(text_of)
+            if not deep:
+                run.append(text)
+            continue
+        if m in "[(":
+            goes = next(hash_of) in gone
+            ends = not deep and m == "["
+            deep += bool(deep) or goes
+        elif m in "])":
+            deep -= bool(deep)
+            ends = not deep and m == "]"
+        else:
+            ends = not deep
+        if ends and run:
+            if text := SPACE.sub(" ", "".join(run)).strip():
+                blocks.append(text)
+            run = []
+    if text := SPACE.sub(" ", "".join(run)).strip():
+        blocks.append(text)
+    return " ".join(blocks)
+
+
+_PARSED = "page_id long, url string, marks string, hashes array<bigint>, texts array<string>, main long"
 
 
 def _parse_batches(batches):
-    kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             pages = [read_page(h) for h in part.column("html").to_pylist()]
-            blocks = pa.array([[{"text": t, "around": a} for t, a in b] for b, _ in pages], kind)
-            subtrees = pa.array([s for _, s in pages], pa.list_(pa.int64()))
-            main = pa.array([_text_digest(b) for b, _ in pages], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), blocks, subtrees, main], ["page_id", "url", "blocks", "subtrees", "main"])
+            main = [_signed(xxhash.xxh3_64_intdigest(join_text(*p).encode("utf-8", "surrogatepass"))) for p in pages]
+            columns = [pa.array([p[0] for p in pages], pa.string()), pa.array([p[1] for p in pages], pa.list_(pa.int64())), pa.array([p[2] for p in pages], pa.list_(pa.string())), pa.array(main, pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], ["page_id", "url", "marks", "hashes", "texts", "main"])
+
+
+def _text_batches(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rows = zip(*(part.column(c).to_pylist() for c in ("marks", "hashes", "texts", "gone")))
+            text = [join_text(m, h, t, frozenset(g or ())) for m, h, t, g in rows]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+
+def site_templates(parsed: DataFrame, share: float, least_pages: int) -> DataFrame:
+    """(host, template): hashes of the subtrees that recur on the host's distinct pages."""
+    distinct = parsed.groupBy("host", "main").agg(F.min("hashes").alias("hashes"))
+    # The 0 that is put to each page counts the host's pages.
+    each = F.array_union(F.array(F.lit(0).cast("bigint")), "hashes")
+    counts = materialize(distinct.select("host", F.explode(each).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages), "subtree-counts")
+    sizes = counts.where("h = 0").select("host", F.col("n").alias("pages"))
+    recurring = counts.where("h <> 0").join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
+    return materialize(recurring.groupBy("host").agg(F.collect_list("h").alias("template")), "site-templates")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -174,12 +223,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     need = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host, _ = host_and_path(F.col("url"))
     parsed = materialize(need.mapInArrow(_parse_batches, _PARSED).withColumn("host", host), "parsed-pages")
-    sizes = parsed.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
-    distinct = parsed.groupBy("host", "main").agg(F.min("subtrees").alias("subtrees"))
-    counts = distinct.select("host", F.explode("subtrees").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    recurring = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.collect_list("h").alias("template"))
-    recurring = materialize(recurring, "site-templates")
-    kept = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.arrays_overlap(b["around"], F.col("template")))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    out = parsed.select("page_id", "url", "host", "blocks").join(recurring, "host", "left").select("page_id", "url", text.alias("text"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    templates = site_templates(parsed, share, least_pages)
+    gone = F.array_intersect("hashes", "template").alias("gone")
+    out = parsed.drop("main").join(templates, "host", "left").select("page_id", "url", "marks", "hashes", "texts", gone)
+    return out.mapInArrow(_text_batches, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

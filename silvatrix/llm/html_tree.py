@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,12 +36,15 @@ _IN_HEAD = frozenset("base link meta noscript script style template title head h
 #: An open paragraph ends where a block begins, but not through these.
 _PARAGRAPH_STOPS = frozenset("article aside body button caption div figure footer form header html li main nav section table td th object".split())
 
+#: Attributes up to the end of a tag. Every repeat is possessive, so no input makes the pattern try twice.
+_ATTRS = r"(?:[^>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+"
+#: What is still open at the end of the page takes the rest of it, as in browsers.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|--!>|\Z)|<(?P<raw>script|style|textarea|xmp|iframe|noembed|noframes)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<self>/)?>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|--!>|\Z)|<(?P<raw>script|style|textarea|xmp|iframe|noembed|noframes)(?=[\s/>])(?P<rawattrs>{_ATTRS})(?:>(?P<body>.*?)(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?P<shut>>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.S)
 SPACE = re.compile(r"[\s]+")
 
 
@@ -63,53 +67,53 @@ class Element:
 
 
 def parse(source: str) -> Element:
-    """The tree of a page under a root element without a tag."""
-    root = node = Element("", {}, None)
-    at = 0
+    """The tree of a page under a root element without a tag.
 
-    def close(until: Element) -> Element:
-        return until.parent or root
+    The places of open elements are known by tag, so neither an end tag without
+    a start nor a block deep inside others searches the stack.
+    """
+    root = Element("", {}, None)
+    stack, at = [root], 0
+    places: dict[str, list[int]] = {}
+
+    def close(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((w[-1] for t in tags if (w := places.get(t))), default=0)
 
     for m in _TOKEN.finditer(source):
         if m.start() > at:
-            node.items.append(html.unescape(source[at : m.start()]))
+            stack[-1].items.append(html.unescape(source[at : m.start()]))
         at = m.end()
         if raw := m["raw"]:
-            leaf = Element(raw.lower(), attributes(m["rawattrs"]), node)
-            leaf.items.append(m["body"])
-            node.items.append(leaf)
+            inner = Element(raw.lower(), attributes(m["rawattrs"]), stack[-1])
+            inner.items.append(m["body"] or "")
+            stack[-1].items.append(inner)
             continue
         tag = m["tag"]
-        if not tag:
+        if not tag or not m["shut"]:
             continue
         tag = tag.lower()
         if m["end"]:
-            open_ = node
-            while open_.parent is not None and open_.tag != tag:
-                open_ = open_.parent
-            if open_.parent is not None:
-                node = close(open_)
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in _ENDS:
             ends, stops = _ENDS[tag]
-            open_ = node
-            while open_.parent is not None and open_.tag not in stops:
-                if open_.tag in ends:
-                    node = close(open_)
-                open_ = open_.parent
-        if tag in BLOCK:
-            open_ = node
-            while open_.parent is not None and open_.tag not in _PARAGRAPH_STOPS:
-                if open_.tag == "p":
-                    node = close(open_)
-                    break
-                open_ = open_.parent
-        if node.tag == "head" and tag not in _IN_HEAD:
-            node = close(node)
-        new = Element(tag, attributes(m["attrs"]), node)
-        node.items.append(new)
-        if tag not in VOID and not m["self"]:
-            node = new
+            floor = last(stops)
+            if first := min((w[bisect_right(w, floor)] for t in ends if (w := places.get(t)) and w[-1] > floor), default=0):
+                close(first)
+        if tag in BLOCK and places.get("p") and places["p"][-1] > last(_PARAGRAPH_STOPS):
+            close(places["p"][-1])
+        if stack[-1].tag == "head" and tag not in _IN_HEAD:
+            close(len(stack) - 1)
+        new = Element(tag, attributes(m["attrs"]), stack[-1])
+        stack[-1].items.append(new)
+        if tag not in VOID and not m["attrs"].endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(new)
     if at < len(source):
-        node.items.append(html.unescape(source[at:]))
+        stack[-1].items.append(html.unescape(source[at:]))
     return root

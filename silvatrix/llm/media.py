@@ -4,26 +4,26 @@ A document is HTML whose media are referred to by digest, next to a store of
 (digest, stored bytes). Parsing gives each document's ordered items: text
 blocks and media references with their captions, each with its position. A
 join on the digest resolves references to what the store holds, and the items
-keep position and caption whatever order the join leaves them in.
+keep position and caption whatever order the join gives them in.
 
 Payloads are stored losslessly as 8-bit grey PNG images of 64 samples a row;
 ``store_payloads`` pads them with zero bytes to whole rows. Features are
 computed from the bytes read back from the store.
 
-A digest that many documents share is stored by each (nothing is shuffled to
+A digest that many documents share stands in each one's row (nothing is shuffled to
 find that out), but its features are combined to one row before the join, and
 both sides of the join are plain tables, so a hot digest can be split.
 
 Defined results: null text = empty text = one row of zeros; an unresolved
-reference keeps its item with null media columns; an empty table gives an
-empty result.
+reference keeps its item with null media columns; repeated rows and equal texts
+each have their row, with equal values; pages of any depth and length are read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import html
 import struct
 import urllib.parse
 import zlib
@@ -107,7 +107,14 @@ def _digest_of(e: Element) -> str | None:
 
 
 def _whole_text(e: Element) -> str:
-    return SPACE.sub(" ", "".join(x if isinstance(x, str) else _whole_text(x) for x in e.items)).strip()
+    found, todo = [], [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            found.append(x)
+        else:
+            todo += reversed(x.items)
+    return SPACE.sub(" ", "".join(found)).strip()
 
 
 def interleave(source: str | None) -> list[dict]:
@@ -183,11 +190,11 @@ def _store_batches(batches):
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             pages, digests, stored = [], [], []
-            for ident, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
+            for text in part.column("text").cast(pa.binary()).to_pylist():
                 image = to_png(padded(text))
                 digest = hashlib.sha256(image).hexdigest()
-                caption = html.escape(f"text of document {ident}, {len(text)} bytes")
-                pages.append(f'<article><p>document {ident}</p><figure><img src="sha256:{digest}" data-bytes="{len(text)}"><figcaption>{caption}</figcaption></figure></article>')
+                caption = f"text of {len(text)} bytes"
+                pages.append(f'<article><p>text</p><figure><img src="sha256:{digest}" data-bytes="{len(text)}"><figcaption>{caption}</figcaption></figure></article>')
                 digests.append(digest)
                 stored.append(image)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pages), pa.array(digests), pa.array(stored, pa.binary())], ["doc_id", "html", "digest", "media"])

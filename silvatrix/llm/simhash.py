@@ -7,8 +7,8 @@ points at that distance misses no link. The counts are kept in thermometer
 code, two bits a segment, in which the Manhattan distance is the bit count of
 an exclusive or.
 
-The grid: the segments form six runs. A distance of three or less leaves at
-least three of the six without a difference, so two points in range share the
+The grid: the segments form six runs. With a distance of three or less at
+least three of the six show no difference, so two points in range share the
 cell of at least one of the 20 projections on three runs. Candidates of a cell
 are held against the Manhattan bound, then verified exactly on the bits.
 

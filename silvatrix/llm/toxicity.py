@@ -67,7 +67,7 @@ def evidence(rows: list[np.ndarray], positive: np.ndarray, bits: int = BITS, pri
 
     Counts of ``prior_count`` are added, so rare features say little. Only
     features that speak for toxicity count; small ratios are cut to nothing,
-    which leaves the length of a text no say.
+    so the length of a text has no say.
     """
     size = 1 << bits
     count = lambda which: np.bincount(np.concatenate([np.empty(0, np.int32), *[rows[i] for i in np.flatnonzero(which)]]), minlength=size)

@@ -13,7 +13,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 TEXTS = [
     None, "", "  a   b \n\n c", "x \n y", "\n", "a\x1cb c\x85d", "ΑΣΣ x İ", "<|endoftext|> hi", "a\xa0b  \xa0c", "don't I'LL 're 12345 ½²³ ﬀ", "日本語 テキスト", "e\u0301 x", "a\r\nb\r\n\r\nc\td",
-    "!!'s x", "a" * 300, "\x00\x01 b", " lead", "trail ", "a \nb", "\nb", "a\n", "The quick brown fox\njumps over the lazy dog.", "word " * 5000, "twice", "twice",
+    "!!'s x", "a" * 300, "\x00\x01 b", " lead", "trail ", "a \nb", "\nb", "a\n", "hello <|endoftext|> there", "A<|startoftext|>b<|endoftext|><|endoftext|>", "<|EndOfText|> <|endoftext", "e<|endoftext|>\u0301 x", "The quick brown fox\njumps over the lazy dog.", "word " * 5000, "twice", "twice",
 ]
 
 
@@ -45,12 +45,13 @@ def test_replay_equals_merging_word_by_word():
     assert bpe.replay_merges(table, words) == [bpe.merge_one(table, w) for w in words]
 
 
-def test_pack(docs):
+@pytest.mark.parametrize("as_text", [False, True])
+def test_pack(docs, as_text):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
-    rows = packing.pack(docs, keep_ids=True).collect()
+    lib.encode_special_tokens = as_text
+    rows = packing.pack(docs, keep_ids=True, special_as_text=as_text).collect()
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -154,6 +155,102 @@ def test_pages(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    """Unclosed quotes, tags and scripts, ends without starts, and elements nested deep."""
+    import time
+
+    n = 30_000
+    quotes = ["<a " + '"' * n, "<a " + "'\"" * n + ">x", "<a " + '="' * n, "<a " * n, "<!" * n, "<script " * n, "<script>" * n, "&" * n, "<p><button>" + "<span>" * n + "<div></div>" * n]
+    deep = ["<div>" * n + "x" + "</div>" * n, "<div>" * 100 + "</b>" * n + "x", "<ul>" + "<span>" * n + "<li>" * n + "x"]
+    for page in quotes + deep:
+        began = time.process_time()
+        text = html_extract.join_text(*html_extract.read_page(page))
+        media.interleave(page)
+        assert time.process_time() - began < 30, page[:40]
+        assert page not in deep or text == "x"
+    assert [i["caption"] for i in media.interleave("<figure><img src=sha256:aa><figcaption>" + "<b>" * n + "cap")] == ["cap"]
+
+
+def main_text_plain(pages, share=0.5, least=10):
+    """By the standard library's parser, for pages that close what they open: subtrees as source text, counted a host."""
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.top = []
+            self.open = [self.top]
+
+        def handle_starttag(self, tag, attrs):
+            self.open[-1].append([tag, dict(attrs).get("class", ""), []])
+            self.open.append(self.open[-1][-1][2])
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            self.open[-1].append(data)
+
+    def below(items):
+        for x in items:
+            if not isinstance(x, str):
+                yield repr(x)
+                yield from below(x[2])
+
+    def text(items, gone):
+        return "".join(x if isinstance(x, str) else "" if repr(x) in gone else "\0" * (x[0] == "p") + text(x[2], gone) + "\0" * (x[0] == "p") for x in items)
+
+    read = []
+    for _, url, source in pages:
+        r = Reader()
+        r.feed(source)
+        read.append((url.split("/")[2], r.top[0][2]))
+    tidy = lambda t: " ".join(x for x in (" ".join(b.split()) for b in t.split("\0")) if x)
+    distinct = {(h, tidy(text(items, ()))): set(below(items)) for h, items in read}
+    hosts = Counter(h for h, _ in distinct)
+    on = Counter((h, s) for (h, _), found in distinct.items() for s in found)
+    gone = lambda h: {s for (g, s), n in on.items() if g == h and n >= least and n >= share * hosts[h]}
+    return {i: tidy(text(items, gone(h))) for (i, _, _), (h, items) in zip(pages, read)}
+
+
+def test_templates_against_a_plain_version(spark):
+    """Recurring boxes and phrases, just on the share, above and below it, on hosts of several sizes."""
+    import random
+
+    rng = random.Random(5)
+    pages = []
+    for host, n in (("a.net", 40), ("b.net", 20), ("c.net", 9)):
+        for i in range(n):
+            parts = [f"<p>own {host} {i}</p>"]
+            parts += [f"<p>all <b>see also</b> {rng.random()}</p>"]
+            parts += ["<p>half</p>"] * (i < n // 2) + ["<p>less</p>"] * (i < n // 2 - 1) + ["<p class=box><i>box</i> of <i>the site</i></p>"] * (i % 4 > 0)
+            rng.shuffle(parts)
+            pages.append((len(pages), f"http://{host}/{i}", f"<article>{''.join(parts)}</article>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == main_text_plain(pages)
+    assert sum("half" in t for t in got.values()) == 4 and sum("less" in t for t in got.values()) == 19 + 9 + 3
+
+
+def test_words_of_classes(spark):
+    page = '<article><p class="popular">A <span class="related">b</span></p><div class="related">no</div><h2 class="skip">C</h2><p class="notice">no</p><ul class="share"><li>no</ul></article>'
+    assert html_extract.join_text(*html_extract.read_page(page)) == "A b C"
+
+
+def test_media_and_pages_without_rows(spark, make_docs):
+    store = media.store_payloads(make_docs([]))
+    assert media.resolve(media.sequences(store, "doc_id"), media.store_features(store)).count() == 0
+    assert packing.pack(make_docs([])).count() == 0 and bpe.round_trip(make_docs([])).count() == 0
+
+
+def test_repeated_rows_have_a_row_each(make_docs):
+    docs = make_docs([(7, "same id and text")] * 3 + [(7, "same id")])
+    store = media.store_payloads(docs)
+    found = media.resolve(media.sequences(store, "doc_id"), media.store_features(store)).where("kind = 'media'").collect()
+    assert len(found) == 4 and len({(r["payload_sha256"], r["feature"], r["caption"]) for r in found}) == 2
+    assert packing.pack(docs).count() == 4 and bpe.round_trip(docs).count() == 4
+
+
 def test_site_template_goes(spark):
     box = "<div class=box><p>Our site</p><p>since 1999</p></div>"
     rows = [(i, f"http://Host.net/{i}", f"<article><h1>t {i}</h1>{box if i < 11 else ''}<p>own {i}</p></article>") for i in range(12)]
