@@ -1,8 +1,9 @@
 """Text quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of about a hundred words, and only the
-document has a label. Every passage is encoded by a small network; gated
-attention (Ilse et al., 2018)
+document has a label. Every passage is encoded by a small network from its
+words, hashed to a table of ``WORD_SLOTS``, and from counts of its surface;
+gated attention (Ilse et al., 2018)
 
     a_i = softmax_i( w . (tanh(V h_i) * sigmoid(U h_i)) )
 
@@ -11,18 +12,23 @@ itself which passages tell: a page of good prose with a block of junk is found
 by the block.
 
 Training is numpy on the driver over a bounded, hashed sample of labelled rows
-(``max_rows``), of which only passage features are collected. Scoring covers
-whole texts on the executors.
+(about ``max_rows``, of each at most ``MAX_PASSAGES`` passages at even
+distances), of which only passage features are collected. Scoring covers whole
+texts on the executors.
 
 Defined results: null text = empty text, a bag of one empty passage; without
 labels of both kinds the score is 1 for all; a null doc_id is not held out; of
-several labels of a document the largest counts; an empty table gives an empty
+several labels of a document the largest counts; of rows that share a labelled
+doc_id one is learnt from, and each is scored; an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,11 @@ from .toxicity import fold
 
 PASSAGE_WORDS = 96
 THRESHOLD = 0.3
-#: Labelled rows that training takes at most.
+#: Labelled rows that training takes, as expected of their hash, and passages of each at most.
 MAX_ROWS = 12000
+MAX_PASSAGES = 64
+#: Slots that the words of a passage are hashed to.
+WORD_SLOTS = 64
 HIDDEN, GATE = 16, 8
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -45,6 +54,7 @@ _MARKS = b".,;:'\"()-?"
 _SYMBOLS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b not in _MARKS)
 _HIGH = bytes(range(0x80, 0x100))
 FEATURES = ("upper", "digit", "mark", "symbol", "bang", "pipe", "high", "word_length", "long_words", "short_words", "distinct", "most_frequent", "echoes", "size")
+INPUTS = len(FEATURES) + WORD_SLOTS
 
 
 def passage_features(words: list[str]) -> list[float]:
@@ -60,10 +70,22 @@ def passage_features(words: list[str]) -> list[float]:
     ]
 
 
-def bag(text: str) -> list[list[float]]:
-    """Features of each passage of the whole text; at least one passage."""
+@lru_cache(maxsize=200_000)
+def _slot(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_SLOTS
+
+
+def bag(text: str, most: int | None = None) -> np.ndarray:
+    """Features of each passage of the whole text, or of ``most`` passages at even distances; at least one passage."""
     words = text.split()
-    return [passage_features(words[i : i + PASSAGE_WORDS]) for i in range(0, max(1, len(words)), PASSAGE_WORDS)]
+    count = max(1, -(-len(words) // PASSAGE_WORDS))
+    chosen = range(count) if most is None or count <= most else [i * count // most for i in range(most)]
+    passages = [words[i * PASSAGE_WORDS : (i + 1) * PASSAGE_WORDS] for i in chosen]
+    surface = np.array([passage_features(p) for p in passages], np.float32)
+    lens = [len(p) for p in passages]
+    slots = np.fromiter(map(_slot, chain.from_iterable(passages)), np.int64, sum(lens))
+    table = np.bincount(slots + np.repeat(np.arange(len(lens)) * WORD_SLOTS, lens), minlength=len(lens) * WORD_SLOTS).reshape(-1, WORD_SLOTS)
+    return np.hstack([surface, (table / np.maximum(lens, 1)[:, None]).astype(np.float32)])
 
 
 class AttentionModel:
@@ -126,8 +148,8 @@ class AttentionModel:
 
 def _bag_batches(batches):
     for batch in batches:
-        flat = [[v for p in bag(t) for v in p] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.list_(pa.float32())), batch.column("quality")], ["features", "quality"])
+        flat = [bag(t, MAX_PASSAGES).ravel() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(flat, pa.list_(pa.float32())), batch.column("quality")], ["doc_id", "features", "quality"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS) -> AttentionModel | None:
@@ -140,23 +162,24 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, m
     chosen = known.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < max(1, min(1 << 20, (max_rows << 20) // n)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # The sample is bounded by the parameters, so its ids are too: no text is shuffled for it.
-    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(_bag_batches, "features array<float>, quality int").toArrow()
-    rows = sorted(zip(got.column("quality").to_pylist(), got.column("features").to_pylist()))  # whatever order rows came in
+    bags = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(_bag_batches, "doc_id long, features array<float>, quality int")
+    got = bags.groupBy("doc_id").agg(F.min("features").alias("features"), F.first("quality").alias("quality")).select("quality", "features").toArrow()
+    rows = sorted(zip(got.column("quality").to_pylist(), (np.array(f, np.float32) for f in got.column("features").to_pylist())), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # whatever order rows came in
     y = np.array([r[0] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return None
-    return AttentionModel(len(FEATURES)).fit([np.array(r[1]).reshape(-1, len(FEATURES)) for r in rows], y)
+    return AttentionModel(INPUTS).fit([r[1].reshape(-1, INPUTS).astype(float) for r in rows], y)
 
 
 def _scores(model: AttentionModel, texts: list) -> np.ndarray:
     bags = [bag(t or "") for t in texts]
     begins = np.cumsum([0, *(len(b) for b in bags[:-1])])
-    return model.score(np.array([p for b in bags for p in b], np.float32).astype(float), begins)
+    return model.score(np.concatenate(bags).astype(float), begins)
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, row_key, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))  # a few hundred numbers
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))  # a few thousand numbers
 
     def run(batches):
         model = shared.value

@@ -1,11 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives. The unlabelled set is a draw, at one
-rate, of all labelled training texts, the confirmed ones included, whatever the
-label says of them; nothing is taken to be clean because nobody called it
-toxic. With the class
-prior ``pi`` the risk of calling unlabelled
-text toxic is estimated as
+Confirmed toxic texts are the positives. The unlabelled set is a draw from all
+documents of the training folds by hash alone, whether or not they have a label
+and whatever it says; nothing is taken to be clean because nobody called it
+toxic. With the class prior ``pi`` the risk of calling unlabelled text toxic is
+estimated as
 
     R_u^-(g) - pi * R_p^-(g)
 
@@ -15,18 +14,20 @@ stops there and takes a step against it instead (Kiryo et al., 2017).
 
 The classifier is linear over the presence of hashed words and word beginnings,
 each weighed by how much likelier it is in positives than elsewhere, trained
-with numpy on the driver. It learns from a bounded sample
-(about ``max_positives`` and ``max_unlabelled`` rows, chosen by hash, each set at
-a rate of its own), of which only the feature indices reach the driver. A
-positive beyond the unlabelled draw is used as a positive alone. All texts are scored whole, on the executors.
+with numpy on the driver. It learns from a bounded sample: about
+``max_positives`` positives and ``max_unlabelled`` documents, each set chosen by
+hash at a rate of its own. Features are counted over the sample on the cluster;
+of its rows only features that speak for toxicity reach the driver, one row for
+texts that have the same.
 
 The class prior is the share of confirmed toxic texts among the labelled
 training rows, counted over all of them.
 
 Defined results: null text = empty text, which has the score of the bias;
 without positives the score is 0 for all; a null doc_id is not held out; a
-document with several labels is toxic if one says so; an empty table gives an
-empty result.
+document with several labels is toxic if one says so; rows with a repeated
+doc_id are scored each, and equal ones count once in the sample; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, text_or_empty
 from .features import WORD, HashedWords, sigmoid
 
 BITS = 17
 THRESHOLD = 0.7
-#: Rows of the training sample at most.
+#: Rows of the training sample, as expected of its hash.
 MAX_POSITIVES = 4000
 MAX_UNLABELLED = 12000
 
@@ -58,39 +59,33 @@ def fold(id_col: str, folds: int) -> Column:
 def _index_batches(batches):
     words = HashedWords(BITS, _parts)
     for batch in batches:
-        rows = [np.fromiter(words(WORD.findall(t.lower())), np.int32) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([np.sort(r) for r in rows], pa.list_(pa.int32())), batch.column("positive"), batch.column("drawn")], ["features", "positive", "drawn"])
+        rows = [np.sort(np.fromiter(words(WORD.findall(t.lower())), np.int32)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("positive"), batch.column("drawn")], ["features", "positive", "drawn"])
 
 
-def evidence(rows: list[np.ndarray], positive: np.ndarray, bits: int = BITS, prior_count: float = 10.0, drawn: np.ndarray | None = None) -> np.ndarray:
+def evidence(in_pos: np.ndarray, in_all: np.ndarray, n_pos: int, n_all: int, prior_count: float = 10.0) -> np.ndarray:
     """How much more often each feature is in positives than in the unlabelled draw, as a log ratio.
 
     Counts of ``prior_count`` are added, so rare features say little. Only
     features that speak for toxicity count; small ratios are cut to nothing,
     so the length of a text has no say.
     """
-    size = 1 << bits
-    count = lambda which: np.bincount(np.concatenate([np.empty(0, np.int32), *[rows[i] for i in np.flatnonzero(which)]]), minlength=size)
-    drawn = np.ones(len(rows), bool) if drawn is None else drawn
-    in_pos, in_all = count(positive), count(drawn)
-    ratio = np.log((in_pos + prior_count) / (in_all * (positive.sum() / max(1, drawn.sum())) + prior_count))
+    ratio = np.log((in_pos + prior_count) / (in_all * (n_pos / max(1, n_all)) + prior_count))
     return np.where(ratio < 0.4, 0.0, ratio)
 
 
-def nnpu_fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, bits: int = BITS, epochs: int = 40, rate: float = 0.05, decay: float = 1e-5, back: float = 1.0, batch: int = 1024, seed: int = 5, drawn: np.ndarray | None = None):
+def nnpu_fit(rows: list[np.ndarray], positive: np.ndarray, drawn: np.ndarray, value: np.ndarray, prior: float, epochs: int = 40, rate: float = 0.05, decay: float = 1e-5, back: float = 1.0, batch: int = 1024, seed: int = 5):
     """Weights and bias of a linear classifier under the non-negative PU risk, by Adam.
 
-    The ``drawn`` rows (all, if not given) are the unlabelled draw, which holds
-    positives at the share ``prior``. A feature's value is its
-    :func:`evidence`; the weights start at one. The loss is logistic:
-    l(z) = log(1 + exp(-z)).
+    The ``drawn`` rows are the unlabelled draw, which holds positives at the
+    share ``prior``. A feature's ``value`` is its :func:`evidence`; the weights
+    start at one. The loss is logistic: l(z) = log(1 + exp(-z)).
     """
-    size = 1 << bits
-    pos, unl = np.flatnonzero(positive), np.arange(len(rows)) if drawn is None else np.flatnonzero(drawn)
+    size = len(value)
+    pos, unl = np.flatnonzero(positive), np.flatnonzero(drawn)
     if not len(pos):
         return np.zeros(size), -60.0
     rng = np.random.default_rng(seed)
-    value = evidence(rows, positive, bits, drawn=drawn)
     rows = [r[value[r] != 0] for r in rows]
     w = np.append(np.ones(size), -3.0)  # the last is the bias
     m, v, step = np.zeros(size + 1), np.zeros(size + 1), 0
@@ -126,24 +121,51 @@ def nnpu_fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, bits: i
     return w[:-1] * value, float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED):
-    """Weights and bias, from rows outside the held-out fold."""
+def _hash_below(most: int, rows: int, *of: str) -> Column:
+    """True for about ``most`` of ``rows`` rows, by hash."""
+    return F.pmod(F.xxhash64(F.lit(99), *of), F.lit(1 << 30)) < max(1, min(1 << 30, (most << 30) // max(1, rows)))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_positives: int, max_unlabelled: int) -> tuple[DataFrame | None, float]:
+    """(features, positive, drawn) of the sample, and the class prior; None without positives."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(fold("doc_id", folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not toxic:
+        return None, 0.0
+    confirmed = known.where((F.col("toxic") == 1) & _hash_below(max_positives, toxic, "doc_id")).select("doc_id", F.lit(True).alias("positive"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(fold("doc_id", folds) != held_out)
+    drawn = _hash_below(max_unlabelled, texts.select("doc_id").count(), "doc_id", "text")
+    # The positives are bounded by their parameter, so their ids are too: no text is shuffled for them.
+    marked = texts.join(F.broadcast(confirmed), "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"), drawn.alias("drawn"))
+    rows = marked.where("positive or drawn").mapInArrow(_index_batches, "features array<int>, positive boolean, drawn boolean")
+    return materialize(rows.distinct(), "toxicity-sample"), toxic / n
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED):
+    """Weights and bias, from rows outside the held-out fold."""
+    sample, prior = training_sample(docs, labels, folds, held_out, max_positives, max_unlabelled)
+    if sample is None:
         return np.zeros(1 << BITS), -60.0
-    near = lambda rows, most: F.pmod(F.xxhash64(F.lit(99), "doc_id"), F.lit(1 << 20)) < max(1, min(1 << 20, (most << 20) // max(1, rows)))
-    chosen = known.select("doc_id", ((F.col("toxic") == 1) & near(toxic, max_positives)).alias("positive"), near(n, max_unlabelled).alias("drawn")).where("positive or drawn")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    # The sample is bounded by the parameters, so its ids are too: no text is shuffled for it.
-    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "positive", "drawn").mapInArrow(_index_batches, "features array<int>, positive boolean, drawn boolean").toArrow()
-    flat = got.column("features").combine_chunks()
-    ends, values = np.asarray(flat.offsets), np.asarray(flat.values) if len(flat) else np.empty(0, np.int32)
-    rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    positive, drawn = (np.asarray(got.column(c).to_pylist(), bool) for c in ("positive", "drawn"))
+    number = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+    n_pos, n_all = sample.agg(number("positive"), number("drawn")).first()
+    counted = sample.select(F.explode("features").alias("f"), "positive", "drawn").groupBy("f").agg(number("positive").alias("p"), number("drawn").alias("d")).toArrow()  # 2**BITS rows at most
+    in_pos, in_all = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    in_pos[np.asarray(counted.column("f"))] = np.asarray(counted.column("p"))
+    in_all[np.asarray(counted.column("f"))] = np.asarray(counted.column("d"))
+    value = evidence(in_pos, in_all, n_pos, n_all)
+    telling = value != 0
+
+    def only_telling(batches):
+        for batch in batches:
+            rows = [np.array(r, np.int32) for r in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[telling[r]] for r in rows], pa.list_(pa.int32())), batch.column("positive"), batch.column("drawn")], ["features", "positive", "drawn"])
+
+    got = sample.mapInArrow(only_telling, "features array<int>, positive boolean, drawn boolean").toArrow()
+    rows = [np.array(r, np.int32) for r in got.column("features").to_pylist()]
+    positive, drawn = (np.array(got.column(c).to_pylist(), bool) for c in ("positive", "drawn"))
     order = sorted(range(len(rows)), key=lambda i: (positive[i], drawn[i], len(rows[i]), rows[i].tobytes()))  # whatever order rows came in
-    return nnpu_fit([rows[i] for i in order], positive[order], toxic / n, drawn=drawn[order])
+    return nnpu_fit([rows[i] for i in order], positive[order], drawn[order], value, prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD) -> DataFrame:

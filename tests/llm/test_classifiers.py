@@ -1,6 +1,7 @@
 """Toxicity and quality: held-out accuracy, gradients, and odd input."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -84,30 +85,107 @@ def test_attention_gradients():
             assert (up - down) / 2e-6 == pytest.approx(grads[name][k], abs=1e-6)
 
 
-def test_unlabelled_draw_holds_the_positives():
-    """With positives that look like all else nothing is called toxic; with marked ones they are."""
+def values_of(rows, positive, drawn, size=1024):
+    count = lambda which: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(which)]), minlength=size)
+    return toxicity.evidence(count(positive), count(drawn), positive.sum(), drawn.sum())
+
+
+def marked_rows(n=400):
     rng = np.random.default_rng(2)
-    rows = [np.sort(rng.choice(200, 20, replace=False)).astype(np.int32) for _ in range(400)]
-    positive = rng.random(400) < 0.2
+    rows = [np.sort(rng.choice(200, 20, replace=False)).astype(np.int32) for _ in range(n)]
+    positive = rng.random(n) < 0.2
     for i in np.flatnonzero(positive):
         rows[i] = np.append(rows[i], np.int32(777))
-    w, b = toxicity.nnpu_fit(rows, positive, positive.mean())
+    return rows, positive
+
+
+def test_unlabelled_draw_holds_the_positives():
+    """Rows that bear a mark of their own are told apart, though the draw holds them too."""
+    rows, positive = marked_rows()
+    drawn = np.ones(len(rows), bool)
+    w, b = toxicity.nnpu_fit(rows, positive, drawn, values_of(rows, positive, drawn), positive.mean())
     score = np.array([w[r].sum() + b for r in rows])
     assert score[positive].min() > score[~positive].max() - 1e-9
 
 
-def test_unlabelled_draw_keeps_the_prior_beyond_its_cap(spark, monkeypatch):
-    """Rows far beyond the caps: toxic texts keep their share of the draw, and their scores."""
+def nnpu_plain(rows, positive, drawn, value, prior, epochs, rate=0.05, decay=1e-5, batch=1024, seed=5):
+    """The estimator row by row, with the slope of the risk by its definition."""
+    rng = np.random.default_rng(seed)
+    w, m, v, step = np.append(np.ones(len(value)), -3.0), np.zeros(len(value) + 1), np.zeros(len(value) + 1), 0
+    pos, unl = np.flatnonzero(positive), np.flatnonzero(drawn)
+    for _ in range(epochs):
+        n = max(1, len(unl) // batch)
+        for ps, us in zip(np.array_split(rng.permutation(pos), n), np.array_split(rng.permutation(unl), n)):
+            z = lambda i: sum(w[f] * value[f] for f in rows[i]) + w[-1]
+            calling_clean = lambda i: np.log1p(np.exp(z(i)))
+            below = np.mean([calling_clean(i) for i in us]) - prior * np.mean([calling_clean(i) for i in ps]) < 0
+            grad = np.zeros_like(w)
+            for group, weight in ((ps, -prior / len(ps)), (us, 1 / len(us))):
+                for i in group:
+                    s = 1 / (1 + np.exp(-z(i)))
+                    g = weight * s * (-1 if below else 1)
+                    if group is ps and not below:
+                        g += prior * (s - 1) / len(ps)
+                    for f in rows[i]:
+                        grad[f] += g * value[f]
+                    grad[-1] += g
+            grad[:-1] += decay * (w[:-1] - 1)
+            step += 1
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w[:-1] * value, w[-1]
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_risk_against_a_plain_version(prior):
+    """With a prior above the share of positives the estimate falls below nothing, and steps go against it."""
+    rows, positive = marked_rows(120)
+    drawn = np.arange(120) % 3 > 0
+    value = values_of(rows, positive, drawn)
+    got = toxicity.nnpu_fit(rows, positive, drawn, value, prior, epochs=15, batch=40)
+    want = nnpu_plain(rows, positive, drawn, value, prior, 15, batch=40)
+    assert np.allclose(got[0], want[0], atol=1e-6) and got[1] == pytest.approx(want[1], abs=1e-6)
+
+
+def test_unlabelled_draw_is_of_all_documents(spark, monkeypatch):
+    """Documents far beyond the bounds, most without a label: the draw takes them at one rate, and toxic texts keep their scores."""
     docs, labels = corpus(3000, seed=3)
+    labels = [x for x in labels if x[0] % 7 < 4]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     given = {}
     fit = toxicity.nnpu_fit
-    monkeypatch.setattr(toxicity, "nnpu_fit", lambda rows, positive, prior, **k: given.update(positive=positive, prior=prior, **k) or fit(rows, positive, prior, **k))
+    monkeypatch.setattr(toxicity, "nnpu_fit", lambda rows, positive, drawn, value, prior, **k: given.update(positive=positive, drawn=drawn, prior=prior) or fit(rows, positive, drawn, value, prior, **k))
     w, b = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_positives=300, max_unlabelled=800)
     words = toxicity.HashedWords(toxicity.BITS, toxicity._parts)
     truth = {i: t for i, _, t in labels}
     score = {i: toxicity.sigmoid(w[list(words(toxicity.WORD.findall(t)))].sum() + b) for i, t in docs if i in truth}
-    assert np.mean([score[i] >= toxicity.THRESHOLD for i in score if truth[i]]) > 0.85
+    assert np.mean([score[i] >= toxicity.THRESHOLD for i in score if truth[i]]) > 0.8
     assert np.mean([score[i] >= toxicity.THRESHOLD for i in score if not truth[i]]) < 0.05
-    assert 600 < given["drawn"].sum() < 1000
-    assert (given["positive"] & given["drawn"]).sum() / given["drawn"].sum() == pytest.approx(given["prior"], abs=0.06)
+    assert 650 < given["drawn"].sum() < 950 and 200 < given["positive"].sum() < 400
+    assert (given["positive"] & given["drawn"]).sum() < 0.6 * given["positive"].sum()  # drawn apart
+
+
+def test_forward_pass_against_a_plain_version():
+    """Bags of passages, by hand: features, encoder, gate, softmax, weighted sum, score."""
+    texts = ["one two three " * 80, "", "Short! text | 12", "a b a b " * 300]
+    m = quality.AttentionModel(quality.INPUTS)
+    rng = np.random.default_rng(6)
+    m.mean, m.scale = rng.normal(size=quality.INPUTS) * 0.1, rng.random(quality.INPUTS) + 0.5
+    got = quality._scores(m, texts)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for text, score in zip(texts, got):
+        words = text.split()
+        hs, es = [], []
+        for i in range(0, max(1, len(words)), quality.PASSAGE_WORDS):
+            part = words[i : i + quality.PASSAGE_WORDS]
+            slots = np.zeros(quality.WORD_SLOTS)
+            for w in part:
+                slots[zlib.crc32(w.lower().encode()) % quality.WORD_SLOTS] += 1 / len(part)
+            x = np.concatenate([quality.passage_features(part), slots])
+            h = np.tanh(np.clip((x - m.mean) / m.scale, -8, 8) @ m.p["W"] + m.p["b"])
+            hs.append(h)
+            es.append(np.exp((np.tanh(h @ m.p["V"]) * sig(h @ m.p["U"])) @ m.p["w"]))
+        z = sum(e * h for e, h in zip(es, hs)) / sum(es)
+        assert score == pytest.approx(sig(z @ m.p["c"] + m.p["c0"][0]), abs=1e-5)
+    long = "w " * (quality.PASSAGE_WORDS * 200)
+    assert len(quality.bag(long)) == 200 and len(quality.bag(long, 64)) == 64
