@@ -5,13 +5,16 @@ which slots are hit by two rows or more. Pass two probes that filter: a row
 with a slot of its own cannot have a copy and passes straight through; only
 the rest shuffle, grouped by the SHA-256 of the normalised text.
 
-The filter has a fixed upper size (``max_filter_bytes``), so what is broadcast
-is bounded whatever the input. Where the rows outnumber its slots it could no
-longer tell rows apart; then all rows take the shuffle, which is exact too.
+The filter grows with the rows, 16 slots for each, as a table of blocks of 4 KB.
+Rows meet their block in a join: up to ``max_filter_bytes`` of blocks are
+broadcast, beyond that hash and block meet in a shuffle of the hashes (some 70
+bytes a row, never texts), which adaptive execution splits where many rows
+share a text. So the same rows pass at any size.
 
 Defined results: null text = empty text; of rows with equal text the smallest
-doc_id stays, null ids last, and of repeated rows exactly one; an empty table
-gives an empty result.
+doc_id stays, null ids last, and of repeated rows exactly one; rows that equal
+each other in id and text are told apart where each has its verdict; an empty
+table gives an empty result; extra columns, whatever their names, pass.
 """
 
 from __future__ import annotations
@@ -31,13 +34,10 @@ def normalised(text_col: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", " ")
 
 
-def _filter_blocks(rows: int, max_filter_bytes: int) -> int:
-    """Blocks of the filter (a power of two), or 0 if the rows outnumber it."""
-    most = max(1, max_filter_bytes * 8 // BLOCK_BITS)
-    if rows > most * BLOCK_BITS // 2:
-        return 0
+def _filter_blocks(rows: int) -> int:
+    """Blocks of the filter: a power of two, as many as the bits of a hash that the slots don't use can tell apart."""
     blocks = 1
-    while blocks * BLOCK_BITS < rows * SLOTS_PER_ROW and blocks * 2 <= most:
+    while blocks * BLOCK_BITS < rows * SLOTS_PER_ROW and blocks < 1 << 24:
         blocks *= 2
     return blocks
 
@@ -66,9 +66,12 @@ def repeated_slots(rows: DataFrame, blocks: int) -> DataFrame:
     return twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
-def _maybe(rows: DataFrame, blocks: int, bitmaps: DataFrame, hash_col: str = "h") -> DataFrame:
+def _maybe(rows: DataFrame, blocks: int, bitmaps: DataFrame, max_filter_bytes: int, hash_col: str = "h") -> DataFrame:
     """``rows`` with _sv_maybe: whether the filter says that their hash may be repeated."""
-    probed = rows.withColumns({f"_sv_{k}": c for k, c in _slots(blocks, hash_col).items()}).join(F.broadcast(bitmaps.select(F.col("block").alias("_sv_block"), F.col("bitmap").alias("_sv_bitmap"))), "_sv_block", "left")
+    at = bitmaps.select(F.col("block").alias("_sv_block"), F.col("bitmap").alias("_sv_bitmap"))
+    if blocks * BLOCK_BITS // 8 <= max_filter_bytes:
+        at = F.broadcast(at)
+    probed = rows.withColumns({f"_sv_{k}": c for k, c in _slots(blocks, hash_col).items()}).join(at, "_sv_block", "left")
     both = _is_set(F.col("_sv_bitmap"), F.col("_sv_bit1")) & _is_set(F.col("_sv_bitmap"), F.col("_sv_bit2"))
     return probed.withColumn("_sv_maybe", F.coalesce(both, F.lit(False))).drop("_sv_block", "_sv_bit1", "_sv_bit2", "_sv_bitmap")
 
@@ -87,20 +90,20 @@ def _hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 8 << 20) -> DataFrame:
     """Per row: doc_id, row_key, keep_id, group_size, kept, text_sha256 (binary)."""
     rows = _hashes(docs, id_col, text_col)
-    blocks = _filter_blocks(rows.count(), max_filter_bytes)
-    return _verdicts(rows, blocks, repeated_slots(rows, blocks) if blocks else None)
+    return _verdicts(rows, _filter(rows), max_filter_bytes)
 
 
-def _verdicts(rows: DataFrame, blocks: int, bitmaps: DataFrame | None) -> DataFrame:
-    alone = lambda df: df.select(
+def _filter(rows: DataFrame) -> tuple[int, DataFrame]:
+    blocks = _filter_blocks(rows.count())
+    return blocks, materialize(repeated_slots(rows, blocks), "exact-filter")
+
+
+def _verdicts(rows: DataFrame, found: tuple[int, DataFrame], max_filter_bytes: int) -> DataFrame:
+    probed = _maybe(rows, *found, max_filter_bytes)
+    candidates = probed.where("_sv_maybe").select("doc_id", "row_key", "sha", "rid")
+    passed = probed.where("not _sv_maybe").select(
         "doc_id", "row_key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
-    if bitmaps is None:
-        candidates, passed = rows, None
-    else:
-        probed = _maybe(rows, blocks, bitmaps)
-        keep = ["doc_id", "row_key", "sha", "rid"]
-        candidates, passed = probed.where("_sv_maybe").select(keep), alone(probed.where("not _sv_maybe"))
     # The group table is combined before its shuffle: a group of any size costs one row a task.
     groups = candidates.groupBy("sha").agg(
         F.count(F.lit(1)).alias("group_size"),
@@ -115,25 +118,26 @@ def _verdicts(rows: DataFrame, blocks: int, bitmaps: DataFrame | None) -> DataFr
         (F.col("rid") == F.col("first.rid")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
-    return judged if passed is None else passed.unionByName(judged)
+    return passed.unionByName(judged)
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` without the rows that repeat an earlier text; columns unchanged.
 
     The filter holds for the rows themselves too: those that can't be repeated
-    pass straight through, and only the rest meet the verdicts in a join.
+    pass straight through, and only the rest meet the verdicts in a join. Where
+    the filter is too large to be broadcast, texts would have to be shuffled to
+    meet their block, so there all rows meet the verdicts instead.
     """
     rows = _hashes(docs, id_col, text_col)
-    blocks = _filter_blocks(rows.count(), max_filter_bytes)
-    bitmaps = materialize(repeated_slots(rows, blocks), "exact-filter") if blocks else None
-    verdicts = materialize(_verdicts(rows, blocks, bitmaps).where("group_size > 1").select("row_key", "kept"), "exact-verdicts")
+    blocks, bitmaps = _filter(rows)
+    verdicts = materialize(_verdicts(rows, (blocks, bitmaps), max_filter_bytes).where("group_size > 1").select("row_key", "kept"), "exact-verdicts")
     by_key = verdicts.groupBy("row_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     losers = by_key.where("not kept").select(F.col("row_key").alias("_sv_key"))
     repeated = by_key.where("kept and n > 1").select(F.col("row_key").alias("_sv_key"))
     keyed, passed = docs, None
-    if bitmaps is not None:
-        hashed = _maybe(docs.withColumn("_sv_h", F.xxhash64(F.unhex(F.sha2(normalised(text_col), 256)))), blocks, bitmaps, "_sv_h").drop("_sv_h")
+    if blocks * BLOCK_BITS // 8 <= max_filter_bytes:
+        hashed = _maybe(docs.withColumn("_sv_h", F.xxhash64(F.unhex(F.sha2(normalised(text_col), 256)))), blocks, bitmaps, max_filter_bytes, "_sv_h").drop("_sv_h")
         passed, keyed = hashed.where("not _sv_maybe").select(docs.columns), hashed.where("_sv_maybe").select(docs.columns)
     keyed = keyed.withColumn("_sv_key", row_key(id_col, text_col))
     kept = keyed.join(losers, "_sv_key", "left_anti")

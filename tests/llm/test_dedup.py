@@ -24,26 +24,32 @@ def exact_plain(rows):
 
 
 @pytest.mark.parametrize("filter_bytes", [8 << 20, 0])
-def test_exact(make_docs, odd_rows, filter_bytes, monkeypatch):
+def test_exact(make_docs, odd_rows, filter_bytes):
+    """With the filter broadcast, and with it met in a shuffle."""
     rng = random.Random(1)
     rows = odd_rows + [(100 + i, rng.choice(["a b", "a  b", "a\tb", f"t{i % 40}"])) for i in range(300)]
-    if not filter_bytes:
-        monkeypatch.setattr(exact_dedup, "_filter_blocks", lambda *_: 0)  # as where the rows outnumber the filter
-    got = exact_dedup.exact_dedup(make_docs(rows)).collect()
+    got = exact_dedup.exact_dedup(make_docs(rows), max_filter_bytes=filter_bytes).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=repr) == exact_plain(rows)
-    kept = exact_dedup.keep_first_copies(make_docs(rows))
+    kept = exact_dedup.keep_first_copies(make_docs(rows), max_filter_bytes=filter_bytes)
     assert kept.count() == sum(x[3] for x in exact_plain(rows)) and kept.columns == make_docs(rows).columns
 
 
-def test_filter_is_bounded():
-    assert exact_dedup._filter_blocks(10**12, 8 << 20) == 0
-    assert exact_dedup._filter_blocks(20_000_000, 8 << 20) <= 2048
-    assert exact_dedup._filter_blocks(0, 8 << 20) == 1
+def test_filter_grows_with_the_rows():
+    for rows in (0, 1, 10**4, 10**7, 10**10):
+        slots = exact_dedup._filter_blocks(rows) * exact_dedup.BLOCK_BITS
+        assert 16 * rows <= slots <= max(32 * rows, exact_dedup.BLOCK_BITS)
 
 
-def test_a_small_filter_still_gives_whole_results(make_docs):
-    rows = [(i, f"t{i % 7000}") for i in range(9000)]
-    got = exact_dedup.exact_dedup(make_docs(rows), max_filter_bytes=4096)  # 32768 slots for 9000 rows
+def test_only_possible_repeats_are_grouped(spark, make_docs):
+    """Of texts that all differ, the filter lets pass all but a few, broadcast or not."""
+    rows = exact_dedup._hashes(make_docs([(i, f"text {i}") for i in range(20_000)]), "doc_id", "text")
+    for most in (8 << 20, 0):
+        assert exact_dedup._maybe(rows, *exact_dedup._filter(rows), most).where("_sv_maybe").count() < 600
+
+
+def test_a_crowded_filter_still_gives_whole_results(make_docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_filter_blocks", lambda rows: 1)  # 32768 slots for 9000 rows
+    got = exact_dedup.exact_dedup(make_docs([(i, f"t{i % 7000}") for i in range(9000)]))
     assert got.where("kept").count() == 7000
 
 
