@@ -23,13 +23,15 @@ _FOLDER = "silvatrix"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    is made and set.
+    Only where a session of one process has none, as in tests, a temporary
+    folder is made and set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="silvatrix-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,15 +49,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if f"/{_FOLDER}/" not in f:
-            raise ValueError(f"not a table of this library: {f}")
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`materialize`, once nothing needs them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            if f"/{_FOLDER}/" not in f:
+                raise ValueError(f"not a table of this library: {f}")
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_position(docs: DataFrame, *names: str) -> tuple[DataFrame, ...]:
+    """``docs`` with its columns named by their place, and what ``names`` are called in it.
+
+    Names of an operator's own can't clash with these; ``toDF`` gives the old ones back.
+    """
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), *[f"c{docs.columns.index(n)}" for n in names]
 
 
 def text_or_empty(text_col: str = "text") -> Column:

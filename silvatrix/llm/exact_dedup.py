@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_or_empty
+from .common import by_position, materialize, row_key, text_or_empty
 
 #: Bits of a block: what bitmap_construct_agg makes.
 BLOCK_BITS = 32768
@@ -129,6 +129,8 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the filter is too large to be broadcast, texts would have to be shuffled to
     meet their block, so there all rows meet the verdicts instead.
     """
+    names = docs.columns
+    docs, id_col, text_col = by_position(docs, id_col, text_col)
     rows = _hashes(docs, id_col, text_col)
     blocks, bitmaps = _filter(rows)
     verdicts = materialize(_verdicts(rows, (blocks, bitmaps), max_filter_bytes).where("group_size > 1").select("row_key", "kept"), "exact-verdicts")
@@ -144,4 +146,4 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if repeated.take(1):  # the row that stays is there several times, identical in id and text
         kept = kept.join(repeated, "_sv_key", "left_anti").unionByName(kept.join(repeated, "_sv_key", "left_semi").dropDuplicates(["_sv_key"]))
     kept = kept.drop("_sv_key")
-    return kept if passed is None else passed.unionByName(kept)
+    return (kept if passed is None else passed.unionByName(kept)).toDF(*names)

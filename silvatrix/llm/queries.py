@@ -15,7 +15,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .packing import pack
 from .simhash import near_duplicates
-from .suffix_dedup import repeated_spans
+from .suffix_dedup import PASSAGE, repeated_spans
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,14 +26,17 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_spans(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["b"])
+    """The contract's 400 bytes; and what lies in repeated passages of over 50 words, as the pipeline takes them."""
+    found = repeated_spans(table(spark, sf_dir, "documents"), passage=PASSAGE)
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["b"])
     return found.select(
         "doc_id",
-        (F.octet_length("kept") + removed).alias("n_bytes"),
-        removed.alias("n_removed"),
+        (F.octet_length("kept") + size("spans")).alias("n_bytes"),
+        size("spans").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
+        size("passages").alias("passage_bytes"),
     )
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_or_empty
+from .common import by_position, materialize, row_key, text_or_empty
 from .components import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -145,6 +145,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; columns unchanged."""
-    losers = near_duplicates(docs, id_col, text_col).where("not (doc_id <=> component_id)").select(F.col("row_key").alias("_sv_key")).distinct()
-    return docs.withColumn("_sv_key", row_key(id_col, text_col)).join(materialize(losers, "near-losers"), "_sv_key", "left_anti").drop("_sv_key")
+    """``docs`` without the rows whose component has a smaller doc_id; columns unchanged.
+
+    Rows of a component that share its smallest doc_id all stay, and so do
+    those with a null id where a component has no other.
+    """
+    rows, ident, text = by_position(docs, id_col, text_col)
+    losers = near_duplicates(rows, ident, text).where("not (doc_id <=> component_id)").select(F.col("row_key").alias("_sv_key")).distinct()
+    return rows.withColumn("_sv_key", row_key(ident, text)).join(materialize(losers, "near-losers"), "_sv_key", "left_anti").drop("_sv_key").toDF(*docs.columns)

@@ -25,23 +25,32 @@ can be, and equal contexts count once:
    one task: its windows are hashed (128 bits) and counted instead, which
    spreads over the cluster and combines before the shuffle.
 
+A corpus is better rid of whole passages than of phrases, so runs of removed
+bytes may be asked to hold a number of words: :data:`PASSAGE` is over 50 words,
+found by strings of 200 bytes, which 50 words of three letters have.
+
 Defined results: null text = empty text; a text under ``length`` bytes keeps
 all; rows that repeat a text lose all of it, the first one included (strings
-are judged on the input); an empty table gives an empty result. Documents of
-any length are worked through in segments.
+are judged on the input); an empty table gives an empty result; extra columns,
+whatever their names, pass. Documents of any length are worked through in
+segments.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_or_empty
+from .common import by_position, discard, materialize, row_key, text_or_empty
 from .suffix_sort import deep_shallow_sort
 
+#: Length of the strings, and words that a run of them has at least, of a repeated passage.
+PASSAGE = (200, 51)
 #: Starts of windows that are hashed at a time.
 SEGMENT = 1 << 18
 #: Different contexts that a bucket may have to be sorted by one task.
@@ -292,48 +301,68 @@ def _sort_batches(length: int):
     return run
 
 
-def _merged(found: list[dict] | None) -> list[dict]:
-    """Spans joined where they touch, in order."""
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _merged(found: list[dict] | None, text: bytes = b"", words: int = 0) -> list[dict]:
+    """Spans joined where they touch, in order; of these the ones that hold that many words, or parts of words."""
     runs: list[dict] = []
     for x in sorted(found or (), key=lambda x: x["b"]):
         if runs and x["b"] <= runs[-1]["e"]:
             runs[-1]["e"] = max(runs[-1]["e"], x["e"])
         else:
             runs.append({"b": x["b"], "e": x["e"]})
-    return runs
+    return [x for x in runs if len(_WORD.findall(text, x["b"], x["e"])) >= words] if words else runs
+
 
+_SPANS = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
 
-def _removal_batches(batches):
-    for batch in _slices(batches):
-        kept, spans = [], []
-        for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist()):
-            text, runs = text or b"", _merged(found)
-            edges = [0, *(v for x in runs for v in (x["b"], x["e"])), len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            spans.append(runs)
-        kinds = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(spans, kinds), pa.array(kept, pa.binary())], ["doc_id", "row_key", "spans", "kept"])
+
+def _removal_batches(words: int, passage_words: int):
+    def run(batches):
+        for batch in _slices(batches):
+            kept, spans, passages = [], [], []
+            for text, found, more in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), batch.column("more").to_pylist()):
+                runs = _merged(found, text, words)
+                edges = [0, *(v for x in runs for v in (x["b"], x["e"])), len(text)]
+                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                spans.append(runs)
+                passages.append(_merged(more, text, passage_words))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(spans, _SPANS), pa.array(kept, pa.binary()), pa.array(passages, _SPANS)], ["doc_id", "row_key", "spans", "kept", "passages"]
+            )
+
+    return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, large: int = LARGE) -> DataFrame:
-    """Per row: doc_id, row_key, spans (array of b, e: byte offsets removed), kept (binary)."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int = 0, large: int = LARGE, passage: tuple[int, int] | None = None) -> DataFrame:
+    """Per row: doc_id, row_key, spans (array of b, e: byte offsets removed), kept (binary), passages.
+
+    ``passages`` are the spans by another ``passage`` = (length, words), which are only told, not removed.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text_or_empty(text_col).alias("text"))
-    found = found_spans(texts.select("row_key", "text"), length, large)
-    return texts.join(found, "row_key", "left").select("doc_id", "row_key", "text", "found").mapInArrow(_removal_batches, "doc_id long, row_key binary, spans array<struct<b:long,e:long>>, kept binary")
+    keyed = texts.select("row_key", "text")
+    found = found_spans(keyed, length, large)
+    more = found_spans(keyed, passage[0], large).withColumnRenamed("found", "more") if passage else found.select("row_key", F.lit(None).cast("array<struct<b:long,e:long>>").alias("more")).limit(0)
+    both = texts.join(found, "row_key", "left").join(more, "row_key", "left").select("doc_id", "row_key", "text", "found", "more")
+    kind = "array<struct<b:long,e:long>>"
+    return both.mapInArrow(_removal_batches(words, passage[1] if passage else 0), f"doc_id long, row_key binary, spans {kind}, kept binary, passages {kind}")
 
 
 def found_spans(keyed: DataFrame, length: int = 400, large: int = LARGE) -> DataFrame:
     """(row_key, found): spans of texts (row_key, text) to remove, not merged yet; rows without any are left out."""
     if not 2 <= length < 1 << (_REACH - 1):
         raise ValueError("length has to be from 2 to 2047")
-    met = materialize(keyed.where(F.octet_length("text") >= length).mapInArrow(_anchor_batches(length), "h long, ctx long, row_key binary, place long, extra long, n long"), "anchors")
+    all_anchors = materialize(keyed.where(F.octet_length("text") >= length).mapInArrow(_anchor_batches(length), "h long, ctx long, row_key binary, place long, extra long, n long"), "anchors")
     # A table of its own, not an aggregate below the join: then a gram that fills a partition can be split there.
-    buckets = met.groupBy("h").agg(F.sum("n").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
-    met = materialize(met.join(materialize(buckets, "buckets"), "h"), "anchors-met")
+    buckets = all_anchors.groupBy("h").agg(F.sum("n").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    buckets = materialize(buckets, "buckets")
+    met = materialize(all_anchors.join(buckets, "h"), "anchors-met")
     kinds = materialize(met.groupBy("h", "ctx", "mixed").agg(F.sum("n").alias("n"), F.min(F.struct("row_key", "place")).alias("rep")), "contexts")
+    discard(all_anchors, buckets)
 
     mixed = kinds.where("mixed")
-    sizes = mixed.groupBy("h").agg((F.count(F.lit(1)) > large).alias("large"))
+    sizes = materialize(mixed.groupBy("h").agg((F.count(F.lit(1)) > large).alias("large")), "bucket-sizes")
     wanted = mixed.join(sizes, "h").groupBy(F.col("rep.row_key").alias("row_key")).agg(F.collect_list(F.struct("h", "ctx", F.col("rep.place").alias("place"), "large", "n")).alias("wanted"))
     contexts = keyed.join(wanted, "row_key").select("text", "wanted").mapInArrow(_context_batches(length), _CONTEXT)
     contexts = materialize(contexts, "context-texts")
@@ -348,35 +377,43 @@ def found_spans(keyed: DataFrame, length: int = 400, large: int = LARGE) -> Data
     at = F.shiftright("place", 2 * _REACH)
     copies = kinds.where("n > 1").select("h", "ctx", F.lit(reach_mask).alias("reach_l"), F.lit(reach_mask).alias("reach_r"))
     covered = materialize(sorted_ones.unionByName(counted).unionByName(copies).groupBy("h", "ctx").agg(F.max("reach_l").alias("reach_l"), F.max("reach_r").alias("reach_r")), "covered")
+    discard(contexts, sizes, kinds)
     found = met.join(covered, ["h", "ctx"]).select("row_key", (at - F.least(before, F.col("reach_l"))).alias("b"), (at + F.least(after, F.col("reach_r")) + F.col("extra")).alias("e"))
-    return found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("b", "e")).alias("found"))
+    found = materialize(found.distinct().groupBy("row_key").agg(F.collect_list(F.struct("b", "e")).alias("found")), "found")
+    discard(met, covered)
+    return found
 
 
-def _whole_characters(batches):
+def _whole_characters(text_col: str, words: int):
     """Spans shrunk to whole characters, so what stays is text again."""
-    for batch in _slices(batches):
-        texts, out = batch.column("text").cast(pa.binary()).to_pylist(), []
-        for text, spans in zip(texts, batch.column("_sv_spans").to_pylist()):
-            parts, at = [], 0
-            for x in _merged(spans):
-                b, e = x["b"], x["e"]
-                while b < e and text[b] & 0xC0 == 0x80:
-                    b += 1
-                while e > b and e < len(text) and text[e] & 0xC0 == 0x80:
-                    e -= 1
-                parts.append(text[at:b])
-                at = e
-            out.append(None if text is None else b"".join([*parts, text[at:]]).decode("utf-8", "replace"))
-        names = [c for c in batch.schema.names if c not in ("_sv_spans", "_sv_key")]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
-
-
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs`` with repeated strings cut from ``text``; other columns unchanged.
+
+    def run(batches):
+        for batch in _slices(batches):
+            texts, out = batch.column(text_col).cast(pa.binary()).to_pylist(), []
+            for text, spans in zip(texts, batch.column("_sv_spans").to_pylist()):
+                parts, at = [], 0
+                for x in _merged(spans, text, words):
+                    b, e = x["b"], x["e"]
+                    while b < e and text[b] & 0xC0 == 0x80:
+                        b += 1
+                    while e > b and e < len(text) and text[e] & 0xC0 == 0x80:
+                        e -= 1
+                    parts.append(text[at:b])
+                    at = e
+                out.append(None if text is None else b"".join([*parts, text[at:]]).decode("utf-8", "replace"))
+            names = [c for c in batch.schema.names if c != "_sv_spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in names], names)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated strings cut from its texts, of runs that hold at least so many words; other columns unchanged.
 
     A cut is shrunk to whole characters. Rows whose text is cut empty stay.
     """
-    keyed = docs.withColumn("_sv_key", row_key())
-    found = found_spans(keyed.select(F.col("_sv_key").alias("row_key"), text_or_empty().alias("text")), length)
+    rows, ident, text = by_position(docs, id_col, text_col)
+    keyed = rows.withColumn("_sv_key", row_key(ident, text))
+    found = found_spans(keyed.select(F.col("_sv_key").alias("row_key"), text_or_empty(text).alias("text")), length)
     found = found.select(F.col("row_key").alias("_sv_key"), F.col("found").alias("_sv_spans"))
-    return keyed.join(found, "_sv_key", "left").select(*docs.columns, "_sv_spans").mapInArrow(_whole_characters, docs.schema)
+    return keyed.join(found, "_sv_key", "left").select(*rows.columns, "_sv_spans").mapInArrow(_whole_characters(text, words), rows.schema).toDF(*docs.columns)

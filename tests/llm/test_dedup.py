@@ -176,6 +176,35 @@ def test_cut_text_stays_text(make_docs):
     assert out[3] is None and "\ufffd" not in out[1] + out[2] and out[1].endswith("end") and out[2].startswith("x")
 
 
+def test_passages_of_enough_words(make_docs):
+    """Only runs that hold the words go; the other setting tells them beside the removed bytes."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short, solid = text(30), text(8), "x" * 60
+    rows = [(i, f"{text(9)} {long} {text(9)} {short} {text(3)} {solid} {text(4)}") for i in range(3)] + [(9, text(40)), (10, None)]
+    plain = {i: spans for i, spans, _ in repeats_plain(rows, 20)}
+    out = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(make_docs(rows), 20, 29).collect()}
+    told = {r["doc_id"]: r for r in suffix_dedup.repeated_spans(make_docs(rows), length=25, passage=(20, 29)).collect()}
+    at_25 = {i: spans for i, spans, _ in repeats_plain(rows, 25)}
+    for i, t in rows:
+        data = (t or "").encode()
+        enough = [(b, e) for b, e in plain[i] if len(re.findall(rb"\S+", data[b:e])) >= 29]
+        assert [(x["b"], x["e"]) for x in told[i]["passages"]] == enough and len(enough) == (i < 3)
+        assert [(x["b"], x["e"]) for x in told[i]["spans"]] == at_25[i]
+        assert out[i] == (None if t is None else "".join(t[a:b] for a, b in zip([0, *[e for _, e in enough]], [*[b for b, _ in enough], len(t)])))
+
+
+def test_clashing_names_pass(spark):
+    """Columns named like the operators' own come back as they were."""
+    rows = [(i, f"t{i % 3} " * 90, f"k{i}", f"h{i}", "c") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sv_key string, _sv_h string, c0 string")
+    kept = sorted(map(tuple, exact_dedup.keep_first_copies(docs).collect()))
+    assert kept == rows[:3]
+    assert sorted(map(tuple, simhash.keep_one_of_each(docs).collect())) == rows[:3]
+    assert [r[2:] for r in sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))] == [r[2:] for r in rows]
+
+
 def test_sort_of_long_common_prefixes():
     buf = b"abcabcabcabcabcabcabcabcabcabcabcabcabcabcabd" * 3
     starts = list(range(len(buf)))
