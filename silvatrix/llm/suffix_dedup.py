@@ -384,8 +384,27 @@ def found_spans(keyed: DataFrame, length: int = 400, large: int = LARGE) -> Data
     return found
 
 
+_SPACES = b" \t\n\v\f\r"
+
+
+def _shrunk(text: bytes, b: int, e: int, words: bool) -> tuple[int, int]:
+    """A span cut down to whole characters, or to whole words with white space between what is on both sides."""
+    if words:
+        while b < e and b and text[b] not in _SPACES and text[b - 1] not in _SPACES:
+            b += 1
+        while e > b and e < len(text) and text[e] not in _SPACES and text[e - 1] not in _SPACES:
+            e -= 1
+        if b < e and 0 < b and e < len(text) and text[b - 1] not in _SPACES and text[e] not in _SPACES:
+            b += 1
+    while b < e and text[b] & 0xC0 == 0x80:
+        b += 1
+    while e > b and e < len(text) and text[e] & 0xC0 == 0x80:
+        e -= 1
+    return b, e
+
+
 def _whole_characters(text_col: str, words: int):
-    """Spans shrunk to whole characters, so what stays is text again."""
+    """Texts without the spans, which are shrunk so that what stays is text again."""
 
     def run(batches):
         for batch in _slices(batches):
@@ -393,11 +412,7 @@ def _whole_characters(text_col: str, words: int):
             for text, spans in zip(texts, batch.column("_sv_spans").to_pylist()):
                 parts, at = [], 0
                 for x in _merged(spans, text, words):
-                    b, e = x["b"], x["e"]
-                    while b < e and text[b] & 0xC0 == 0x80:
-                        b += 1
-                    while e > b and e < len(text) and text[e] & 0xC0 == 0x80:
-                        e -= 1
+                    b, e = _shrunk(text, x["b"], x["e"], words > 0)
                     parts.append(text[at:b])
                     at = e
                 out.append(None if text is None else b"".join([*parts, text[at:]]).decode("utf-8", "replace"))
@@ -410,7 +425,8 @@ def _whole_characters(text_col: str, words: int):
 def remove_repeats(docs: DataFrame, length: int = 400, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated strings cut from its texts, of runs that hold at least so many words; other columns unchanged.
 
-    A cut is shrunk to whole characters. Rows whose text is cut empty stay.
+    A cut is shrunk to whole characters, or to whole words where ``words`` are
+    asked for. Rows whose text is cut empty stay.
     """
     rows, ident, text = by_position(docs, id_col, text_col)
     keyed = rows.withColumn("_sv_key", row_key(ident, text))

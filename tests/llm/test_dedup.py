@@ -192,7 +192,9 @@ def test_passages_of_enough_words(make_docs):
         enough = [(b, e) for b, e in plain[i] if len(re.findall(rb"\S+", data[b:e])) >= 29]
         assert [(x["b"], x["e"]) for x in told[i]["passages"]] == enough and len(enough) == (i < 3)
         assert [(x["b"], x["e"]) for x in told[i]["spans"]] == at_25[i]
-        assert out[i] == (None if t is None else "".join(t[a:b] for a, b in zip([0, *[e for _, e in enough]], [*[b for b, _ in enough], len(t)])))
+        whole = [(b, e) for b, e in enough for b, e in [suffix_dedup._shrunk(data, b, e, True)]]
+        assert out[i] == (None if t is None else "".join(t[a:b] for a, b in zip([0, *[e for _, e in whole]], [*[b for b, _ in whole], len(t)])))
+    assert suffix_dedup._shrunk(b"ab cd ef gh", 1, 7, True) == (3, 6)
 
 
 def test_clashing_names_pass(spark):
