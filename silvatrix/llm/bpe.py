@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 #: Chunks that a worker remembers, in each of two generations.
 REMEMBERED = 350_000
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
 
     def run(batches):
         tok = _tokenizer(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for at, texts in _portions(batch.column("text").to_pylist()):
                 ids = pa.array([x.astype(np.int32) for x in tok.encode_batch(texts)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), ids], ["doc_id", "ids"])
@@ -237,7 +237,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
 
     def run(batches):
         tok = _tokenizer(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for at, texts in _portions(batch.column("text").to_pylist()):
                 rows = []
                 for ids in tok.encode_batch(texts):

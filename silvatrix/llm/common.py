@@ -69,6 +69,17 @@ def by_position(docs: DataFrame, *names: str) -> tuple[DataFrame, ...]:
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), *[f"c{docs.columns.index(n)}" for n in names]
 
 
+#: Rows that are Python objects at a time.
+SLICE = 256
+
+
+def slices(batches, rows: int = SLICE):
+    """Arrow batches in parts of so many rows, so that a worker holds few of them as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_or_empty(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 

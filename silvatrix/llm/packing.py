@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_or_empty
+from .common import materialize, row_key, slices, text_or_empty
 
 SEQUENCE = 2048
 END_ID = 1
@@ -145,7 +145,7 @@ def _portions(texts: list[str], size: int = 2 << 20):
 def _piece_batches(path: str, keep_ids: bool, special_as_text: bool):
     def run(batches):
         tok = _tokenizer(path, special_as_text)
-        for batch in batches:
+        for batch in slices(batches, 2048):
             at = 0
             for texts in _portions(batch.column("text").to_pylist()):
                 rows: dict[str, list] = {k: [] for k in ("source", "start", "length", "ids_crc32", "doc_tokens", "ids")}

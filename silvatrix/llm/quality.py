@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, text_or_empty
+from .common import row_key, slices, text_or_empty
 from .features import sigmoid, spread
 from .toxicity import fold
 
@@ -70,7 +70,7 @@ def passage_features(words: list[str]) -> list[float]:
     ]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def _slot(word: str) -> int:
     return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_SLOTS
 
@@ -147,7 +147,7 @@ class AttentionModel:
 
 
 def _bag_batches(batches):
-    for batch in batches:
+    for batch in slices(batches):
         flat = [bag(t, MAX_PASSAGES).ravel() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(flat, pa.list_(pa.float32())), batch.column("quality")], ["doc_id", "features", "quality"])
 
@@ -183,12 +183,10 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column("text").to_pylist()
-                scores = np.ones(len(texts)) if model is None else _scores(model, texts)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), part.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "row_key", "held_out", "score"])
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            scores = np.ones(len(texts)) if model is None else _scores(model, texts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "row_key", "held_out", "score"])
 
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), (fold("doc_id", folds) == held_out).alias("held_out"), text_or_empty().alias("text"))
     scored = need.mapInArrow(run, "doc_id long, row_key binary, held_out boolean, score double")
@@ -204,9 +202,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield part if model is None else part.filter(pa.array(_scores(model, part.column("text").to_pylist()) >= threshold))
+        for batch in slices(batches):
+            yield batch if model is None else batch.filter(pa.array(_scores(model, batch.column("text").to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

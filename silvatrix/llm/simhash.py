@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_position, materialize, row_key, text_or_empty
+from .common import by_position, materialize, row_key, slices, text_or_empty
 from .components import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -80,7 +80,7 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint_batches(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         prints, hashes, counts, size = [], [], [], 0
         for i, text in enumerate(texts):

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_position, discard, materialize, row_key, text_or_empty
+from .common import by_position, discard, materialize, row_key, slices, text_or_empty
 from .suffix_sort import deep_shallow_sort
 
 #: Length of the strings, and words that a run of them has at least, of a repeated passage.
@@ -55,8 +55,6 @@ PASSAGE = (200, 51)
 SEGMENT = 1 << 18
 #: Different contexts that a bucket may have to be sorted by one task.
 LARGE = 8192
-#: Rows that are Python objects at a time.
-SLICE = 256
 _REACH = 12  # bits of a context's reach before and after its anchor
 
 
@@ -133,15 +131,9 @@ def _segments(texts: list[bytes], length: int):
         yield portion
 
 
-def _slices(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def _anchor_batches(length: int):
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             keys = batch.column("row_key")
             for portion in _segments(texts, length):
@@ -171,7 +163,7 @@ def _context_batches(length: int):
     """Texts with the places wanted of them, to contexts; large buckets give window hashes."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             rows = {"h": [], "ctx": [], "before": [], "after": [], "window": [], "r": [], "n": []}
             size = 0
             for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
@@ -320,7 +312,7 @@ _SPANS = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
 
 def _removal_batches(words: int, passage_words: int):
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             kept, spans, passages = [], [], []
             for text, found, more in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), batch.column("more").to_pylist()):
                 runs = _merged(found, text, words)
@@ -407,7 +399,7 @@ def _whole_characters(text_col: str, words: int):
     """Texts without the spans, which are shrunk so that what stays is text again."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             texts, out = batch.column(text_col).cast(pa.binary()).to_pylist(), []
             for text, spans in zip(texts, batch.column("_sv_spans").to_pylist()):
                 parts, at = [], 0

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, slices, text_or_empty
 from .features import WORD, HashedWords, sigmoid
 
 BITS = 17
@@ -58,7 +58,7 @@ def fold(id_col: str, folds: int) -> Column:
 
 def _index_batches(batches):
     words = HashedWords(BITS, _parts)
-    for batch in batches:
+    for batch in slices(batches):
         rows = [np.sort(np.fromiter(words(WORD.findall(t.lower())), np.int32)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("positive"), batch.column("drawn")], ["features", "positive", "drawn"])
 
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, m
     telling = value != 0
 
     def only_telling(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [np.array(r, np.int32) for r in batch.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[telling[r]] for r in rows], pa.list_(pa.int32())), batch.column("positive"), batch.column("drawn")], ["features", "positive", "drawn"])
 
@@ -176,7 +176,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     def run(batches):
         w, b = shared.value
         words = HashedWords(BITS, _parts)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column("text").to_pylist():
                 idx = np.fromiter(words(WORD.findall(t.lower())), np.int32)
