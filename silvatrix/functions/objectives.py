@@ -133,13 +133,21 @@ def cox(df: DataFrame, y: str = "label", p: str = "margin", key: str = "row_id",
 
 @dataclass(frozen=True)
 class RankConfig:
-    """Pairs: ``full``, ``topk`` (one row of a pair among the k best) or ``mean`` (k sampled partners a row)."""
+    """How pairs of a group are made and weighed.
+
+    Pairs: ``full``; ``topk``, one row of a pair among the k best; or ``mean``,
+    k partners a row, drawn with replacement from the rows of other labels.
+    ``ndcg_k`` cuts the ideal gain at so many rows; with ``max_position`` pairs
+    whose rows both stand at or behind it have no weight (0: no such bound).
+    """
 
     pairs: str = "topk"
     k: int = 32
     normalize: bool | None = None  # none: unless full
     score_difference: bool = False
     seed: int = 0
+    ndcg_k: int = 0
+    max_position: int = 0
 
     @property
     def normalized(self) -> bool:
@@ -154,47 +162,61 @@ def ranked(df: DataFrame, label: str, pred: str, group: str, tie: str) -> DataFr
     })
 
 
-def pair_gradients(df: DataFrame, kind: str, config: RankConfig, label: str = "label", pred: str = "margin", group: str = "qid", tie: str = "row_id", w: str | None = None) -> DataFrame:
-    """(group, tie, grad, hess): RankNet lambdas, times |delta NDCG| for kind ``ndcg``.
+def drawn_number(seed: int, *of: Column) -> Column:
+    """A number of 32 bits from the MD5 of these, the same in any SQL engine with MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in of])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
 
-    The self-join is an equality on the group with the pair condition on top.
-    ``topk`` bounds it to k pairs a row; a hot group's side is split by
-    adaptive execution.
+def _pairs(base: DataFrame, config: RankConfig) -> DataFrame:
+    """(q, hi, lo): rows of a group of which the first has the larger label.
+
+    Each kind is an equality join whose rows grow with the group's rows, but
+    for ``full``, which is all pairs by its definition.
     """
+    rest = [c for c in base.columns if c != "q"]
+    one, two = base.select("q", F.struct(*rest).alias("x")), base.select("q", F.struct(*rest).alias("y"))
+    if config.pairs == "full":
+        return one.join(two, "q").where("x.y > y.y").select("q", F.col("x").alias("hi"), F.col("y").alias("lo"))
+    if config.pairs == "topk":
+        met = one.where(F.col("x._rank") < config.k).join(two, "q").where(F.expr(f"y._rank >= {config.k} OR x._rank < y._rank"))
+    elif config.pairs == "mean":
+        label, group = Window.partitionBy("q", "y"), Window.partitionBy("q")
+        sized = base.withColumns({"_from": F.min("_ideal").over(label), "_to": F.max("_ideal").over(label) + 1, "_n": F.count(F.lit(1)).over(group)})
+        others = F.col("_n") - F.col("_to") + F.col("_from")
+        draw = drawn_number(config.seed, F.col("q"), F.col("i"), F.col("_draw")) % others
+        draws = sized.where(others > 0).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(config.k - 1))))
+        draws = draws.select("q", F.struct(*rest).alias("x"), F.when(draw < F.col("_from"), draw).otherwise(draw - F.col("_from") + F.col("_to")).alias("_at"))
+        met = draws.join(two.withColumn("_at", F.col("y._ideal").cast("long")), ["q", "_at"])
+    else:
+        raise ValueError(f"no such pairs: {config.pairs}")
+    higher = F.expr("x.y > y.y")
+    return met.where("x.y <> y.y").select("q", F.when(higher, F.col("x")).otherwise(F.col("y")).alias("hi"), F.when(higher, F.col("y")).otherwise(F.col("x")).alias("lo"))
+
+
+def pair_gradients(df: DataFrame, kind: str, config: RankConfig, label: str = "label", pred: str = "margin", group: str = "qid", tie: str = "row_id", w: str | None = None) -> DataFrame:
+    """(group, tie, grad, hess): RankNet lambdas, times |delta NDCG| for kind ``ndcg``."""
     base = ranked(df, label, pred, group, tie).select(F.col(group).alias("q"), F.col(tie).alias("i"), F.col(label).cast("double").alias("y"), F.col(pred).cast("double").alias("s"), "_rank", weight(w).alias("w"), "_ideal")
+    gain = lambda y: F.pow(F.lit(2.0), F.col(y)) - 1
     discount = lambda r: 1 / F.log2(F.col(r) + 2)
-    gain = F.pow(F.lit(2.0), F.col("y")) - 1
+    ends = [F.lit(1.0).alias("best")]
     if kind == "ndcg":
-        best = base.groupBy("q").agg(F.sum(gain * discount("_ideal")).alias("best"))
-        base = base.join(best, "q")
-    else:
-        base = base.withColumn("best", F.lit(1.0))
-    if config.score_difference:
-        ends = base.groupBy("q").agg((F.max("s") != F.min("s")).alias("apart"))
-        base = base.join(ends, "q")
-    a, b = base.alias("a"), base.alias("b")
-    on = F.col("a.q") == F.col("b.q")
-    if config.pairs == "topk":  # either of the two is among the best k
-        on &= (F.col("a._rank") < config.k) | (F.col("b._rank") < config.k)
-    elif config.pairs == "mean":  # hashed partners: about k for each row of a group
-        size = base.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
-        base = base.join(size, "q")
-        a, b = base.alias("a"), base.alias("b")
-        draw = F.pmod(F.xxhash64(F.lit(config.seed), "a.q", F.least("a.i", "b.i"), F.greatest("a.i", "b.i")), F.lit(1 << 20))
-        on &= draw < F.lit(1 << 20) * F.lit(config.k) / F.col("a.n")
-    pairs = a.join(b, on & (F.col("a.y") > F.col("b.y")))
-    rho = 1 / (1 + F.exp(F.col("a.s") - F.col("b.s")))  # chance of the wrong order
+        counts = F.lit(True) if not config.ndcg_k else F.col("_ideal") < config.ndcg_k
+        ends = [F.sum(F.when(counts, gain("y") * discount("_ideal")).otherwise(0.0)).alias("best")]
+    of_group = base.groupBy("q").agg(*ends, (F.max("s") != F.min("s")).alias("apart"))
+    pairs = _pairs(base, config).join(of_group, "q")
+    rho = 1 / (1 + F.exp(F.col("hi.s") - F.col("lo.s")))  # chance of the wrong order
     delta = F.lit(1.0)
     if kind == "ndcg":
-        g = lambda s: F.pow(F.lit(2.0), F.col(f"{s}.y")) - 1
-        d = lambda s: 1 / F.log2(F.col(f"{s}._rank") + 2)
-        delta = F.when(F.col("a.best") > 0, F.abs((g("a") - g("b")) * (d("a") - d("b"))) / F.col("a.best")).otherwise(0.0)
+        delta = F.when(F.col("best") > 0, F.abs((gain("hi.y") - gain("lo.y")) * (discount("hi._rank") - discount("lo._rank"))) / F.col("best")).otherwise(0.0)
+        if config.max_position:
+            delta = F.when(F.least("hi._rank", "lo._rank") < config.max_position, delta).otherwise(0.0)
     if config.score_difference:
-        delta = F.when(F.col("a.apart"), delta / (F.abs(F.col("a.s") - F.col("b.s")) + 0.01)).otherwise(delta)
-    delta = delta * F.col("a.w") * F.col("b.w")
+        delta = F.when(F.col("apart"), delta / (F.abs(F.col("hi.s") - F.col("lo.s")) + 0.01)).otherwise(delta)
+    delta = delta * F.col("hi.w") * F.col("lo.w")
     lam = rho * delta
     hess = rho * (1 - rho) * delta if config.pairs == "full" and not config.normalized else 2 * _floor(rho * (1 - rho)) * delta
-    each = pairs.select(F.col("a.q").alias("q"), F.explode(F.array(F.struct(F.col("a.i").alias("i"), (-lam).alias("g"), hess.alias("h")), F.struct(F.col("b.i").alias("i"), lam.alias("g"), hess.alias("h")))).alias("x"), lam.alias("lam"))
+    each = pairs.select("q", F.explode(F.array(F.struct(F.col("hi.i").alias("i"), (-lam).alias("g"), hess.alias("h")), F.struct(F.col("lo.i").alias("i"), lam.alias("g"), hess.alias("h")))).alias("x"), lam.alias("lam"))
     sums = each.groupBy("q", F.col("x.i").alias("i")).agg(F.sum("x.g").alias("g"), F.sum("x.h").alias("h"), F.sum("lam").alias("lam"))
     if config.normalized:
         total = sums.groupBy("q").agg(F.sum("lam").alias("total"))  # each pair counted at both rows: twice the sum of lambdas
@@ -204,6 +226,15 @@ def pair_gradients(df: DataFrame, kind: str, config: RankConfig, label: str = "l
     return out.select(F.col("q").alias(group), F.col("i").alias(tie), F.coalesce("g", F.lit(0.0)).alias("grad"), _floor(F.coalesce("h", F.lit(0.0))).alias("hess"))
 
 
+def listwise_loss(df: DataFrame, label: str = "label", pred: str = "margin", group: str = "qid") -> DataFrame:
+    """(group, loss): cross entropy of softmax(label) and softmax(prediction)."""
+    win = Window.partitionBy(group)
+    soft = {n: F.exp(F.col(c) - F.max(c).over(win)) for n, c in (("_t", label), ("_p", pred))}
+    at = df.select(group, *[c.alias(n) for n, c in soft.items()])
+    sums = at.select(group, *[(F.col(n) / F.sum(n).over(win)).alias(n) for n in soft])
+    return sums.groupBy(group).agg((-F.sum(F.col("_t") * F.log(F.greatest("_p", F.lit(1e-15))))).alias("loss"))
+
+
 def listwise(df: DataFrame, label: str = "label", pred: str = "margin", group: str = "qid", w: str | None = None) -> DataFrame:
     """``df`` with grad = softmax(prediction) - softmax(label) within the group; groups of one get zeros."""
     win = Window.partitionBy(group)

@@ -7,9 +7,20 @@ are running-summed and added back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
+
+def in_blocks(df: DataFrame, order: Column, block: str = "_block") -> DataFrame:
+    """``df`` in ranges of ``order``, numbered in that order.
+
+    Bounds of ranges are sampled and partitions may be joined at run time, so
+    the table is stored with its numbers: whatever reads it sees the same ones.
+    """
+    return stored(df.repartitionByRange(order).withColumn(block, F.spark_partition_id()))
+
 
 def running_sum(df: DataFrame, key: str, value: str | list[str], to: str | list[str], ascending: bool = True) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows up to and with this ``key``.
@@ -19,8 +30,7 @@ def running_sum(df: DataFrame, key: str, value: str | list[str], to: str | list[
     """
     values, tos = ([value], [to]) if isinstance(value, str) else (value, to)
     order = F.col(key).asc() if ascending else F.col(key).desc()
-    # Persisted by its exchange: block numbers must be the same in both branches.
-    ranged = df.repartitionByRange(order).withColumn("_block", F.spark_partition_id())
+    ranged = in_blocks(df, order)
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.withColumns({t: F.sum(v).over(inside) for v, t in zip(values, tos)})
     totals = ranged.groupBy("_block").agg(*[F.sum(v).alias(f"_{t}") for v, t in zip(values, tos)])

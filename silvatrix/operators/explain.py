@@ -42,7 +42,7 @@ def _shares(t: Tree, cover: str) -> list[tuple[float, float]]:
 
     ``sums``: by the children's hessian sums. ``unit``: an inner node weighs its
     own hessian sum and a leaf weighs one, as models without statistics of
-    their leaves have it; shares then need not add up to one.
+    their tips have it; shares then need not add up to one.
     """
     if cover == "sums":
         both = [(t.child_cover(a), t.child_cover(b)) for a, b in zip(t.left, t.right)]
@@ -56,8 +56,8 @@ def _shares(t: Tree, cover: str) -> list[tuple[float, float]]:
     return [(weight(a) / weight(j), weight(b) / weight(j)) for j, (a, b) in enumerate(zip(t.left, t.right))]
 
 
-class _Leaves:
-    """A tree's leaves as (value, [(feature, share, [(node, goes left)])])."""
+class _Tips:
+    """A tree's tips as (value, [(feature, share, [(node, goes left)])])."""
 
     def __init__(self, t: Tree, cover: str = "sums"):
         shares = _shares(t, cover)
@@ -102,11 +102,11 @@ def _product(o: list[np.ndarray], z: list[float], rows: int) -> np.ndarray:
     return poly
 
 
-def _tree_shapley(leaves: _Leaves, x: np.ndarray, phi: np.ndarray, inter: np.ndarray | None = None) -> None:
+def _tree_shapley(tips: _Tips, x: np.ndarray, phi: np.ndarray, inter: np.ndarray | None = None) -> None:
     """Add a tree's values to phi (rows, outputs, features), and pairs to inter (rows, outputs, f, f)."""
-    left = leaves.decisions(x)
+    left = tips.decisions(x)
     n = len(x)
-    for value, parts in leaves.paths:
+    for value, parts in tips.paths:
         o = [np.logical_and.reduce([left[k] if go else ~left[k] for k, go in tests]).astype(float) for _, _, tests in parts]
         z = [p[1] for p in parts]
         m = len(parts)
@@ -125,23 +125,23 @@ def _tree_shapley(leaves: _Leaves, x: np.ndarray, phi: np.ndarray, inter: np.nda
                 inter[:, :, g, f] += add
 
 
-def shapley(m: Forest, x: np.ndarray, interactions: bool = False, compiled: list[_Leaves] | None = None, cover: str = "sums"):
+def shapley(m: Forest, x: np.ndarray, interactions: bool = False, compiled: list[_Tips] | None = None, cover: str = "sums"):
     """(rows, outputs, features) values, or with ``interactions`` (rows, outputs, features, features)."""
-    compiled = compiled or [_Leaves(t, cover) for t in m.trees]
+    compiled = compiled or [_Tips(t, cover) for t in m.trees]
     phi = np.zeros((len(x), m.n_outputs, m.n_features))
     pairs = np.zeros((len(x), m.n_outputs, m.n_features, m.n_features)) if interactions else None
     zero = np.zeros((1, m.n_features))
     scale = m.scale_of()
-    for i, leaves in enumerate(compiled):
-        dims = leaves.walk.values.shape[1]
+    for i, tips in enumerate(compiled):
+        dims = tips.walk.values.shape[1]
         one = np.zeros((len(x), dims, m.n_features))
         two = np.zeros((len(x), dims, m.n_features, m.n_features)) if interactions else None
-        if leaves.root >= 0:
-            _tree_shapley(leaves, x, one, two)
-            got = leaves.walk.values[leaves.walk.leaves(x)] - leaves.walk.values[leaves.walk.leaves(zero)]
-            if leaves.root < m.n_features:
-                one[:, :, leaves.root] += got - one.sum(2)
-        where = slice(None) if m.vector_leaves else slice(m.class_of(i), m.class_of(i) + 1)
+        if tips.root >= 0:
+            _tree_shapley(tips, x, one, two)
+            got = tips.walk.values[tips.walk.tips(x)] - tips.walk.values[tips.walk.tips(zero)]
+            if tips.root < m.n_features:
+                one[:, :, tips.root] += got - one.sum(2)
+        where = slice(None) if m.vector_tips else slice(m.class_of(i), m.class_of(i) + 1)
         w = m.weight_of(i) * scale
         phi[:, where] += one * w
         if interactions:
@@ -162,8 +162,8 @@ def path_shares(m: Forest, x: np.ndarray) -> np.ndarray:
         c = _Compiled(t)
         if not t.nodes:
             continue
-        at = c.leaves(x)
-        counts = np.zeros((t.leaves, m.n_features))
+        at = c.tips(x)
+        counts = np.zeros((t.tips, m.n_features))
         todo = [(0, [])]
         while todo:
             node, path = todo.pop()
@@ -176,7 +176,7 @@ def path_shares(m: Forest, x: np.ndarray) -> np.ndarray:
                         if f < m.n_features:
                             counts[~child, f] += 1 / len(path)
         add = c.values[at][:, :, None] * counts[at][:, None, :] * m.weight_of(i) * scale
-        if m.vector_leaves:
+        if m.vector_tips:
             phi += add
         else:
             phi[:, m.class_of(i)] += add[:, 0]
@@ -201,7 +201,7 @@ def explain_column(m: Forest | Linear, features: list[str], output: str, cover:
         kind = f"array<{kind}>"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        compiled = [_Leaves(t, cover) for t in m.trees] if output != "approx_contrib" else None
+        compiled = [_Tips(t, cover) for t in m.trees] if output != "approx_contrib" else None
         for part in parts:
             x = matrix([part[c] for c in part])
             if output == "interaction":
@@ -235,12 +235,12 @@ def importance(nodes: DataFrame, kind: str = "weight") -> DataFrame:
 
 
 def metadata(nodes: DataFrame) -> DataFrame:
-    """One row: trees, iterations, inner nodes, leaves, features used."""
+    """One row: trees, iterations, inner nodes, tips, features used."""
     return nodes.agg(
         F.countDistinct("tree_id").alias("n_trees"),
         F.countDistinct("iteration").alias("n_iterations"),
         F.sum(F.when(F.col("is_leaf"), 0).otherwise(1)).alias("n_nodes"),
-        F.sum(F.when(F.col("is_leaf"), 1).otherwise(0)).alias("n_leaves"),
+        F.sum(F.when(F.col("is_leaf"), 1).otherwise(0)).alias("n_tips"),
         (F.max("feature") + 1).alias("n_features"),
     )
 
@@ -256,7 +256,7 @@ def _test(m: Forest, t: Tree, j: int) -> str:
 
 
 def dump_text(m: Forest) -> str:
-    """Trees as indented text; leaves are numbered after the inner nodes."""
+    """Trees as indented text; tips are numbered after the inner nodes."""
     out = []
     for i, t in enumerate(m.trees):
         out.append(f"booster[{i}]:")

@@ -1,7 +1,7 @@
 """Thresholds in 128 steps a feature, and whether scores bear it.
 
 Quantization is a window over the node table: least and largest threshold by
-feature, a rounded step, and the threshold that the step stands for. Leaves and
+feature, a rounded step, and the threshold that the step stands for. Tips and
 categorical nodes stay as they are.
 """
 

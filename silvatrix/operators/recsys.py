@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import in_blocks
+
 # --- prepare -------------------------------------------------------------------
 
 
@@ -28,7 +30,7 @@ def assign_qids(train: DataFrame, test: DataFrame) -> DataFrame:
     Counts by range partition, then numbers within: no task orders all users.
     """
     users = train.select("User", F.lit("train").alias("split")).unionByName(test.select("User", F.lit("test").alias("split"))).distinct()
-    ranged = users.withColumn("_o", F.concat(F.when(F.col("split") == "train", "0").otherwise("1"), F.col("User").cast("string"))).repartitionByRange("_o").withColumn("_block", F.spark_partition_id())
+    ranged = in_blocks(users.withColumn("_o", F.concat(F.when(F.col("split") == "train", "0").otherwise("1"), F.col("User").cast("string"))), F.col("_o"))
     sizes = ranged.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
     ahead = sizes.select("_block", F.coalesce(F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     number = F.row_number().over(Window.partitionBy("_block").orderBy("_o")) - 1
@@ -104,6 +106,40 @@ def missing_qids(recalled: DataFrame, qids: DataFrame) -> DataFrame:
     return recalled.select("User").distinct().join(qids, "User", "left_anti")
 
 
+# --- train the ranker ------------------------------------------------------------------
+
+
+def train_ranker(train: DataFrame, test: DataFrame, features: list[str], rounds: int = 25, k: int = 10, seed: int = 42):
+    """(model, scored, report): LambdaMART on the training rows, the test rows with Score, and one row of NDCG@k of both."""
+    from ..functions import metrics, objectives
+    from ..plans import boosting
+    from . import scoring
+
+    columns = boosting.Columns(features, group="qid", row_id="Item")
+    config = boosting.Params("rank:ndcg", rounds=rounds, max_depth=4, eta=0.1, lam=1.0, method="hist", metric=f"ndcg@{k}", seed=seed, rank=objectives.RankConfig(ndcg_k=k))
+    model, _ = boosting.train(train, config, columns)
+    score = lambda df: scoring.predict(df, model, features, "margin", to="Score")
+    scored = score(test)
+    value = lambda df, name: metrics.evaluate(df, f"ndcg@{k}", "label", "Score", "qid", "Item").select(F.col("value").alias(name))
+    report = value(score(train), "train_ndcg").crossJoin(value(scored, "test_ndcg"))  # a row each
+    return model, scored, report.withColumns({"ndcg_k": F.lit(k), "rounds": F.lit(rounds), "objective": F.lit("rank:ndcg")})
+
+
+def run_pipeline(interactions: DataFrame, items: DataFrame, is_train: Column, n: int = 100, rounds: int = 25, k: int = 10, deck: int = 10, max_tag: int = 3, recent: DataFrame | None = None):
+    """Prepare, recall, convert, train, deal: (decks of the test users, log, report). ``recent`` rows (User, Item) are not dealt."""
+    from ..functions.storage import stored
+
+    clean = stored(dedupe_interactions(interactions))
+    catalog = stored(catalog_features(interactions, items))
+    users = clean.select("User").distinct()
+    train, test = split_users(clean, users.where(is_train), users.where(~is_train))
+    rows = stored(to_ranking(recall(clean, catalog, n), clean, assign_qids(train, test)))
+    features = ["recall_score", *[c for c in catalog.columns if c.startswith("feat_")]]
+    _, scored, report = train_ranker(rows.where("split = 'train'"), rows.where("split = 'test'"), features, rounds, k)
+    decks, log = deal(scored, test.where(F.lit(False)) if recent is None else recent, deck, max_tag)
+    return decks, log, report
+
+
 # --- deal -----------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Scoring: a model and feature columns to margins, values, leaves or contributions.
+"""Scoring: a model and feature columns to margins, values, tips or contributions.
 
 Two strategies give the same numbers. A handful of small trees becomes one
 nested CASE expression, which stays in generated code. More trees are walked
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ..functions import transforms
 from ..plans.model import ZERO, Forest, Linear, Tree
 
-#: Leaves up to which the CASE strategy is chosen.
-CASE_LEAVES = 64
+#: Tips up to which the CASE strategy is chosen.
+CASE_TIPS = 64
 
 
 def number(x: float) -> str:
@@ -68,10 +68,10 @@ def margin_sql(m: Forest, cols: list[str], output: int = 0, begin: int = 0, end:
     parts = []
     for i in m.between(begin, end):
         t = m.trees[i]
-        if not m.vector_leaves and m.class_of(i) != output:
+        if not m.vector_tips and m.class_of(i) != output:
             continue
         w = m.weight_of(i)
-        parts.append(tree_sql(t, cols, lambda k, t=t, w=w: number(w * float(t.leaf_value[k][output if m.vector_leaves else 0]))))
+        parts.append(tree_sql(t, cols, lambda k, t=t, w=w: number(w * float(t.leaf_value[k][output if m.vector_tips else 0]))))
     total = " + ".join(parts) or number(0.0)
     return f"({number(m.base_of(output))} + ({total}) * {number(m.scale_of(begin, end))})"
 
@@ -97,7 +97,7 @@ class _Compiled:
         self.feature, self.threshold = arr(t.feature, np.int32), arr(t.threshold, float)
         self.left, self.right = arr(t.left, np.int32), arr(t.right, np.int32)
         self.default, self.zero, self.nan = arr(t.default_left, bool), arr(t.missing_zero, bool), arr(t.missing_nan, bool)
-        self.values = np.array(t.leaf_value, float).reshape(max(1, t.leaves), -1)
+        self.values = np.array(t.leaf_value, float).reshape(max(1, t.tips), -1)
         self.strict = t.strict
         self.plain = not (any(t.missing_zero) or any(c is not None for c in t.categories))
         self.all_nan = bool(self.nan.all()) if self.n else True
@@ -125,7 +125,7 @@ class _Compiled:
                 left[here] = np.where(isnan[here] & uses_nan[here], self.default[j], np.isin(code, codes) & ok)
         return left & known
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
+    def tips(self, x: np.ndarray) -> np.ndarray:
         """Leaf number of each row."""
         at = np.zeros(len(x), np.int32)
         if not self.n:
@@ -138,20 +138,20 @@ class _Compiled:
         return ~at
 
 
-def forest_leaves(m: Forest, x: np.ndarray, trees: list[int]) -> list[np.ndarray]:
-    return [_Compiled(m.trees[i]).leaves(x) for i in trees]
+def forest_tips(m: Forest, x: np.ndarray, trees: list[int]) -> list[np.ndarray]:
+    return [_Compiled(m.trees[i]).tips(x) for i in trees]
 
 
 def forest_margins(m: Forest, x: np.ndarray, begin: int = 0, end: int | None = None, compiled: dict | None = None) -> np.ndarray:
     """(rows, outputs) margins."""
     total = np.zeros((len(x), m.n_outputs))
-    vector = m.vector_leaves
+    vector = m.vector_tips
     for i in m.between(begin, end):
         if compiled is None:
             c = _Compiled(m.trees[i])
         else:
             c = compiled.get(i) or compiled.setdefault(i, _Compiled(m.trees[i]))
-        v = c.values[c.leaves(x)] * m.weight_of(i)
+        v = c.values[c.tips(x)] * m.weight_of(i)
         if vector:
             total += v
         else:
@@ -185,7 +185,7 @@ def margins(m: Forest | Linear, cols: list[str], begin: int = 0, end: int | None
     if isinstance(m, Linear):
         return F.array(*[linear_margin(m, cols, k) for k in range(m.n_outputs)])
     if strategy == "auto":
-        strategy = "case" if sum(m.trees[i].leaves for i in m.between(begin, end)) <= CASE_LEAVES else "walk"
+        strategy = "case" if sum(m.trees[i].tips for i in m.between(begin, end)) <= CASE_TIPS else "walk"
     if strategy == "case":
         return F.array(*[F.expr(for_spark(margin_sql(m, cols, k, begin, end))) for k in range(m.n_outputs)])
     return _margins_column(m, cols, begin, end)
@@ -203,13 +203,13 @@ def linear_margin(m: Linear, cols: list[str], output: int = 0) -> Column:
 def leaf_indices(m: Forest, cols: list[str], begin: int = 0, end: int | None = None, strategy: str = "auto") -> Column:
     """array<int>: leaf numbers, all iterations of the first output first, then of the next."""
     trees = sorted(m.between(begin, end), key=lambda i: (m.class_of(i), i))
-    if strategy == "case" or strategy == "auto" and sum(m.trees[i].leaves for i in trees) <= CASE_LEAVES:
+    if strategy == "case" or strategy == "auto" and sum(m.trees[i].tips for i in trees) <= CASE_TIPS:
         return F.array(*[F.expr(for_spark(tree_sql(m.trees[i], cols, str))).cast("int") for i in trees])
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for part in parts:
             x = matrix([part[c] for c in part])
-            yield pd.Series(list(np.column_stack(forest_leaves(m, x, trees)).astype(np.int32)))
+            yield pd.Series(list(np.column_stack(forest_tips(m, x, trees)).astype(np.int32)))
 
     return _iter_udf(walk, "array<int>")(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]))
 
@@ -251,7 +251,7 @@ def walk_profile(df: DataFrame, m: Forest, features: list[str]) -> DataFrame:
             else:
                 todo += [(t.left[c], d + 1), (t.right[c], d + 1)]
         depth.append(steps)
-    lookup = [F.array(*[F.lit(s.get(i, 0)) for i in range(max(1, t.leaves))]) for s, t in zip(depth, m.trees)]
+    lookup = [F.array(*[F.lit(s.get(i, 0)) for i in range(max(1, t.tips))]) for s, t in zip(depth, m.trees)]
     order = sorted(range(len(m.trees)), key=lambda i: (m.class_of(i), i))
     at = predict(df, m, features, "leaf", "_leaf")
     steps = F.array(*[F.struct(F.lit(i).alias("tree_id"), F.get(lookup[i], F.get(F.col("_leaf"), F.lit(k))).alias("steps")) for k, i in enumerate(order)])

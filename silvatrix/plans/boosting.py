@@ -38,7 +38,7 @@ class Params:
     booster: str = "gbtree"  # gbtree, dart or gblinear
     method: str = "auto"  # auto, exact or hist
     max_depth: int = 6
-    max_leaves: int = 0
+    max_tips: int = 0
     min_hess: float = 1e-3
     lam: float = 0.0
     gamma: float = 0.0
@@ -143,13 +143,13 @@ class _Grown:
         left = f"{f} = {scoring.number(s['threshold'])}" if s["categorical"] else f"{f} <= {scoring.number(s['threshold'])}"
         return f"(CASE WHEN {left} THEN {self.node_sql(cols, 2 * at + 1)} ELSE {self.node_sql(cols, 2 * at + 2)} END)"
 
-    def limit_leaves(self, most: int) -> None:
-        """Keep splits in pre-order as long as the leaves stay within ``most``."""
-        leaves, keep, todo = 1, set(), [0]
+    def limit_tips(self, most: int) -> None:
+        """Keep splits in pre-order as long as the tips stay within ``most``."""
+        tips, keep, todo = 1, set(), [0]
         while todo:
             at = todo.pop()
-            if at in self.split and leaves < most:
-                leaves += 1
+            if at in self.split and tips < most:
+                tips += 1
                 keep.add(at)
                 todo += [2 * at + 2, 2 * at + 1]
         self.split = {k: v for k, v in self.split.items() if k in keep}
@@ -161,7 +161,7 @@ class _Grown:
             g, h, _ = self.sums[at]
             t.leaf_value.append([-g / (h + lam) * eta if h + lam else 0.0])
             t.leaf_cover.append(h)
-            return ~(t.leaves - 1)
+            return ~(t.tips - 1)
 
         def build(at: int) -> int:
             s = self.split.get(at)
@@ -198,8 +198,8 @@ def grow(work: DataFrame, p: Params, c: Columns, method: str, cuts: dict[str, li
             grown.sums[2 * n + 1] = (r["gl"], r["hl"], r["nl"])
             grown.sums[2 * n + 2] = (r["G"] - r["gl"], r["H"] - r["hl"], count - r["nl"])
             open_ += [2 * n + 1, 2 * n + 2]
-    if p.max_leaves > 0:
-        grown.limit_leaves(p.max_leaves)
+    if p.max_tips > 0:
+        grown.limit_tips(p.max_tips)
     return grown.tree(p.lam, eta)
 
 
@@ -249,8 +249,13 @@ def link(p: Params, margins: Column) -> Column:
 
 
 def evaluate(df: DataFrame, model, p: Params, c: Columns, metric: str = "") -> float:
+    return evaluate_margin(df.withColumn("margin", scoring.margins(model, c.features)), p, c, metric)
+
+
+def evaluate_margin(df: DataFrame, p: Params, c: Columns, metric: str = "") -> float:
+    """The metric of a table that has its margins already."""
     name = metric or p.metric or metrics.default_for(p.objective)
-    at = df.withColumn("_p", link(p, scoring.margins(model, c.features)))
+    at = df.withColumn("_p", link(p, F.col("margin")))
     return float(metrics.evaluate(at, name, c.label, "_p", c.group, c.row_id).first()["value"])
 
 
@@ -284,7 +289,9 @@ def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None
     binned = bool(cuts) and not p.per_node_bins
     if binned:  # once for all rounds
         data = data.withColumn("_bins", splits.bin_array(c.features, cuts))
-    state = data.withColumn("margin", scoring.margins(model, c.features) if model.trees else F.array(*[F.lit(model.base_of(k)) for k in range(p.outputs)])).persist()
+    start = lambda: scoring.margins(model, c.features) if model.trees else F.array(*[F.lit(model.base_of(k)) for k in range(p.outputs)])
+    state = data.withColumn("margin", start()).persist()
+    watch = None if eval_df is None else eval_df.withColumn("margin", start()).persist()
     pending: list[int] = []
     rng = np.random.default_rng(p.seed)
     better = (lambda a, b: a > b) if metrics.larger_is_better(history.metric) else (lambda a, b: a < b)
@@ -310,21 +317,28 @@ def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None
             model.tree_weight.append(1.0)
         if p.booster == "dart":
             _drop_trees(model, p, rng, len(new))
-        history.train.append(evaluate(data, model, p, c, history.metric))
-        if eval_df is not None:
-            history.eval.append(evaluate(eval_df, model, p, c, history.metric))
+        # Where old trees keep their weight only the new ones are scored.
+        scored = lambda at: at.withColumn("margin", scoring.margins(model, c.features)) if whole else with_trees(at, model, pending, c)
+        history.train.append(evaluate_margin(scored(state), p, c, history.metric))
+        if watch is not None:
+            history.eval.append(evaluate_margin(scored(watch), p, c, history.metric))
         watched = history.eval or history.train
         if history.best_round < 0 or better(watched[-1], watched[history.best_round - first]):
             history.best_round = r
         if not whole and len(pending) >= FOLD_ROUNDS * p.outputs * p.parallel_trees:
             old, state = state, fold_margin(with_trees(state, model, pending, c))
             old.unpersist()
+            if watch is not None:
+                old, watch = watch, fold_margin(with_trees(watch, model, pending, c))
+                old.unpersist()
             pending = []
         if checkpoint_path:
             save_checkpoint(model, r, p.objective, checkpoint_path)
         if any([cb(r, model, history) for cb in callbacks]) or p.early_stopping and r - history.best_round >= p.early_stopping:
             break
     state.unpersist()
+    if watch is not None:
+        watch.unpersist()
     return model, history
 
 

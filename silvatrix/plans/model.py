@@ -3,7 +3,7 @@
 A forest is small next to the data it scores, so it is a plain value that is
 shipped to the workers; :meth:`Forest.node_rows` gives the same model as rows,
 one for each node and leaf, for everything that is an aggregation over nodes.
-Leaves are numbered after the inner nodes of their tree, in one id space.
+Tips are numbered after the inner nodes of their tree, in one id space.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ class Tree:
         return len(self.feature)
 
     @property
-    def leaves(self) -> int:
+    def tips(self) -> int:
         return len(self.leaf_value)
 
     def depth(self) -> int:
@@ -61,7 +61,7 @@ class Tree:
         return deepest
 
     def child_cover(self, child: int) -> float:
-        """Hessian sum below a child; the number of its leaves where the model has no sums."""
+        """Hessian sum below a child; the number of its tips where the model has no sums."""
         if any(self.cover) or any(self.leaf_cover):
             return self.cover[child] if child >= 0 else self.leaf_cover[~child]
         return 1.0 if child < 0 else self.child_cover(self.left[child]) + self.child_cover(self.right[child])
@@ -72,7 +72,7 @@ class Forest:
     trees: list[Tree]
     n_features: int
     n_outputs: int = 1
-    #: Output that each tree adds to; None: tree i adds to i % n_outputs (or to all, for vector leaves).
+    #: Output that each tree adds to; None: tree i adds to i % n_outputs (or to all, for vector tips).
     tree_class: list[int] | None = None
     tree_weight: list[float] | None = None
     #: Trees before each iteration; None: n_outputs trees an iteration.
@@ -85,11 +85,11 @@ class Forest:
     name: str = "forest"
 
     @property
-    def vector_leaves(self) -> bool:
+    def vector_tips(self) -> bool:
         return any(len(v) > 1 for t in self.trees for v in t.leaf_value)
 
     def class_of(self, i: int) -> int:
-        return self.tree_class[i] if self.tree_class else (0 if self.vector_leaves else i % self.n_outputs)
+        return self.tree_class[i] if self.tree_class else (0 if self.vector_tips else i % self.n_outputs)
 
     def weight_of(self, i: int) -> float:
         return self.tree_weight[i] if self.tree_weight else 1.0
@@ -101,7 +101,7 @@ class Forest:
         """The iteration of each tree."""
         if self.iteration_begin:
             return [int(np.searchsorted(self.iteration_begin, i, "right")) - 1 for i in range(len(self.trees))]
-        per = 1 if self.vector_leaves else self.n_outputs
+        per = 1 if self.vector_tips else self.n_outputs
         return [i // per for i in range(len(self.trees))]
 
     @property
@@ -109,8 +109,8 @@ class Forest:
         return max(self.iteration_of(), default=-1) + 1
 
     @property
-    def n_leaves(self) -> int:
-        return sum(t.leaves for t in self.trees)
+    def n_tips(self) -> int:
+        return sum(t.tips for t in self.trees)
 
     def between(self, begin: int = 0, end: int | None = None) -> list[int]:
         """Trees of iterations from ``begin`` up to ``end``; nothing or too much means the last."""

@@ -3,18 +3,9 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
-
-
-def fold_margin(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, from ``spark.checkpoint.dir``; a folder is set only where there is none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="silvatrix-"))
-    return df.checkpoint()
+from ..functions.storage import stored as fold_margin  # noqa: F401
 
 
 def save_checkpoint(model, round_: int, objective: str, path: str) -> None:

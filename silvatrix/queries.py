@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, objectives, transforms
+from .functions.storage import stored
 from .operators import explain, quantize, recsys, scoring
 from .plans import boosting, splits
 from .plans.model import Linear, three_class_forest, tiny_forest
@@ -167,7 +168,7 @@ def score_iterations(spark, d):
 
 
 @query("WITH " + OF + " SELECT row_id, " + ", ".join(f"{scoring.for_duckdb(scoring.tree_sql(t, _cols, str))} AS leaf{i}" for i, t in enumerate(_tiny.trees)) + " FROM of_")
-def score_leaves(spark, d):
+def score_leaf_index(spark, d):
     at = scoring.predict(order_features(spark, d), _tiny, FEATURES, "leaf", "l", strategy="walk")
     return at.select("row_id", *[F.get("l", F.lit(i)).alias(f"leaf{i}") for i in range(3)])
 
@@ -229,7 +230,41 @@ def explain_shapley_sum(spark, d):
     return at.select("row_id", _r(F.aggregate("c", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
-@query()
+def _shapley_sql() -> str:
+    """By the definition: a tree's expectation given each subset of its features, and the weighted differences."""
+    from itertools import combinations
+
+    columns, terms = [], {f: [] for f in range(4)}
+    for i, t in enumerate(_tiny.trees):
+        used = sorted(set(t.feature))
+        share = [(lambda a, b: (a / (a + b), b / (a + b)))(t.child_cover(a), t.child_cover(b)) for a, b in zip(t.left, t.right)]
+
+        def given(c, known, t=t, share=share):
+            if c < 0:
+                return scoring.number(t.leaf_value[~c][0])
+            left, right = given(t.left[c], known), given(t.right[c], known)
+            if t.feature[c] in known:
+                return f"(CASE WHEN {scoring.goes_left_sql(t, c, _cols)} THEN {left} ELSE {right} END)"
+            return f"({scoring.number(share[c][0])} * {left} + {scoring.number(share[c][1])} * {right})"
+
+        name = lambda s, i=i: f"v{i}_" + "".join(map(str, sorted(s)))
+        for n in range(len(used) + 1):
+            columns += [f"{given(0, s)} AS {name(s)}" for s in combinations(used, n)]
+        w = _tiny.weight_of(i)
+        for f in used:
+            rest = [x for x in used if x != f]
+            for n in range(len(rest) + 1):
+                part = math.factorial(n) * math.factorial(len(rest) - n) / math.factorial(len(used))
+                terms[f] += [f"{scoring.number(w * part)} * ({name((*s, f))} - {name(s)})" for s in combinations(rest, n)]
+        # What the values miss of margin(x) - margin(0) goes to the feature of the root.
+        zero = scoring.tree_sql(t, [scoring.number(0.0)] * 4, lambda k, t=t: scoring.number(t.leaf_value[k][0]))
+        terms[t.feature[0]].append(f"{scoring.number(w)} * ({name(())} - {zero})")
+    zero_margin = scoring.margin_sql(_tiny, [scoring.number(0.0)] * 4)
+    values = ", ".join(f"round({' + '.join(x)}, 6) AS c{f}" for f, x in terms.items())
+    return scoring.for_duckdb(f"WITH {OF}, v AS (SELECT row_id, {', '.join(columns)} FROM of_) SELECT row_id, {values}, round({zero_margin}, 6) AS c4 FROM v")
+
+
+@query(_shapley_sql())
 def explain_shapley(spark, d):
     at = scoring.predict(order_features(spark, d), _tiny, FEATURES, "contrib", "c")
     return at.select("row_id", *[_r(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(5)])
@@ -256,7 +291,7 @@ def importance_all(spark, d):
     return out
 
 
-@query(f"WITH {_nodes_sql(_tiny)} SELECT count(DISTINCT tree_id) AS n_trees, count(DISTINCT iteration) AS n_iterations, count(*) FILTER (NOT is_leaf) AS n_nodes, count(*) FILTER (is_leaf) AS n_leaves, max(feature) + 1 AS n_features FROM nodes")
+@query(f"WITH {_nodes_sql(_tiny)} SELECT count(DISTINCT tree_id) AS n_trees, count(DISTINCT iteration) AS n_iterations, count(*) FILTER (NOT is_leaf) AS n_nodes, count(*) FILTER (is_leaf) AS n_tips, max(feature) + 1 AS n_features FROM nodes")
 def model_metadata(spark, d):
     return explain.metadata(_tiny.node_table(spark))
 
@@ -443,12 +478,12 @@ def objective_listwise(spark, d):
     return objectives.listwise(event_groups(spark, d)).select("row_id", _r("grad").alias("grad"), _r("hess").alias("hess"))
 
 
-def _pairs_sql(ndcg: bool, k: int | None) -> str:
-    delta = "CASE WHEN b0.best > 0 THEN abs((a.g - b.g) * (1 / log2(a.r + 1) - 1 / log2(b.r + 1))) / b0.best ELSE 0 END" if ndcg else "1.0"
+def _pairs_sql(ndcg: bool, k: int | None, ideal: int = 10**9, position: int = 10**9) -> str:
+    delta = f"CASE WHEN b0.best > 0 THEN abs((a.g - b.g) * (1 / log2(a.r + 1) - 1 / log2(b.r + 1))) / b0.best * (least(a.r, b.r) <= {position})::INT ELSE 0 END" if ndcg else "1.0"
     near = f"AND (a.r <= {k} OR b.r <= {k})" if k else ""
     hess = "2 * greatest(rho * (1 - rho), 1e-16)" if k else "rho * (1 - rho)"
     scale = "CASE WHEN total > 0 THEN log2(1 + total) / total ELSE 1 END" if k else "1"
-    return f"""WITH {_RANKED}, best AS (SELECT qid, sum(g / log2(i + 1)) AS best FROM rk GROUP BY 1),
+    return f"""WITH {_RANKED}, best AS (SELECT qid, sum(CASE WHEN i <= {ideal} THEN g / log2(i + 1) ELSE 0 END) AS best FROM rk GROUP BY 1),
 pr AS (SELECT a.qid, a.row_id AS hi, b.row_id AS lo, 1 / (1 + exp(a.margin - b.margin)) AS rho, {delta} AS delta FROM rk a JOIN rk b ON a.qid = b.qid AND a.label > b.label {near} JOIN best b0 ON a.qid = b0.qid),
 ea AS (SELECT qid, hi AS row_id, -rho * delta AS g, {hess} * delta AS h FROM pr UNION ALL SELECT qid, lo, rho * delta, {hess} * delta FROM pr),
 tt AS (SELECT qid, 2 * sum(rho * delta) AS total FROM pr GROUP BY 1), su AS (SELECT qid, row_id, sum(g) AS g, sum(h) AS h FROM ea GROUP BY 1, 2)
@@ -467,7 +502,28 @@ def objective_rank_ndcg(spark, d):
     return at.select("row_id", _r("grad").alias("grad"), _r("hess").alias("hess"))
 
 
-@query()
+_MEAN = _RANKED + f""", lb AS (SELECT *, min(i) OVER (PARTITION BY qid, label) - 1 AS f, max(i) OVER (PARTITION BY qid, label) AS t, count(*) OVER (PARTITION BY qid) AS n FROM rk),
+dr AS (SELECT lb.*, ('0x' || substr(md5('0:' || qid || ':' || row_id || ':' || dn), 1, 8))::BIGINT % (n - t + f) AS p FROM lb, range(4) x(dn) WHERE n - t + f > 0),
+pr AS (SELECT a.qid, CASE WHEN a.label > b.label THEN a.row_id ELSE b.row_id END AS hi, CASE WHEN a.label > b.label THEN b.row_id ELSE a.row_id END AS lo,
+  1 / (1 + exp(CASE WHEN a.label > b.label THEN a.margin - b.margin ELSE b.margin - a.margin END)) AS rho FROM dr a JOIN rk b ON a.qid = b.qid AND b.i - 1 = CASE WHEN p < f THEN p ELSE p - f + t END),
+ea AS (SELECT qid, hi AS row_id, -rho AS g, 2 * rho * (1 - rho) AS h FROM pr UNION ALL SELECT qid, lo, rho, 2 * rho * (1 - rho) FROM pr),
+tt AS (SELECT qid, 2 * sum(rho) AS total FROM pr GROUP BY 1), su AS (SELECT qid, row_id, sum(g) AS g, sum(h) AS h FROM ea GROUP BY 1, 2)"""
+
+
+@query(_pairs_sql(True, 8, 5, 4))
+def objective_rank_ndcg_cut(spark, d):
+    """The ideal gain of the best 5 rows; pairs of which neither is among the first 4 have no weight."""
+    at = objectives.pair_gradients(event_groups(spark, d), "ndcg", objectives.RankConfig("topk", 8, ndcg_k=5, max_position=4))
+    return at.select("row_id", _r("grad").alias("grad"), _r("hess").alias("hess"))
+
+
+@query(f"""WITH {EG}, x AS (SELECT qid, exp(margin - max(margin) OVER q) AS a, exp(label - max(label) OVER q) AS b FROM eg WINDOW q AS (PARTITION BY qid)),
+y AS (SELECT qid, a / sum(a) OVER (PARTITION BY qid) AS p, b / sum(b) OVER (PARTITION BY qid) AS t FROM x) SELECT qid, round(-sum(t * ln(greatest(p, 1e-15))), 6) AS loss FROM y GROUP BY 1""")
+def listwise_loss(spark, d):
+    return objectives.listwise_loss(event_groups(spark, d)).select("qid", _r("loss").alias("loss"))
+
+
+@query(f"WITH {_MEAN} SELECT eg.row_id, round(coalesce(g * CASE WHEN total > 0 THEN log2(1 + total) / total ELSE 1 END, 0), 6) AS grad, round(greatest(coalesce(h * CASE WHEN total > 0 THEN log2(1 + total) / total ELSE 1 END, 0), 1e-16), 6) AS hess FROM eg LEFT JOIN su USING (row_id) LEFT JOIN tt ON eg.qid = tt.qid")
 def objective_pairwise_mean(spark, d):
     at = objectives.pair_gradients(event_groups(spark, d), "pairwise", objectives.RankConfig("mean", 4))
     return at.select("row_id", _r("grad").alias("grad"), _r("hess").alias("hess"))
@@ -631,8 +687,9 @@ def prep_dedupe(spark, d):
     return recsys.dedupe_interactions(interactions(spark, d)).select("User", "Item", "Score", "Tag")
 
 
-def _split(spark, d):
-    x = recsys.dedupe_interactions(interactions(spark, d))
+def _split(spark, d, once=lambda df: df):
+    """Interactions, and those of train and test users; ``once`` stores what several consumers read."""
+    x = once(recsys.dedupe_interactions(interactions(spark, d)))
     users = x.select("User").distinct()
     return x, *recsys.split_users(x, users.where("User % 4 <> 0"), users.where("User % 4 = 0"))
 
@@ -669,8 +726,8 @@ re AS (SELECT "User", "Item", "Tag", round(rs, 6) AS recall_score, position::INT
 
 
 def _recalled(spark, d):
-    _, train, _ = _split(spark, d)
-    return train, recsys.recall(train, catalog(spark, d), _N)
+    _, train, _ = _split(spark, d, stored)
+    return train, recsys.recall(train, stored(catalog(spark, d)), _N)
 
 
 @query(f"WITH {_RECALL} SELECT * FROM re")
@@ -678,9 +735,14 @@ def recall_items(spark, d):
     return _recalled(spark, d)[1].select("User", "Item", "Tag", _r("recall_score").alias("recall_score"), "position")
 
 
-@query('SELECT 0 AS "User", 0::BIGINT AS "rows", 0::BIGINT AS items WHERE false')
+@query(f"""WITH {_RECALL}, bad AS (SELECT "User", "Item" FROM re WHERE NOT ("User" % 10 = 1 AND position = 1) UNION ALL SELECT "User", "Item" FROM re WHERE "User" % 10 IN (2, 3) AND position = 2),
+ok AS (SELECT "User", "Item" FROM bad WHERE NOT ("User" % 10 = 3 AND "Item" IN (SELECT "Item" FROM re r WHERE r."User" = bad."User" AND r.position = 5)))
+SELECT "User", count(*) AS "rows", count(DISTINCT "Item") AS items FROM ok GROUP BY 1 HAVING count(*) <> {_N} OR count(DISTINCT "Item") <> {_N}""")
 def recall_validate(spark, d):
-    return recsys.validate_recall(_recalled(spark, d)[1], _N).withColumn("User", F.col("User").cast("int"))
+    """Faults are planted: users who lack a row, have one twice, or have one twice in place of another."""
+    found = _recalled(spark, d)[1]
+    bad = found.where("NOT (User % 10 = 1 AND position = 1)").where("NOT (User % 10 = 3 AND position = 5)").unionByName(found.where("User % 10 IN (2, 3) AND position = 2"))
+    return recsys.validate_recall(bad, _N)
 
 
 _RANK = _RECALL + """, qi AS (SELECT "User", (row_number() OVER (ORDER BY "User"::VARCHAR) - 1)::INT AS qid FROM (SELECT DISTINCT "User" FROM us)),
@@ -688,8 +750,8 @@ ra AS (SELECT qid, "User", "Item", "Tag", recall_score, position, coalesce(s."Sc
 
 
 def _ranking(spark, d):
-    x, train, test = _split(spark, d)
-    return train, recsys.to_ranking(recsys.recall(train, catalog(spark, d), _N), train, recsys.assign_qids(train, test))
+    _, train, test = _split(spark, d, stored)
+    return train, recsys.to_ranking(recsys.recall(train, stored(catalog(spark, d)), _N), train, recsys.assign_qids(train, test))
 
 
 @query(f'WITH {_RANK} SELECT qid, "User", "Item", recall_score, label FROM ra')
@@ -723,10 +785,27 @@ def deal_log(spark, d):
     return _dealt(spark, d)[1][1]
 
 
-@query("SELECT 0 AS \"User\", '' AS problem WHERE false")
+@query(f"""WITH {_DEAL}, bd AS (SELECT "User", "Item", CASE WHEN "User" % 10 = 1 THEN 'one' ELSE "Tag" END AS "Tag" FROM dk UNION ALL SELECT "User", "Item", "Tag" FROM dk WHERE "User" % 10 = 2 AND rank = 1
+ UNION ALL SELECT "User", min("Item"), 'recent' FROM rx WHERE "User" % 10 = 3 GROUP BY 1 UNION ALL SELECT "User", -rank, 'more' || rank FROM dk WHERE "User" % 10 = 5 AND rank <= 2),
+sz AS (SELECT "User", count(*) AS n, count(DISTINCT "Item") AS items FROM bd GROUP BY 1)
+SELECT "User", 'too many' AS problem FROM sz WHERE n > 10 UNION SELECT "User", 'repeated item' FROM sz WHERE n <> items
+UNION SELECT "User", 'recent item' FROM bd JOIN rx USING ("User", "Item") UNION SELECT "User", 'too many of a tag' FROM (SELECT "User", "Tag" FROM bd GROUP BY 1, 2 HAVING count(*) > 3)""")
 def deal_validate(spark, d):
+    """Faults of every kind are planted in some users' decks."""
     recent, (decks, _) = _dealt(spark, d)
-    return recsys.validate_deal(decks, recent, 10, 2).withColumn("User", F.col("User").cast("int"))
+    rows = decks.select("User", "Item", F.when(F.col("User") % 10 == 1, F.lit("one")).otherwise(F.col("Tag")).alias("Tag"))
+    twice = decks.where("User % 10 = 2 AND rank = 1").select("User", "Item", "Tag")
+    again = recent.where("User % 10 = 3").groupBy("User").agg(F.min("Item").alias("Item")).withColumn("Tag", F.lit("recent"))
+    more = decks.where("User % 10 = 5 AND rank <= 2").selectExpr("User", "-rank AS Item", "concat('more', rank) AS Tag")
+    return recsys.validate_deal(rows.unionByName(twice).unionByName(again).unionByName(more), recent, 10, 2)
+
+
+@query()
+def recommend_end_to_end(spark, d):
+    """Prepare, recall, convert, train a ranker, deal: decks of the test users."""
+    items = _t(spark, d, "part").select(F.col("p_partkey").alias("Item"), F.col("p_brand").alias("Tag"))
+    decks, _, _ = recsys.run_pipeline(interactions(spark, d), items, F.col("User") % 4 != 0, n=_N, rounds=2)
+    return decks.select("User", "Item", "Tag", _r("Score").alias("Score"), "rank")
 
 
 @query(f'WITH {_RANK} SELECT "User", "Item", recall_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY "User" ORDER BY recall_score DESC, "Item")::INT AS rank FROM re) WHERE rank <= 5')

@@ -1,6 +1,6 @@
 """Model files to models: LightGBM text and JSON, XGBoost JSON, UBJSON and legacy binary, scikit-learn pickles, our own JSON.
 
-Models are small and parsed on the driver. XGBoost thresholds and leaves are
+Models are small and parsed on the driver. XGBoost thresholds and tips are
 32-bit floats and are widened as such. Pickles are read by an unpickler that
 knows a short list of classes and runs nothing else.
 """
@@ -46,12 +46,12 @@ def _lgb_tree(block: dict[str, str]) -> Tree:
     ints = lambda k: [int(x) for x in block.get(k, "").split()]
     floats = lambda k: [float(x) for x in block.get(k, "").split()]
     t = Tree()
-    n_leaves = int(block["num_leaves"])
+    n_tips = int(block["num_leaves"])
     t.leaf_value = [[v] for v in floats("leaf_value")]
-    if len(t.leaf_value) != n_leaves:
+    if len(t.leaf_value) != n_tips:
         raise FormatError("num_leaves and leaf_value differ")
-    t.leaf_cover = floats("leaf_count") or [0.0] * n_leaves
-    if n_leaves == 1:
+    t.leaf_cover = floats("leaf_count") or [0.0] * n_tips
+    if n_tips == 1:
         return t
     feature, threshold, kinds = ints("split_feature"), floats("threshold"), ints("decision_type")
     left, right, gain, cover = ints("left_child"), ints("right_child"), floats("split_gain"), floats("internal_count")
@@ -109,7 +109,7 @@ def lightgbm_json(d: dict) -> Forest:
             if "split_feature" not in node:
                 t.leaf_value.append([float(node["leaf_value"])])
                 t.leaf_cover.append(float(node.get("leaf_count", 0)))
-                return ~(t.leaves - 1)
+                return ~(t.tips - 1)
             if node["missing_type"] not in missing:
                 raise FormatError(f"unknown missing type {node['missing_type']}")
             zero, nan = missing[node["missing_type"]]
@@ -169,18 +169,18 @@ def _xgb_tree(d: dict, strict: bool, match_goes_left: bool) -> Tree:
     t = Tree(strict=strict)
     inner = [i for i in range(len(left)) if left[i] != -1 and d.get("parents", [0] * len(left))[i] != -2]
     number = {i: k for k, i in enumerate(inner)}
-    leaves: dict[int, int] = {}
+    tips: dict[int, int] = {}
 
     def leaf(i: int) -> int:
-        if i not in leaves:
+        if i not in tips:
             if dim > 1:
                 k = right[i]  # which vector is its own
                 t.leaf_value.append([_f32(x) for x in vectors[k * dim : (k + 1) * dim]])
             else:
                 t.leaf_value.append([_f32(value[i])])
             t.leaf_cover.append(float(hess[i]))
-            leaves[i] = t.leaves - 1
-        return ~leaves[i]
+            tips[i] = t.tips - 1
+        return ~tips[i]
 
     reach, todo = [], [0]
     while todo:
@@ -342,7 +342,7 @@ def to_xgboost(m: Forest) -> dict:
     trees = []
     dim = max((len(v) for t in m.trees for v in t.leaf_value), default=1)
     for k, t in enumerate(m.trees):
-        n = t.nodes + t.leaves
+        n = t.nodes + t.tips
         doc: dict = {"id": k, "categories": [], "categories_nodes": [], "categories_segments": [], "categories_sizes": []}
         cols = {c: [0] * n for c in ("left_children", "right_children", "split_indices", "default_left", "split_type")} | {"split_conditions": [0.0] * n, "loss_changes": [0.0] * n, "sum_hessian": [0.0] * n, "base_weights": [0.0] * n, "parents": [2147483647] * n}
         ident = lambda c, t=t: c if c >= 0 else t.nodes + ~c
@@ -476,7 +476,7 @@ def sklearn_pickle(data: bytes) -> Forest:
             leaf = {}
             for i in range(len(nodes)):
                 if i not in number:
-                    leaf[i] = t.leaves
+                    leaf[i] = t.tips
                     t.leaf_value.append([float(np.ravel(values[i])[0]) * rate])
                     t.leaf_cover.append(float(nodes["n_node_samples"][i]))
             at = lambda c: number[c] if c in number else ~leaf[c]

@@ -46,7 +46,7 @@ def rows(n=300, seed=0):
 def test_both_strategies_walk_as_plain_python(spark, m):
     x = rows()
     want = [[walk(t, r) for t in m.trees] for r in x]
-    got = np.column_stack(scoring.forest_leaves(m, x, list(range(len(m.trees)))))
+    got = np.column_stack(scoring.forest_tips(m, x, list(range(len(m.trees)))))
     assert got.tolist() == want
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double, d double")
     cols = ["a", "b", "c", "d"]
@@ -54,9 +54,9 @@ def test_both_strategies_walk_as_plain_python(spark, m):
     for strategy in ("case", "walk"):
         out = scoring.predict(df, m, cols, "margin", "m", strategy=strategy).orderBy("i").collect()
         assert np.allclose([r["m"] for r in out], margins[:, 0] if m.n_outputs == 1 else margins)
-        leaves = scoring.predict(df, m, cols, "leaf", "l", strategy=strategy).orderBy("i").collect()
+        tips = scoring.predict(df, m, cols, "leaf", "l", strategy=strategy).orderBy("i").collect()
         order = sorted(range(len(m.trees)), key=lambda i: (m.class_of(i), i))
-        assert [r["l"] for r in leaves] == [[w[i] for i in order] for w in want]
+        assert [r["l"] for r in tips] == [[w[i] for i in order] for w in want]
 
 
 def test_null_scores_as_nan(spark):
@@ -141,7 +141,7 @@ def test_importance_falls_back_to_counts(spark):
 def test_dumps():
     m = tiny_forest()
     text = explain.dump_text(m)
-    assert text.startswith("booster[0]:\n0:[lines<=3.5] yes=1,no=2,missing=1\n") and text.count("leaf=") == m.n_leaves
+    assert text.startswith("booster[0]:\n0:[lines<=3.5] yes=1,no=2,missing=1\n") and text.count("leaf=") == m.n_tips
     assert len(json.loads(explain.dump_json(m))) == 3
     assert explain.dump_dot(m).count("->") == 6
 

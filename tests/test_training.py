@@ -65,9 +65,9 @@ def test_training_stores_gain_and_cover(data):  # Q2
     assert all(g > 0 for g in m.trees[0].gain) and m.trees[0].cover[0] == pytest.approx(240)
 
 
-def test_max_leaves_and_depth(data):
-    m, _ = boosting.train(data, Params(rounds=1, max_depth=4, max_leaves=3, method="exact"), C)
-    assert m.trees[0].leaves == 3
+def test_max_tips_and_depth(data):
+    m, _ = boosting.train(data, Params(rounds=1, max_depth=4, max_tips=3, method="exact"), C)
+    assert m.trees[0].tips == 3
 
 
 def test_monotone(data):
