@@ -45,6 +45,24 @@ _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _OTHER = re.compile("[^\x00-ɏ -⁯]|İ")
 
 
+class _Generations(dict):
+    """What ``learn`` gives for a key; a full dict becomes the older one, which keys in use are taken over from."""
+
+    def __init__(self, learn, most: int):
+        super().__init__()
+        self.learn, self.most, self.older = learn, most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.learn(key)
+        if len(self) >= self.most:
+            self.older = self.copy()
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordTokenizer:
     """Ids of texts, by chunks between white space, which no token crosses."""
 
@@ -54,13 +72,13 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         special = {} if special_as_text else {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self.special = {t: i.to_bytes(4, "little") for t, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.find = regex.compile(_PIECES).findall
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.bytes_as = self._byte_letters()
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.known = _Generations(self._chunk, REMEMBERED)
+        self.pieces = _Generations(self._piece, REMEMBERED // 4)
 
     @staticmethod
     def _byte_letters() -> list[str]:
@@ -70,14 +88,16 @@ class WordTokenizer:
         return [chr(b if b in shown else next(rest)) for b in range(256)]
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            letters = self.bytes_as
-            found = np.array([t.id for t in self.tok.model.tokenize("".join([letters[b] for b in piece.encode()]))], "<u4").tobytes()
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
+        letters = piece if piece.isascii() and piece.isprintable() else "".join([self.bytes_as[b] for b in piece.encode()])
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.tok.model.tokenize(letters)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._piece(chunk)
+        if chunk[0] == " ":
+            return self.special[chunk[1:]]
+        return b"".join([self.pieces[p] for p in self.find(chunk)])
 
     def chunks(self, text: str) -> list[str]:
         if _OTHER.search(text):
@@ -97,28 +117,8 @@ class WordTokenizer:
         return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._parts(t) for t in texts]
-        for chunk in set().union(*split) - self.now.keys():
-            if len(self.now) >= REMEMBERED and len(split) < REMEMBERED:
-                break
-            self._learn(chunk)
-        out = []
-        for parts in split:
-            try:
-                ids = b"".join(map(self.now.__getitem__, parts))
-            except KeyError:
-                ids = b"".join([self.now[c] if c in self.now else self._learn(c) for c in parts])
-            out.append(np.frombuffer(ids, "<u4"))
-        return out
-
-    def _learn(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            found = self.special[chunk[1:]] if chunk[0] == " " else b"".join([self._piece(p) for p in self.find(chunk)])
-        if len(self.now) >= REMEMBERED:
-            self.old, self.now = self.now, {}
-        self.now[chunk] = found
-        return found
+        ids_of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, self._parts(t))), "<u4") for t in texts]
 
 
 @lru_cache(maxsize=2)
