@@ -37,7 +37,7 @@ GROUP_ROWS = 4096
 #: Whole sequences are numbered from here, above any group's.
 FULL_FROM = 1 << 62
 #: Chunks that a worker remembers the ids of, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 #: How the vocabulary's file says that text is split (white space falls away).
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -100,16 +100,18 @@ class WordTokenizer:
         return b"".join([self.pieces[p] for p in self.find(chunk)])
 
     def chunks(self, text: str) -> list[str]:
-        if _OTHER.search(text):
+        if text.isascii():
+            text = text.lower()
+        elif _OTHER.search(text):
             text = self.tok.normalizer.normalize_str(text)
         else:
             text = unicodedata.normalize("NFC", text).lower()
         # str.split also parts at the separators 1C to 1F, which are not white space to the library.
-        return re.split(r"[ \t-\r\x85\xa0  -     　]+", text) if re.search(r"[\x1c-\x1f]", text) else text.split()
+        return re.split(r"[ \t-\r\x85\xa0  -     　]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def _parts(self, text: str) -> list[str]:
         """Chunks of a text; a special token in it is a chunk of its own, marked by white space before it."""
-        if self.cut is None or not self.cut.search(text):
+        if self.cut is None or not any(t in text for t in self.special):
             return self.chunks(text)
         out: list[str] = []
         for k, part in enumerate(self.cut.split(text)):
