@@ -20,7 +20,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     near = _both_ways(edges)
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,19 +30,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def contracted(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges with the components of ``edges(u, v)``, nearer to stars about their least vertices after each round."""
+    now = materialize(_pairs(edges), "edges")
+    for _ in range(rounds):
+        old, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(old)
+    return now
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` to ``(u, root)``; root is the least vertex that u reaches.
 
     Vertices that are their own root and vertices without an edge are left out.
+    A round that changes nothing is the last; there are at most some log^2 of
+    the vertices' number.
     """
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    sign = None
-    for _ in range(max_rounds):
-        then = materialize(_small_star(_large_star(now)), "edges")
-        was, sign = sign, then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        discard_later, now = now, then
-        if discard_later.take(1):
-            discard(discard_later)
-        if tuple(sign) == (tuple(was) if was else None):
-            return now.select("u", F.col("v").alias("root"))
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    now = materialize(_pairs(edges), "edges")
+    sign, was = (), None
+    while sign != was:
+        old, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(old)
+        was, sign = sign, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    return now.select("u", F.col("v").alias("root"))
