@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, quality, toxicity, url_filter
+from . import bpe, line_dedup, media, quality, toxicity, url_filter
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_duplicates
 from .suffix_dedup import PASSAGE, repeated_spans
@@ -87,9 +88,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op6_exact_dedup": OP6_SQL}
+    return {"op3_url_filter": url_filter.oracle(), "op6_exact_dedup": OP6_SQL, "op13_line_dedup": line_dedup.SQL}
