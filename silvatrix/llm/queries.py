@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lexical_search, line_dedup, media, quality, toxicity, url_filter
+from . import bpe, lexical_search, line_dedup, media, quality, source_audit, toxicity, url_filter
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
@@ -92,6 +92,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -102,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op6_exact_dedup": OP6_SQL, "op11_lexical_search": lexical_search.SQL, "op13_line_dedup": line_dedup.SQL}
+    return {"op3_url_filter": url_filter.oracle(), "op6_exact_dedup": OP6_SQL, "op11_lexical_search": lexical_search.SQL, "op12_source_audit": source_audit.SQL, "op13_line_dedup": line_dedup.SQL}
