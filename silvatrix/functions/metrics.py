@@ -81,6 +81,23 @@ def auc(df: DataFrame, label: str, pred: str) -> DataFrame:
     return _one(ranked, F.when((p == 0) | (n == 0), F.raise_error(F.lit("auc needs both classes")).cast("double")).otherwise(area))
 
 
+#: Distinct scores that are ranked on the driver.
+FEW_SCORES = 50_000
+
+
+def auc_of_few(df: DataFrame, label: str, pred: str, most: int = FEW_SCORES) -> float | None:
+    """The area where at most ``most`` scores differ, as those of a few trees; else None."""
+    by_score = df.groupBy(_c(pred).alias("score")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.when(_c(label) > 0.5, 1.0).otherwise(0.0)).alias("pos"))
+    t = by_score.limit(most + 1).toPandas().sort_values("score")
+    if len(t) > most:
+        return None
+    pos, neg = t["pos"].sum(), (t["n"] - t["pos"]).sum()
+    if not pos or not neg:
+        raise ValueError("auc needs both classes")
+    rank = t["n"].cumsum() - t["n"] + (t["n"] + 1) / 2
+    return float(((rank * t["pos"]).sum() - pos * (pos + 1) / 2) / (pos * neg))
+
+
 def ndcg_by_group(df: DataFrame, label: str, pred: str, group: str, tie: str, k: int | None = None) -> DataFrame:
     """(group, value): gain 2^label - 1 over log2 of the rank; 0 where no label has a gain."""
     by_pred = Window.partitionBy(group).orderBy(_c(pred).desc(), _c(tie))

@@ -1,10 +1,11 @@
 """Training of boosted trees and linear models over DataFrames.
 
 The driver holds the model and the loop; the data stay where they are. A level
-of a tree is one job: gradients are grouped into histograms, the best split of
-each open node (at most 2^depth rows) comes back. Which node a row is in is an
-expression of the tree so far, so nothing is joined and plans don't grow with
-the level. Trees of a few rounds are folded into the stored margin by a
+of all trees of a round, whatever the classes, is one job: gradients are summed
+into histograms (:mod:`.dense`; for all midpoints, grouped by value) and the best
+split of each open node comes back. Which node a row is in is a column that is
+advanced by a lookup of the splits, so nothing is joined and plans don't grow
+with the level. Trees of a few rounds are folded into the stored margin by a
 checkpoint in the shared folder, so they don't grow with the rounds either.
 """
 
@@ -16,12 +17,12 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics, objectives, transforms
+from ..functions import metrics, objectives, sampling, transforms
 from ..operators import scoring
-from . import splits
+from . import dense, splits
 from .model import Forest, Linear, Tree
 
 #: Rows up to which "auto" searches all midpoints.
@@ -53,6 +54,7 @@ class Params:
     drop_rate: float = 0.1
     dart_normalize: str = "tree"
     metric: str = ""
+    eval_every: int = 1  # rounds between evaluations; the last one is always evaluated
     early_stopping: int = 0
     eta_schedule: Callable[[int], float] | None = None
     power: float = 1.5
@@ -90,20 +92,26 @@ class History:
     metric: str = ""
     train: list[float] = field(default_factory=list)
     eval: list[float] = field(default_factory=list)
+    rounds: list[int] = field(default_factory=list)  # those that were evaluated
     best_round: int = -1
 
 
-def sampled(key: Column, rate: float, seed: int) -> Column:
-    """Rows whose hash is below the rate; stable whatever the partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
-
-
 def sample_columns(n: int, rate: float, seed: int) -> list[int]:
     """At least one column, ascending."""
     take = max(1, int(n * rate)) if rate < 1 else n
     return sorted(np.random.default_rng(seed).permutation(n)[:take].tolist())
 
 
+def draws(df: DataFrame, p: Params, c: Columns, seeds: list[int]) -> list[Column] | None:
+    """For each tree whether it gets a row: floor(rows * rate) of them, by the rank of a hash."""
+    if p.subsample >= 1:
+        return None
+    key = [F.col(x) for x in (c.group, c.row_id) if x]
+    count = max(1, math.floor(df.count() * p.subsample))
+    hashes = [sampling.hash_of(seed, *key) for seed in seeds]
+    return [h <= bound for h, bound in zip(hashes, sampling.kth_least(df, [(h, count) for h in hashes]))]
+
+
 def gradients(df: DataFrame, p: Params, c: Columns, output: int = 0) -> DataFrame:
     """``df`` with grad and hess for one output, from its array ``margin``."""
     y, m, w = F.col(c.label).cast("double") if c.label in df.columns else F.lit(None), F.get("margin", F.lit(output)), objectives.weight(c.weight)
@@ -133,15 +141,12 @@ class _Grown:
 
     def __init__(self):
         self.split: dict[int, dict] = {}
-        self.sums: dict[int, tuple[float, float, int]] = {}
+        self.sums: dict[int, tuple[float, float, int]] = {0: (0.0, 0.0, 0)}
 
-    def node_sql(self, cols: list[str], at: int = 0) -> str:
-        s = self.split.get(at)
-        if s is None:
-            return str(at)
-        f = f"coalesce(CAST({cols[s['feature']]} AS DOUBLE), {scoring.number(float('nan'))})"
-        left = f"{f} = {scoring.number(s['threshold'])}" if s["categorical"] else f"{f} <= {scoring.number(s['threshold'])}"
-        return f"(CASE WHEN {left} THEN {self.node_sql(cols, 2 * at + 1)} ELSE {self.node_sql(cols, 2 * at + 2)} END)"
+    def add(self, n: int, feature: int, threshold: float, gain: float, categorical: bool, gl: float, hl: float, nl: int) -> None:
+        g, h, count = self.sums[n]
+        self.split[n] = {"feature": feature, "threshold": threshold, "gain": gain, "categorical": categorical}
+        self.sums[2 * n + 1], self.sums[2 * n + 2] = (gl, hl, nl), (g - gl, h - hl, count - nl)
 
     def limit_tips(self, most: int) -> None:
         """Keep splits in pre-order as long as the tips stay within ``most``."""
@@ -176,64 +181,140 @@ class _Grown:
         return t
 
 
-def grow(work: DataFrame, p: Params, c: Columns, method: str, cuts: dict[str, list[float]], features: list[int], eta: float) -> Tree:
-    """One tree on ``work`` with grad and hess, level by level."""
-    grown = _Grown()
-    total = work.agg(F.sum("grad"), F.sum("hess"), F.count(F.lit(1))).first()
-    grown.sums[0] = (total[0] or 0.0, total[1] or 0.0, total[2])
-    open_ = [0]
-    cols = c.features
-    for _ in range(p.max_depth):
-        open_ = [n for n in open_ if grown.sums[n][1] >= p.min_hess and grown.sums[n][2] > 1]
+@dataclass
+class Round:
+    """The trees of a round: for each its output, the features it may use, and the threshold values of bins."""
+
+    method: str  # exact, hist or per-node
+    outputs: int
+    tree_output: list[int]
+    allowed: list[list[int]]
+    cuts: list[list[float]] = field(default_factory=list)
+
+    def search(self, p: Params, ends: list[int]) -> dense.Search:
+        coded = frozenset(p.categorical)
+        return dense.Search(tuple(dense.CODES if i in coded else n for i, n in enumerate(ends)), tuple(map(frozenset, self.allowed)), p.lam, p.gamma, coded, tuple(sorted(p.monotone.items())))
+
+
+def values_array(features: list[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
+
+
+def round_table(current: DataFrame, p: Params, c: Columns, draws: list[Column] | None = None, trees: int = 1) -> DataFrame:
+    """What growth works on, from rows with ``_x`` and ``margin``: gradients of all outputs, and the root as node of each tree."""
+    if p.objective.startswith("multi:"):
+        g, h = objectives.softprob(F.col(c.label).cast("double"), F.col("margin"), objectives.weight(c.weight), p.num_class)
+    else:
+        current, g, h = gradients(current, p, c), F.array("grad"), F.array("hess")
+    at = F.array(*[F.when(d, F.lit(0)).otherwise(-1).cast("long") for d in draws or [F.lit(True)] * trees])
+    return current.select("_x", g.alias("_g"), h.alias("_h"), at.alias("_at"))
+
+
+def grow_round(work: DataFrame, p: Params, r: Round, width: int, eta: float) -> list[Tree]:
+    """All trees of a round on ``work``, a job a level for all of them."""
+    trees = [_Grown() for _ in r.tree_output]
+    # ``at`` has the nodes as last stored, ``levels`` the splits since; ``stale``: what ``at`` was made from.
+    parts, at, stale, levels, before = dense.tasks(work), work, [], [], None
+    is_open = lambda t, n: trees[t].sums[n][1] >= p.min_hess and trees[t].sums[n][2] > 1
+    open_ = [(t, 0) for t in range(len(trees))]
+    if r.method != "hist":
+        _add_totals(work, r, trees)
+        open_ = [x for x in open_ if is_open(*x)]
+    for depth in range(p.max_depth):
         if not open_:
             break
-        at = work.withColumn("_node", F.expr(grown.node_sql(cols))).where(F.col("_node").isin(open_))
-        found = level_candidates(at, p, [cols[i] for i in features], features, method, cuts, set(p.categorical))
-        rows = splits.best_splits(found, p.gamma, p.monotone, p.lam, after_best=method == "hist").select("node", "feature", "threshold", "gain", "categorical", "gl", "hl", "nl", "G", "H").collect()  # at most a row an open node
-        open_ = []
-        for r in sorted(rows, key=lambda r: r["node"]):
-            n = r["node"]
-            grown.split[n] = {"feature": r["feature"], "threshold": float(r["threshold"]), "gain": r["gain"], "categorical": r["categorical"]}
-            count = grown.sums[n][2]
-            grown.sums[2 * n + 1] = (r["gl"], r["hl"], r["nl"])
-            grown.sums[2 * n + 2] = (r["G"] - r["gl"], r["H"] - r["hl"], count - r["nl"])
-            open_ += [2 * n + 1, 2 * n + 2]
-    if p.max_tips > 0:
-        grown.limit_tips(p.max_tips)
-    return grown.tree(p.lam, eta)
-
-
-def level_candidates(at: DataFrame, p: Params, names: list[str], numbers: list[int], method: str, cuts: dict[str, list[float]], categorical: set[int]) -> DataFrame:
-    """Candidates of all open nodes, with ``feature`` as its number in the table."""
-    value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(float("nan")))
-    renumber = F.array(*[F.lit(i) for i in numbers])
-    by_value = {f: value(f) for f in names}
-    parts = []
-    numeric = [k for k, i in enumerate(numbers) if i not in categorical]
-    if method == "hist" and not p.per_node_bins:
-        used = [k for k in numeric if cuts[names[k]]]
-        if used:
-            hist = splits.histogram(at, "_node", {names[k]: F.get("_bins", F.lit(numbers[k])) for k in used})
-            ends = F.array(*[F.array(*[F.lit(x) for x in cuts[names[k]]]) for k in used])
-            found = splits.candidates(hist, F.get(F.get(ends, F.col("feature")), F.col("pos")), p.lam)
-            parts.append((found, used, False))
-    elif numeric:
-        hist = splits.histogram(at, "_node", {names[k]: by_value[names[k]] for k in numeric})
-        parts.append((splits.candidates(hist, splits.next_midpoint(), p.lam, F.isnan("pos")), numeric, False))
-    coded = [k for k, i in enumerate(numbers) if i in categorical]
-    if coded:
-        hist = splits.histogram(at, "_node", {names[k]: by_value[names[k]] for k in coded})
-        parts.append((splits.one_against_rest(hist, p.lam), coded, True))
-    out = None
-    for found, used, is_cat in parts:
-        from pyspark.sql import Window
+        if r.method == "exact":
+            found = _exact_level(dense.keep_nodes(at, levels, width, len(trees)), p, r, width)
+        elif r.method == "per-node":
+            found = _per_node_level(at, parts, open_, levels, p, r, width)
+        else:
+            fill = open_ if before is None else sorted({(t, min((2 * ((n - 1) // 2) + k for k in (1, 2)), key=lambda x: (trees[t].sums[x][2], x))) for t, n in open_})  # noqa: B023
+            search = r.search(p, [len(x) for x in r.cuts])
+            hist = dense.level_histograms(at, parts, fill, levels, search, r.outputs, r.tree_output, before).persist()
+            rows = hist.drop("g", "h", "n").collect()  # a row a node and block of features
+            if before is not None:
+                before.unpersist()
+            before = hist
+            if depth == 0:
+                for row in rows:
+                    trees[row["tree"]].sums[0] = (row["gt"], row["ht"], row["nt"])
+            found = {}
+            for row in sorted((x for x in rows if x["feature"] is not None), key=lambda x: (-x["gain"], x["feature"])):
+                f, coded = row["feature"], row["feature"] in p.categorical
+                found.setdefault((row["tree"], row["node"]), (f, float(row["pos"]) if coded else r.cuts[f][row["pos"]], float(row["pos"]), row["gain"], coded, row["gl"], row["hl"], row["nl"]))
+        for x in stale:
+            x.unpersist()
+        stale = []
+        children, bounds = [], [{} for _ in trees]
+        for t, n in sorted(open_):
+            if (t, n) in found and is_open(t, n):
+                f, threshold, bound, gain, coded, *left = found[t, n]
+                trees[t].add(n, f, threshold, gain, coded, *left)
+                bounds[t][n] = (f, bound, coded)
+                children += [(t, 2 * n + 1), (t, 2 * n + 2)]
+        levels = [*levels, dense.Level.of(bounds)]
+        open_ = [x for x in children if is_open(*x)]
+        if len(levels) >= dense.KEEP_LEVELS and open_ and depth + 1 < p.max_depth:
+            stale = [] if at is work else [at]
+            at, levels = dense.keep_nodes(at, levels, width, len(trees)).persist(), []
+    for x in [*stale, *([] if at is work else [at]), *([] if before is None else [before])]:
+        x.unpersist()
+    for t in trees:
+        if p.max_tips > 0:
+            t.limit_tips(p.max_tips)
+    return [t.tree(p.lam, eta) for t in trees]
+
+
+def _add_totals(work: DataFrame, r: Round, trees: list[_Grown]) -> None:
+    inside = [F.get("_at", F.lit(t)) >= 0 for t in range(len(trees))]
+    of = lambda name, t: F.sum(F.when(inside[t], F.get(name, F.lit(r.tree_output[t]))))
+    row = work.agg(*[x.alias(f"{k}{t}") for t in range(len(trees)) for k, x in (("g", of("_g", t)), ("h", of("_h", t)), ("n", F.count_if(inside[t])))]).first()
+    for t, tree in enumerate(trees):
+        tree.sums[0] = (row[f"g{t}"] or 0.0, row[f"h{t}"] or 0.0, row[f"n{t}"])
+
+
+def _per_node_level(at: DataFrame, parts: int, open_: list[tuple[int, int]], levels: list[dense.Level], p: Params, r: Round, width: int) -> dict:
+    """Best splits with bins of each node's own."""
+    if p.categorical:
+        raise ValueError("bins of each node's own are for numeric features")
+    out = {}
+    for chunk in dense.in_chunks(open_, r.search(p, [p.max_bin] * width)):
+        cuts = dense.node_cuts(at, parts, chunk, levels, width, len(r.tree_output), p.max_bin)
+        search = r.search(p, [max(len(c[f]) for c in cuts.values()) for f in range(width)])
+        bins = dense.binned_by_node(at, cuts, levels, width, len(r.tree_output))
+        rows = dense.level_histograms(bins, parts, chunk, [], search, r.outputs, r.tree_output, None).drop("g", "h", "n").where("feature IS NOT NULL").collect()
+        for x in sorted(rows, key=lambda x: (-x["gain"], x["feature"])):
+            threshold = float(cuts[x["tree"], x["node"]][x["feature"]][x["pos"]])
+            out.setdefault((x["tree"], x["node"]), (x["feature"], threshold, threshold, x["gain"], False, x["gl"], x["hl"], x["nl"]))
+    return out
+
 
-        upto = Window.partitionBy("node", "feature").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        rows_left = F.col("n") if is_cat else F.sum("n").over(upto)
-        local = F.array(*[F.lit(k) for k in used])
-        one = found.select("node", F.get(renumber, F.get(local, F.col("feature"))).alias("feature"), "threshold", "gain", F.lit(is_cat).alias("categorical"), "gl", "hl", rows_left.alias("nl"), "G", "H")
+#: A node's number and its tree in one.
+_TREE = 1 << 40
+
+
+def _exact_level(at: DataFrame, p: Params, r: Round, width: int) -> dict:
+    """Best splits among all midpoints, grouped by value."""
+    used = sorted({f for a in r.allowed for f in a})
+    rows = at.select("_x", "_g", "_h", F.posexplode("_at").alias("t", "n")).where("n >= 0")
+    output = F.get(F.array(*[F.lit(k) for k in r.tree_output]), F.col("t"))
+    rows = rows.select("_x", F.get("_g", output).alias("grad"), F.get("_h", output).alias("hess"), (F.col("t") * F.lit(_TREE) + F.col("n")).alias("_node"))
+    out = None
+    upto = Window.partitionBy("node", "feature").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    for coded in (False, True):
+        mine = [f for f in used if (f in p.categorical) == coded]
+        if not mine:
+            continue
+        hist = splits.histogram(rows, "_node", {str(f): F.get("_x", F.lit(f)) for f in mine})
+        hist = hist.withColumn("feature", F.get(F.array(*[F.lit(f) for f in mine]), F.col("feature")))
+        found = splits.one_against_rest(hist, p.lam) if coded else splits.candidates(hist, splits.next_midpoint(), p.lam, F.isnan("pos"))
+        one = found.select("node", "feature", "threshold", "gain", F.lit(coded).alias("categorical"), "gl", "hl", (F.col("n") if coded else F.sum("n").over(upto)).alias("nl"), "G", "H")
         out = one if out is None else out.unionByName(one)
-    return out
+    if any(a != used for a in r.allowed):
+        allowed = F.array(*[F.array(*[F.lit(f) for f in a]) for a in r.allowed])
+        out = out.where(F.array_contains(F.get(allowed, F.expr(f"int(node div {_TREE})")), F.col("feature")))
+    best = splits.best_splits(out, p.gamma, p.monotone, p.lam).collect()  # a row an open node at most
+    return {(x["node"] // _TREE, x["node"] % _TREE): (x["feature"], float(x["threshold"]), float(x["threshold"]), x["gain"], x["categorical"], x["gl"], x["hl"], x["nl"]) for x in best}
 
 
 def link(p: Params, margins: Column) -> Column:
@@ -256,6 +337,8 @@ def evaluate_margin(df: DataFrame, p: Params, c: Columns, metric: str = "") -> f
     """The metric of a table that has its margins already."""
     name = metric or p.metric or metrics.default_for(p.objective)
     at = df.withColumn("_p", link(p, F.col("margin")))
+    if name in ("auc", "aucpr") and (found := metrics.auc_of_few(at, c.label, "_p")) is not None:
+        return found
     return float(metrics.evaluate(at, name, c.label, "_p", c.group, c.row_id).first()["value"])
 
 
@@ -285,10 +368,11 @@ def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None
         model = Forest([], len(c.features), p.outputs, tree_class=[], tree_weight=[], iteration_begin=[], base=bases, transform=transforms.OF_OBJECTIVE.get(p.objective, "raw"), objective=p.objective, feature_names=list(c.features), average=p.parallel_trees > 1)
     first = model.n_iterations
     method = resolve_method(data, p)
+    if method == "hist" and p.per_node_bins:
+        method = "per-node"
     cuts = splits.cut_points(data, c.features, p.max_bin) if method == "hist" else {}
-    binned = bool(cuts) and not p.per_node_bins
-    if binned:  # once for all rounds
-        data = data.withColumn("_bins", splits.bin_array(c.features, cuts))
+    # Bins once for all rounds.
+    data = data.withColumn("_x", splits.bin_array(c.features, cuts, p.categorical) if method == "hist" else values_array(c.features))
     start = lambda: scoring.margins(model, c.features) if model.trees else F.array(*[F.lit(model.base_of(k)) for k in range(p.outputs)])
     state = data.withColumn("margin", start()).persist()
     watch = None if eval_df is None else eval_df.withColumn("margin", start()).persist()
@@ -300,16 +384,11 @@ def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None
         whole = p.booster == "dart" or model.average
         current = state.withColumn("margin", scoring.margins(model, c.features)) if whole and model.trees else with_trees(state, model, pending, c)
         model.iteration_begin.append(len(model.trees))
-        new = []
-        for k in range(p.outputs):
-            for slot in range(p.parallel_trees):
-                seed = p.seed + 1000003 * r + 101 * k + slot
-                work = gradients(current, p, c, k)
-                if p.subsample < 1:
-                    work = work.where(sampled(F.col(c.row_id), p.subsample, seed))
-                work = work.select(*c.features, *["_bins"] * binned, "grad", "hess").persist()
-                new.append((k, grow(work, p, c, method, cuts, sample_columns(len(c.features), p.colsample, seed), eta)))
-                work.unpersist()
+        slots = [(k, slot, p.seed + 1000003 * r + 101 * k + slot) for k in range(p.outputs) for slot in range(p.parallel_trees)]
+        plan = Round(method, p.outputs, [k for k, _, _ in slots], [sample_columns(len(c.features), p.colsample, seed) for _, _, seed in slots], [cuts[f] for f in c.features] if cuts else [])
+        work = round_table(current, p, c, draws(state, p, c, [seed for _, _, seed in slots]), len(slots)).persist()
+        new = [(k, t) for (k, _, _), t in zip(slots, grow_round(work, p, plan, len(c.features), eta))]
+        work.unpersist()
         for k, t in new:
             pending.append(len(model.trees))
             model.trees.append(t)
@@ -319,12 +398,14 @@ def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None
             _drop_trees(model, p, rng, len(new))
         # Where old trees keep their weight only the new ones are scored.
         scored = lambda at: at.withColumn("margin", scoring.margins(model, c.features)) if whole else with_trees(at, model, pending, c)
-        history.train.append(evaluate_margin(scored(state), p, c, history.metric))
-        if watch is not None:
-            history.eval.append(evaluate_margin(scored(watch), p, c, history.metric))
-        watched = history.eval or history.train
-        if history.best_round < 0 or better(watched[-1], watched[history.best_round - first]):
-            history.best_round = r
+        if (r + 1 - first) % p.eval_every == 0 or r + 1 == first + p.rounds:
+            history.rounds.append(r)
+            history.train.append(evaluate_margin(scored(state), p, c, history.metric))
+            if watch is not None:
+                history.eval.append(evaluate_margin(scored(watch), p, c, history.metric))
+            watched = history.eval or history.train
+            if history.best_round < 0 or better(watched[-1], watched[history.rounds.index(history.best_round)]):
+                history.best_round = r
         if not whole and len(pending) >= FOLD_ROUNDS * p.outputs * p.parallel_trees:
             old, state = state, fold_margin(with_trees(state, model, pending, c))
             old.unpersist()
@@ -400,9 +481,10 @@ def _train_linear(data: DataFrame, p: Params, c: Columns, eval_df, history: Hist
 
 
 def cross_validate(df: DataFrame, p: Params, c: Columns, folds: int = 5, metric: str = "") -> dict:
-    """Mean and population deviation of a metric over folds; groups stay whole."""
-    key = F.col(c.group or c.row_id)
-    at = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(p.seed), key), F.lit(folds)).cast("int")).persist()
+    """Mean and population deviation of a metric over folds of as many groups (or rows) each; the last takes the rest."""
+    key = c.group or c.row_id
+    keys = df.select(key).distinct()
+    at = df.withColumn("_fold", sampling.fold_of(keys, key, folds, p.seed, keys.count())).persist()
     values = []
     for k in range(folds):
         model, _ = train(at.where(F.col("_fold") != k), p, c)

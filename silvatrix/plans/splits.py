@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scoring import _iter_udf, matrix, number
+from .dense import CODES
 
 
 def cut_points(df: DataFrame, features: list[str], max_bin: int = 256) -> dict[str, list[float]]:
@@ -50,14 +51,18 @@ def bin_of(value: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(ends, lambda c: c < value))
 
 
-def bin_array(features: list[str], cuts: dict[str, list[float]]) -> Column:
-    """array<int>: :func:`bin_of` of all features at once, by binary search in Arrow batches."""
+def bin_array(features: list[str], cuts: dict[str, list[float]], categorical: tuple[int, ...] = ()) -> Column:
+    """array<int>: :func:`bin_of` of all features at once, by binary search in Arrow batches; of categorical ones the code, if it can be split off."""
     ends = [np.array(cuts[f], float) for f in features]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for part in parts:
             x = matrix([part[c] for c in part])
-            yield pd.Series(list(np.column_stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(ends)]).astype(np.int32)))
+            bins = np.column_stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(ends)]).astype(np.int32)
+            for i in categorical:
+                v = x[:, i]
+                bins[:, i] = np.where((v >= 0) & (v < CODES) & (v == np.floor(v)), v, CODES)
+            yield pd.Series(list(bins))
 
     return _iter_udf(run, "array<int>")(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]))
 
@@ -97,7 +102,7 @@ def next_midpoint() -> Column:
     return F.when(nxt.isNotNull() & ~F.isnan(nxt), (F.col("pos") + nxt) / 2)
 
 
-def one_against_rest(hist: DataFrame, lam: float, codes: int = 32) -> DataFrame:
+def one_against_rest(hist: DataFrame, lam: float, codes: int = CODES) -> DataFrame:
     """Categorical candidates: a code against all others, for codes from 0 below ``codes``."""
     by = Window.partitionBy("node", "feature")
     at = hist.withColumns({"gl": F.col("g"), "hl": F.col("h"), "G": F.sum("g").over(by), "H": F.sum("h").over(by), "threshold": F.col("pos").cast("double")})

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .functions import metrics, objectives, transforms
 from .functions.storage import stored
 from .operators import explain, quantize, recsys, scoring
-from .plans import boosting, splits
-from .plans.model import Linear, three_class_forest, tiny_forest
+from .plans import boosting, dense, splits
+from .plans.model import Forest, Linear, three_class_forest, tiny_forest
 
 FEATURES = ["lines", "quantity", "discount", "tax"]
 
@@ -550,10 +550,19 @@ _BINS = {f: splits.bin_sql(f, c) for f, c in _CUTS.items()}
 _HIST = f"{_TRAIN}, hi AS (" + " UNION ALL ".join(f"SELECT node, {i} AS feature, CASE WHEN isnan({f}) THEN {len(_CUTS[f])} ELSE {b} END::INT AS pos, sum(grad) AS g, sum(hess) AS h, count(*) AS n FROM tr GROUP BY ALL" for i, (f, b) in enumerate(_BINS.items())) + ")"
 
 
+_DENSE = dense.Search(tuple(map(len, _CUTS.values())), (frozenset(range(len(_CUTS))),), lam=1.0)
+
+
+def _dense_histograms(spark, d):
+    rows = training_rows(spark, d)
+    bins = F.array(*[splits.bin_of(F.col(f), c) for f, c in _CUTS.items()])
+    work = rows.select(bins.alias("_x"), F.array("grad").alias("_g"), F.array("hess").alias("_h"), F.array(F.col("node").cast("long")).alias("_at"))
+    return dense.level_histograms(work, int(spark.conf.get("spark.sql.shuffle.partitions")), [(0, 0)], [], _DENSE, 1, [0], None)
+
+
 @query(f"WITH {_HIST} SELECT node, feature, pos, round(g, 6) AS g, round(h, 6) AS h, n FROM hi")
 def histogram(spark, d):
-    at = splits.histogram(training_rows(spark, d), "node", {f: splits.bin_of(F.col(f), c) for f, c in _CUTS.items()})
-    return at.select("node", "feature", "pos", _r("g").alias("g"), _r("h").alias("h"), "n")
+    return dense.as_rows(_dense_histograms(spark, d), _DENSE).select(F.col("node").cast("int").alias("node"), "feature", "pos", _r("g").alias("g"), _r("h").alias("h"), "n")
 
 
 def _best(hist: str, lam: float) -> str:
@@ -568,10 +577,10 @@ _ENDS = " ".join(f"WHEN feature = {i} THEN ([{', '.join(map(str, c))}]::DOUBLE[]
 
 @query(f"WITH {_HIST}, hc AS (SELECT *, CASE {_ENDS} END AS threshold FROM hi), {_best('hc', 1.0)}")
 def split_histogram(spark, d):
-    hist = splits.histogram(training_rows(spark, d), "node", {f: splits.bin_of(F.col(f), c) for f, c in _CUTS.items()})
     ends = F.array(*[F.array(*[F.lit(x) for x in c]) for c in _CUTS.values()])
-    found = splits.best_splits(splits.candidates(hist, F.get(F.get(ends, F.col("feature")), F.col("pos")), 1.0))
-    return found.select("node", "feature", _r("threshold").alias("threshold"), _r("gain", 5).alias("gain"))
+    found = _dense_histograms(spark, d).where("feature IS NOT NULL")
+    best = found.groupBy("node").agg(F.min_by(F.struct("feature", "pos", "gain"), F.struct(-F.col("gain"), "feature")).alias("b"))  # of the blocks of features
+    return best.select(F.col("node").cast("int").alias("node"), "b.feature", _r(F.get(F.get(ends, F.col("b.feature")), F.col("b.pos"))).alias("threshold"), _r("b.gain", 5).alias("gain"))
 
 
 _EXACT = f"{_TRAIN}, hx AS (" + " UNION ALL ".join(f"SELECT node, {i} AS feature, {f} AS pos, sum(grad) AS g, sum(hess) AS h FROM tr GROUP BY ALL" for i, f in enumerate(("tax", "quantity", "lines"))) + "), hn AS (SELECT *, lead(pos) OVER (PARTITION BY node, feature ORDER BY pos) AS nx FROM hx), he AS (SELECT *, CASE WHEN nx IS NOT NULL AND NOT isnan(nx) AND NOT isnan(pos) THEN (pos + nx) / 2 END AS threshold FROM hn)"
@@ -608,16 +617,75 @@ be AS (SELECT * FROM ga ORDER BY gain DESC, feature, threshold LIMIT 1)
 SELECT row_id, round(CASE WHEN CASE be.feature WHEN 0 THEN tax ELSE quantity END <= threshold THEN -gl / (hl + 1) ELSE -(gt - gl) / (ht - hl + 1) END * 0.3, 6) AS margin FROM tr, be""")
 def train_stump(spark, d):
     """One round of depth one from a start of zero, scored on its training rows."""
-    rows = training_rows(spark, d).withColumn("margin", F.array(F.lit(0.0)))
     p = boosting.Params("binary:logistic", max_depth=1, lam=1.0, method="exact")
     c = boosting.Columns(["tax", "quantity"])
-    tree = boosting.grow(boosting.gradients(rows, p, c), p, c, "exact", {}, [0, 1], 0.3)
-    from .plans.model import Forest
-
-    model = Forest([tree], 2)
+    rows = training_rows(spark, d).withColumns({"margin": F.array(F.lit(0.0)), "_x": boosting.values_array(c.features)})
+    model = Forest(boosting.grow_round(boosting.round_table(rows, p, c), p, boosting.Round("exact", 1, [0], [[0, 1]]), 2, 0.3), 2)
     return scoring.predict(rows, model, ["tax", "quantity"], "margin", "m").select("row_id", _r("m").alias("margin"))
 
 
+_NODE_BINS = 16
+
+
+@query(f"""WITH {OF}, tr AS (SELECT 3 + qid % 3 AS node, tax, lines, 0.5 - label AS grad, 0.25::DOUBLE AS hess FROM of_),
+lf AS (SELECT node, 0 AS feature, tax AS v, grad, hess FROM tr UNION ALL SELECT node, 1, lines, grad, hess FROM tr),
+st AS (SELECT node, feature, min(v) AS lo, max(v) AS hi, count(DISTINCT v) AS nd FROM lf WHERE NOT isnan(v) GROUP BY ALL),
+dv AS (SELECT node, feature, v, lead(v) OVER (PARTITION BY node, feature ORDER BY v) AS nx FROM (SELECT DISTINCT node, feature, v FROM lf WHERE NOT isnan(v))),
+cu AS (SELECT node, feature, (v + nx) / 2 AS threshold FROM dv JOIN st USING (node, feature) WHERE nd <= {_NODE_BINS} AND nx IS NOT NULL
+  UNION ALL SELECT node, feature, lo + (hi - lo) * k / {_NODE_BINS}.0::DOUBLE FROM st, range(1, {_NODE_BINS}) t(k) WHERE nd > {_NODE_BINS}),
+su AS (SELECT c.node, c.feature, threshold, sum(grad) FILTER (NOT isnan(v) AND v <= threshold) AS gl, sum(hess) FILTER (NOT isnan(v) AND v <= threshold) AS hl, sum(grad) AS gt, sum(hess) AS ht FROM cu c JOIN lf ON c.node = lf.node AND c.feature = lf.feature GROUP BY ALL),
+ga AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM su WHERE hl > 0 AND ht - hl > 0)
+SELECT node, feature, round(threshold, 6) AS threshold, round(gain, 5) AS gain FROM ga WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, threshold) = 1""")
+def split_per_node(spark, d):
+    """Three nodes with bins of their own: equal widths for the many values of one feature, midpoints for the few of the other."""
+    p = boosting.Params("binary:logistic", lam=1.0, max_bin=_NODE_BINS)
+    node = (F.lit(3) + F.col("qid") % 3).cast("long")
+    work = training_rows_of(spark, d).select(boosting.values_array(["tax", "lines"]).alias("_x"), F.array("grad").alias("_g"), F.array("hess").alias("_h"), F.array(node).alias("_at"))
+    found = boosting._per_node_level(work, int(spark.conf.get("spark.sql.shuffle.partitions")), [(0, n) for n in (3, 4, 5)], [], p, boosting.Round("per-node", 1, [0], [[0, 1]]), 2)
+    return spark.createDataFrame([(n, f, round(threshold, 6), round(gain, 5)) for (_, n), (f, threshold, _, gain, *_) in found.items()], "node long, feature int, threshold double, gain double")
+
+
+def training_rows_of(spark, d):
+    return order_features(spark, d).withColumns({"grad": 0.5 - F.col("label"), "hess": F.lit(0.25)})
+
+
+_MIDS = "lf AS (SELECT {key}, row_id, 0 AS feature, tax AS v, grad, hess FROM tr UNION ALL SELECT {key}, row_id, 1, lines, grad, hess FROM tr), mi AS (SELECT feature, v, (v + lead(v) OVER (PARTITION BY feature ORDER BY v)) / 2 AS threshold FROM (SELECT DISTINCT feature, v FROM lf WHERE NOT isnan(v)))"
+
+
+def _search_sql(rows: str, key: str, to: str) -> str:
+    """The best split of each ``key`` of ``rows``, among midpoints of all rows."""
+    return f"""{to}_h AS (SELECT {key}, feature, v, sum(grad) AS g, sum(hess) AS h FROM {rows} GROUP BY ALL),
+{to}_c AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY {key}, feature) AS gt, sum(h) OVER (PARTITION BY {key}, feature) AS ht FROM {to}_h WINDOW w AS (PARTITION BY {key}, feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
+{to}_g AS (SELECT {key}, feature, threshold, gl, hl, gt, ht, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM {to}_c JOIN mi USING (feature, v) WHERE threshold IS NOT NULL AND hl > 0 AND ht - hl > 1e-9),
+{to} AS (SELECT * FROM {to}_g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, feature, threshold) = 1)"""
+
+
+@query(f"""WITH {OF}, tr AS (SELECT row_id, k AS class_id, tax, lines, 1 / 3.0::DOUBLE - (least(floor(price / 100), 2) = k)::INT AS grad, 4 / 9.0::DOUBLE AS hess FROM of_, range(3) t(k)), {_MIDS.format(key="class_id")}, {_search_sql("lf", "class_id", "be")}
+SELECT class_id::INT AS class_id, feature, round(threshold, 6) AS threshold, round(gain, 4) AS gain, round(-gl / (hl + 1) * 0.3, 6) AS left_value, round(-(gt - gl) / (ht - hl + 1) * 0.3, 6) AS right_value FROM be""")
+def train_multiclass(spark, d):
+    """The first round of three price bands, a tree for each in the same jobs: root splits and leaf values."""
+    rows = order_features(spark, d).withColumn("band", F.least(F.floor(F.col("price") / 100), F.lit(2)).cast("double"))
+    p = boosting.Params("multi:softprob", rounds=1, max_depth=1, lam=1.0, method="hist", num_class=3)
+    model, _ = boosting.train(rows, p, boosting.Columns(["tax", "lines"], "band"))
+    found = [(k, t.feature[0], round(t.threshold[0], 6), round(t.gain[0], 4), *(round(float(v[0]), 6) for v in t.leaf_value)) for k, t in zip(model.tree_class, model.trees) if t.nodes]
+    return spark.createDataFrame(found, "class_id int, feature int, threshold double, gain double, left_value double, right_value double")
+
+
+@query(f"""WITH {OF}, m AS (SELECT avg(label) AS p FROM of_), tr AS (SELECT 0 AS node, row_id, tax, lines, p - label AS grad, p * (1 - p) AS hess FROM of_, m), {_MIDS.format(key="node")}, {_search_sql("lf", "node", "top")},
+rn AS (SELECT tr.row_id, CASE WHEN (top.feature = 0 AND tax <= threshold) OR (top.feature = 1 AND NOT isnan(lines) AND lines <= threshold) THEN 1 ELSE 2 END AS node FROM tr, top),
+l2 AS (SELECT rn.node, lf.row_id, feature, v, grad, hess FROM lf JOIN rn USING (row_id)), {_search_sql("l2", "node", "low")}
+SELECT node::INT AS node, feature, round(threshold, 6) AS threshold, round(gain, 3) AS gain FROM (SELECT * FROM top UNION ALL SELECT * FROM low)""")
+def train_levels(spark, d):
+    """The first round of a tree of two levels: its splits by node."""
+    p = boosting.Params("binary:logistic", rounds=1, max_depth=2, lam=1.0, method="hist")
+    model, _ = boosting.train(order_features(spark, d), p, boosting.Columns(["tax", "lines"]))
+    t, at = model.trees[0], {}
+    for j in range(t.nodes):
+        n = at.setdefault(j, 0)
+        at |= {c: 2 * n + k for k, c in ((1, t.left[j]), (2, t.right[j])) if c >= 0}
+    return spark.createDataFrame([(at[j], t.feature[j], round(t.threshold[j], 6), round(t.gain[j], 3)) for j in range(t.nodes)], "node int, feature int, threshold double, gain double")
+
+
 @query()
 def train_boosted(spark, d):
     rows = order_features(spark, d)
