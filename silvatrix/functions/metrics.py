@@ -116,6 +116,21 @@ def map_by_group(df: DataFrame, label: str, pred: str, group: str, tie: str, k:
     return at.groupBy(group).agg(found.alias("s"), F.sum("rel").alias("n")).select(group, F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("value"))
 
 
+def of_one_group(df: DataFrame, name: str, label: str, pred: str, tie: str, k: int | None = None) -> DataFrame:
+    """NDCG or MAP of the whole table as one group: ranks are running counts over ranges, so no task orders all rows."""
+    at = df.select(_c(label).cast("double").alias("y"), _c(pred).alias("p"), _c(tie).alias("t")).withColumns({"one": F.lit(1), "rel": F.when(F.col("y") > 0.5, 1.0).otherwise(0.0)})
+    most = k if k else 2**62
+    by_pred = [F.col("p").desc(), F.col("t").asc()]
+    if name == "map":
+        ranked = running_sum(at, by_pred, ["one", "rel"], ["r", "hits"])
+        found, n = F.sum(F.when((F.col("rel") > 0) & (F.col("r") <= most), F.col("hits") / F.col("r")).otherwise(0.0)), F.sum("rel")
+        return _one(ranked, F.when(n > 0, found / n).otherwise(0.0))
+    gains = F.sum(F.when(F.col("r") <= most, (F.pow(F.lit(2.0), F.col("y")) - 1) / F.log2(F.col("r") + 1)).otherwise(0.0))
+    dcg = running_sum(at, by_pred, "one", "r").agg(gains.alias("dcg"))
+    best = running_sum(at, [F.col("y").desc(), F.col("t").asc()], "one", "r").agg(gains.alias("best"))
+    return _one(dcg.crossJoin(best), F.max(F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0)))  # a row each
+
+
 def by_group(df: DataFrame, metric, label: str, pred: str, group: str) -> DataFrame:
     """Unweighted mean over groups of a pointwise metric (a name or a function)."""
     of = POINTWISE[metric] if isinstance(metric, str) else metric
@@ -157,7 +172,7 @@ def evaluate(df: DataFrame, name: str, label: str = "label", pred: str = "predic
     if m:
         of = ndcg_by_group if m[1] == "ndcg" else map_by_group
         if group is None:
-            df, group = df.withColumn("_all", F.lit(0)), "_all"
+            return of_one_group(df, m[1], label, pred, tie or label, int(m[2]) if m[2] else None)
         return _one(of(df, label, pred, group, tie or label, int(m[2]) if m[2] else None), F.avg("value"))
     if name in ("auc", "aucpr"):
         return auc(df, label, pred)

@@ -6,10 +6,15 @@ risk sets and groups are windows, ranking pairs a self-join within the group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .transforms import sigmoid, softmax
 from .windows import running_sum
@@ -111,21 +116,23 @@ def cox(df: DataFrame, y: str = "label", p: str = "margin", key: str = "row_id",
     """``df`` with grad and hess of the Cox partial likelihood.
 
     A positive label is the time of an event, a negative one minus the time of
-    censoring. Risk sets need only sums by distinct time; the running order of
-    tied rows is settled within each time.
+    censoring. Risk sets need only sums by distinct time. The running order of
+    tied rows comes from a running count of events over (time, ``key``), in
+    ranges of both, so a time with many rows is dealt out to many tasks; in the
+    join with the table of times adaptive execution splits it.
     """
     rows = df.withColumns({"_t": F.abs(F.col(y)), "_e": F.exp(F.col(p)), "_ev": F.when(F.col(y) > 0, 1.0).otherwise(0.0)})
     times = rows.groupBy("_t").agg(F.sum("_e").alias("_sum"), F.sum("_ev").alias("_events"))
     risk = running_sum(times, "_t", "_sum", "_risk", ascending=False)
     risk = risk.withColumns({"_r1": F.col("_events") / F.col("_risk"), "_r2": F.col("_events") / (F.col("_risk") * F.col("_risk"))})
-    upto = running_sum(risk, "_t", ["_r1", "_r2"], ["_s1", "_s2"]).select("_t", "_risk", (F.col("_s1") - F.col("_r1")).alias("_b1"), (F.col("_s2") - F.col("_r2")).alias("_b2"))
-    at = rows.join(upto, "_t")
-    among = Window.partitionBy("_t").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    events = F.sum("_ev").over(among)
+    upto = running_sum(risk, "_t", ["_r1", "_r2", "_events"], ["_s1", "_s2", "_se"])
+    upto = upto.select("_t", "_risk", (F.col("_s1") - F.col("_r1")).alias("_b1"), (F.col("_s2") - F.col("_r2")).alias("_b2"), (F.col("_se") - F.col("_events")).alias("_be"))
+    at = running_sum(rows, [F.col("_t").asc(), F.col(key).asc()], "_ev", "_upto").join(upto, "_t")
+    events = F.col("_upto") - F.col("_be")  # of this time, up to and with this row
     r = F.col("_b1") + events / F.col("_risk")
     s = F.col("_b2") + events / (F.col("_risk") * F.col("_risk"))
     out = at.withColumns({"grad": (F.col("_e") * r - F.col("_ev")) * weight(w), "hess": _floor((F.col("_e") * r - F.col("_e") * F.col("_e") * s) * weight(w))})
-    return out.drop("_t", "_e", "_ev", "_risk", "_b1", "_b2")
+    return out.drop("_t", "_e", "_ev", "_risk", "_b1", "_b2", "_be", "_upto")
 
 
 # --- ranking -----------------------------------------------------------------------------
@@ -249,6 +256,13 @@ def listwise(df: DataFrame, label: str = "label", pred: str = "margin", group: s
     return at.withColumns({"grad": F.when(alone, 0.0).otherwise((F.col("_p") - F.col("_t")) * weight(w)), "hess": F.when(alone, 0.0).otherwise(_floor(F.col("_p") * (1 - F.col("_p")) * weight(w)))}).drop("_p", "_t", "_n")
 
 
+def pair_gradient(high: Column, low: Column, w: Column | None = None) -> tuple[Column, Column]:
+    """(grad, hess) of the first of two rows, of which it has the larger label, from their predictions; the second has minus the gradient and the same hessian."""
+    rho = 1 / (1 + F.exp(high - low))
+    w = F.lit(1.0) if w is None else w
+    return -rho * w, _floor(rho * (1 - rho)) * w
+
+
 # --- registry ------------------------------------------------------------------------------
 
 POINTWISE = {"reg:squarederror": squared_error, "binary:logistic": logistic, "reg:gamma": gamma, "count:poisson": poisson, "reg:tweedie": tweedie}
@@ -260,6 +274,35 @@ def register(name: str, gradient) -> None:
     POINTWISE[name] = gradient
 
 
+#: Objectives of whole groups: name to (function, rows of a group at most).
+GROUPED: dict[str, tuple[Callable, int]] = {}
+
+
+def register_grouped(name: str, gradient: Callable, max_rows: int = 100_000) -> None:
+    """Add an objective of groups: ``gradient(y, p, w) -> (grad, hess)``, numpy arrays of a group's rows in order of their id.
+
+    A group goes to one task, so a larger one than ``max_rows`` is an error.
+    """
+    GROUPED[name] = gradient, max_rows
+
+
+def grouped(df: DataFrame, name: str, label: str, pred: str, group: str, tie: str, w: str | None = None) -> DataFrame:
+    """``df`` with grad and hess by an objective of groups; a null group is one."""
+    gradient, most = GROUPED[name]
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} rows, and {name} takes {most} at most")
+    at = df.withColumns({"_gy": F.col(label).cast("double"), "_gp": F.col(pred).cast("double"), "_gw": weight(w).cast("double")})
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t.column(tie)))
+        g, h = gradient(*(t.column(c).to_numpy() for c in ("_gy", "_gp", "_gw")))
+        return t.drop_columns(["_gy", "_gp", "_gw"]).append_column("grad", pa.array(np.asarray(g, float))).append_column("hess", pa.array(np.asarray(h, float)))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("grad", T.DoubleType()), T.StructField("hess", T.DoubleType())])
+    return at.groupBy(group).applyInArrow(run, schema)
+
+
 def start(objective: str, y: Column, w: Column) -> Column:
     """Aggregate that gives the starting margin."""
     if objective == "reg:squarederror":

@@ -13,25 +13,27 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 
-def in_blocks(df: DataFrame, order: Column, block: str = "_block") -> DataFrame:
+def in_blocks(df: DataFrame, *order: Column, block: str = "_block") -> DataFrame:
     """``df`` in ranges of ``order``, numbered in that order.
 
     Bounds of ranges are sampled and partitions may be joined at run time, so
     the table is stored with its numbers: whatever reads it sees the same ones.
     """
-    return stored(df.repartitionByRange(order).withColumn(block, F.spark_partition_id()))
+    return stored(df.repartitionByRange(*order).withColumn(block, F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, key: str, value: str | list[str], to: str | list[str], ascending: bool = True) -> DataFrame:
+def running_sum(df: DataFrame, key: str | list[Column], value: str | list[str], to: str | list[str], ascending: bool = True) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows up to and with this ``key``.
 
-    ``key`` has to be distinct; group by it first. Blocks follow Spark's
-    shuffle partitions, so the ordered pass over their totals is bounded.
+    ``key`` has to be distinct; group by it first. Several columns, each with
+    its order, make one key too, so that rows with the same first column are
+    dealt out by the others. Blocks follow Spark's shuffle partitions, so the
+    ordered pass over their totals is bounded.
     """
     values, tos = ([value], [to]) if isinstance(value, str) else (value, to)
-    order = F.col(key).asc() if ascending else F.col(key).desc()
-    ranged = in_blocks(df, order)
-    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.col(key).asc() if ascending else F.col(key).desc()] if isinstance(key, str) else key
+    ranged = in_blocks(df, *order)
+    inside = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.withColumns({t: F.sum(v).over(inside) for v, t in zip(values, tos)})
     totals = ranged.groupBy("_block").agg(*[F.sum(v).alias(f"_{t}") for v, t in zip(values, tos)])
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -64,27 +64,34 @@ def tag_preferences(interactions: DataFrame) -> DataFrame:
 def recall(interactions: DataFrame, catalog: DataFrame, n: int = 100) -> DataFrame:
     """Top ``n`` items a user: its tags' items in order of preference and popularity, then popular ones.
 
-    A user needs at most ``n`` items of a tag, and of the whole catalog at most
-    the 2n most popular, since at most n of those are among its tag items. So
-    both pools are cut before they meet users; the second has a fixed size.
+    A user needs at most ``n`` items of a tag, so tags are cut before they meet
+    users. Popular items meet only users who lack some, and each gets only as
+    many as it lacks: of the ``n`` most popular, kept in one row, those it has
+    already are left out before they are unpacked.
     """
-    pop = Window.partitionBy("Tag").orderBy(F.col("feat_pop").desc(), "Item")
-    by_tag = catalog.withColumn("_in_tag", F.row_number().over(pop)).where(F.col("_in_tag") <= n)
+    pop = [F.col("feat_pop").desc(), F.col("Item").asc()]
+    by_tag = catalog.withColumn("_in_tag", F.row_number().over(Window.partitionBy("Tag").orderBy(*pop))).where(F.col("_in_tag") <= n)
     feats = [c for c in catalog.columns if c not in ("Item", "Tag")]
+    score = 0.3 * F.col(feats[0]) + 0.2 * F.col(feats[1]) if len(feats) > 1 else 0.3 * F.col(feats[0])
+    cols = ["Item", "Tag", "recall_score", *feats]
+    ranked = catalog.orderBy(*pop).limit(n).select("*", (F.row_number().over(Window.orderBy(*pop)) - 1).alias("_at"))  # n rows
+    packed = ranked.agg(F.array_sort(F.collect_list(F.struct("_at", "Item", "Tag", score.alias("recall_score"), *feats))).alias("_all"))
+
     wanted = tag_preferences(interactions).join(by_tag.groupBy("Tag").agg(F.count(F.lit(1)).alias("_size")), "Tag")
     before = F.sum("_size").over(Window.partitionBy("User").orderBy("tag_rank").rowsBetween(Window.unboundedPreceding, -1))
     wanted = wanted.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < n)  # tags past the n-th item add nothing
-    score = 0.3 * F.col(feats[0]) + 0.2 * F.col(feats[1]) if len(feats) > 1 else 0.3 * F.col(feats[0])
-    tagged = wanted.join(by_tag, "Tag").select("User", "Item", "Tag", *feats, (0.5 * F.col("pref") + score).alias("recall_score"), F.lit(0).alias("_source"), F.col("tag_rank").alias("_k"), F.col("_in_tag").alias("_j"))
-    popular = catalog.orderBy(F.col("feat_pop").desc(), "Item").limit(2 * n)
-    users = interactions.select("User").distinct()
-    ranked = popular.withColumn("_j", F.row_number().over(Window.orderBy(F.col("feat_pop").desc(), "Item")))  # 2n rows
-    packed = ranked.agg(F.collect_list(F.struct("Item", "Tag", *feats, score.alias("recall_score"), "_j")).alias("_all"))
-    global_ = users.join(F.broadcast(packed)).select("User", F.explode("_all").alias("x")).select("User", "x.Item", "x.Tag", *[f"x.{f}" for f in feats], "x.recall_score", F.lit(1).alias("_source"), F.lit(0).alias("_k"), "x._j")
-    both = tagged.unionByName(global_)
-    first = both.withColumn("_n", F.row_number().over(Window.partitionBy("User", "Item").orderBy("_source", "_k", "_j"))).where("_n = 1")
-    order = Window.partitionBy("User").orderBy("_source", "_k", "_j")
-    return first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n).select("User", "Item", "Tag", "recall_score", *feats, "position")
+    tagged = wanted.join(by_tag, "Tag").withColumns({"recall_score": 0.5 * F.col("pref") + score, "_k": F.struct("tag_rank", "_in_tag")})
+    if catalog.groupBy("Item").count().where("count > 1").take(1):  # an item of several tags counts for the first
+        tagged = tagged.withColumn("_n", F.row_number().over(Window.partitionBy("User", "Item").orderBy("_k"))).where("_n = 1")
+    tagged = tagged.select("User", *cols, F.row_number().over(Window.partitionBy("User").orderBy("_k")).alias("position")).where(F.col("position") <= n)
+
+    known = tagged.join(F.broadcast(ranked.select("Item", "_at")), "Item", "left")
+    has = known.groupBy("User").agg(F.count(F.lit(1)).cast("int").alias("_has"), F.collect_set("_at").alias("_own"))
+    short = interactions.select("User").distinct().join(has, "User", "left").where(F.coalesce("_has", F.lit(0)) < n).withColumn("_has", F.coalesce("_has", F.lit(0)))
+    new = F.filter("_all", lambda x: F.col("_own").isNull() | ~F.array_contains("_own", x["_at"]))
+    filled = short.crossJoin(F.broadcast(packed)).select("User", "_has", F.posexplode(F.slice(new, F.lit(1), F.lit(n) - F.col("_has"))).alias("_i", "x"))  # one row of n items
+    filled = filled.select("User", *[F.col(f"x.{c}").alias(c) for c in cols], (F.col("_has") + F.col("_i") + 1).alias("position"))
+    return tagged.unionByName(filled).select("User", "Item", "Tag", "recall_score", *feats, "position")
 
 
 def validate_recall(recalled: DataFrame, n: int) -> DataFrame:

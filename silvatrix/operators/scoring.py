@@ -16,8 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import transforms
 from ..plans.model import ZERO, Forest, Linear, Tree
@@ -106,7 +109,7 @@ class _Compiled:
     def go_left(self, x: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
         f = self.feature[node]
         known = f < x.shape[1]
-        value = x[rows, np.where(known, f, 0)]
+        value = x.at(rows, f) if isinstance(x, SparseRows) else x[rows, np.where(known, f, 0)]
         isnan = np.isnan(value)
         uses_nan = self.nan[node]
         value = np.where(isnan & ~uses_nan, 0.0, value)
@@ -138,6 +141,32 @@ class _Compiled:
         return ~at
 
 
+class SparseRows:
+    """Rows as (offsets, feature numbers, values): cells that aren't there are NaN, and a feature that a row has twice counts as given last.
+
+    A cell is found by binary search over (row, feature), so rows of any width
+    take the room of the cells they have.
+    """
+
+    def __init__(self, offsets: np.ndarray, indices: np.ndarray, values: np.ndarray, width: int):
+        self.shape = (len(offsets) - 1, width)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        inside = (indices >= 0) & (indices < width)
+        key = row[inside] * np.int64(width) + indices[inside]
+        order = np.argsort(key, kind="stable")
+        self.key, self.values = key[order], values[inside][order]
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def at(self, rows: np.ndarray, features: np.ndarray) -> np.ndarray:
+        wanted = rows * np.int64(self.shape[1]) + features
+        k = np.searchsorted(self.key, wanted, "right") - 1
+        if not len(self.key):
+            return np.full(len(wanted), np.nan)
+        return np.where((k >= 0) & (self.key[k] == wanted) & (features < self.shape[1]), self.values[k], np.nan)
+
+
 def forest_tips(m: Forest, x: np.ndarray, trees: list[int]) -> list[np.ndarray]:
     return [_Compiled(m.trees[i]).tips(x) for i in trees]
 
@@ -191,6 +220,37 @@ def margins(m: Forest | Linear, cols: list[str], begin: int = 0, end: int | None
     return _margins_column(m, cols, begin, end)
 
 
+def sparse_margins(df: DataFrame, m: Forest | Linear, indices: str = "indices", values: str = "values", to: str = "margins") -> DataFrame:
+    """``df`` with array<double> of margins of rows given as arrays of feature numbers and values.
+
+    What a row lacks is missing for trees and 0 for a linear model; rows are
+    walked as they are and never widened. Arrays that are null have no cells.
+    """
+    weights = np.array(m.weights, float).reshape(m.n_features, m.n_outputs) if isinstance(m, Linear) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled: dict = {}
+        for b in batches:
+            at, v = b.column("_sparse_i"), b.column("_sparse_v")
+            sizes = pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)
+            offsets = np.r_[0, np.cumsum(sizes)]
+            i = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            x = v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            if weights is None:
+                out = forest_margins(m, SparseRows(offsets, i, x, m.n_features), compiled=compiled)
+            else:
+                row, ok = np.repeat(np.arange(len(sizes)), sizes), (i >= 0) & (i < len(weights)) & ~np.isnan(x)
+                out = np.zeros((len(sizes), m.n_outputs))
+                np.add.at(out, row[ok], x[ok, None] * weights[i[ok]])
+                out += np.array(m.bias) + np.array(m.base if len(m.base) > 1 else m.base[0])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], lists], [*names, to])
+
+    names = df.columns
+    kept = df.withColumns({"_sparse_i": F.when(F.col(values).isNotNull(), F.col(indices)).cast("array<int>"), "_sparse_v": F.when(F.col(indices).isNotNull(), F.col(values)).cast("array<double>")})
+    return kept.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.DoubleType()))]))
+
+
 def linear_margin(m: Linear, cols: list[str], output: int = 0) -> Column:
     """base + bias + sum of x * w; absent values add nothing."""
     total = F.lit(float((m.base[output] if len(m.base) > 1 else m.base[0]) + m.bias[output]))

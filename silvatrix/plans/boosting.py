@@ -14,13 +14,14 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, objectives, sampling, transforms
+from ..functions.storage import stored
 from ..operators import scoring
 from . import dense, splits
 from .model import Forest, Linear, Tree
@@ -124,6 +125,8 @@ def gradients(df: DataFrame, p: Params, c: Columns, output: int = 0) -> DataFram
         return objectives.cox(df.withColumn("_m", m), c.label, "_m", c.row_id, c.weight).drop("_m")
     elif p.objective == "rank:listwise":
         return objectives.listwise(df.withColumn("_m", m), c.label, "_m", c.group, c.weight).drop("_m")
+    elif p.objective in objectives.GROUPED:
+        return objectives.grouped(df.withColumn("_m", m), p.objective, c.label, "_m", c.group, c.row_id, c.weight).drop("_m")
     elif p.objective.startswith("rank:"):
         found = objectives.pair_gradients(df.withColumn("_m", m), p.objective[5:], p.rank, c.label, "_m", c.group, c.row_id, c.weight)
         return df.join(found, [c.group, c.row_id])
@@ -350,8 +353,8 @@ def resolve_method(df: DataFrame, p: Params) -> str:
 
 def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None, callbacks=(), resume: Forest | None = None, checkpoint_path: str | None = None) -> tuple[Forest | Linear, History]:
     """Fit a model. ``callbacks`` are called with (round, model, history); a true result stops."""
-    if p.objective.startswith("rank:") and c.group is None:
-        raise ValueError("ranking needs a group column")
+    if (p.objective.startswith("rank:") or p.objective in objectives.GROUPED) and c.group is None:
+        raise ValueError("an objective of groups needs a group column")
     from .state import fold_margin, save_checkpoint
 
     keep = [x for x in dict.fromkeys([*c.features, c.label, c.row_id, c.weight, c.group, c.lower, c.upper]) if x and x in df.columns]
@@ -495,3 +498,19 @@ def cross_validate(df: DataFrame, p: Params, c: Columns, folds: int = 5, metric:
 
 def describe(p: Params) -> str:
     return json.dumps({k: v for k, v in asdict(p).items() if k != "eta_schedule"}, default=str)
+
+
+def train_file(spark, path: str, p: Params, format: str | None = None, resume: Forest | None = None, **options) -> tuple[Forest | Linear, History]:
+    """Train on a table file of any format that the sources read; with ``resume`` go on with a model, by its objective if ``p`` has none."""
+    from ..sources.models import objective_of
+    from ..sources.tables import read_table
+
+    df = read_table(spark, path, format, **options)
+    group = "qid" if "qid" in df.columns else None
+    features = [c for c in df.columns if c not in ("label", "qid", "weight")]
+    if not p.objective:
+        if resume is None:
+            raise ValueError("name an objective, or a model to take it from")
+        p = replace(p, objective=objective_of(resume), num_class=resume.n_outputs)
+    rows = stored(df.withColumn("row_id", F.monotonically_increasing_id()))  # numbers that stay
+    return train(rows, p, Columns(features, group=group, weight="weight" if "weight" in df.columns else None), resume=resume)

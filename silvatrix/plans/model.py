@@ -188,3 +188,17 @@ def three_class_forest() -> Forest:
         t.leaf_value, t.leaf_cover = [[0.1 * (i + 1)], [-0.05 * i], [0.2 - 0.1 * i]], [4.0, 3.0, 3.0]
         trees.append(t)
     return Forest(trees, 4, n_outputs=3, base=[0.1, 0.2, 0.3], transform="softmax", name="three classes")
+
+
+def wide_forest(width: int = 100_000, trees: int = 40) -> Forest:
+    """Trees of seven nodes over single features of a very wide table, by a rule."""
+    out = []
+    for k in range(trees):
+        t = Tree()
+        for j in range(7):
+            number = 7 * k + j
+            left, right = (2 * j + 1, 2 * j + 2) if j < 3 else (~(2 * j - 6), ~(2 * j - 5))
+            t.add((2503 * number + 17) % width, 5.0 + number % 40, left, right, default_left=number % 3 == 0, missing_nan=number % 5 > 0, gain=1.0, cover=1.0)
+        t.leaf_value, t.leaf_cover = [[round(0.01 * (8 * k + i) - 1, 6)] for i in range(8)], [1.0] * 8
+        out.append(t)
+    return Forest(out, width, base=[0.5], name="wide")

@@ -17,7 +17,7 @@ from .functions import metrics, objectives, transforms
 from .functions.storage import stored
 from .operators import explain, quantize, recsys, scoring
 from .plans import boosting, dense, splits
-from .plans.model import Forest, Linear, three_class_forest, tiny_forest
+from .plans.model import Forest, Linear, three_class_forest, tiny_forest, wide_forest
 
 FEATURES = ["lines", "quantity", "discount", "tax"]
 
@@ -197,6 +197,20 @@ def score_linear(spark, d):
     return scoring.predict(order_features(spark, d), _linear, FEATURES, "margin", "m").select("row_id", _r("m").alias("margin"))
 
 
+_WIDE = wide_forest()
+_wide_sql = scoring.for_duckdb(scoring.margin_sql(_WIDE, [f"list_extract(map_extract(m, {i}), 1)" for i in range(_WIDE.n_features)]))
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS row_id, ((l_partkey * 48271 + l_suppkey * 16807) % 100000)::INT AS f, sum(round(l_quantity)::BIGINT)::DOUBLE AS v FROM lineitem GROUP BY ALL),
+x AS (SELECT row_id, map(list(f), list(v)) AS m FROM c GROUP BY row_id) SELECT row_id, round({_wide_sql}, 6) AS margin FROM x""")
+def score_sparse(spark, d):
+    """Orders as a few of 100,000 features each: walked as arrays of numbers and values."""
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), ((F.col("l_partkey") * 48271 + F.col("l_suppkey") * 16807) % 100000).cast("int").alias("f"), F.round("l_quantity").cast("long").alias("q"))
+    cells = li.groupBy("row_id", "f").agg(F.sum("q").cast("double").alias("v"))
+    rows = cells.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("c")).select("row_id", F.col("c.f").alias("indices"), F.col("c.v").alias("values"))
+    return scoring.sparse_margins(rows, _WIDE).select("row_id", _r(F.get("margins", F.lit(0))).alias("margin"))
+
+
 def _shares_sql() -> str:
     out = []
     for f in range(4):
@@ -275,34 +289,6 @@ def explain_interactions(spark, d):
     return scoring.predict(order_features(spark, d), _tiny, FEATURES, "interaction", "c").select("row_id", "c")
 
 
-def _nodes_sql(m) -> str:
-    rows = ", ".join(f"({r[0]}, {r[3]}, {str(r[4]).upper()}, {'NULL' if r[5] is None else r[5]}, {'NULL' if r[6] is None else repr(r[6])}::DOUBLE, {str(r[10] is not None).upper()}, {'NULL' if r[14] is None else repr(r[14])}::DOUBLE, {repr(r[15])}::DOUBLE, {r[2]})" for r in m.node_rows())
-    return f"nodes AS (SELECT * FROM (VALUES {rows}) t(tree_id, node_id, is_leaf, feature, threshold, cat, split_gain, sum_hess, iteration))"
-
-
-@query(f"""WITH {_nodes_sql(_tiny)}, s AS (SELECT feature, count(*)::DOUBLE AS weight, sum(split_gain) AS gain, sum(sum_hess) AS cover FROM nodes WHERE NOT is_leaf GROUP BY 1)
-SELECT feature, round(weight, 6) AS weight, round(gain, 6) AS gain, round(gain / sum(gain) OVER (), 6) AS total_gain, round(cover, 6) AS cover, round(cover / sum(cover) OVER (), 6) AS total_cover FROM s""")
-def importance_all(spark, d):
-    nodes = _tiny.node_table(spark)
-    out = None
-    for kind in explain.IMPORTANCE:
-        one = explain.importance(nodes, kind).select("feature", _r("score").alias(kind))
-        out = one if out is None else out.join(one, "feature")
-    return out
-
-
-@query(f"WITH {_nodes_sql(_tiny)} SELECT count(DISTINCT tree_id) AS n_trees, count(DISTINCT iteration) AS n_iterations, count(*) FILTER (NOT is_leaf) AS n_nodes, count(*) FILTER (is_leaf) AS n_tips, max(feature) + 1 AS n_features FROM nodes")
-def model_metadata(spark, d):
-    return explain.metadata(_tiny.node_table(spark))
-
-
-@query(f"""WITH {_nodes_sql(_three)}, w AS (SELECT tree_id, node_id, feature, threshold, min(threshold) OVER (PARTITION BY feature) AS lo, max(threshold) OVER (PARTITION BY feature) AS hi FROM nodes WHERE NOT is_leaf AND NOT cat),
-q AS (SELECT *, CASE WHEN hi > lo THEN floor((threshold - lo) / (hi - lo) * 127 + 0.5) ELSE 0 END::INT AS q FROM w)
-SELECT tree_id, node_id, feature, threshold, q, round(lo + q / 127.0::DOUBLE * (hi - lo), 6) AS decoded FROM q""")
-def quantize_thresholds(spark, d):
-    return quantize.quantize_nodes(_three.node_table(spark)).withColumn("decoded", _r("decoded"))
-
-
 def _rough():
     import copy
 
@@ -660,32 +646,72 @@ def _search_sql(rows: str, key: str, to: str) -> str:
 {to} AS (SELECT * FROM {to}_g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, feature, threshold) = 1)"""
 
 
-@query(f"""WITH {OF}, tr AS (SELECT row_id, k AS class_id, tax, lines, 1 / 3.0::DOUBLE - (least(floor(price / 100), 2) = k)::INT AS grad, 4 / 9.0::DOUBLE AS hess FROM of_, range(3) t(k)), {_MIDS.format(key="class_id")}, {_search_sql("lf", "class_id", "be")}
-SELECT class_id::INT AS class_id, feature, round(threshold, 6) AS threshold, round(gain, 4) AS gain, round(-gl / (hl + 1) * 0.3, 6) AS left_value, round(-(gt - gl) / (ht - hl + 1) * 0.3, 6) AS right_value FROM be""")
-def train_multiclass(spark, d):
-    """The first round of three price bands, a tree for each in the same jobs: root splits and leaf values."""
+_CLASSES = f"""{OF}, tr AS (SELECT row_id, k AS class_id, tax, lines, 1 / 3.0::DOUBLE - (least(floor(price / 100), 2) = k)::INT AS grad, 4 / 9.0::DOUBLE AS hess FROM of_, range(3) t(k)), {_MIDS.format(key="class_id")}, {_search_sql("lf", "class_id", "be")}"""
+
+
+def _price_bands(spark, d):
+    """A model of one round over three price bands, a tree for each."""
     rows = order_features(spark, d).withColumn("band", F.least(F.floor(F.col("price") / 100), F.lit(2)).cast("double"))
     p = boosting.Params("multi:softprob", rounds=1, max_depth=1, lam=1.0, method="hist", num_class=3)
-    model, _ = boosting.train(rows, p, boosting.Columns(["tax", "lines"], "band"))
+    return boosting.train(rows, p, boosting.Columns(["tax", "lines"], "band"))[0]
+
+
+@query(f"""WITH {_CLASSES} SELECT class_id::INT AS class_id, feature, round(threshold, 6) AS threshold, round(gain, 4) AS gain, round(-gl / (hl + 1) * 0.3, 6) AS left_value, round(-(gt - gl) / (ht - hl + 1) * 0.3, 6) AS right_value FROM be""")
+def train_multiclass(spark, d):
+    """The first round of three classes, in the same jobs: root splits and leaf values."""
+    model = _price_bands(spark, d)
     found = [(k, t.feature[0], round(t.threshold[0], 6), round(t.gain[0], 4), *(round(float(v[0]), 6) for v in t.leaf_value)) for k, t in zip(model.tree_class, model.trees) if t.nodes]
     return spark.createDataFrame(found, "class_id int, feature int, threshold double, gain double, left_value double, right_value double")
 
 
-@query(f"""WITH {OF}, m AS (SELECT avg(label) AS p FROM of_), tr AS (SELECT 0 AS node, row_id, tax, lines, p - label AS grad, p * (1 - p) AS hess FROM of_, m), {_MIDS.format(key="node")}, {_search_sql("lf", "node", "top")},
+@query(f"WITH {_CLASSES} SELECT 3::BIGINT AS n_trees, 1::BIGINT AS n_iterations, count(*) AS n_nodes, 3 + count(*) AS n_tips, max(feature) + 1 AS n_features FROM be")
+def model_metadata(spark, d):
+    """Of the model of :func:`train_multiclass`."""
+    return explain.metadata(_price_bands(spark, d).node_table(spark))
+
+
+_LEVELS = f"""{OF}, m AS (SELECT avg(label) AS p FROM of_), tr AS (SELECT 0 AS node, row_id, tax, lines, p - label AS grad, p * (1 - p) AS hess FROM of_, m), {_MIDS.format(key="node")}, {_search_sql("lf", "node", "top")},
 rn AS (SELECT tr.row_id, CASE WHEN (top.feature = 0 AND tax <= threshold) OR (top.feature = 1 AND NOT isnan(lines) AND lines <= threshold) THEN 1 ELSE 2 END AS node FROM tr, top),
-l2 AS (SELECT rn.node, lf.row_id, feature, v, grad, hess FROM lf JOIN rn USING (row_id)), {_search_sql("l2", "node", "low")}
-SELECT node::INT AS node, feature, round(threshold, 6) AS threshold, round(gain, 3) AS gain FROM (SELECT * FROM top UNION ALL SELECT * FROM low)""")
+l2 AS (SELECT rn.node, lf.row_id, feature, v, grad, hess FROM lf JOIN rn USING (row_id)), {_search_sql("l2", "node", "low")},
+nodes AS (SELECT node::INT AS node, feature, threshold, gain, ht FROM top UNION ALL SELECT node::INT, feature, threshold, gain, ht FROM low)"""
+
+
+def _two_levels(spark, d):
+    """A model of one tree of two levels."""
+    p = boosting.Params("binary:logistic", rounds=1, max_depth=2, lam=1.0, method="hist")
+    return boosting.train(order_features(spark, d), p, boosting.Columns(["tax", "lines"]))[0]
+
+
+@query(f"WITH {_LEVELS} SELECT node, feature, round(threshold, 6) AS threshold, round(gain, 3) AS gain FROM nodes")
 def train_levels(spark, d):
     """The first round of a tree of two levels: its splits by node."""
-    p = boosting.Params("binary:logistic", rounds=1, max_depth=2, lam=1.0, method="hist")
-    model, _ = boosting.train(order_features(spark, d), p, boosting.Columns(["tax", "lines"]))
-    t, at = model.trees[0], {}
+    t, at = _two_levels(spark, d).trees[0], {}
     for j in range(t.nodes):
         n = at.setdefault(j, 0)
         at |= {c: 2 * n + k for k, c in ((1, t.left[j]), (2, t.right[j])) if c >= 0}
     return spark.createDataFrame([(at[j], t.feature[j], round(t.threshold[j], 6), round(t.gain[j], 3)) for j in range(t.nodes)], "node int, feature int, threshold double, gain double")
 
 
+@query(f"""WITH {_LEVELS}, s AS (SELECT feature, count(*)::DOUBLE AS weight, sum(gain) AS gain, sum(ht) AS cover FROM nodes GROUP BY 1)
+SELECT feature, round(weight, 3) AS weight, round(gain, 3) AS gain, round(gain / sum(gain) OVER (), 3) AS total_gain, round(cover, 3) AS cover, round(cover / sum(cover) OVER (), 3) AS total_cover FROM s""")
+def importance_all(spark, d):
+    """Of the model of :func:`train_levels`."""
+    nodes = _two_levels(spark, d).node_table(spark)
+    out = None
+    for kind in explain.IMPORTANCE:
+        one = explain.importance(nodes, kind).select("feature", _r("score", 3).alias(kind))
+        out = one if out is None else out.join(one, "feature")
+    return out
+
+
+@query(f"""WITH {_LEVELS}, w AS (SELECT 0 AS tree_id, (row_number() OVER (ORDER BY node) - 1)::INT AS node_id, feature, threshold, min(threshold) OVER (PARTITION BY feature) AS lo, max(threshold) OVER (PARTITION BY feature) AS hi FROM nodes),
+q AS (SELECT *, CASE WHEN hi > lo THEN floor((threshold - lo) / (hi - lo) * 127 + 0.5) ELSE 0 END::INT AS q FROM w)
+SELECT tree_id, node_id, feature, threshold, q, round(lo + q / 127.0::DOUBLE * (hi - lo), 6) AS decoded FROM q""")
+def quantize_thresholds(spark, d):
+    """Of the model of :func:`train_levels`."""
+    return quantize.quantize_nodes(_two_levels(spark, d).node_table(spark)).withColumn("decoded", _r("decoded"))
+
+
 @query()
 def train_boosted(spark, d):
     rows = order_features(spark, d)

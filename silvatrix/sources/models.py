@@ -12,10 +12,11 @@ import json
 import math
 import pickle
 import struct
-from pathlib import Path
 
 import numpy as np
 
+from ..functions import objectives
+from ..functions.storage import read_file, write_file
 from ..functions.transforms import OF_OBJECTIVE
 from ..plans.model import Forest, Linear, Tree
 
@@ -46,14 +47,15 @@ def _lgb_tree(block: dict[str, str]) -> Tree:
     ints = lambda k: [int(x) for x in block.get(k, "").split()]
     floats = lambda k: [float(x) for x in block.get(k, "").split()]
     t = Tree()
-    n_tips = int(block["num_leaves"])
     t.leaf_value = [[v] for v in floats("leaf_value")]
-    if len(t.leaf_value) != n_tips:
-        raise FormatError("num_leaves and leaf_value differ")
-    t.leaf_cover = floats("leaf_count") or [0.0] * n_tips
-    if n_tips == 1:
+    t.leaf_cover = floats("leaf_count") or [0.0] * t.tips
+    if len(t.leaf_cover) != t.tips:
+        raise FormatError("leaf_value and leaf_count differ")
+    if t.tips == 1:
         return t
     feature, threshold, kinds = ints("split_feature"), floats("threshold"), ints("decision_type")
+    if len(feature) != t.tips - 1:
+        raise FormatError("as many leaf values as splits and one are needed")
     left, right, gain, cover = ints("left_child"), ints("right_child"), floats("split_gain"), floats("internal_count")
     bounds, words = ints("cat_boundaries"), ints("cat_threshold")
     for i, kind in enumerate(kinds):
@@ -83,7 +85,7 @@ def lightgbm_text(text: str) -> Forest:
             flags.add(line)
     if now:
         blocks.append(now)
-    head, trees = blocks[0], [b for b in blocks[1:] if "num_leaves" in b]
+    head, trees = blocks[0], [b for b in blocks[1:] if "leaf_value" in b]
     if "tree" not in flags:
         raise FormatError("no LightGBM text model")
     if head.get("version") not in ("v2", "v3", "v4"):
@@ -541,13 +543,35 @@ def detect(path: str, data: bytes) -> str:
     return "xgboost_binary"
 
 
-def load(path: str, format: str | None = None, transform: str | None = None) -> Forest | Linear:
-    data = Path(path).read_bytes()
+def load(path: str, format: str | None = None, transform: str | None = None, auto: bool = True, spark=None) -> Forest | Linear:
+    """A model file of any store that Spark reads.
+
+    ``transform`` sets what its values are; without one ``auto`` takes that of
+    the objective, and margins stay raw otherwise.
+    """
+    data = read_file(path, spark)
     m = LOADERS[format or detect(path, data)](data)
-    if transform:
-        m.transform = transform
+    if transform or not auto:
+        m.transform = transform or "raw"
     return m
 
 
-def save(m: Forest | Linear, path: str, format: str = "native") -> None:
-    Path(path).write_text(json.dumps(to_native(m) if format == "native" else to_xgboost(m)))
+def save(m: Forest | Linear, path: str, format: str = "native", spark=None) -> None:
+    write_file(path, json.dumps(to_native(m) if format == "native" else to_xgboost(m)).encode(), spark)
+
+
+def objective_of(m: Forest | Linear) -> str:
+    """The training objective that continues a model, from what its file says or from its transform."""
+    kind = m.objective.split(" ")[0]
+    if kind in OBJECTIVE_NAMES:
+        return OBJECTIVE_NAMES[kind]
+    if kind in objectives.NAMES or kind in objectives.POINTWISE:
+        return kind
+    return {"logistic": "binary:logistic", "softmax": "multi:softprob", "exponential": "count:poisson"}.get(m.transform, "reg:squarederror")
+
+
+#: Objectives of other tools, by the names that their files give them.
+OBJECTIVE_NAMES = {
+    "regression": "reg:squarederror", "binary": "binary:logistic", "multiclass": "multi:softprob", "poisson": "count:poisson", "gamma": "reg:gamma",
+    "tweedie": "reg:tweedie", "lambdarank": "rank:ndcg", "sklearn": "binary:logistic", "reg:linear": "reg:squarederror", "reg:logistic": "binary:logistic",
+}

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.storage import stored, write_file
+from ..functions.windows import running_sum
+
 #: Names that mark a label column.
 LABELS = ("label", "target", "y", "class", "response")
 _PAIR = re.compile(r"^\d+:[-+.\deE]+|^\d+:(?i:nan|inf)")
@@ -30,6 +33,34 @@ def head(spark: SparkSession, path: str, n: int = 12) -> list[str]:
     return [r[0] for r in spark.read.text(path).limit(n).collect()]  # n lines
 
 
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(n, value): lines with their number from 0, in order of file name and place.
+
+    Splits of a file are read by many tasks. A line's number is what lies before
+    its split, by file and offset of the block, and its place in the split; with
+    ``keep`` only the lines it holds for are there and counted.
+    """
+    lines = spark.read.text(path)
+    at = (lines if keep is None else lines.where(keep)).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
+    splits = at.groupBy("_f", "_b").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    ahead = splits.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    return at.join(ahead, ["_f", "_b"]).select((F.col("_ahead") + F.col("_id") - F.col("_first")).alias("n"), "value")
+
+
+def first_lines(spark: SparkSession, path: str, keep: Column, limit: int | None = None, until_blank: bool = False) -> DataFrame:
+    """(value): the lines that ``keep`` holds for, the first ``limit`` of them, and none behind the first blank line if so asked."""
+    if not until_blank:
+        lines = spark.read.text(path).where(keep) if limit is None else numbered_lines(spark, path, keep).where(F.col("n") < limit)
+        return lines.select("value")
+    lines = numbered_lines(spark, path)
+    stop = lines.where("trim(value) = ''").agg(F.min("n")).first()[0]
+    lines = (lines if stop is None else lines.where(F.col("n") < stop)).where(keep)
+    if limit is not None:
+        lines = running_sum(lines.withColumn("_one", F.lit(1)), "n", "_one", "_k").where(F.col("_k") <= limit)
+    return lines.select("value")
+
+
 def is_libsvm(lines: list[str]) -> bool:
     lines = [x for x in lines if x.strip() and not x.startswith("#")][:8]
     hits = sum(bool(w) and _number(w[0]) and len(w) > 1 and all(_PAIR.match(p) for p in w[1:]) for w in (x.split() for x in lines))
@@ -70,12 +101,19 @@ def sniff(path: str, lines: list[str]) -> dict:
     return {"format": "csv", "sep": sep, "header": header, "label": label}
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = False, label: int | str | None = None, skip: list[str] | None = None, default: float = float("nan")) -> DataFrame:
-    """Numeric columns; an empty cell gets ``default``; a ragged or non-numeric row is an error."""
+def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = False, label: int | str | None = None, skip: list[str] | None = None, default: float = float("nan"), limit: int | None = None) -> DataFrame:
+    """Numeric columns, of the first ``limit`` rows in order if given; an empty cell gets ``default``; a ragged or non-numeric row is an error."""
     first = head(spark, path, 1)[0].split(sep)
     names = [x.strip() for x in first] if header else [f"c{i}" for i in range(len(first))]
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-    df = spark.read.csv(path, sep=sep, header=header, schema=schema, mode="FAILFAST", comment="#", nanValue="NaN", emptyValue="", nullValue="", enforceSchema=True)
+    options = {"sep": sep, "mode": "FAILFAST", "comment": "#", "nanValue": "NaN", "emptyValue": "", "nullValue": ""}
+    if limit is None:
+        df = spark.read.csv(path, header=header, schema=schema, enforceSchema=True, **options)
+    else:
+        rows = first_lines(spark, path, F.expr("length(trim(value)) > 0 AND NOT startswith(value, '#')"), limit + header)
+        if header:
+            rows = rows.where(F.col("value") != head(spark, path, 1)[0])
+        df = rows.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
     target = names[label] if isinstance(label, int) else label
     keep = [n for n in names if n != target and n not in (skip or [])]
     cols = [F.coalesce(F.col(f"`{n}`"), F.lit(default)).alias(n if header else f"f{i}") for i, n in enumerate(keep)]
@@ -97,21 +135,38 @@ def read_ranking(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return spark.read.csv(path, sep=sep, schema=schema, comment="#", mode="FAILFAST")
 
 
-def read_libsvm(spark: SparkSession, path: str, base: int | None = None, n_features: int | None = None, absent: float = 0.0) -> DataFrame:
+def read_libsvm(spark: SparkSession, path: str, base: int | None = None, n_features: int | None = None, absent: float = 0.0, limit: int | None = None, until_blank: bool = False) -> DataFrame:
     """label, f0..; ``base`` none: taken from the first pair of the first row.
 
-    Absent cells are 0 for training, NaN where trees score sparse rows.
+    Absent cells are 0 for training, NaN where trees score sparse rows. ``limit``
+    takes the first rows in order; ``until_blank`` ends at the first blank line,
+    which training skips.
     """
+    at = read_sparse(spark, path, base, limit, until_blank).select("label", F.map_from_arrays("indices", "values").alias("m"))
+    if n_features is None:
+        n_features = (at.select(F.max(F.array_max(F.map_keys("m")))).first()[0] or 0) + 1
+    return at.select("label", *[F.coalesce(F.element_at("m", F.lit(i)), F.lit(absent)).alias(f"f{i}") for i in range(n_features)])
+
+
+def read_sparse(spark: SparkSession, path: str, base: int | None = None, limit: int | None = None, until_blank: bool = False) -> DataFrame:
+    """label, indices, values: rows of a LIBSVM file as they stand, for sparse scoring."""
     if base is None:
         pairs = next((x.split()[1:] for x in head(spark, path) if len(x.split()) > 1 and not x.startswith("#")), ["0:0"])
         base = 0 if pairs[0].startswith("0:") else 1
-    lines = spark.read.text(path).where("length(trim(value)) > 0 and not startswith(value, '#')")
+    lines = first_lines(spark, path, F.expr("length(trim(value)) > 0 AND NOT startswith(value, '#')"), limit, until_blank)
     words = F.split(F.trim("value"), r"\s+")
-    pairs = F.transform(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.contains(w, F.lit(":"))), lambda w: F.struct((F.split(w, ":")[0].cast("int") - base).alias("i"), F.split(w, ":")[1].cast("double").alias("v")))
-    at = lines.select(words[0].cast("double").alias("label"), F.map_from_entries(pairs).alias("m"))
-    if n_features is None:
-        n_features = (at.select(F.max(F.array_max(F.map_keys("m")))).first()[0] or 0) + 1
-    return at.select("label", *[F.coalesce(F.element_at("m", F.lit(i)), F.lit(absent)).alias(f"f{i}") for i in range(n_features)])
+    pairs = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.contains(w, F.lit(":")))
+    return lines.select(words[0].cast("double").alias("label"), F.transform(pairs, lambda w: F.split(w, ":")[0].cast("int") - base).alias("indices"), F.transform(pairs, lambda w: F.split(w, ":")[1].cast("double")).alias("values"))
+
+
+def read_dense_libsvm(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """label, f0..: a file whose rows all have the columns 0 to n-1, in order; another row is an error."""
+    rows = read_sparse(spark, path, 0, limit, until_blank=True)
+    first = rows.select(F.size("indices")).first()
+    n = first[0] if first else 0
+    whole = F.col("indices") == F.array(*[F.lit(i) for i in range(n)]) if n else F.size("indices") == 0
+    checked = rows.select("label", F.when(whole, F.col("values")).otherwise(F.raise_error(F.lit(f"a row has not the columns 0 to {n - 1}")).cast("array<double>")).alias("v"))
+    return checked.select("label", *[F.get("v", F.lit(i)).alias(f"f{i}") for i in range(n)])
 
 
 def read_table(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
@@ -132,6 +187,27 @@ def write_ranking(df: DataFrame, path: str, features: list[str], group: str = "q
     df.select(group, label, *features).repartitionByRange(group).sortWithinPartitions(group).write.csv(path, sep="\t")
 
 
+def write_ranking_and_manifest(df: DataFrame, rank_path: str, manifest_path: str, features: list[str], group: str = "qid", label: str = "label") -> int:
+    """A ranking file and, row for row, the manifest of its users and items; the number of rows.
+
+    The order, by group and falling recall score, is stored once. Both sinks
+    write its partitions, so part k of one has the rows of part k of the other.
+    """
+    order = [F.col(group).asc(), F.col("recall_score").desc(), F.col("Item").asc()]
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    rows.select(group, label, *features).write.csv(rank_path, sep="\t")
+    rows.select("User", "Item", "Tag", "recall_score").write.json(manifest_path)
+    return rows.count()
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row as one JSON object, in any store."""
+    rows = report.toJSON().take(2)
+    if len(rows) != 1:
+        raise ValueError("a report has one row")
+    write_file(path, (rows[0] + "\n").encode(), report.sparkSession)
+
+
 #: Columns of the recommender's tab-separated tables.
 RECSYS = {
     "interactions": "User string, Item string, Score double, Tag string",

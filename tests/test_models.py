@@ -214,7 +214,6 @@ objective=binary sigmoid:1
 feature_names=a b
 
 Tree=0
-num_leaves=3
 num_cat=1
 split_feature=0 1
 split_gain=5 3
