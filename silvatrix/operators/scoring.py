@@ -293,8 +293,8 @@ def predict(df: DataFrame, model: Forest | Linear, features: list[str], output:
         raise ValueError(f"the model has {model.n_features} features, not {len(features)}")
     m = margins(model, features, begin, end, strategy)
     if output == "value":
-        m = transforms.apply(transform or model.transform, m, model.n_outputs)
-        return df.withColumn(to, m)
+        # In two steps: functions over arrays take no Python function inside.
+        return df.withColumn("_margins", m).withColumn(to, transforms.apply(transform or model.transform, F.col("_margins"), model.n_outputs)).drop("_margins")
     return df.withColumn(to, m if model.n_outputs > 1 else F.get(m, F.lit(0)))
 
 
