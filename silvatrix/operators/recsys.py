@@ -64,34 +64,33 @@ def tag_preferences(interactions: DataFrame) -> DataFrame:
 def recall(interactions: DataFrame, catalog: DataFrame, n: int = 100) -> DataFrame:
     """Top ``n`` items a user: its tags' items in order of preference and popularity, then popular ones.
 
-    A user needs at most ``n`` items of a tag, so tags are cut before they meet
-    users. Popular items meet only users who lack some, and each gets only as
-    many as it lacks: of the ``n`` most popular, kept in one row, those it has
-    already are left out before they are unpacked.
+    A catalog has one row an item. A user needs at most ``n`` items of a tag, so
+    a tag's items, best first, are one row of that many, which meets the user's
+    tags until they make ``n``. What a user has is then an array of at most 2n
+    items, in the partition that ranked its tags. Popular items fill up only
+    what it lacks: of the ``n`` most popular, one row for all, those it has
+    already are left out before any is unpacked.
     """
     pop = [F.col("feat_pop").desc(), F.col("Item").asc()]
-    by_tag = catalog.withColumn("_in_tag", F.row_number().over(Window.partitionBy("Tag").orderBy(*pop))).where(F.col("_in_tag") <= n)
     feats = [c for c in catalog.columns if c not in ("Item", "Tag")]
     score = 0.3 * F.col(feats[0]) + 0.2 * F.col(feats[1]) if len(feats) > 1 else 0.3 * F.col(feats[0])
-    cols = ["Item", "Tag", "recall_score", *feats]
-    ranked = catalog.orderBy(*pop).limit(n).select("*", (F.row_number().over(Window.orderBy(*pop)) - 1).alias("_at"))  # n rows
-    packed = ranked.agg(F.array_sort(F.collect_list(F.struct("_at", "Item", "Tag", score.alias("recall_score"), *feats))).alias("_all"))
+    item = F.struct((-F.col("feat_pop")).alias("_o"), "Item", "Tag", score.alias("_score"), *feats)  # in the order of ``pop``
+    best = catalog.withColumn("_in_tag", F.row_number().over(Window.partitionBy("Tag").orderBy(*pop))).where(F.col("_in_tag") <= n)
+    pools = best.groupBy("Tag").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    popular = catalog.orderBy(*pop).limit(n).agg(F.sort_array(F.collect_list(item)).alias("_popular"))  # one row
 
-    wanted = tag_preferences(interactions).join(by_tag.groupBy("Tag").agg(F.count(F.lit(1)).alias("_size")), "Tag")
+    wanted = tag_preferences(interactions).join(pools, "Tag", "left").withColumn("_size", F.coalesce(F.size("_items"), F.lit(0)))
     before = F.sum("_size").over(Window.partitionBy("User").orderBy("tag_rank").rowsBetween(Window.unboundedPreceding, -1))
-    wanted = wanted.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < n)  # tags past the n-th item add nothing
-    tagged = wanted.join(by_tag, "Tag").withColumns({"recall_score": 0.5 * F.col("pref") + score, "_k": F.struct("tag_rank", "_in_tag")})
-    if catalog.groupBy("Item").count().where("count > 1").take(1):  # an item of several tags counts for the first
-        tagged = tagged.withColumn("_n", F.row_number().over(Window.partitionBy("User", "Item").orderBy("_k"))).where("_n = 1")
-    tagged = tagged.select("User", *cols, F.row_number().over(Window.partitionBy("User").orderBy("_k")).alias("position")).where(F.col("position") <= n)
-
-    known = tagged.join(F.broadcast(ranked.select("Item", "_at")), "Item", "left")
-    has = known.groupBy("User").agg(F.count(F.lit(1)).cast("int").alias("_has"), F.collect_set("_at").alias("_own"))
-    short = interactions.select("User").distinct().join(has, "User", "left").where(F.coalesce("_has", F.lit(0)) < n).withColumn("_has", F.coalesce("_has", F.lit(0)))
-    new = F.filter("_all", lambda x: F.col("_own").isNull() | ~F.array_contains("_own", x["_at"]))
-    filled = short.crossJoin(F.broadcast(packed)).select("User", "_has", F.posexplode(F.slice(new, F.lit(1), F.lit(n) - F.col("_has"))).alias("_i", "x"))  # one row of n items
-    filled = filled.select("User", *[F.col(f"x.{c}").alias(c) for c in cols], (F.col("_has") + F.col("_i") + 1).alias("position"))
-    return tagged.unionByName(filled).select("User", "Item", "Tag", "recall_score", *feats, "position")
+    wanted = wanted.withColumn("_before", F.coalesce(before, F.lit(0))).where((F.col("_before") < n) | (F.col("tag_rank") == 1))  # tags past the n-th item add nothing
+    row = lambda x, value: F.struct(x["Item"].alias("Item"), x["Tag"].alias("Tag"), value.alias("recall_score"), *[x[f].alias(f) for f in feats])
+    of_tag = F.transform(F.coalesce("_items", F.array().cast(dict(pools.dtypes)["_items"])), lambda x: row(x, 0.5 * F.col("pref") + x["_score"]))
+    users = wanted.groupBy("User").agg(F.sort_array(F.collect_list(F.struct("tag_rank", of_tag.alias("items")))).alias("_tags"))
+    own = users.select("User", F.slice(F.flatten(F.col("_tags.items")), 1, n).alias("_own"))
+    new = F.filter("_popular", lambda x: ~F.array_contains("_own.Item", x["Item"]))
+    lacks = F.slice(F.transform(new, lambda x: row(x, x["_score"])), F.lit(1), F.lit(n) - F.size("_own"))
+    whole = F.when(F.size("_own") < n, F.concat("_own", lacks)).otherwise(F.col("_own"))
+    filled = own.crossJoin(F.broadcast(popular)).select("User", F.posexplode(whole).alias("_i", "x"))  # a row of n items
+    return filled.select("User", *[f"x.{c}" for c in ("Item", "Tag", "recall_score", *feats)], (F.col("_i") + 1).alias("position"))
 
 
 def validate_recall(recalled: DataFrame, n: int) -> DataFrame:

@@ -358,7 +358,7 @@ def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None
     from .state import fold_margin, save_checkpoint
 
     keep = [x for x in dict.fromkeys([*c.features, c.label, c.row_id, c.weight, c.group, c.lower, c.upper]) if x and x in df.columns]
-    data = df.select(*keep)
+    data = df.select(*keep).persist()  # until the state with margins is there
     history = History(p.metric or metrics.default_for(p.objective))
     if p.booster == "gblinear":
         return _train_linear(data, p, c, eval_df, history, callbacks)
@@ -377,7 +377,7 @@ def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None
     # Bins once for all rounds.
     data = data.withColumn("_x", splits.bin_array(c.features, cuts, p.categorical) if method == "hist" else values_array(c.features))
     start = lambda: scoring.margins(model, c.features) if model.trees else F.array(*[F.lit(model.base_of(k)) for k in range(p.outputs)])
-    state = data.withColumn("margin", start()).persist()
+    source, state = data, data.withColumn("margin", start()).persist()
     watch = None if eval_df is None else eval_df.withColumn("margin", start()).persist()
     pending: list[int] = []
     rng = np.random.default_rng(p.seed)
@@ -392,6 +392,8 @@ def train(df: DataFrame, p: Params, c: Columns, eval_df: DataFrame | None = None
         work = round_table(current, p, c, draws(state, p, c, [seed for _, _, seed in slots]), len(slots)).persist()
         new = [(k, t) for (k, _, _), t in zip(slots, grow_round(work, p, plan, len(c.features), eta))]
         work.unpersist()
+        if r == first:
+            source.unpersist()
         for k, t in new:
             pending.append(len(model.trees))
             model.trees.append(t)
