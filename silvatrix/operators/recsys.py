@@ -131,6 +131,12 @@ def train_ranker(train: DataFrame, test: DataFrame, features: list[str], rounds:
     return model, scored, report.withColumns({"ndcg_k": F.lit(k), "rounds": F.lit(rounds), "objective": F.lit("rank:ndcg")})
 
 
+def against_baseline(spark, values: dict[str, float], baseline: dict[str, float], tolerance: float) -> DataFrame:
+    """(metric, value, baseline, difference, within): metrics of a model beside those published for another."""
+    rows = [(m, float(v), float(baseline[m]), float(v) - float(baseline[m]), float(v) - float(baseline[m]) >= -tolerance) for m, v in values.items() if m in baseline]
+    return spark.createDataFrame(rows, "metric string, value double, baseline double, difference double, within boolean")
+
+
 def run_pipeline(interactions: DataFrame, items: DataFrame, is_train: Column, n: int = 100, rounds: int = 25, k: int = 10, deck: int = 10, max_tag: int = 3, recent: DataFrame | None = None):
     """Prepare, recall, convert, train, deal: (decks of the test users, log, report). ``recent`` rows (User, Item) are not dealt."""
     from ..functions.storage import stored

@@ -502,8 +502,12 @@ def describe(p: Params) -> str:
     return json.dumps({k: v for k, v in asdict(p).items() if k != "eta_schedule"}, default=str)
 
 
-def train_file(spark, path: str, p: Params, format: str | None = None, resume: Forest | None = None, **options) -> tuple[Forest | Linear, History]:
-    """Train on a table file of any format that the sources read; with ``resume`` go on with a model, by its objective if ``p`` has none."""
+def train_file(spark, path: str, p: Params, format: str | None = None, resume: Forest | None = None, like: Forest | Linear | None = None, **options) -> tuple[Forest | Linear, History]:
+    """Train on a table file of any format that the sources read.
+
+    Without an objective in ``p`` it is that of the model to go on with, or of
+    one ``like`` which a new model shall be.
+    """
     from ..sources.models import objective_of
     from ..sources.tables import read_table
 
@@ -511,8 +515,9 @@ def train_file(spark, path: str, p: Params, format: str | None = None, resume: F
     group = "qid" if "qid" in df.columns else None
     features = [c for c in df.columns if c not in ("label", "qid", "weight")]
     if not p.objective:
-        if resume is None:
+        of = resume or like
+        if of is None:
             raise ValueError("name an objective, or a model to take it from")
-        p = replace(p, objective=objective_of(resume), num_class=resume.n_outputs)
+        p = replace(p, objective=objective_of(of), num_class=of.n_outputs)
     rows = stored(df.withColumn("row_id", F.monotonically_increasing_id()))  # numbers that stay
     return train(rows, p, Columns(features, group=group, weight="weight" if "weight" in df.columns else None), resume=resume)

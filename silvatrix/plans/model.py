@@ -190,15 +190,15 @@ def three_class_forest() -> Forest:
     return Forest(trees, 4, n_outputs=3, base=[0.1, 0.2, 0.3], transform="softmax", name="three classes")
 
 
-def wide_forest(width: int = 100_000, trees: int = 40) -> Forest:
-    """Trees of seven nodes over single features of a very wide table, by a rule."""
-    out = []
+def wide_forest(width: int = 100_000, trees: int = 40, depth: int = 3) -> Forest:
+    """Whole trees of ``depth`` levels, each node over one feature of a very wide table, by a rule."""
+    out, inner = [], 2**depth - 1
     for k in range(trees):
         t = Tree()
-        for j in range(7):
-            number = 7 * k + j
-            left, right = (2 * j + 1, 2 * j + 2) if j < 3 else (~(2 * j - 6), ~(2 * j - 5))
+        for j in range(inner):
+            number = inner * k + j
+            left, right = (c if c < inner else ~(c - inner) for c in (2 * j + 1, 2 * j + 2))
             t.add((2503 * number + 17) % width, 5.0 + number % 40, left, right, default_left=number % 3 == 0, missing_nan=number % 5 > 0, gain=1.0, cover=1.0)
-        t.leaf_value, t.leaf_cover = [[round(0.01 * (8 * k + i) - 1, 6)] for i in range(8)], [1.0] * 8
+        t.leaf_value, t.leaf_cover = [[round(0.01 * ((inner + 1) * k + i) - 1, 6)] for i in range(inner + 1)], [1.0] * (inner + 1)
         out.append(t)
     return Forest(out, width, base=[0.5], name="wide")

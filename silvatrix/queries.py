@@ -244,11 +244,11 @@ def explain_shapley_sum(spark, d):
     return at.select("row_id", _r(F.aggregate("c", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
-def _shapley_sql() -> str:
-    """By the definition: a tree's expectation given each subset of its features, and the weighted differences."""
+def _shapley_terms():
+    """By the definition: columns of a tree's expectation given each subset of its features, and the weighted differences for one feature and for two."""
     from itertools import combinations
 
-    columns, terms = [], {f: [] for f in range(4)}
+    columns, terms, pairs = [], {f: [] for f in range(4)}, {}
     for i, t in enumerate(_tiny.trees):
         used = sorted(set(t.feature))
         share = [(lambda a, b: (a / (a + b), b / (a + b)))(t.child_cover(a), t.child_cover(b)) for a, b in zip(t.left, t.right)]
@@ -270,23 +270,44 @@ def _shapley_sql() -> str:
             for n in range(len(rest) + 1):
                 part = math.factorial(n) * math.factorial(len(rest) - n) / math.factorial(len(used))
                 terms[f] += [f"{scoring.number(w * part)} * ({name((*s, f))} - {name(s)})" for s in combinations(rest, n)]
+        for f, g in combinations(used, 2):
+            rest = [x for x in used if x not in (f, g)]
+            for n in range(len(rest) + 1):
+                part = math.factorial(n) * math.factorial(len(rest) - n) / math.factorial(len(used) - 1) / 2
+                pairs.setdefault((f, g), []).extend(f"{scoring.number(w * part)} * ({name((*s, f, g))} - {name((*s, f))} - {name((*s, g))} + {name(s)})" for s in combinations(rest, n))
         # What the values miss of margin(x) - margin(0) goes to the feature of the root.
         zero = scoring.tree_sql(t, [scoring.number(0.0)] * 4, lambda k, t=t: scoring.number(t.leaf_value[k][0]))
         terms[t.feature[0]].append(f"{scoring.number(w)} * ({name(())} - {zero})")
+    return columns, terms, pairs
+
+
+def _shapley_sql() -> str:
+    columns, terms, _ = _shapley_terms()
     zero_margin = scoring.margin_sql(_tiny, [scoring.number(0.0)] * 4)
     values = ", ".join(f"round({' + '.join(x)}, 6) AS c{f}" for f, x in terms.items())
     return scoring.for_duckdb(f"WITH {OF}, v AS (SELECT row_id, {', '.join(columns)} FROM of_) SELECT row_id, {values}, round({zero_margin}, 6) AS c4 FROM v")
 
 
+def _interactions_sql() -> str:
+    """Half of a pair's difference to each of its cells; the diagonal has what is left of the feature's value."""
+    columns, terms, pairs = _shapley_terms()
+    of = lambda f, g: f"({' + '.join(pairs.get((min(f, g), max(f, g)), ['0.0']))})"
+    cells = [f"round({' + '.join(terms[f])} - ({' + '.join(of(f, g) for g in range(4) if g != f)}), 6) AS c{f}{f}" for f in range(4)]
+    cells += [f"round({of(f, g)}, 6) AS c{f}{g}" for f in range(4) for g in range(f + 1, 4)]
+    return scoring.for_duckdb(f"WITH {OF}, v AS (SELECT row_id, {', '.join(columns)} FROM of_) SELECT row_id, {', '.join(cells)} FROM v")
+
+
 @query(_shapley_sql())
 def explain_shapley(spark, d):
     at = scoring.predict(order_features(spark, d), _tiny, FEATURES, "contrib", "c")
     return at.select("row_id", *[_r(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(5)])
 
 
-@query()
+@query(_interactions_sql())
 def explain_interactions(spark, d):
-    return scoring.predict(order_features(spark, d), _tiny, FEATURES, "interaction", "c").select("row_id", "c")
+    """The upper half of the symmetric table."""
+    at = scoring.predict(order_features(spark, d), _tiny, FEATURES, "interaction", "c")
+    return at.select("row_id", *[_r(F.get(F.get("c", F.lit(i)), F.lit(j))).alias(f"c{i}{j}") for i in range(4) for j in range(i, 4)])
 
 
 def _rough():
@@ -721,9 +742,29 @@ def train_boosted(spark, d):
     return spark.createDataFrame([(r, float(v)) for r, v in enumerate(history.train)], "round int, auc double")
 
 
+def _ranking_stump_sql() -> str:
+    gradients = _pairs_sql(True, 8).replace(", 6) AS grad, round(greatest(", " AS grad, greatest(").replace("SELECT eg.row_id, round(coalesce(", "SELECT eg.row_id, eg.label, coalesce(").replace("1e-16), 6) AS hess FROM eg", "1e-16) AS hess FROM eg")
+    start = gradients.replace("(event_id * 7919 % 211) / 100.0::DOUBLE AS margin", "0.0::DOUBLE AS margin")
+    return f"""WITH gr AS ({start}), lf AS (SELECT 0 AS node, row_id, 0 AS feature, row_id % 17 + label AS v, grad, hess FROM gr UNION ALL SELECT 0, row_id, 1, (row_id % 5)::DOUBLE, grad, hess FROM gr),
+mi AS (SELECT feature, v, (v + lead(v) OVER (PARTITION BY feature ORDER BY v)) / 2 AS threshold FROM (SELECT DISTINCT feature, v FROM lf)), {_search_sql("lf", "node", "be")}
+SELECT feature, round(threshold, 6) AS threshold, round(gain, 4) AS gain, round(-gl / (hl + 1) * 0.3, 5) AS left_value, round(-(gt - gl) / (ht - hl + 1) * 0.3, 5) AS right_value FROM be"""
+
+
+def _ranking_rows(spark, d):
+    return event_groups(spark, d).withColumns({"f0": F.col("row_id") % 17 + F.col("label"), "f1": (F.col("row_id") % 5).cast("double")})
+
+
+@query(_ranking_stump_sql())
+def train_ranking_stump(spark, d):
+    """The first round of LambdaMART: its split and leaf values."""
+    p = boosting.Params("rank:ndcg", rounds=1, max_depth=1, lam=1.0, method="hist", rank=objectives.RankConfig("topk", 8))
+    t = boosting.train(_ranking_rows(spark, d), p, boosting.Columns(["f0", "f1"], group="qid"))[0].trees[0]
+    return spark.createDataFrame([(t.feature[0], round(t.threshold[0], 6), round(t.gain[0], 4), *(round(float(v[0]), 5) for v in t.leaf_value))], "feature int, threshold double, gain double, left_value double, right_value double")
+
+
 @query()
 def train_ranking(spark, d):
-    rows = event_groups(spark, d).withColumns({"f0": F.col("row_id") % 17 + F.col("label"), "f1": (F.col("row_id") % 5).cast("double")})
+    rows = _ranking_rows(spark, d)
     p = boosting.Params("rank:ndcg", rounds=2, max_depth=2, lam=1.0, method="exact", rank=objectives.RankConfig("topk", 8))
     model, history = boosting.train(rows, p, boosting.Columns(["f0", "f1"], group="qid"))
     return spark.createDataFrame([(r, float(v)) for r, v in enumerate(history.train)], "round int, ndcg double")
@@ -902,6 +943,22 @@ def recommend_end_to_end(spark, d):
     return decks.select("User", "Item", "Tag", _r("Score").alias("Score"), "rank")
 
 
+def _ndcg_of(order: str, to: str) -> str:
+    return f"""{to}_r AS (SELECT qid, 2 ** label - 1 AS g, row_number() OVER (PARTITION BY qid ORDER BY {order} DESC, "Item") AS r, row_number() OVER (PARTITION BY qid ORDER BY label DESC, "Item") AS i FROM rp),
+{to}_q AS (SELECT qid, sum(CASE WHEN r <= 10 THEN g / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 10 THEN g / log2(i + 1) ELSE 0 END) AS best FROM {to}_r GROUP BY 1),
+{to} AS (SELECT avg(CASE WHEN best > 0 THEN dcg / best ELSE 0 END) AS v FROM {to}_q)"""
+
+
+@query(f"""WITH {_RANK}, rp AS (SELECT ra.*, feat_pop FROM ra JOIN ca USING ("Item")), {_ndcg_of("recall_score", "o")}, {_ndcg_of("feat_pop", "p")}
+SELECT 'ndcg@10' AS metric, round(o.v, 6) AS value, round(p.v, 6) AS baseline, round(o.v - p.v, 6) AS difference, o.v - p.v >= -0.1 AS within FROM o, p""")
+def recommend_against_popularity(spark, d):
+    """NDCG of the recall order against that of popularity alone."""
+    rows = stored(_ranking(spark, d)[1].withColumn("recall_score", _r("recall_score")))
+    value = lambda c: float(metrics.evaluate(rows, "ndcg@10", "label", c, "qid", "Item").first()["value"])
+    found = recsys.against_baseline(spark, {"ndcg@10": value("recall_score")}, {"ndcg@10": value("feat_pop")}, 0.1)
+    return found.select("metric", *[_r(c).alias(c) for c in ("value", "baseline", "difference")], "within")
+
+
 @query(f'WITH {_RANK} SELECT "User", "Item", recall_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY "User" ORDER BY recall_score DESC, "Item")::INT AS rank FROM re) WHERE rank <= 5')
 def recommend_top_k(spark, d):
     rows = _recalled(spark, d)[1].withColumn("recall_score", _r("recall_score"))

@@ -94,6 +94,8 @@ def test_objective_of_a_model_and_training_from_files(spark, tmp_path):
     assert models.objective_of(model) == "binary:logistic" and model.trees[0].threshold == [3.5]
     more, _ = boosting.train_file(spark, str(tmp_path / "t.csv"), boosting.Params("", rounds=1, max_depth=1, method="exact", lam=1.0), resume=model)
     assert len(more.trees) == 2
+    fresh, _ = boosting.train_file(spark, str(tmp_path / "t.csv"), boosting.Params("", rounds=1, max_depth=1, method="exact", lam=1.0), like=model)
+    assert len(fresh.trees) == 1 and fresh.trees[0].threshold == [3.5] and fresh.objective == "binary:logistic"
     assert models.objective_of(Linear([[1.0]], [0.0], transform="exponential")) == "count:poisson"
 
 
