@@ -6,7 +6,9 @@ and are deleted, wherever they stand in the page, within a paragraph too. Pages
 of a host with the same main text are one page, so copies of a page make no
 template of its article. What HTML itself marks as no part of the article
 (navigation, footers, forms, scripts, adverts, comments) goes page by page,
-since such parts often differ from page to page.
+since such parts often differ from page to page. A class name, or the id of a
+box, marks one if all its words do. An article without a heading of its own
+gets the first heading that stands before it.
 
 A page is parsed once, into a flat run of marks: where elements begin and end,
 their hashes, and the texts between. Counts combine before their shuffle. A
@@ -27,6 +29,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -41,7 +44,7 @@ from .url_filter import host_and_path
 SHARE = 0.5
 LEAST_PAGES = 10
 
-_DROP_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg math canvas object embed button select textarea input dialog menu search audio video title".split())
+_DROP_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg canvas object embed button select textarea input dialog menu search audio video title annotation annotation-xml".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words of class names and ids that mark what is no part of an article.
 _DROP_WORDS = frozenset(
@@ -55,7 +58,13 @@ _BOX_WORDS = frozenset(
 )
 _BOXES = frozenset("div section ul ol dl table figure details".split())
 _HEADER_WORDS = frozenset(["header", "pageheader", "siteheader"])
+#: Words that say where a part stands or how it is built: beside a word from above they change nothing, as in ``site-footer``.
+_PLACE_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right upper lower inner outer center big small sticky fixed first last box block bar wrap wrapper container content panel section row column col "
+    "area list item items link links text title heading body inline mobile desktop form button icon label slot unit zone module component region group the my js is has".split()
+)
 _WORDS = re.compile(r"[a-z0-9]+")
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -69,9 +78,19 @@ def _dropped(e: Element, in_article: bool) -> bool:
         return False
     if a.get("role", "").lower() in _DROP_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
         return True
-    named = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()
-    words = set(_WORDS.findall(named))
-    return bool(words & _DROP_WORDS) or (e.tag in _BOXES and bool(words & _BOX_WORDS)) or (not in_article and bool(words & _HEADER_WORDS))
+    # An id names what a heading or paragraph is about, as an anchor does; of a box it says what it is.
+    names = a.get("class", "").split() + (a.get("id", "").split() if e.tag in _BOXES else [])
+    if not names:
+        return False
+    marking = _DROP_WORDS | _BOX_WORDS if e.tag in _BOXES else _DROP_WORDS
+    return any(_marks(n, marking) or not in_article and _marks(n, _HEADER_WORDS) for n in names)
+
+
+@lru_cache(1 << 16)
+def _marks(name: str, marking: frozenset[str]) -> bool:
+    """Whether a name, taken whole, is one of these words: each of its parts is, or says a place, as in ``cookie-notice`` and not in ``notice-period``."""
+    words = [w for w in _WORDS.findall(_CAMEL.sub(r"\1 \2", name).lower()) if not w.isdigit()]
+    return any(w in marking for w in words) and all(w in marking or w in _PLACE_WORDS or w in _DROP_WORDS for w in words)
 
 
 def _digest(e: Element) -> int:
@@ -107,6 +126,24 @@ def _articles(root: Element) -> list[Element]:
     return [root]
 
 
+def _title(root: Element, article: Element) -> Element | None:
+    """The heading before an article that has none of its own, in the main part if there is one."""
+    if any(e.tag == "h1" for e in _walk(article)):
+        return None
+    found, todo = None, [(root, False)]
+    while todo:
+        e, in_main = todo.pop()
+        if e is article:
+            return found
+        if e.tag == "h1":
+            found = e
+            continue
+        if e.tag == "main" and not in_main:
+            in_main, found = True, None
+        todo += [(x, in_main) for x in reversed(e.items) if not isinstance(x, str) and not _dropped(x, in_main)]
+    return None
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -130,7 +167,9 @@ def read_page(source: str | None) -> tuple[str, list[int], list[str]]:
     marks: list[str] = []
     hashes: list[int] = []
     texts: list[str] = []
-    for top in _articles(root):
+    tops = _articles(root)
+    title = _title(root, tops[0]) if tops[0].tag == "article" else None
+    for top in tops if title is None else [title, *tops]:
         inside = top.tag in ("article", "main")
         todo: list = [("in", top)]
         while todo:

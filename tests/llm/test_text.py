@@ -155,6 +155,25 @@ def test_pages(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<main><h1>Title</h1><article><p>body</p></article></main>", "Title body"),
+        ("<h1>Site</h1><main><header><h1>Title</h1></header><article><p>body</p></article></main>", "Title body"),
+        ("<header><h1>Site</h1></header><article><p>body</p></article>", "body"),
+        ("<h1>Site</h1><article><h1>Title</h1><p>body</p></article>", "Title body"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be</p></article>", "Let x=2 be"),
+        ("<article><section class='ad-hoc'><p>kept</p></section></article>", "kept"),
+        ("<article><p class='notice-period'>kept</p></article>", "kept"),
+        ("<article><p id='copyright'>kept</p></article>", "kept"),
+        ("<article><h2 id='comments-on-law'>kept</h2></article>", "kept"),
+        ("<article><div class='ad-banner-2'>x</div><div class='cookieNotice'>x</div><div id='site-footer'>x</div><div class='a sidebar'>x</div><div class='related-links'>x</div><p>kept</p></article>", "kept"),
+    ],
+)
+def test_what_belongs_to_an_article(page, want):
+    assert html_extract.join_text(*html_extract.read_page(page)) == want
+
+
 def test_hostile_pages_take_linear_time():
     """Unclosed quotes, tags and scripts, ends without starts, and elements nested deep."""
     import time
