@@ -3,17 +3,20 @@
 The vocabulary's terms are found by one Aho-Corasick automaton in one pass over
 the URL, whatever their number. A hit counts where it stands between
 boundaries, so ``casino`` is not seen in ``occasinos``. One strict term
-rejects, and so do several distinct soft ones.
+rejects, and so do several distinct soft ones whose weights reach a limit. A
+vocabulary is a table (term, strict, weight); without one there is a small list
+of words, of weight 1 each.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
-path and no rule; a null URL has no terms and is allowed; an empty table gives
-an empty result.
+path and no rule; a null URL has no terms and is allowed; a term that the
+vocabulary has several times is strict if one of them is, and weighs as its
+heaviest; empty and null terms are none; a null weight is 1; repeated rows have
+each a result; URLs of any length are read whole; an empty table gives an empty
+result; extra columns, whatever their names, are left aside.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +29,13 @@ SOFT = (
     "ads", "affiliate", "bonus", "cheap", "click", "crack", "deal", "free", "jackpot", "loan", "lottery", "nude", "payday", "pills", "poker",
     "popup", "prize", "sex", "slots", "torrent", "track", "tracker", "tracking", "win", "winner",
 )
-#: Distinct soft terms that reject.
+#: Weight of distinct soft terms that rejects.
 SOFT_LIMIT = 2
+#: Terms of a vocabulary at most, since each worker holds them.
+MOST_TERMS = 1_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TO_LOWER = str.maketrans(_UPPER, _LOWER)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,16 +55,31 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-@lru_cache(maxsize=4)
-def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
+#: Term to (whether it is strict, weight).
+Vocabulary = dict[str, tuple[bool, float]]
+
+
+def default_vocabulary() -> Vocabulary:
+    return {t: (False, 1.0) for t in SOFT} | {t: (True, 1.0) for t in STRICT}
+
+
+def vocabulary_of(terms: DataFrame, most: int = MOST_TERMS) -> Vocabulary:
+    """A vocabulary from a table (term, strict, weight) of at most ``most`` terms; a larger one is an error."""
+    term = F.translate(F.trim(F.col("term").cast("string")), _UPPER, _LOWER)
+    rows = terms.select(term.alias("t"), F.coalesce("strict", F.lit(False)).alias("s"), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w")).where("length(t) > 0").groupBy("t").agg(F.max("s"), F.max("w")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary has {most} terms at most")
+    return {r[0]: (r[1], r[2]) for r in rows}
+
+
+def _automaton(vocabulary: Vocabulary):
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for term in soft:
-        found.add_word(term, (False, term))
-    for term in strict:
-        found.add_word(term, (True, term))
-    found.make_automaton()
+    for term, (strict, weight) in vocabulary.items():
+        found.add_word(term, (strict, weight, term))
+    if vocabulary:
+        found.make_automaton()
     return found
 
 
@@ -66,37 +87,37 @@ def _word(c: str) -> bool:
     return "a" <= c <= "z" or "0" <= c <= "9"
 
 
-def count_terms(url: str | None, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> tuple[int, int]:
-    """Distinct strict and distinct soft terms that stand between boundaries."""
-    if not url:
-        return 0, 0
-    url = url.translate(str.maketrans(_UPPER, _LOWER))
-    found = set()
-    for end, (is_strict, term) in _automaton(strict, soft).iter(url):
+def count_terms(url: str | None, automaton) -> tuple[int, int, float]:
+    """Distinct strict terms and distinct soft ones that stand between boundaries, and the weight of the soft ones."""
+    if not url or not len(automaton):
+        return 0, 0, 0.0
+    url = url.translate(_TO_LOWER)
+    found = {}
+    for end, (strict, weight, term) in automaton.iter(url):
         begin = end - len(term)
         if (begin < 0 or not _word(url[begin])) and (end + 1 == len(url) or not _word(url[end + 1])):
-            found.add((is_strict, term))
-    return sum(x[0] for x in found), sum(not x[0] for x in found)
+            found[term] = strict, weight
+    soft = sorted(w for strict, w in found.values() if not strict)
+    return len(found) - len(soft), len(soft), float(sum(soft))
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, vocabulary: Vocabulary | None = None, soft_limit: float = SOFT_LIMIT) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, strict_terms, soft_terms."""
-    strict, soft = tuple(strict), tuple(soft)
+    sent = pages.sparkSession.sparkContext.broadcast(default_vocabulary() if vocabulary is None else vocabulary)
 
     def run(batches):
+        automaton = _automaton(sent.value)
         for batch in batches:
-            hits = [count_terms(u, strict, soft) for u in batch.column("url").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())],
-                ["page_id", "url", "strict_terms", "soft_terms"],
-            )
+            hits = [count_terms(u, automaton) for u in batch.column("url").to_pylist()]
+            columns = [pa.array([h[i] for h in hits], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], ["page_id", "url", "strict_terms", "soft_terms", "soft_weight"])
 
     need = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    hits = need.mapInArrow(run, "page_id long, url string, strict_terms long, soft_terms long")
+    hits = need.mapInArrow(run, "page_id long, url string, strict_terms long, soft_terms long, soft_weight double")
     host, path = host_and_path(F.col("url"))
     split = hits.select("*", host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    judged = F.when((F.col("strict_terms") > 0) | (F.col("soft_terms") >= soft_limit), "block").otherwise("allow")
+    judged = F.when((F.col("strict_terms") > 0) | (F.col("soft_weight") >= soft_limit), "block").otherwise("allow")
     return split.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"), "strict_terms", "soft_terms")
 
 

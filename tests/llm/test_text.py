@@ -126,6 +126,21 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_a_vocabulary_with_weights(spark):
+    """Weights add up over distinct terms; strict wins over soft; long and repeated URLs; no terms at all."""
+    terms = spark.createDataFrame([("Heavy", False, 2.0), ("light", None, None), ("half", False, 0.5), ("half", False, 0.25), ("bad", False, 0.1), ("bad", True, 0.1), ("", True, 1.0), (None, True, 1.0)], "term string, strict boolean, weight double")
+    words = url_filter.vocabulary_of(terms)
+    assert words == {"heavy": (False, 2.0), "light": (False, 1.0), "half": (False, 0.5), "bad": (True, 0.1)}
+    with pytest.raises(ValueError):
+        url_filter.vocabulary_of(terms, 3)
+    urls = ["http://x.net/heavy", "http://x.net/light?half", "http://x.net/light/LIGHT", "http://x.net/bad", "http://x.net/badly", "http://x.net/" + "light/" * 50_000 + "half=1&heavy", None, "http://x.net/light,half;heavy"]
+    rows = spark.createDataFrame([(i, u, 5.0) for i, u in enumerate(urls)] + [(0, urls[0], 5.0)], "page_id long, url string, soft_weight double")
+    got = sorted((r["page_id"], r["verdict"]) for r in url_filter.filter_urls(rows, vocabulary=words).collect())
+    want = ["block", "allow", "allow", "block", "allow", "block", "allow", "block"]
+    assert got == sorted([*enumerate(want), (0, "block")])
+    assert {r["verdict"] for r in url_filter.filter_urls(rows, vocabulary={}).collect()} == {"allow"}
+
+
 def test_urls_as_sql(spark):
     import duckdb
 
