@@ -128,6 +128,32 @@ class _Compiled:
                 left[here] = np.where(isnan[here] & uses_nan[here], self.default[j], np.isin(code, codes) & ok)
         return left & known
 
+    def in_levels(self, kinds: list[tuple[bool, bool, bool]], width: int) -> tuple | None:
+        """(columns, thresholds, leaf of each end, depth) of the tree as a whole one, for :class:`_Missing`; None where it is no plain or no low tree."""
+        if not self.n or self.cats or not np.isfinite(self.threshold).all():
+            return None
+        depth, row = 0, [(0, 0)]
+        while any(c >= 0 for c, _ in row):
+            depth += 1
+            row = [(child, p) for c, p in row if c >= 0 for child, p in ((int(self.left[c]), 0), (int(self.right[c]), 0))]
+            if depth > LEVELS:
+                return None
+        column, threshold, ends = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf), np.zeros(2**depth, np.int32)
+        todo = [(0, 0, 0)]
+        while todo:
+            c, place, level = todo.pop()
+            if c < 0:  # all ends below are this leaf
+                span = 2 ** (depth - level)
+                first = (place + 1) * span - 2**depth
+                ends[first : first + span] = ~c
+                continue
+            f = int(self.feature[c])
+            kind = kinds.index((bool(self.zero[c]), bool(self.nan[c]), bool(self.default[c])))
+            column[place] = kind * width + f if f < width else len(kinds) * width
+            threshold[place] = np.nextafter(self.threshold[c], -np.inf) if self.strict else self.threshold[c]
+            todo += [(int(self.left[c]), 2 * place + 1, level + 1), (int(self.right[c]), 2 * place + 2, level + 1)]
+        return column, threshold, ends, depth
+
     def tips(self, x: np.ndarray) -> np.ndarray:
         """Leaf number of each row."""
         at = np.zeros(len(x), np.int32)
@@ -167,25 +193,77 @@ class SparseRows:
         return np.where((k >= 0) & (self.key[k] == wanted) & (features < self.shape[1]), self.values[k], np.nan)
 
 
+#: Levels up to which a tree is walked as a whole one.
+LEVELS = 8
+#: Rows that are walked at a time, so that their features stay in the cache.
+WALK_ROWS = 4096
+
+
+class _Missing:
+    """A batch with missing values, for each kind of node, as what sends them to its side: an infinity, or zero.
+
+    A level of a whole tree is then two gathers and a comparison for each row.
+    """
+
+    def __init__(self, x: np.ndarray, kinds: list[tuple[bool, bool, bool]]):
+        parts = []
+        for zero, nan, left in kinds:
+            side = -np.inf if left else np.inf
+            v = np.where(np.isnan(x), side if nan else 0.0, x)
+            parts.append(np.where((v > -ZERO) & (v <= ZERO), side, v) if zero else v)
+        wide = np.column_stack([*parts, np.full(len(x), np.inf)])
+        self.flat, self.rows = wide.ravel(), np.arange(len(x)) * wide.shape[1]
+
+    def ends(self, column: np.ndarray, threshold: np.ndarray, depth: int) -> np.ndarray:
+        at = np.zeros(len(self.rows), np.int64)
+        for _ in range(depth):
+            right = self.flat.take(self.rows + column.take(at)) > threshold.take(at)
+            at = 2 * at + 1 + right
+        return at - (2**depth - 1)
+
+
 def forest_tips(m: Forest, x: np.ndarray, trees: list[int]) -> list[np.ndarray]:
     return [_Compiled(m.trees[i]).tips(x) for i in trees]
 
 
 def forest_margins(m: Forest, x: np.ndarray, begin: int = 0, end: int | None = None, compiled: dict | None = None) -> np.ndarray:
-    """(rows, outputs) margins."""
+    """(rows, outputs) margins. ``compiled`` keeps trees as arrays from batch to batch."""
+    compiled = {} if compiled is None else compiled
+    plan = ("plan", begin, end)
+    if plan not in compiled:
+        used = m.between(begin, end)
+        compiled |= {i: _Compiled(m.trees[i]) for i in used if i not in compiled}
+        compiled[plan] = used, [m.class_of(i) for i in used], m.scale_of(begin, end), m.vector_tips
+    used, classes, scale, vector = compiled[plan]
+    parts = [x]
+    if isinstance(x, np.ndarray) and len(used) > 1:
+        parts = [x[i : i + WALK_ROWS] for i in range(0, max(1, len(x)), WALK_ROWS)]
+    total = np.concatenate([_walked(m, part, used, classes, vector, compiled) for part in parts])
+    return total * scale + np.array([m.base_of(k) for k in range(m.n_outputs)])
+
+
+def _walked(m: Forest, x, used: list[int], classes: list[int], vector: bool, compiled: dict) -> np.ndarray:
     total = np.zeros((len(x), m.n_outputs))
-    vector = m.vector_tips
-    for i in m.between(begin, end):
-        if compiled is None:
-            c = _Compiled(m.trees[i])
+    low, missing = {}, None
+    if isinstance(x, np.ndarray) and len(used) > 1:
+        key = ("levels", x.shape[1])
+        if key not in compiled:
+            kinds = sorted({(bool(z), bool(n), bool(d)) for i in used for z, n, d in zip(compiled[i].zero, compiled[i].nan, compiled[i].default)})
+            compiled[key] = kinds, {i: t for i in used if (t := compiled[i].in_levels(kinds, x.shape[1])) is not None}
+        kinds, low = compiled[key]
+        missing = _Missing(x, kinds) if low else None
+    for i, k in zip(used, classes):
+        c = compiled[i]
+        if i in low:
+            column, threshold, ends, depth = low[i]
+            tips = ends.take(missing.ends(column, threshold, depth))
         else:
-            c = compiled.get(i) or compiled.setdefault(i, _Compiled(m.trees[i]))
-        v = c.values[c.tips(x)] * m.weight_of(i)
+            tips = c.tips(x)
         if vector:
-            total += v
+            total += c.values[tips] * m.weight_of(i)
         else:
-            total[:, m.class_of(i)] += v[:, 0]
-    return total * m.scale_of(begin, end) + np.array([m.base_of(k) for k in range(m.n_outputs)])
+            total[:, k] += (c.values[:, 0] * m.weight_of(i)).take(tips)
+    return total
 
 
 def matrix(columns) -> np.ndarray:

@@ -89,7 +89,9 @@ class Forest:
         return any(len(v) > 1 for t in self.trees for v in t.leaf_value)
 
     def class_of(self, i: int) -> int:
-        return self.tree_class[i] if self.tree_class else (0 if self.vector_tips else i % self.n_outputs)
+        if self.tree_class:
+            return self.tree_class[i]
+        return 0 if self.n_outputs == 1 or self.vector_tips else i % self.n_outputs
 
     def weight_of(self, i: int) -> float:
         return self.tree_weight[i] if self.tree_weight else 1.0

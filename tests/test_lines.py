@@ -197,3 +197,31 @@ def test_backfill_is_for_users_who_lack_items(spark):
         mine = own[u % 3][:10]
         assert by_user[u] == mine + [i for i in popular if i not in mine][: 10 - len(mine)]
     assert by_user[9] == (own[1] + own[0])[:10] and by_user[10] == popular[:10]
+
+
+def test_whole_trees_walk_as_single_ones(spark):
+    """Missing values of every kind, infinities, uneven trees, strict ones, features that aren't there: as the walk by nodes has it."""
+    from silvatrix.plans.model import Forest, Tree
+
+    rng = np.random.default_rng(9)
+    trees = []
+    for k in range(60):
+        t = Tree(strict=k % 7 == 0)
+
+        def build(level, t=t):
+            if level == 6 or level and rng.random() < 0.3:
+                t.leaf_value.append([float(rng.normal())])
+                return ~(t.tips - 1)
+            n = t.add(int(rng.integers(0, 6)), float(rng.choice([0.0, 1.0, 2.5, -1.0])), 0, 0, bool(rng.random() < 0.5), bool(rng.random() < 0.3), bool(rng.random() < 0.7))
+            t.left[n] = build(level + 1)
+            t.right[n] = build(level + 1)
+            return n
+
+        build(0)
+        trees.append(t)
+    x = rng.choice([0.0, 1.0, 2.5, -1.0, 1e-36, np.nan, np.inf, -np.inf, 7.0], (5000, 5))
+    m = Forest(trees, 6, 2, base=[0.1, 0.2])
+    want = np.tile([0.1, 0.2], (5000, 1))
+    for i, t in enumerate(trees):
+        want[:, i % 2] += np.array(t.leaf_value)[scoring._Compiled(t).tips(x), 0]
+    assert np.allclose(scoring.forest_margins(m, x), want)
