@@ -291,7 +291,7 @@ def _shapley_sql() -> str:
 def _interactions_sql() -> str:
     """Half of a pair's difference to each of its cells; the diagonal has what is left of the feature's value."""
     columns, terms, pairs = _shapley_terms()
-    of = lambda f, g: f"({' + '.join(pairs.get((min(f, g), max(f, g)), ['0.0']))})"
+    of = lambda f, g: f"({' + '.join(pairs.get((min(f, g), max(f, g)), [scoring.number(0.0)]))})"
     cells = [f"round({' + '.join(terms[f])} - ({' + '.join(of(f, g) for g in range(4) if g != f)}), 6) AS c{f}{f}" for f in range(4)]
     cells += [f"round({of(f, g)}, 6) AS c{f}{g}" for f in range(4) for g in range(f + 1, 4)]
     return scoring.for_duckdb(f"WITH {OF}, v AS (SELECT row_id, {', '.join(columns)} FROM of_) SELECT row_id, {', '.join(cells)} FROM v")
