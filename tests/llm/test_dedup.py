@@ -23,15 +23,28 @@ def exact_plain(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("filter_bytes", [8 << 20, 0])
-def test_exact(make_docs, odd_rows, filter_bytes):
-    """With the filter broadcast, and with it met in a shuffle."""
+@pytest.mark.parametrize("most", [{}, {"max_filter_bytes": 0}, {"max_filter_bytes": 0, "max_bitmap_bytes": 0}])
+def test_exact(spark, make_docs, odd_rows, most, tmp_path):
+    """With the filter broadcast, met in a shuffle, and with a group of bitmaps a file."""
     rng = random.Random(1)
     rows = odd_rows + [(100 + i, rng.choice(["a b", "a  b", "a\tb", f"t{i % 40}"])) for i in range(300)]
-    got = exact_dedup.exact_dedup(make_docs(rows), max_filter_bytes=filter_bytes).collect()
-    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=repr) == exact_plain(rows)
-    kept = exact_dedup.keep_first_copies(make_docs(rows), max_filter_bytes=filter_bytes)
-    assert kept.count() == sum(x[3] for x in exact_plain(rows)) and kept.columns == make_docs(rows).columns
+    plain = exact_plain(rows)
+    got = exact_dedup.exact_dedup(make_docs(rows), **most).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=repr) == plain
+    make_docs(rows).repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs, stored in ((spark.read.parquet(str(tmp_path / "docs")), True), (make_docs(rows), True), (make_docs(rows), False))[: 1 if len(most) == 2 else 3]:
+        kept = exact_dedup.keep_first_copies(docs, **most, stored=stored)
+        assert kept.columns == make_docs(rows).columns
+        assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((x[0] for x in plain if x[3]), key=repr)
+
+
+def test_no_text_is_in_a_shuffle(spark, make_docs, tmp_path):
+    """Whole rows are neither exchanged nor sorted, with a filter of any size."""
+    make_docs([(i, f"text {i % 900}") for i in range(1000)]).write.parquet(str(tmp_path / "docs"))
+    for most in (8 << 20, 0):
+        kept = exact_dedup.keep_first_copies(spark.read.parquet(str(tmp_path / "docs")), max_filter_bytes=most, stored=True)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan and kept.count() == 900
 
 
 def test_filter_grows_with_the_rows():
@@ -44,7 +57,8 @@ def test_only_possible_repeats_are_grouped(spark, make_docs):
     """Of texts that all differ, the filter lets pass all but a few, broadcast or not."""
     rows = exact_dedup._hashes(make_docs([(i, f"text {i}") for i in range(20_000)]), "doc_id", "text")
     for most in (8 << 20, 0):
-        assert exact_dedup._maybe(rows, *exact_dedup._filter(rows), most).where("_sv_maybe").count() < 600
+        probed = exact_dedup._probed(rows, most, 64 << 20)
+        assert probed.where("_sv_maybe").count() < 600 and probed.count() == 20_000
 
 
 def test_a_crowded_filter_still_gives_whole_results(make_docs, monkeypatch):
