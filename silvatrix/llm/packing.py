@@ -66,7 +66,7 @@ class _Generations(dict):
 class WordTokenizer:
     """Ids of texts, by chunks between white space, which no token crosses."""
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, remembered: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
 
@@ -77,8 +77,8 @@ class WordTokenizer:
         self.find = regex.compile(_PIECES).findall
         self.bytes_as = self._byte_letters()
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
-        self.known = _Generations(self._chunk, REMEMBERED)
-        self.pieces = _Generations(self._piece, REMEMBERED // 4)
+        self.known = _Generations(self._chunk, remembered)
+        self.pieces = _Generations(self._piece, remembered // 4)
 
     @staticmethod
     def _byte_letters() -> list[str]:
@@ -123,9 +123,9 @@ class WordTokenizer:
         return [np.frombuffer(b"".join(map(ids_of, self._parts(t))), "<u4") for t in texts]
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str, special_as_text: bool) -> WordTokenizer:
-    return WordTokenizer(path, special_as_text)
+@lru_cache(maxsize=1)
+def _tokenizer(path: str, special_as_text: bool, remembered: int) -> WordTokenizer:
+    return WordTokenizer(path, special_as_text, remembered)
 
 
 def default_vocabulary() -> str:
@@ -144,9 +144,9 @@ def _portions(texts: list[str], size: int = 2 << 20):
             begin, total = i + 1, 0
 
 
-def _piece_batches(path: str, keep_ids: bool, special_as_text: bool):
+def _piece_batches(path: str, keep_ids: bool, special_as_text: bool, remembered: int):
     def run(batches):
-        tok = _tokenizer(path, special_as_text)
+        tok = _tokenizer(path, special_as_text, remembered)
         for batch in slices(batches, 2048):
             at = 0
             for texts in _portions(batch.column("text").to_pylist()):
@@ -218,16 +218,17 @@ def _pack_group(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.drop(columns=["group", "row_key"])
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, seed: int = 17, special_as_text: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, seed: int = 17, special_as_text: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and its ids if asked for.
 
     The strings of special tokens are these tokens, as the library has it by
-    default, or ordinary text with ``special_as_text``.
+    default, or ordinary text with ``special_as_text``. A worker remembers up to
+    twice ``remembered`` chunks from task to task, some 200 bytes each.
     """
     vocabulary = vocabulary or default_vocabulary()
     need = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text_or_empty(text_col).alias("text"))
     kind = "doc_id long, row_key binary, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    pieces = materialize(need.mapInArrow(_piece_batches(vocabulary, keep_ids, special_as_text), kind), "pieces")
+    pieces = materialize(need.mapInArrow(_piece_batches(vocabulary, keep_ids, special_as_text, remembered), kind), "pieces")
     rests = pieces.where(F.col("length") < SEQUENCE)
     groups = max(1, -(-rests.count() // GROUP_ROWS))
     grouped = rests.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row_key", "start"), F.lit(groups)))

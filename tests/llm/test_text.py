@@ -51,7 +51,7 @@ def test_pack(docs, as_text):
 
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     lib.encode_special_tokens = as_text
-    rows = packing.pack(docs, keep_ids=True, special_as_text=as_text).collect()
+    rows = packing.pack(docs, keep_ids=True, special_as_text=as_text, remembered=7 if as_text else packing.REMEMBERED).collect()
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
