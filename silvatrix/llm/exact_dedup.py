@@ -9,13 +9,14 @@ The filter grows with the rows, 16 slots for each, as a table of blocks of 4 KB.
 Up to ``max_filter_bytes`` of blocks are broadcast to the rows. Beyond that a
 hash and the place of its row (24 bytes) meet the blocks in a shuffle, and what
 may be repeated comes back as bitmaps of places: a bit a row, a block of 4 KB for
-32,768 rows of a file. Files are dealt into groups of up to ``max_bitmap_bytes``,
-each scanned once with its bitmaps broadcast, so other columns are in no shuffle
-at any size. A place is a file of a stored table and the number of the row in
+32,768 rows of a file. Files are dealt by a hash into groups of some
+``max_bitmap_bytes``, each scanned once with its bitmaps broadcast, so other
+columns are in no shuffle. Only a group of over twice that size (a single file of
+a billion rows, by the default) is joined as Spark sees fit. A place is a file of a stored table and the number of the row in
 it, so a task that runs again finds the same.
 
 :func:`keep_first_copies` brings the rows that go back to whole rows in the same
-way, as bitmaps of places: no text is shuffled, and the SHA-256 is made once.
+way, as bitmaps of places: texts are shuffled in that one case only, and the SHA-256 is made once.
 
 Defined results: null text = empty text; of rows with equal text the smallest
 doc_id stays, null ids last, and of repeated rows exactly one; an empty table
