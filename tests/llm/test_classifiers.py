@@ -70,8 +70,9 @@ def test_without_labels(tables):
 
 def test_attention_gradients():
     rng = np.random.default_rng(1)
-    m = quality.AttentionModel(5)
-    x, begins, y = rng.normal(size=(9, 5)), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
+    m = quality.AttentionModel(5, 7)
+    sizes = np.array([3, 0, 2, 1, 0, 0, 4, 1, 0])
+    x, begins, y = quality.Bag(rng.normal(size=(9, 5)), rng.integers(0, 7, sizes.sum()), sizes), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
     loss = lambda: -np.mean(y * np.log(m.score(x, begins)) + (1 - y) * np.log(1 - m.score(x, begins)))
     grads = m.gradients(x, begins, y)
     for name, p in m.p.items():
@@ -168,9 +169,10 @@ def test_unlabelled_draw_is_of_all_documents(spark, monkeypatch):
 def test_forward_pass_against_a_plain_version():
     """Bags of passages, by hand: features, encoder, gate, softmax, weighted sum, score."""
     texts = ["one two three " * 80, "", "Short! text | 12", "a b a b " * 300]
-    m = quality.AttentionModel(quality.INPUTS)
+    size = len(quality.FEATURES)
+    m = quality.AttentionModel(size, quality.WORD_SLOTS)
     rng = np.random.default_rng(6)
-    m.mean, m.scale = rng.normal(size=quality.INPUTS) * 0.1, rng.random(quality.INPUTS) + 0.5
+    m.mean, m.scale = rng.normal(size=size) * 0.1, rng.random(size) + 0.5
     got = quality._scores(m, texts)
     sig = lambda x: 1 / (1 + np.exp(-x))
     for text, score in zip(texts, got):
@@ -178,14 +180,50 @@ def test_forward_pass_against_a_plain_version():
         hs, es = [], []
         for i in range(0, max(1, len(words)), quality.PASSAGE_WORDS):
             part = words[i : i + quality.PASSAGE_WORDS]
-            slots = np.zeros(quality.WORD_SLOTS)
-            for w in part:
-                slots[zlib.crc32(w.lower().encode()) % quality.WORD_SLOTS] += 1 / len(part)
-            x = np.concatenate([quality.passage_features(part), slots])
-            h = np.tanh(np.clip((x - m.mean) / m.scale, -8, 8) @ m.p["W"] + m.p["b"])
+            embedded = sum((m.p["E"][zlib.crc32(w.lower().encode()) % quality.WORD_SLOTS] for w in part), np.zeros(quality.EMBEDDING))
+            surface = np.clip((np.array(quality.passage_features(part)) - m.mean) / m.scale, -8, 8)
+            h = np.tanh(np.concatenate([surface, embedded / max(1, len(part)) ** 0.5]) @ m.p["W"] + m.p["b"])
             hs.append(h)
             es.append(np.exp((np.tanh(h @ m.p["V"]) * sig(h @ m.p["U"])) @ m.p["w"]))
         z = sum(e * h for e, h in zip(es, hs)) / sum(es)
         assert score == pytest.approx(sig(z @ m.p["c"] + m.p["c0"][0]), abs=1e-5)
-    long = "w " * (quality.PASSAGE_WORDS * 200)
-    assert len(quality.bag(long)) == 200 and len(quality.bag(long, 64)) == 64
+    long = quality.bag("w " * (quality.PASSAGE_WORDS * 3000 + 1))
+    assert list(long.sizes) == [quality.PASSAGE_WORDS] * 3000 + [1] and len(long.words) == long.sizes.sum()
+    assert np.allclose(m.score(long, np.array([0])), m.score(quality.Bag(long.surface[-1001:], long.words[-1000 * quality.PASSAGE_WORDS - 1 :], long.sizes[-1001:]), np.array([0])), atol=1e-3)
+
+
+def worded(n=1600, seed=4):
+    """Good and bad texts look alike on the surface; some passages of bad ones use words of another list."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common, telling = [word() for _ in range(3000)], [word() for _ in range(40)]
+    docs, labels = [], []
+    for i in range(n):
+        text = [rng.choice(common) for _ in range(rng.randint(100, 400))]
+        good = rng.random() < 0.7
+        if not good:
+            at = rng.randrange(len(text) - 60)
+            for k in rng.sample(range(at, at + 60), 12):
+                text[k] = rng.choice(telling)
+        docs.append((i, " ".join(text), "x"))
+        labels.append((i, int(good), 0))
+    return docs, labels
+
+
+def test_quality_by_words_alone(spark):
+    docs, labels = worded()
+    d = spark.createDataFrame(docs, "key long, body string, text string")
+    rows = quality.score(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), id_col="key", text_col="body").collect()
+    check(rows, {i: (q, t) for i, q, t in labels}, 0, 0.9)
+    bad = [r["predicted"] for r in rows if r["held_out"] and not labels[r["doc_id"]][1]]
+    assert np.mean(bad) < 0.3
+
+
+def test_quality_sample_is_bounded_in_rows_and_passages(spark):
+    docs, labels = worded(600)
+    d = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = {tuple(quality.bag(t).words) for _, t, _ in docs}
+    for most in ({"max_rows": 100, "max_passages": 10**6}, {"max_rows": 10**6, "max_passages": 300}):
+        got = quality.training_sample(d, known, 5, 0, **most).collect()
+        assert 60 < len(got) < 150 and all(tuple(r["words"]) in whole for r in got)  # rows are taken whole
