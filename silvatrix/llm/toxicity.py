@@ -168,9 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, m
     return nnpu_fit([rows[i] for i in order], positive[order], drawn[order], value, prior)
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    weights, bias = fit(docs, labels, folds, held_out)
+    weights, bias = fit(docs, labels, folds, held_out, max_positives, max_unlabelled)
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # 2**BITS floats
 
     def run(batches):
