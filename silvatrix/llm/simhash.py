@@ -114,10 +114,11 @@ def thermometer(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _cells() -> list[int]:
-    edge = [0, *itertools.accumulate(_RUNS)]
-    runs = [sum(3 << (2 * s) for s in range(edge[i], edge[i + 1])) for i in range(len(_RUNS))]
-    return [_signed(sum(x)) for x in itertools.combinations(runs, 3)]
+def cell_masks(sizes: tuple[int, ...] = _RUNS, distance: int = 3) -> list[int]:
+    """The projections of the grid: of ``sizes`` runs, all but ``distance`` at least show no difference within that distance."""
+    edge = [0, *itertools.accumulate(sizes)]
+    runs = [sum(3 << (2 * s) for s in range(edge[i], edge[i + 1])) for i in range(len(sizes))]
+    return [_signed(sum(x)) for x in itertools.combinations(runs, len(sizes) - distance)]
 
 
 def near_links(points: DataFrame, distance: int = 3) -> DataFrame:
@@ -125,7 +126,7 @@ def near_links(points: DataFrame, distance: int = 3) -> DataFrame:
     if distance > 3:
         raise ValueError("the grid of three equal runs of six holds for a distance of up to 3")
     at = points.select("fp", thermometer(F.col("fp")).alias("t"))
-    cells = [F.struct(F.lit(i).alias("grid"), F.col("t").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(_cells())]
+    cells = [F.struct(F.lit(i).alias("grid"), F.col("t").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(cell_masks())]
     placed = at.select("fp", "t", F.explode(F.array(*cells)).alias("c")).select("fp", "t", "c.grid", "c.cell")
     a, b = placed.alias("a"), placed.alias("b")
     near = (F.bit_count(F.col("a.t").bitwiseXOR(F.col("b.t"))) <= distance) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
