@@ -19,9 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
-import struct
-from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +30,8 @@ from .common import slices, text_or_empty
 
 #: Chunks that a worker remembers, in each of two generations.
 REMEMBERED = 350_000
-_TIGHT = re.compile(r"[^\S \n]|\s\s|^\s|\s\Z")
+#: Ranks below this are replayed as arrays of positions, since there are many of each.
+_COMMON = 1_000
 
 
 class MergeTable:
@@ -46,6 +44,7 @@ class MergeTable:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
+        self.of_bytes = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         none: dict[int, int] = {}
         self.pairs = [none] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -55,6 +54,14 @@ class MergeTable:
                     if self.pairs[left] is none:
                         self.pairs[left] = {}
                     self.pairs[left][right] = rank
+        known = [(left << 32 | right, rank) for left, by in enumerate(self.pairs) for right, rank in by.items()]
+        self.pair_keys, self.pair_ranks = np.array([*sorted(known), (np.iinfo(np.int64).max, -1)], np.int64).T.copy()
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each merge, -1 where a pair doesn't merge or one of it is no token."""
+        keys = np.where(right >= 0, left << 32 | right, -1)
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
     @classmethod
     def load(cls, path: str) -> MergeTable:
@@ -73,30 +80,80 @@ def merge_one(table: MergeTable, word: bytes) -> list[int]:
     return ids
 
 
+def _merge_common(table: MergeTable, entries: dict[int, list[np.ndarray]], ids: np.ndarray, now: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Replay the merges under ``_COMMON``: ids, the places after and before each, and those where a merge comes too late.
+
+    ``now`` has the rank of the pair that begins at a position; ``entries`` keeps the merges that are left.
+    """
+    after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+    odd: list[int] = []
+    heap = [r for r in entries if r < _COMMON]
+    heapq.heapify(heap)
+    while heap:
+        rank = heapq.heappop(heap)
+        i = np.unique(np.concatenate(entries.pop(rank)))
+        i = i[now[i] == rank]
+        if not len(i):
+            continue
+        j = after[i]
+        over = np.r_[False, j[:-1] >= i[1:]]  # shares its left token with the pair before, as in a run of one letter
+        if over.any():
+            step = np.arange(len(i))
+            even = (step - np.maximum.accumulate(np.where(over, 0, step))) % 2 == 0
+            i, j = i[even], j[even]
+        k = after[j]
+        beside = np.r_[k[:-1] == i[1:], False]
+        early = table.ranks_of(np.full(beside.sum(), rank), ids[k[beside]])  # until the pair beside it is merged too
+        odd += i[beside][(early >= 0) & (early <= rank)].tolist()
+        ids[i], ids[j], now[j] = rank, -2, -1
+        after[i], before[k] = k, i
+        p = before[i]
+        at = np.concatenate([i, p[ids[p] >= 0]])
+        ranks = now[at] = table.ranks_of(ids[at], ids[after[at]])
+        at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+        odd += at[ranks <= rank].tolist()
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]][: len(ranks)]).tolist()
+        for r, a, b in zip(ranks[cuts].tolist(), cuts, [*cuts[1:], len(at)]):
+            if r in entries:
+                entries[r].append(at[a:b])
+            else:
+                entries[r] = [at[a:b]]
+                if r < _COMMON:
+                    heapq.heappush(heap, r)
+    return ids.tolist(), after.tolist(), before.tolist(), odd
+
+
 def replay_merges(table: MergeTable, words: list[bytes]) -> list[list[int]]:
-    """The ids of each word, by replaying the merges over all words at once.
+    """The ids of each word."""
+    return [np.frombuffer(x, "<u4").tolist() for x in packed_ids(table, words)]
+
+
+def packed_ids(table: MergeTable, words: list[bytes]) -> list[bytes]:
+    """The ids of each word, four bytes each, by replaying the merges over all words at once.
 
     Words lie one after another with a fence (-1) behind each, which no merge
-    crosses; a position that was merged away holds -2.
+    crosses; a position that was merged away holds -2. Bytes, their first
+    pairs and the merges of common ranks go by arrays of positions, later
+    merges by single positions.
     """
-    pairs, of_byte = table.pairs, table.of_byte
-    ids: list[int] = [-1]
-    begins: list[int] = []
-    for w in words:
-        begins.append(len(ids))
-        ids += [of_byte[b] for b in w]
-        ids.append(-1)
-    after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-    index: dict[int, list[int]] = {}
-    for i, (a, b) in enumerate(zip(ids, ids[1:])):
-        if a >= 0 and (r := pairs[a].get(b)) is not None:
-            if r in index:
-                index[r].append(i)
-            else:
-                index[r] = [i]
+    pairs = table.pairs
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes + 1)
+    begins = ends - sizes
+    data = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+    first = np.array(table.of_byte)[data]
+    first[0] = first[ends] = -1
+    ranks = np.where((first[:-1] >= 0) & (first[1:] >= 0), table.of_bytes[data[:-1] * 256 + data[1:]], -1)
+    at = np.flatnonzero(ranks >= 0)
+    at = at[np.argsort(ranks[at], kind="stable")]
+    different, cuts = np.unique(ranks[at], return_index=True)
+    entries = {r: [x] for r, x in zip(different.tolist(), np.split(at, cuts[1:]))}
+    ids, after, before, odd = _merge_common(table, entries, first, np.r_[ranks, -1])
+    index = {r: np.concatenate(x).tolist() for r, x in entries.items()}
     heap = list(index)
     heapq.heapify(heap)
-    odd: list[int] = []
     while heap:
         rank = heapq.heappop(heap)
         for i in sorted(index.pop(rank)):
@@ -125,10 +182,13 @@ def replay_merges(table: MergeTable, words: list[bytes]) -> list[list[int]]:
                     heapq.heappush(heap, r)
                 if r <= rank:
                     odd.append(p)
-    out = [[t for t in ids[b : b + len(w)] if t >= 0] for b, w in zip(begins, words)]
-    for at in odd:  # a table that ranks a later merge earlier; such a word is merged by itself
-        k = bisect_right(begins, at) - 1
-        out[k] = merge_one(table, words[k])
+    last = np.array(ids, np.int64)
+    held = np.r_[0, np.cumsum(last >= 0)] * 4
+    packed = last[last >= 0].astype("<u4").tobytes()
+    out = [packed[a:b] for a, b in zip(held[begins].tolist(), held[ends].tolist())]
+    for i in odd:  # a table that ranks a later merge earlier; such a word is merged by itself
+        k = int(np.searchsorted(begins, i, "right")) - 1
+        out[k] = np.array(merge_one(table, words[k]), "<u4").tobytes()
     return out
 
 
@@ -154,34 +214,36 @@ class ByteTokenizer:
         """
         if not text:
             return []
-        if _TIGHT.search(text):
+        spaced = text.replace("\n", " ")
+        words = spaced.split()
+        if " ".join(words) != spaced:
             return ["\r" + text]
-        words = text.replace("\n", " \n").split(" ")
+        if "\n" in text:
+            words = text.replace("\n", " \n").split(" ")
         words[0] = "\r" + words[0]
         return words
 
     def _learn(self, chunks) -> dict[str, bytes]:
         """Ids of chunks that aren't remembered."""
-        known, new = {}, []
-        for c in chunks:
-            if (v := self.old.get(c)) is not None:
-                known[c] = v
-            else:
-                new.append((c, self.find(c[1:] if c[0] == "\r" else c if c[0] == "\n" else " " + c)))
+        old = self.old
+        known = {c: old[c] for c in chunks if c in old}
+        new = [c for c in chunks if c not in known]
+        found = [self.find(c[1:] if c[0] == "\r" else c if c[0] == "\n" else " " + c) for c in new]
         words = self.words
         if len(words) > REMEMBERED:
             words = self.words = {}
-        ask = [w for w in {w for _, ws in new for w in ws} if w not in words]
+        ask = [w for w in set().union(*found) if w not in words]
         coded = [w.encode() for w in ask]
         ranks = self.table.ranks
-        parted = [(w, b) for w, b in zip(ask, coded) if b not in ranks]
+        parted = []
         for w, b in zip(ask, coded):
-            if b in ranks:
-                words[w] = ranks[b].to_bytes(4, "little")
-        for (w, _), ids in zip(parted, replay_merges(self.table, [b for _, b in parted])):
-            words[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for c, ws in new:
-            known[c] = b"".join([words[w] for w in ws])
+            if (r := ranks.get(b)) is None:
+                parted.append((w, b))
+            else:
+                words[w] = r.to_bytes(4, "little")
+        words.update(zip([w for w, _ in parted], packed_ids(self.table, [b for _, b in parted])))
+        for c, ws in zip(new, found):
+            known[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
         return known
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:

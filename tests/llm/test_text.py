@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -45,6 +46,41 @@ def test_replay_equals_merging_word_by_word():
     assert bpe.replay_merges(table, words) == [bpe.merge_one(table, w) for w in words]
 
 
+@pytest.mark.parametrize("common", [0, 700, 1 << 30])
+def test_bpe_replay_by_arrays(monkeypatch, common):
+    """Merges by arrays of positions and by single ones: the ids of each word merged by itself, in runs of a letter too."""
+    monkeypatch.setattr(bpe, "_COMMON", common)
+    table = bpe.MergeTable.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(3)
+    words = [b"", b"\0", b"\0\0a", b"a" * 37, b" " * 50, b"-" * 41 + b"aab", b"ababababa", b"aabaabaabaab"]
+    words += ["".join(rng.choice("aeinst \u00e9\u4e2d") for _ in range(rng.randint(1, 30))).encode() for _ in range(3000)]
+    words += [bytes(rng.randrange(256) for _ in range(rng.randint(1, 20))) for _ in range(500)]
+    assert bpe.packed_ids(table, []) == []
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.packed_ids(table, words)] == [bpe.merge_one(table, w) for w in words]
+
+
+@pytest.mark.parametrize("common", [0, 1 << 30])
+def test_bpe_replay_by_arrays_of_any_table(monkeypatch, common):
+    """Tables that rank a later merge earlier than what it is made of."""
+    monkeypatch.setattr(bpe, "_COMMON", common)
+    rng = random.Random(9)
+    for _ in range(60):
+        tokens = {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(14)}
+        table = bpe.MergeTable({bytes([b]): b for b in range(256)} | dict(zip(sorted(tokens), rng.sample(range(256, 300), len(tokens)))))
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 25))) for _ in range(40)]
+        assert bpe.replay_merges(table, words) == [bpe.merge_one(table, w) for w in words]
+
+
+def test_bpe_chunks_are_cut_as_the_pattern_cuts():
+    """Chunks only where single spaces and line ends stand between words, whatever else counts as white space."""
+    tok = bpe.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    texts = ["", " ", "\n", "a\n", "\na", "a b\nc d", "a \nb", "a\n\nb", "a\u00a0b", "a\u2003b c", "a\x1cb", "a\x85b", "a\tb c"]
+    texts += ["".join(rng.choice(["a", "B'", "s", " ", "\n", "1", "!", "\u3000", "\r"]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for text, ids in zip(texts, tok.encode_batch(texts)):
+        assert ids.tolist() == [x for w in tok.find(text) for x in bpe.merge_one(tok.table, w.encode())]
+
+
 @pytest.mark.parametrize("as_text", [False, True])
 def test_pack(docs, as_text):
     from tokenizers import Tokenizer
